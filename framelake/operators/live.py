@@ -11,10 +11,10 @@ def latest(df: DataFrame, key: str, order: str, columns: dict[str, Column]) -> D
 
     A hash aggregate with map-side combine: a hot key arrives as one row per map task. Only the
     columns asked for travel. A null `order` counts as oldest; rows that tie on `order` are told
-    apart by the columns' values, largest first, so that the result never depends on row order.
+    apart by a hash of the columns, so that the result never depends on row order.
     """
     packed = F.struct(*[c.alias(n) for n, c in columns.items()])
-    rank = F.struct(F.col(order).isNotNull().alias("has"), F.col(order).alias("at"), F.to_json(packed).alias("tie"))
+    rank = F.struct(F.col(order).isNotNull().alias("has"), F.col(order).alias("at"), F.xxhash64(*columns.values()).alias("tie"))
     return (
         df.where(F.col(key).isNotNull())
         .groupBy(key)

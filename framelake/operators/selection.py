@@ -24,9 +24,9 @@ def hash_rank(df: DataFrame, group: list[str], key: str, rank: str = "rank", bit
     """
     h = F.xxhash64(F.col(key))
     df = df.withColumn("_h", h).withColumn("_slice", F.shiftrightunsigned("_h", 64 - bits).cast("int"))
-    sizes = df.groupBy(*group, "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = df.groupBy(*group, "_slice").agg(F.count(F.lit(1)).alias("_slice_rows"))
     before = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*group, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    offsets = sizes.select(*group, "_slice", F.coalesce(F.sum("_slice_rows").over(before), F.lit(0)).alias("_before"))
     inner = Window.partitionBy(*group, "_slice").orderBy("_h", key)
     ranked = df.withColumn("_r", F.row_number().over(inner))
     return ranked.join(offsets, [*group, "_slice"]).withColumn(rank, F.col("_before") + F.col("_r")).drop("_h", "_slice", "_r", "_before")
