@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from framelake.llm import cooccur, golden, overlap, raking, splits
+from framelake.llm import bpe, cooccur, golden, overlap, raking, splits, winnow
 
 QUERIES = {
     "p1_found": splits.p1_found,
@@ -16,6 +16,10 @@ QUERIES = {
     "p7_found": overlap.p7_found,
     "p7_pairs": overlap.p7_pairs,
     "p7_counts": overlap.p7_counts,
+    "p8_ids": bpe.p8_ids,
+    "p8_lengths": bpe.p8_lengths,
+    "p9_found": winnow.p9_found,
+    "p9_items": winnow.p9_items,
 }
 
 _SQ = "regexp_replace(lower({0}), '[\\s\\x{{00A0}}_\\-./\\\\+]+', '', 'g')"
