@@ -20,9 +20,11 @@ from framelake.sources.tables import table
 #: Single-byte code pages that bytes may have been read in (fixed values).
 READ_AS = ["cp1252", "latin-1", "cp437", "cp850", "cp852", "cp1250", "cp1251", "cp1254", "mac_roman", "koi8_r", "cp866", "iso8859_2", "iso8859_5", "iso8859_15", "mac_cyrillic"]
 #: Code pages the bytes were written in, beside UTF-8 (fixed values).
-WRITTEN_IN = ["cp1252", "cp1250", "cp1251", "mac_roman", "cp437", "cp850", "cp866", "koi8_r", "iso8859_2", "iso8859_5"]
+WRITTEN_IN = ["cp1252", "cp1250", "cp1251", "mac_roman", "cp437", "cp850", "cp852", "cp866", "koi8_r", "iso8859_2", "iso8859_5", "iso8859_15", "mac_latin2", "mac_cyrillic"]
 #: Multi-byte encodings other than UTF-8 and the pages their bytes are read in (fixed values).
 WIDE, WIDE_READ_AS = ["euc_jp", "shift_jis", "gb18030"], ["cp1252", "latin-1", "cp1251", "mac_roman", "cp437"]
+#: Those of them whose characters may hold bytes of ASCII.
+ASCII_INSIDE = {"shift_jis", "gb18030"}
 #: How often UTF-8 may have been misread one time after another.
 MOST_READINGS = 3
 #: Places of the bigram and character tables.
@@ -31,8 +33,12 @@ PAIRS, CHARS = 1 << 20, 1 << 16
 ROUNDS = 4
 #: Characters of the original that must have been turned into others for a document to count.
 LEAST = 3
+#: Evidence (in nats) that a word needs before it speaks for a swap of its document.
+MARGIN = 1.0
 #: Evidence (in nats) a swap other than the document's main one must bring beyond its prior.
 OTHER_SWAP = 6.0
+#: Evidence (in nats) against a word in capitals that only its small letters speak for.
+CAPITALS = 3.0
 #: White space between words that no misreading yields.
 BLANKS = " \n\t\r"
 LOST = "�"
@@ -71,24 +77,50 @@ def _table(read_as: str, written_in: str) -> dict[int, str]:
     return {ord(ch): chars[b] for ch, b in byte.items() if b >= 128 and chars[b] != ch}
 
 
-def undo(s: str, read_as: str, written_in: str) -> str | None:
-    """s as it was before it was written in one encoding and read in another; None where it cannot be."""
+_RUN = re.compile(r"[^\x00-\x7F]+")
+
+
+def _undo_whole(s: str, read_as: str, written_in: str) -> str | None:
     data = _to_bytes(s, read_as)
     if data is None:
         return None
     if written_in in WRITTEN_IN:
-        out = s.translate(_table(read_as, written_in))
+        return s.translate(_table(read_as, written_in))
+    try:
+        return data.decode(written_in)
+    except UnicodeDecodeError:
+        return None
+
+
+def undo(s: str, read_as: str, written_in: str) -> str | None:
+    """s as it was before it was written in one encoding and read in another; None where it cannot be.
+
+    Runs of characters beyond ASCII are taken one by one, and those that cannot come from this swap
+    stay, as only a part of a word may be concerned; encodings whose characters hold ASCII bytes need
+    the whole word.
+    """
+    if written_in in ASCII_INSIDE:
+        out = _undo_whole(s, read_as, written_in)
     else:
-        try:
-            out = data.decode(written_in)
-        except UnicodeDecodeError:
-            return None
-    return out if out != s and not out.isascii() else None
+        out = _RUN.sub(lambda m: _undo_whole(m[0], read_as, written_in) or m[0], s)
+    return out if out is not None and out != s and not out.isascii() else None
+
+
+_LATIN = "A-Za-z\u00c0-\u024f"
+_MIXED = re.compile(f"[{_LATIN}][\u0400-\u04ff]|[\u0400-\u04ff][{_LATIN}]|[{_LATIN}][\u0370-\u03ff\u2500-\u25ff\u3040-\u9fff\uac00-\ud7af\uff61-\uff9f][{_LATIN}]")
 
 
 def plausible(s: str) -> bool:
-    """False for forms with control, unassigned, private or lost characters: no text was written so."""
-    return s.isprintable() or not any(unicodedata.category(ch) in ("Cc", "Cn", "Co", "Cs") or ch == LOST for ch in s)
+    """False for forms that no text is written in: with control, unassigned, private or lost
+    characters, with Latin next to Cyrillic letters, or with a sign of another script between Latin ones."""
+    if not s.isprintable() and any(unicodedata.category(ch) in ("Cc", "Cn", "Co", "Cs") or ch == LOST for ch in s):
+        return False
+    return not _MIXED.search(s)
+
+
+def is_blank(token: str) -> bool:
+    """True if all characters beyond ASCII are spaces or invisible: no witness of any swap."""
+    return all(ch.isascii() or ch.isspace() or unicodedata.category(ch) == "Cf" for ch in token)
 
 
 @lru_cache(maxsize=None)
@@ -124,9 +156,11 @@ def candidates(token: str) -> list[tuple[str, tuple[str, ...]]]:
 
 def turned(token: str, restored: str, how: str) -> int:
     """Characters of the original that the swap turned into others."""
-    if len(token) == len(restored) and "utf-8" not in how:
-        return sum(a != b for a, b in zip(token, restored))
-    return sum(not ch.isascii() for ch in restored)
+    a, b = _RUN.findall(token), _RUN.findall(restored)
+    if len(a) != len(b):
+        return sum(not ch.isascii() for ch in restored)
+    single = "utf-8" not in how
+    return sum(sum(x != y for x, y in zip(r, s)) if single and len(r) == len(s) else len(s) for r, s in zip(a, b) if r != s)
 
 
 # --- bigram model -------------------------------------------------------------------------------
@@ -157,7 +191,25 @@ class Bigrams:
         before, after = self.chars[ord(pair[0]) % CHARS], self.chars[ord(pair[1]) % CHARS]
         return math.log((self.pairs[_place(pair)] + 2 * (after + 0.1) / self.total) / (before + 2))
 
+    def log_without(self, token: str, n: float) -> float:
+        """Log probability of a token by the counts of all others: its own n are taken out."""
+
+        def one(t: str, n: float) -> float:
+            t = "\x02" + t.translate(_DIGITS) + "\x03"
+            total = 0.0
+            for i in range(len(t) - 1):
+                x, y = ord(t[i]) % CHARS, ord(t[i + 1]) % CHARS
+                pair, before, after = self.pairs[_place(t[i : i + 2])] - n, self.chars[x] - n, self.chars[y] - n
+                total += math.log((max(0.0, pair) + 2 * (max(0.0, after) + 0.1) / self.total) / (max(0.0, before) + 2))
+            return total
+
+        return max(one(token, n), one(token.lower(), 0.0) - CAPITALS) if _in_capitals(token) else one(token, n)
+
     def log(self, token: str) -> float:
+        """Log probability; a word in capitals may also be judged by its small letters."""
+        return max(self._log(token), self._log(token.lower()) - CAPITALS) if _in_capitals(token) else self._log(token)
+
+    def _log(self, token: str) -> float:
         t = "\x02" + token.translate(_DIGITS) + "\x03"
         total, known = 0.0, self.known
         for i in range(len(t) - 1):
@@ -169,6 +221,10 @@ class Bigrams:
         return total
 
 
+def _in_capitals(token: str) -> bool:
+    return token.isupper() and sum("A" <= ch <= "Z" for ch in token) >= 3
+
+
 def _tokens(docs: DataFrame) -> DataFrame:
     """source, token, n: words with a character beyond ASCII, counted over all documents."""
     words = F.explode(F.split("text", f"[{BLANKS}]+")).alias("token")
@@ -181,7 +237,7 @@ def _with_candidates(tokens: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            c = [[{"s": s, "hows": h} for s, h in candidates(t)] for t in b.column("token").to_pylist()]
+            c = [[] if is_blank(t) else [{"s": s, "hows": h} for s, h in candidates(t)] for t in b.column("token").to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(c, kind)], [*b.schema.names, "c"])
 
     return tokens.mapInArrow(run, "source string, token string, n long, c array<struct<s:string,hows:array<string>>>")
@@ -238,7 +294,7 @@ def _round(rows: DataFrame, model: Model) -> Model:
         for b in batches:
             for source, token, n, c in zip(*(b.column(x).to_pylist() for x in ("source", "token", "n", "c"))):
                 ways = [(token, (KEEP,)), *((x["s"], x["hows"]) for x in c)]
-                for s, how, w in posteriors(m, source, ways):
+                for s, how, w in posteriors(m, source, ways, n):
                     shares[source, how] = shares.get((source, how), 0.0) + n * w
                     for place, char in zip(*_pairs(s)):
                         pairs[place] += n * w
@@ -263,13 +319,17 @@ def _round(rows: DataFrame, model: Model) -> Model:
     return Model(Bigrams(pairs, chars), share)
 
 
-def posteriors(m: Model, source: str, ways: list[tuple[str, tuple[str, ...]]]) -> list[tuple[str, str, float]]:
-    """(form, swap, posterior) of all that weigh a thousandth or more."""
+def posteriors(m: Model, source: str, ways: list[tuple[str, tuple[str, ...]]], n: float) -> list[tuple[str, str, float]]:
+    """(form, swap, posterior) of all that weigh a thousandth or more.
+
+    The word as it stands is judged by the other words only, or else every rare garbled word would
+    be its own witness.
+    """
     if len(ways) == 1 or m.bigrams is None:
         return [(ways[0][0], KEEP, 1.0)]
     logs = []
     for s, hows in ways:
-        p = m.bigrams.log(s)
+        p = m.bigrams.log_without(s, n) if hows == (KEEP,) else m.bigrams.log(s)
         logs += [(s, how, p + m.prior(source, how)) for how in hows]
     top = max(x[2] for x in logs)
     e = [(s, how, math.exp(x - top)) for s, how, x in logs if x > top - 12]
@@ -313,27 +373,43 @@ class Restorer:
             ways = self.ways(t)
             if ways:
                 seen.append((i, t, ways))
-                for hows, _, g in ways:
-                    for how in hows if g > 0 else ():
-                        e = g + self.m.prior(source, how) - keep
-                        if e > 0:
-                            gain[how] = gain.get(how, 0.0) + e
-        if not gain:
+                best: dict[str, float] = {}
+                for hows, _, g in () if is_blank(t) else ways:
+                    if g > MARGIN:
+                        for how in hows:
+                            best[how] = max(best.get(how, 0.0), g - MARGIN)
+                for how, g in best.items():
+                    gain[how] = gain.get(how, 0.0) + g
+        total = {how: g + self.m.prior(source, how) - keep for how, g in gain.items()}
+        main = max(total, key=lambda h: (total[h], h)) if total else None
+        if main is None or total[main] <= 0:
             return lost, None, text
-        main = max(gain, key=lambda h: (gain[h], h))
         n = lost
         for i, t, ways in seen:
-            best, to = 0.0, None
-            for hows, s, g in ways:
+            best_g, to = 0.0, None
+            for hows, s, g in [*ways, *self.parts_of(t, ways, main)]:
                 for how in hows if g > 0 else ():
                     e = g if how == main else g + self.m.prior(source, how) - keep - OTHER_SWAP
-                    if e > best:
-                        best, to = e, (how, s)
+                    if e > best_g:
+                        best_g, to = e, (how, s)
             if to:
                 parts[i] = to[1]
                 n += turned(t, to[1], to[0])
         return n, main, "".join(parts)
 
+    def parts_of(self, token: str, ways: list, main: str) -> list[tuple[tuple[str, ...], str, float]]:
+        """Forms in which only one run of characters beyond ASCII is restored, by the main swap."""
+        runs = list(_RUN.finditer(token))
+        if len(runs) < 2 or not any(main in hows for hows, _, _ in ways):
+            return []
+        own, out = self.m.bigrams.log(token), []
+        for r in runs:
+            for s, hows in candidates(r[0]):
+                if main in hows:
+                    form = token[: r.start()] + s + token[r.end() :]
+                    out.append(((main,), form, self.m.bigrams.log(form) - own))
+        return out
+
 
 def _split(text: str) -> list[str]:
     """Words and the blanks between them, in turn."""

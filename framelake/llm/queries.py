@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from framelake.llm import bpe, cooccur, golden, overlap, raking, splits, winnow
+from framelake.llm import bpe, cooccur, golden, mojibake, overlap, raking, splits, winnow
 
 QUERIES = {
     "p1_found": splits.p1_found,
@@ -20,6 +20,8 @@ QUERIES = {
     "p8_lengths": bpe.p8_lengths,
     "p9_found": winnow.p9_found,
     "p9_items": winnow.p9_items,
+    "p10_found": mojibake.p10_found,
+    "p10_restored": mojibake.p10_restored,
 }
 
 _SQ = "regexp_replace(lower({0}), '[\\s\\x{{00A0}}_\\-./\\\\+]+', '', 'g')"
