@@ -93,17 +93,10 @@ def _undo_whole(s: str, read_as: str, written_in: str) -> str | None:
 
 
 def undo(s: str, read_as: str, written_in: str) -> str | None:
-    """s as it was before it was written in one encoding and read in another; None where it cannot be.
-
-    Runs of characters beyond ASCII are taken one by one, and those that cannot come from this swap
-    stay, as only a part of a word may be concerned; encodings whose characters hold ASCII bytes need
-    the whole word.
-    """
-    if written_in in ASCII_INSIDE:
-        out = _undo_whole(s, read_as, written_in)
-    else:
-        out = _RUN.sub(lambda m: _undo_whole(m[0], read_as, written_in) or m[0], s)
-    return out if out is not None and out != s and not out.isascii() else None
+    """s with each run of characters beyond ASCII as it was before it was written in one encoding and
+    read in another; None where no run can be."""
+    out = _RUN.sub(lambda m: _undo_whole(m[0], read_as, written_in) or m[0], s)
+    return out if out != s and not out.isascii() else None
 
 
 _LATIN = "A-Za-z\u00c0-\u024f"
@@ -132,14 +125,17 @@ def swaps() -> tuple[tuple[str, str], ...]:
     return tuple(out)
 
 
-def candidates(token: str) -> list[tuple[str, tuple[str, ...]]]:
-    """(restored form, the swaps that lead to it) of every way a token may be read otherwise."""
-    found: dict[str, list[str]] = {}
+@lru_cache(maxsize=100_000)
+def _forms_of_run(run: str) -> dict[str, str]:
+    """Form of a run of characters beyond ASCII by the swap (or chain of swaps) undone; most runs recur."""
+    found: dict[str, str] = {}
     again = []
     for r, w in swaps():
-        s = undo(token, r, w)
-        if s is not None:
-            found.setdefault(s, []).append(f"{w}>{r}")
+        if w in ASCII_INSIDE:
+            continue
+        s = _undo_whole(run, r, w)
+        if s is not None and s != run and not s.isascii():
+            found[f"{w}>{r}"] = s
             if w == "utf-8":
                 again.append((s, f"{w}>{r}"))
     for _ in range(MOST_READINGS - 1):
@@ -147,11 +143,35 @@ def candidates(token: str) -> list[tuple[str, tuple[str, ...]]]:
         for s, how in again:
             for r in READ_AS:
                 t = undo(s, r, "utf-8")
-                if t is not None and t != token:
-                    found.setdefault(t, []).append(f"utf-8>{r}, {how}")
+                if t is not None and t != run:
+                    found[f"utf-8>{r}, {how}"] = t
                     deeper.append((t, f"utf-8>{r}, {how}"))
         again = deeper
-    return [(s, tuple(dict.fromkeys(hows))) for s, hows in found.items() if plausible(s)]
+    return found
+
+
+def candidates(token: str) -> list[tuple[str, tuple[str, ...]]]:
+    """(restored form, the swaps that lead to it) of every way a token may be read otherwise.
+
+    A swap acts on each run of characters beyond ASCII by itself; runs that cannot come from it stay,
+    as only a part of a word may be concerned."""
+    found: dict[str, list[str]] = {}
+    runs = list(_RUN.finditer(token))
+    forms = [_forms_of_run(m[0]) for m in runs]
+    hows = forms[0] if len(forms) == 1 else dict.fromkeys(h for f in forms for h in f)
+    for how in hows:
+        out, at = [], 0
+        for m, f in zip(runs, forms):
+            out += [token[at : m.start()], f.get(how, m[0])]
+            at = m.end()
+        found.setdefault("".join(out) + token[at:], []).append(how)
+    for r in WIDE_READ_AS:
+        for w in ASCII_INSIDE:
+            s = _undo_whole(token, r, w)
+            if s is not None and not s.isascii():
+                found.setdefault(s, []).append(f"{w}>{r}")
+    found.pop(token, None)
+    return [(s, tuple(h)) for s, h in found.items() if plausible(s)]
 
 
 def turned(token: str, restored: str, how: str) -> int:
@@ -192,7 +212,7 @@ class Bigrams:
         return math.log((self.pairs[_place(pair)] + 2 * (after + 0.1) / self.total) / (before + 2))
 
     def log_without(self, token: str, n: float) -> float:
-        """Log probability of a token by the counts of all others: its own n are taken out."""
+        """Log probability of a token by the counts of other documents: n of its own are taken out."""
 
         def one(t: str, n: float) -> float:
             t = "\x02" + t.translate(_DIGITS) + "\x03"
@@ -226,10 +246,11 @@ def _in_capitals(token: str) -> bool:
 
 
 def _tokens(docs: DataFrame) -> DataFrame:
-    """source, token, n: words with a character beyond ASCII, counted over all documents."""
-    words = F.explode(F.split("text", f"[{BLANKS}]+")).alias("token")
+    """token, n, by: words with a character beyond ASCII, and in how many documents, in all and by source."""
+    words = F.explode(F.array_distinct(F.split("text", f"[{BLANKS}]+"))).alias("token")
     rows = docs.where(F.col("text").rlike(r"[^\x00-\x7F]")).select(F.coalesce("source", F.lit("")).alias("source"), words)
-    return rows.where(F.col("token").rlike(r"[^\x00-\x7F]")).groupBy("source", "token").agg(F.count(F.lit(1)).alias("n"))
+    by = rows.where(F.col("token").rlike(r"[^\x00-\x7F]")).groupBy("source", "token").agg(F.count(F.lit(1)).alias("n"))
+    return by.groupBy("token").agg(F.sum("n").alias("n"), F.collect_list(F.struct("source", "n")).alias("by"))
 
 
 def _with_candidates(tokens: DataFrame) -> DataFrame:
@@ -240,7 +261,7 @@ def _with_candidates(tokens: DataFrame) -> DataFrame:
             c = [[] if is_blank(t) else [{"s": s, "hows": h} for s, h in candidates(t)] for t in b.column("token").to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(c, kind)], [*b.schema.names, "c"])
 
-    return tokens.mapInArrow(run, "source string, token string, n long, c array<struct<s:string,hows:array<string>>>")
+    return tokens.mapInArrow(run, "token string, n long, by array<struct<source:string,n:long>>, c array<struct<s:string,hows:array<string>>>")
 
 
 class Model:
@@ -276,13 +297,19 @@ def learn(tokens: DataFrame, rounds: int = ROUNDS) -> Model:
     by the posteriors. Words are counted over all documents before; the tables that come to the
     driver have fixed sizes (2**20 bigram places, 2**16 characters, swaps by source).
     """
-    rows = cut(_with_candidates(tokens.repartition("token")))
+    rows = cut(_with_candidates(tokens.repartition(_tasks(tokens), "token")))
     model = Model(None, {})
     for _ in range(rounds):
         model = _round(rows, model)
     return model
 
 
+def _tasks(df: DataFrame) -> int:
+    """Tasks for work that is heavy on the CPU but light on data."""
+    spark = df.sparkSession
+    return max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _round(rows: DataFrame, model: Model) -> Model:
     shared = rows.sparkSession.sparkContext.broadcast((model.bigrams and (model.bigrams.pairs, model.bigrams.chars), model.share))
 
@@ -292,13 +319,17 @@ def _round(rows: DataFrame, model: Model) -> Model:
         pairs, chars = np.zeros(PAIRS), np.zeros(CHARS)
         shares: dict[tuple[str, str], float] = {}
         for b in batches:
-            for source, token, n, c in zip(*(b.column(x).to_pylist() for x in ("source", "token", "n", "c"))):
-                ways = [(token, (KEEP,)), *((x["s"], x["hows"]) for x in c)]
-                for s, how, w in posteriors(m, source, ways, n):
-                    shares[source, how] = shares.get((source, how), 0.0) + n * w
+            for token, by, c in zip(*(b.column(x).to_pylist() for x in ("token", "by", "c"))):
+                logs = evidence(m, token, [(x["s"], x["hows"]) for x in c])
+                weights: dict[str, float] = {}
+                for x in by:
+                    for s, how, w in posteriors(m, x["source"], logs):
+                        shares[x["source"], how] = shares.get((x["source"], how), 0.0) + x["n"] * w
+                        weights[s] = weights.get(s, 0.0) + x["n"] * w
+                for s, w in weights.items():
                     for place, char in zip(*_pairs(s)):
-                        pairs[place] += n * w
-                        chars[char] += n * w
+                        pairs[place] += w
+                        chars[char] += w
         for kind, a in (("p", pairs), ("c", chars)):
             at = np.flatnonzero(a)
             yield pa.RecordBatch.from_pydict({"kind": pa.array([kind] * len(at), pa.string()), "at": pa.array(at, pa.int64()), "name": pa.array([""] * len(at), pa.string()), "how": pa.array([""] * len(at), pa.string()), "w": pa.array(a[at], pa.float64())})
@@ -319,20 +350,30 @@ def _round(rows: DataFrame, model: Model) -> Model:
     return Model(Bigrams(pairs, chars), share)
 
 
-def posteriors(m: Model, source: str, ways: list[tuple[str, tuple[str, ...]]], n: float) -> list[tuple[str, str, float]]:
-    """(form, swap, posterior) of all that weigh a thousandth or more.
+def evidence(m: Model, token: str, ways: list[tuple[str, list[str]]]) -> list[tuple[str, str, float]]:
+    """(form, swap, log probability) of a word and of its restored forms.
 
-    The word as it stands is judged by the other words only, or else every rare garbled word would
+    The word as it stands is judged by other documents only, or else every rare garbled word would
     be its own witness.
     """
-    if len(ways) == 1 or m.bigrams is None:
-        return [(ways[0][0], KEEP, 1.0)]
-    logs = []
+    if m.bigrams is None or not ways:
+        return [(token, KEEP, 0.0)]
+    out = [(token, KEEP, m.bigrams.log_without(token, 1.0))]
+    least = out[0][2] - 40
     for s, hows in ways:
-        p = m.bigrams.log_without(s, n) if hows == (KEEP,) else m.bigrams.log(s)
-        logs += [(s, how, p + m.prior(source, how)) for how in hows]
-    top = max(x[2] for x in logs)
-    e = [(s, how, math.exp(x - top)) for s, how, x in logs if x > top - 12]
+        p = m.bigrams.log(s)
+        if p > least:
+            out += [(s, how, p) for how in hows]
+    return out
+
+
+def posteriors(m: Model, source: str, logs: list[tuple[str, str, float]]) -> list[tuple[str, str, float]]:
+    """(form, swap, posterior) of all that weigh a thousandth or more."""
+    if len(logs) == 1:
+        return [(logs[0][0], KEEP, 1.0)]
+    full = [p + m.prior(source, how) for _, how, p in logs]
+    top = max(full)
+    e = [(s, how, math.exp(x - top)) for (s, how, _), x in zip(logs, full) if x > top - 12]
     z = sum(x[2] for x in e)
     return [(s, how, x / z) for s, how, x in e if x > 1e-3 * z]
 
@@ -446,7 +487,8 @@ def restored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source
             keys = b.column("k").take(pa.array(at, pa.int64()))
             yield pa.RecordBatch.from_arrays([keys, pa.array(n, pa.int32()), pa.array(how, pa.string()), pa.array(out, pa.string())], ["k", "n", "how", "out"])
 
-    odd = rows.where(F.col("text").rlike(r"[^\x00-\x7F]"))
+    # Far more CPU than data: a shuffle of the texts in question keeps all cores busy.
+    odd = rows.where(F.col("text").rlike(r"[^\x00-\x7F]")).repartition(_tasks(rows))
     found = odd.mapInArrow(run, f"k {kind}, n int, how string, out string")
     return found.select(F.col("k").alias(doc_id), F.col("n").alias("n_turned"), F.col("how").alias("swap"), F.col("out").alias("restored"))
 
