@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from framelake.plans import general
+from framelake.plans import collections, general, geometry
 
-MODULES = [general]
+MODULES = [general, collections, geometry]
 
 
 def queries() -> dict:
