@@ -16,7 +16,7 @@ def _c(x: Column | str) -> Column:
 
 
 def has_ending(path: Column | str, *endings: str) -> Column:
-    return F.coalesce(F.lower(_c(path)).rlike(r"\.(" + "|".join(e.replace(".", r"\.") for e in endings) + r")$"), F.lit(False))
+    return F.coalesce(F.lower(_c(path)).rlike(r"\.(" + "|".join(e.replace(".", r"\.") for e in endings) + r")\z"), F.lit(False))
 
 
 def is_url(path: Column | str) -> Column:
@@ -40,7 +40,7 @@ def is_youtube_url(path: Column | str) -> Column:
 
 
 def is_email(text: Column | str) -> Column:
-    return F.coalesce(_c(text).rlike(r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}$"), F.lit(False))
+    return F.coalesce(_c(text).rlike(r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\z"), F.lit(False))
 
 
 def is_image(path: Column | str) -> Column:

@@ -49,7 +49,7 @@ def interval_join(left: DataFrame, right: DataFrame, keys: list[str], left_span:
     rs, re = names[rs], names[re]
     b = b.withColumn("_b", F.explode(F.sequence(F.floor(F.col(rs) / bucket), F.floor(F.col(re) / bucket))))
     later = F.greatest(F.col(ls), F.col(rs))
-    meets = (F.col(ls) <= F.col(re)) & (F.col(rs) <= F.col(le)) if closed else (F.col(ls) < F.col(re)) & (F.col(rs) < F.col(le))
+    meets = (F.col(ls) <= F.col(re)) & (F.col(rs) <= F.col(le)) if closed else F.least(F.col(le), F.col(re)) > later
     return a.join(b, [*keys, "_b"]).where(meets & (F.floor(later / bucket) == F.col("_b"))).drop("_b")
 
 

@@ -24,9 +24,9 @@ def roc(scores: DataFrame, score: str, truth: str, digits: int = 4) -> DataFrame
     is bounded by the scale and not by the rows."""
     by = scores.where(F.col(score).isNotNull() & F.col(truth).isNotNull()).groupBy(F.round(F.col(score), digits).alias("threshold")).agg(F.count_if(F.col(truth) == 1).alias("p"), F.count_if(F.col(truth) != 1).alias("n"))
     down = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)  # one row a threshold
-    t = by.agg(F.sum("p").alias("P"), F.sum("n").alias("N"))
+    t = by.agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
     c = by.withColumns({"cp": F.sum("p").over(down), "cn": F.sum("n").over(down)}).join(F.broadcast(t))
-    return c.select("threshold", F.try_divide("cn", "N").alias("fpr"), F.try_divide("cp", "P").alias("tpr"))
+    return c.select("threshold", F.try_divide("cn", "all_n").alias("fpr"), F.try_divide("cp", "all_p").alias("tpr"))
 
 
 def interpolate_at(curve: DataFrame, x: str, y: str, at: float) -> DataFrame:
@@ -50,9 +50,9 @@ def fpr_at_tpr(scores: DataFrame, score: str, truth: str, at: float = 0.85) -> D
 def precision_recall(scores: DataFrame, score: str, truth: str, digits: int = 4) -> DataFrame:
     by = scores.where(F.col(score).isNotNull()).groupBy(F.round(F.col(score), digits).alias("threshold")).agg(F.count_if(F.col(truth) == 1).alias("p"), F.count(F.lit(1)).alias("k"))
     down = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    t = by.agg(F.sum("p").alias("P"))
+    t = by.agg(F.sum("p").alias("all_p"))
     c = by.withColumns({"cp": F.sum("p").over(down), "ck": F.sum("k").over(down)}).join(F.broadcast(t))
-    return c.select("threshold", F.try_divide("cp", "ck").alias("precision"), F.try_divide("cp", "P").alias("recall"))
+    return c.select("threshold", F.try_divide("cp", "ck").alias("precision"), F.try_divide("cp", "all_p").alias("recall"))
 
 
 def average_precision(scores: DataFrame, group: str, score: str, truth: str, digits: int = 4) -> DataFrame:
@@ -60,8 +60,8 @@ def average_precision(scores: DataFrame, group: str, score: str, truth: str, dig
     by = scores.where(F.col(score).isNotNull()).groupBy(group, F.round(F.col(score), digits).alias("threshold")).agg(F.count_if(F.col(truth) == 1).alias("p"), F.count(F.lit(1)).alias("k"))
     w = Window.partitionBy(group).orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
     every = Window.partitionBy(group)
-    c = by.withColumns({"cp": F.sum("p").over(w), "ck": F.sum("k").over(w), "P": F.sum("p").over(every)})
-    return c.groupBy(group).agg(F.coalesce(F.sum(F.try_divide("cp", "ck") * F.try_divide("p", "P")), F.lit(0.0)).alias("ap"))
+    c = by.withColumns({"cp": F.sum("p").over(w), "ck": F.sum("k").over(w), "all_p": F.sum("p").over(every)})
+    return c.groupBy(group).agg(F.coalesce(F.sum(F.try_divide("cp", "ck") * F.try_divide("p", "all_p")), F.lit(0.0)).alias("ap"))
 
 
 def confusion(rows: DataFrame, truth: str, predicted: str) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from framelake.plans import collections, general, geometry
+from framelake.plans import collections, general, geometry, scenes
 
-MODULES = [general, collections, geometry]
+MODULES = [general, collections, geometry, scenes]
 
 
 def queries() -> dict:
