@@ -75,6 +75,22 @@ def nearest(left: DataFrame, right: DataFrame, keys: list[str], at: str, of: str
     return u.select(*keys, *[F.col(f"_l.{c}") for c in cols], *[F.col(f"_c.{c}").alias(c if c not in left.columns else c + "_2") for c in take])
 
 
+def block_join(queries: DataFrame, rows: DataFrame, block_rows: int = 4096) -> DataFrame:
+    """Every row of a stated query set beside every row of `rows`, in blocks.
+
+    Queries are dealt to blocks of about block_rows; `rows` pass each block once, by an equi-join on
+    the block number, so that no side has to fit anywhere as a whole."""
+    n = max(1, -(-queries.count() // block_rows))
+    a = queries.withColumn("_b", F.pmod(F.xxhash64(*[F.col(c) for c, k in queries.dtypes if not k.startswith(("map", "variant"))]), F.lit(n)))
+    b = rows.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))))
+    if n == 1:  # one block: salted, so that its rows are spread over tasks
+        salts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        a = a.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        b = b.withColumn("_s", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
+        return a.join(b, ["_b", "_s"]).drop("_b", "_s")
+    return a.join(b, "_b").drop("_b")
+
+
 def with_dimension(facts: DataFrame, dim: DataFrame, on: list[str], how: str = "left", limit: int = 32 << 20) -> DataFrame:
     """Lookup join: broadcast where the dimension's size estimate permits, else by shuffle."""
     from framelake.sources.tables import small_enough

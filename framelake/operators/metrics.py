@@ -19,10 +19,15 @@ def cumulative_match(scores: DataFrame, probe: str, gallery: str, score: str, ma
     return by_rank.withColumn("c", F.sum("n").over(upto)).join(F.broadcast(total)).select("rank", (F.col("c") / F.col("total")).alias("recall"))
 
 
+def _step(score: str, digits: int) -> Column:
+    """Score on a scale of steps, by plain arithmetic, so that equal doubles always fall together."""
+    return F.floor(F.col(score) * 10**digits + 0.5) / 10**digits
+
+
 def roc(scores: DataFrame, score: str, truth: str, digits: int = 4) -> DataFrame:
     """(threshold, fpr, tpr) at every distinct score, rounded to `digits` places so that the curve's size
     is bounded by the scale and not by the rows."""
-    by = scores.where(F.col(score).isNotNull() & F.col(truth).isNotNull()).groupBy(F.round(F.col(score), digits).alias("threshold")).agg(F.count_if(F.col(truth) == 1).alias("p"), F.count_if(F.col(truth) != 1).alias("n"))
+    by = scores.where(F.col(score).isNotNull() & F.col(truth).isNotNull()).groupBy(_step(score, digits).alias("threshold")).agg(F.count_if(F.col(truth) == 1).alias("p"), F.count_if(F.col(truth) != 1).alias("n"))
     down = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)  # one row a threshold
     t = by.agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
     c = by.withColumns({"cp": F.sum("p").over(down), "cn": F.sum("n").over(down)}).join(F.broadcast(t))
@@ -48,7 +53,7 @@ def fpr_at_tpr(scores: DataFrame, score: str, truth: str, at: float = 0.85) -> D
 
 
 def precision_recall(scores: DataFrame, score: str, truth: str, digits: int = 4) -> DataFrame:
-    by = scores.where(F.col(score).isNotNull()).groupBy(F.round(F.col(score), digits).alias("threshold")).agg(F.count_if(F.col(truth) == 1).alias("p"), F.count(F.lit(1)).alias("k"))
+    by = scores.where(F.col(score).isNotNull()).groupBy(_step(score, digits).alias("threshold")).agg(F.count_if(F.col(truth) == 1).alias("p"), F.count(F.lit(1)).alias("k"))
     down = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
     t = by.agg(F.sum("p").alias("all_p"))
     c = by.withColumns({"cp": F.sum("p").over(down), "ck": F.sum("k").over(down)}).join(F.broadcast(t))
@@ -57,7 +62,7 @@ def precision_recall(scores: DataFrame, score: str, truth: str, digits: int = 4)
 
 def average_precision(scores: DataFrame, group: str, score: str, truth: str, digits: int = 4) -> DataFrame:
     """Per group: sum of precision times the step of recall."""
-    by = scores.where(F.col(score).isNotNull()).groupBy(group, F.round(F.col(score), digits).alias("threshold")).agg(F.count_if(F.col(truth) == 1).alias("p"), F.count(F.lit(1)).alias("k"))
+    by = scores.where(F.col(score).isNotNull()).groupBy(group, _step(score, digits).alias("threshold")).agg(F.count_if(F.col(truth) == 1).alias("p"), F.count(F.lit(1)).alias("k"))
     w = Window.partitionBy(group).orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
     every = Window.partitionBy(group)
     c = by.withColumns({"cp": F.sum("p").over(w), "ck": F.sum("k").over(w), "all_p": F.sum("p").over(every)})

@@ -14,7 +14,7 @@ from framelake.operators import matrix as M
 from framelake.operators import metrics as R
 from framelake.operators import scene as C
 from framelake.operators import tracks as K
-from framelake.operators.joins import interval_join, nearest
+from framelake.operators.joins import block_join, interval_join, nearest
 from framelake.plans.views import ACT, EACT, IMG, KEY, OBJ, acts, event_acts, images, keyboxes, objects
 from framelake.sources.tables import table
 from framelake.streaming import tracker, windows
@@ -239,15 +239,15 @@ def density(spark, d):
 
 # --- metrics, matrices, numbers ------------------------------------------------------------------
 
-_SC = "with e as (select vec_id, label, embedding from embeddings), sc as (select p.vec_id as probe, g.vec_id as gallery, round(list_dot_product(p.embedding::double[], g.embedding::double[]), 6) as score, (p.label = g.label)::int as match from e p join e g on p.vec_id % 50 = 0 and g.vec_id <> p.vec_id) "
+_SC = "with e as (select vec_id, label, embedding from embeddings), sc as (select p.vec_id as probe, g.vec_id as gallery, floor(list_dot_product(p.embedding::double[], g.embedding::double[]) * 1000000 + 0.5) / 1000000 as score, (p.label = g.label)::int as match from e p join e g on p.vec_id % 50 = 0 and g.vec_id <> p.vec_id) "
 
 
 def scores(spark, d):
     """Every fiftieth vector against all: blocks of the probe set meet the gallery."""
     e = table(spark, d, "embeddings")
     p = e.where(F.pmod("vec_id", F.lit(50)) == 0).select(F.col("vec_id").alias("probe"), F.col("embedding").alias("pe"), F.col("label").alias("pl"))
-    j = e.join(F.broadcast(p), F.col("vec_id") != F.col("probe"))
-    return j.select("probe", F.col("vec_id").alias("gallery"), F.round(N.dot(F.col("pe"), F.col("embedding")), 6).alias("score"), (F.col("pl") == F.col("label")).cast("int").alias("match"))
+    j = block_join(p, e).where(F.col("vec_id") != F.col("probe"))
+    return j.select("probe", F.col("vec_id").alias("gallery"), (F.floor(N.dot(F.col("pe"), F.col("embedding")) * 1000000 + 0.5) / 1000000).alias("score"), (F.col("pl") == F.col("label")).cast("int").alias("match"))
 
 
 @q("cmc_curve", _SC + ", rk as (select probe, match, row_number() over (partition by probe order by score desc, gallery) as r from sc), b as (select probe, min(r) as r from rk where match = 1 group by probe), c as (select r, count(*) as n from b group by r) select r as rank, round(sum(n) over (order by r) / (select count(*) from b)::double, 6) as recall from c")
@@ -255,7 +255,7 @@ def cmc(spark, d):
     return R.cumulative_match(scores(spark, d), "probe", "gallery", "score", "match").select(F.col("rank").cast("long").alias("rank"), r("recall", "recall"))
 
 
-_ROC = _SC + ", by as (select round(score, 4) as t, count(*) filter (where match = 1) as p, count(*) filter (where match <> 1) as n from sc group by 1), cv as (select t, sum(n) over (order by t desc) / (select sum(n) from by)::double as fpr, sum(p) over (order by t desc) / (select sum(p) from by)::double as tpr from by) "
+_ROC = _SC + ", bb as (select floor(score * 10000 + 0.5) / 10000 as t, count(*) filter (where match = 1) as p, count(*) filter (where match <> 1) as n from sc group by 1), cv as (select t, sum(n) over (order by t desc) / (select sum(n) from bb)::double as fpr, sum(p) over (order by t desc) / (select sum(p) from bb)::double as tpr from bb) "
 
 
 @q("roc_curve", _ROC + "select t as threshold, round(fpr, 6) as fpr, round(tpr, 6) as tpr from cv")
@@ -268,7 +268,7 @@ def tpr_at_fpr(spark, d):
     return R.tpr_at_fpr(scores(spark, d), "score", "match", 0.1).select(r("tpr", "tpr"))
 
 
-@q("average_precision_by_category", f"with {OBJ}, x as (select category, round(conf, 4) as t, count(*) filter (where image_id % 3 = 0) as p, count(*) as k from ob group by 1, 2), c as (select *, sum(p) over w as cp, sum(k) over w as ck, sum(p) over (partition by category) as pp from x window w as (partition by category order by t desc rows unbounded preceding)) select category, round(coalesce(sum(case when pp > 0 then cp / ck::double * p / pp end), 0), 6) as ap from c group by category")
+@q("average_precision_by_category", f"with {OBJ}, x as (select category, floor(conf * 10000 + 0.5) / 10000 as t, count(*) filter (where image_id % 3 = 0) as p, count(*) as k from ob group by 1, 2), c as (select *, sum(p) over w as cp, sum(k) over w as ck, sum(p) over (partition by category) as pp from x window w as (partition by category order by t desc rows unbounded preceding)) select category, round(coalesce(sum(case when pp > 0 then cp / ck::double * p / pp end), 0), 6) as ap from c group by category")
 def average_precision(spark, d):
     o = objects(spark, d).withColumn("truth", (F.pmod("image_id", F.lit(3)) == 0).cast("int"))
     return R.average_precision(o, "category", "conf", "truth").select("category", r("ap", "ap"))
