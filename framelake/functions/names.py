@@ -48,7 +48,7 @@ class Names:
 
     def name(self, code: Column | str) -> Column:
         c = F.col(code) if isinstance(code, str) else code
-        return F.element_at(F.array(*[F.lit(n) for n in self.names]), c + 1)
+        return F.get(F.array(*[F.lit(n) for n in self.names]), c)
 
     def _map(self) -> Column:
         return F.create_map(*[F.lit(x) for kv in sorted(self.code_of.items()) for x in (kv[0], kv[1])])

@@ -89,10 +89,11 @@ def delayed(df: DataFrame, key: str, kind: str, order: str, value: str, delay: i
 def run_to_table(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Runs a stream over all that is there now into a memory table (tests and small results)."""
     import tempfile
+    import uuid
 
     spark = df.sparkSession
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    kept = f"{base.rstrip('/')}/stream-{name}" if base else tempfile.mkdtemp(prefix="framelake-stream-")
+    kept = f"{base.rstrip('/')}/stream-{name}-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="framelake-stream-")
     q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", kept).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name)
