@@ -297,7 +297,7 @@ def learn(tokens: DataFrame, rounds: int = ROUNDS) -> Model:
     by the posteriors. Words are counted over all documents before; the tables that come to the
     driver have fixed sizes (2**20 bigram places, 2**16 characters, swaps by source).
     """
-    rows = cut(_with_candidates(tokens.repartition(_tasks(tokens), "token")))
+    rows = cut(_with_candidates(tokens.repartition(_tasks(tokens), F.xxhash64("token"))))
     model = Model(None, {})
     for _ in range(rounds):
         model = _round(rows, model)
