@@ -201,23 +201,21 @@ def hamming(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
 
-def hamming_pairs(df: DataFrame, key: str, words: str, bits: int, below: int, band_bits: int = 0) -> DataFrame:
-    """(key_a, key_b, distance): all pairs of hashes that differ in fewer than `below` bits.
-
-    The bits are cut into `below` bands; hashes that differ in fewer bits than there are bands agree
-    in one band at least, so an equi-join on (band, value) finds every pair. Equal hashes are
-    compared once: pairs are between distinct hashes, `members` are listed by the caller's key with
-    the smallest key of the hash as representative."""
-    text = F.array_join(F.transform(F.col(words), lambda w: F.lpad(F.bin(w), 32, "0")), "")
-    reps = df.groupBy(words).agg(F.min(key).alias(key)).withColumn("_t", text)
-    size = max(1, bits // below)
-    n = -(-bits // size)
-    pad = F.concat(F.col("_t"), F.lit("0" * (n * size)))
-    bands = F.explode(F.array(*[F.struct(F.lit(i).alias("b"), F.substring(pad, i * size + 1, size).alias("v")) for i in range(n)])).alias("band")
-    a = reps.select(F.col(key).alias("key_a"), F.col(words).alias("wa"), bands)
-    b = reps.select(F.col(key).alias("key_b"), F.col(words).alias("wb"), bands)
-    j = a.join(b, "band").where((F.col("key_a") < F.col("key_b"))).withColumn("distance", hamming(F.col("wa"), F.col("wb")))
-    return j.where(F.col("distance") < below).select("key_a", "key_b", "distance").distinct()
+def hamming_pairs(df: DataFrame, key: str, bits: str, n: int, below: int) -> DataFrame:
+    """(key_a, key_b, distance): all pairs of texts of n bits that differ in fewer than `below`.
+
+    The bits are cut into at least `below` bands; two that differ in fewer bits agree in a band, so an
+    equi-join on (band, value) finds every pair. The wider the bands, the fewer pairs are tried in
+    vain: n should be many times `below`. Equal texts are compared once, by their smallest key."""
+    size = max(1, n // below)
+    spans = [(i, min(size, n - i)) for i in range(0, n, size)]
+    reps = df.groupBy(bits).agg(F.min(key).alias(key)).select(key, bits, words_of(F.col(bits), n, 63).alias("w"))
+    bands = F.explode(F.array(*[F.struct(F.lit(i).alias("b"), F.substring(bits, at + 1, k).alias("v")) for i, (at, k) in enumerate(spans)])).alias("band")
+    count = -(-n // 63)
+    side = lambda x: reps.select(F.col(key).alias(f"key_{x}"), *[F.get("w", F.lit(i)).alias(f"{x}{i}") for i in range(count)], bands)
+    distance = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(1, count)), F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))))
+    j = side("a").join(side("b"), "band").where((F.col("key_a") < F.col("key_b")) & (distance < below))
+    return j.select("key_a", "key_b", distance.alias("distance")).distinct()
 
 
 def ssim(a: Column, b: Column, span: float = 1.0) -> Column:

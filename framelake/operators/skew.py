@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framelake.session import cut
+
 
 @dataclass(frozen=True)
 class ShardPlan:
@@ -41,7 +43,7 @@ def plan_shards(df: DataFrame, key: str, tasks: int, slack: float = 0.5) -> Shar
     of a share are split into as many shards of equal size as keep each below it; all shards go,
     largest first, to the task with the least load so far. Light keys are spread by hash.
     """
-    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    counts = cut(df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n")))
     total = counts.agg(F.sum("n")).first()[0] or 0
     if not total:
         return ShardPlan(tasks, {}, [0.0] * tasks)
@@ -82,18 +84,21 @@ def replicate(df: DataFrame, key: str, plan: ShardPlan) -> DataFrame:
     return out.withColumn("_task", plan.task(F.col(key), F.col("_shard"))).repartitionById(plan.tasks, "_task")
 
 
-def top_per_key(df: DataFrame, key: str, value: str, row: str, k: int, tasks: int) -> DataFrame:
+def top_per_key(df: DataFrame, key: str, value: str, row: str, k: int, tasks: int, loads: DataFrame | None = None) -> DataFrame:
     """The k rows with the largest `value` of every key (ties: smaller `row`): key, row, value.
 
     Shards are reduced to k rows each where they lie; what is merged per key is k rows a shard.
     Rows with a null key or value are left out; NaN counts as null; a row listed twice for a key
-    counts once; an empty input gives an empty result.
+    counts once; an empty input gives an empty result. `loads` is a frame with the same keys from which
+    the load is estimated, where that is cheaper than df itself (say, before older deliveries are
+    left out); it moves rows between tasks only, never the result.
     """
     from pyspark.sql import Window
 
     df = df.select(F.col(key).alias("_key"), F.col(row).alias("_row"), F.col(value).alias("_value"))
     df = df.where(F.col("_value").isNotNull() & ~F.isnan(F.col("_value").cast("double")))
-    rows = fragment(df, "_key", "_row", plan_shards(df, "_key", tasks))
+    plan = plan_shards(df if loads is None else loads.select(F.col(key).alias("_key")), "_key", tasks)
+    rows = fragment(df, "_key", "_row", plan)
     best = [F.col("_value").desc(), F.col("_row")]
     shard = Window.partitionBy("_task", "_key", "_shard").orderBy(*best)
     rows = rows.withColumn("_r", F.dense_rank().over(shard)).where(F.col("_r") <= k)
@@ -103,14 +108,14 @@ def top_per_key(df: DataFrame, key: str, value: str, row: str, k: int, tasks: in
     return rows.select(F.col("_key").alias(key), F.col("_row").alias(row), F.col("_value").alias(value))
 
 
-def profile_per_key(df: DataFrame, key: str, row: str, value: str, side: DataFrame, tasks: int) -> DataFrame:
+def profile_per_key(df: DataFrame, key: str, row: str, value: str, side: DataFrame, tasks: int, loads: DataFrame | None = None) -> DataFrame:
     """Exact per-key statistics of `value` next to the columns of the matching side `side`.
 
     Result: key, side's other columns, rows, mean, lowest, highest. Each shard meets its copy of
     the side and is reduced in place; the final merge sees one row a shard. Rows whose key the side
     lacks are left out; a key without a non-null value has null statistics.
     """
-    plan = plan_shards(df, key, tasks)
+    plan = plan_shards(df if loads is None else loads, key, tasks)
     rows = fragment(df.select(key, row, value), key, row, plan)
     other = [c for c in side.columns if c != key]
     copies = replicate(side, key, plan)

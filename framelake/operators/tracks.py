@@ -140,15 +140,25 @@ def pair_metrics(frames: DataFrame, same: list[str], top: float = 0.5) -> DataFr
     """For pairs of tracks of a video (a < b) with common dense frames: common frames, mean, largest and
     smallest IoU, mean maxcover, and the mean of the largest `top` share of the IoUs.
 
-    Frames of both tracks meet by an equi-join on (video, frame); the ranked mean is taken from a sort
-    within each pair, which spills if it must."""
-    side = lambda p: frames.select("video_id", "frame", *same, F.col("track_id").alias(f"{p}_track"), F.col("box").alias(f"{p}_box"))
+    Frames of both tracks meet by an equi-join on (video, frame); the ranked mean is taken from the sorted
+    list of a pair's IoUs, one number a common frame."""
+    b = F.col("box")
+
+    def side(p: str) -> DataFrame:
+        corners = [b[c].alias(p + c) for c in ("xmin", "ymin", "xmax", "ymax")]
+        return frames.select("video_id", "frame", *same, F.col("track_id").alias(f"{p}_track"), *corners, B.area(b).alias(f"{p}area"))
+
     j = side("a").join(side("b"), ["video_id", "frame", *same]).where("a_track < b_track")
-    j = j.select("video_id", "a_track", "b_track", B.iou(F.col("a_box"), F.col("b_box")).alias("iou"), B.max_cover(F.col("a_box"), F.col("b_box")).alias("cover"))
+    w, h = F.least("axmax", "bxmax") - F.greatest("axmin", "bxmin"), F.least("aymax", "bymax") - F.greatest("aymin", "bymin")
+    j = j.select("video_id", "a_track", "b_track", "aarea", "barea", (F.greatest(w, F.lit(0.0)) * F.greatest(h, F.lit(0.0))).alias("inter"))
+    ratio = lambda x: F.coalesce(F.try_divide("inter", x), F.lit(0.0))
+    j = j.select("video_id", "a_track", "b_track", ratio(F.col("aarea") + F.col("barea") - F.col("inter")).alias("iou"), ratio(F.least("aarea", "barea")).alias("cover"))
     pair = ["video_id", "a_track", "b_track"]
-    r = j.withColumn("_r", F.row_number().over(Window.partitionBy(*pair).orderBy(F.desc("iou")))).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*pair)))
-    ranked = F.avg(F.when(F.col("_r") <= F.greatest(F.lit(1), F.floor(F.col("_n") * top)), F.col("iou")))
-    return r.groupBy(*pair).agg(F.count(F.lit(1)).alias("frames"), F.avg("iou").alias("mean_iou"), F.max("iou").alias("max_iou"), F.min("iou").alias("min_iou"), F.avg("cover").alias("mean_cover"), ranked.alias("top_iou"))
+    ious = F.sort_array(F.collect_list("iou"), asc=False)
+    g = j.groupBy(*pair).agg(F.count(F.lit(1)).alias("frames"), F.avg("iou").alias("mean_iou"), F.max("iou").alias("max_iou"), F.min("iou").alias("min_iou"), F.avg("cover").alias("mean_cover"), ious.alias("_i"))
+    k = F.greatest(F.lit(1), F.floor(F.col("frames") * top)).cast("int")
+    best = F.slice("_i", F.lit(1), k)
+    return g.withColumn("top_iou", F.aggregate(best, F.lit(0.0), lambda s, x: s + x) / k).drop("_i")
 
 
 def union(a: DataFrame, b: DataFrame, overlap: str = "average") -> DataFrame:

@@ -55,6 +55,11 @@ def _detection_tags(spark: SparkSession, d: str, names) -> DataFrame:
     return live.where("conf is not null").select("detection_id", "conf", F.explode("codes").alias("code"))
 
 
+def _tag_loads(spark: SparkSession, d: str, names) -> DataFrame:
+    """Tags of all deliveries: an estimate of the load, without the shuffle that finds the live ones."""
+    return table(spark, d, "detection").where("conf is not null").select(F.explode(names.codes("tags")).alias("code"))
+
+
 def _image_areas(spark: SparkSession, d: str, names) -> DataFrame:
     area = F.col("width").cast("long") * F.col("height")
     live = latest(table(spark, d, "image"), "image_id", "ingested_at", {"area": area, "code": names.code("category")})
@@ -64,8 +69,8 @@ def _image_areas(spark: SparkSession, d: str, names) -> DataFrame:
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     names = load_names(table(spark, d, "category_ref"))
     n = tasks_of(spark)
-    tags = top_per_key(_detection_tags(spark, d, names), "code", "conf", "detection_id", 3, n)
-    cats = top_per_key(_image_areas(spark, d, names), "code", "area", "image_id", 3, n)
+    tags = top_per_key(_detection_tags(spark, d, names), "code", "conf", "detection_id", 3, n, _tag_loads(spark, d, names))
+    cats = top_per_key(_image_areas(spark, d, names), "code", "area", "image_id", 3, n, table(spark, d, "image").select(names.code("category").alias("code")))
     tags = tags.select(F.lit("tag").alias("field_name"), names.name("code").alias("key_name"), F.col("detection_id").alias("row_id"))
     cats = cats.select(F.lit("category").alias("field_name"), names.name("code").alias("key_name"), F.col("image_id").alias("row_id"))
     return tags.unionByName(cats)
@@ -75,7 +80,7 @@ def p6_tag_profile(spark: SparkSession, d: str) -> DataFrame:
     """Confidence statistics of every tag beside the kind of its name."""
     names = load_names(table(spark, d, "category_ref"))
     side = spark.createDataFrame([(i, n, k) for i, (n, k) in enumerate(zip(names.names, names.columns["kind"]))], "code int, key_name string, kind string")
-    out = profile_per_key(_detection_tags(spark, d, names), "code", "detection_id", "conf", side, tasks_of(spark))
+    out = profile_per_key(_detection_tags(spark, d, names), "code", "detection_id", "conf", side, tasks_of(spark), _tag_loads(spark, d, names))
     return out.select("key_name", "kind", "rows", F.round("mean", 6).alias("mean_conf"), F.round("lowest", 6).alias("lowest_conf"), F.round("highest", 6).alias("highest_conf"))
 
 

@@ -437,8 +437,7 @@ def dhash_bits(spark, d):
 
 @q("hamming_pairs", _H + ", w as (select id, [('0b' || lpad(substr(bits, k * 32 + 1, 32), 32, '0'))::varchar for k in range(4)] as s, bits from h), p as (select a.id as key_a, b.id as key_b, bit_count(xor(a.bits::bit, b.bits::bit)) as distance from h a join h b on a.id < b.id) select key_a, key_b, distance from p where distance < 29")
 def hamming_pairs(spark, d):
-    h = thumbs(spark, d).select("id", X.words_of(X.dhash(F.col("g"), 7), 98).alias("w"))
-    return X.hamming_pairs(h, "id", "w", 128, 29)
+    return X.hamming_pairs(thumbs(spark, d).select("id", X.dhash(F.col("g"), 7).alias("bits")), "id", "bits", 98, 29)
 
 
 @q("grid_ssim")
