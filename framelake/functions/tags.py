@@ -29,7 +29,7 @@ def add_tags(tags: Column, more: Column) -> Column:
 
 
 def confidence(confidences: Column, tag) -> Column:
-    return F.try_element_at(confidences, tag)
+    return F.try_element_at(confidences, tag if isinstance(tag, Column) else F.lit(tag))
 
 
 def soft_tags(tags: Column, confidences: Column) -> Column:

@@ -75,7 +75,9 @@ def duplicate_tracks(pairs: DataFrame, lengths: DataFrame, threshold: float = 0.
 
 def rekey(rows: DataFrame, mapping: DataFrame, col: str = "track_id") -> DataFrame:
     """Ids rewritten by a table (video_id, old, new)."""
-    return rows.join(mapping, (rows["video_id"] == mapping["video_id"]) & (rows[col] == mapping["old"]), "left").select(*[rows[c] if c != col else F.coalesce(mapping["new"], rows[col]).alias(col) for c in rows.columns])
+    m = mapping.select("video_id", F.col("old").alias(col), F.col("new").alias("_new"))
+    out = rows.join(m, ["video_id", col], "left").withColumn(col, F.coalesce("_new", col))
+    return out.select(*rows.columns)
 
 
 def clip(keys: DataFrame, acts: DataFrame, start: int, end: int) -> tuple[DataFrame, DataFrame]:

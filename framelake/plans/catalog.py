@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from framelake.plans import collections, general, geometry, scenes
+from framelake.plans import collections, general, geometry, more, scenes
 
-MODULES = [general, collections, geometry, scenes]
+MODULES = [general, collections, geometry, scenes, more]
 
 
 def queries() -> dict:
