@@ -20,8 +20,8 @@ MARK = (
 MARK_BEFORE = r"^(?:(?:copy|kopie|copie)(?:[ _.\-]*\(\d+\))?[ _.\-]+of[ _.\-]+|(?:thumb|thumbnail|resized|small)[_.\-]+)"
 #: Letters of a name that may be wrong, missing or extra.
 LETTERS = 2
-#: Names of fewer words, or with fewer digits, are compared by deletion variants.
-FEW_WORDS, FEW_DIGITS = 4, 5
+#: Names of one word with fewer digits are compared by deletion variants.
+FEW_DIGITS = 5
 
 
 def core_name(filename: Column | str) -> Column:
@@ -36,27 +36,37 @@ def core_name(filename: Column | str) -> Column:
     return c
 
 
+def _without(letters: Column, most: int) -> Column:
+    """letters and its variants with up to `most` (1 or 2) letters taken out; digits stay."""
+    size = F.length(letters)
+    spots = F.filter(F.sequence(F.lit(1), F.greatest(size, F.lit(1))), lambda i: F.substring(letters, i, F.lit(1)).rlike("[^0-9]"))
+    drop = lambda s, i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s)))
+    once = F.transform(spots, lambda i: drop(letters, i))
+    if most == 1:
+        return F.concat(F.array(letters), once)
+    twice = F.flatten(F.transform(spots, lambda i: F.transform(F.filter(spots, lambda j: j < i), lambda j: drop(drop(letters, i), j))))
+    return F.array_distinct(F.concat(F.array(letters), once, twice))
+
+
 def _grams(cat: Column, words: Column, letters: Column, digits: Column) -> Column:
     """Hashes of which two names of one category, with equal digits and at most two letters apart, share one.
 
-    Four or more words: two wrong letters leave two words whole, so the pairs of words (in order,
-    gaps allowed) of the name. Fewer words: the digits alone where there are five or more of them,
+    The name is cut into the word with the most digits (which edits of letters never make another one;
+    ties: the last) and the n-gram of all its other words. Of two edits either the n-gram is free, or
+    the word is, or each has one: so the hash of the n-gram, that of the word, and those of the word
+    with one letter taken out. Names of one word: the digits alone where there are five or more,
     else all variants with at most two letters taken out. Always: the whole name without separators.
     """
     h = lambda *x: F.xxhash64(cat, digits, *x)
     n = F.size(words)
-    rest = lambda i: F.slice(words, i + 2, F.greatest(n - i - 1, F.lit(0)))
-    pairs = F.flatten(F.transform(words, lambda w, i: F.transform(rest(i), lambda v: h(F.lit("p"), w, v))))
-    # Digits are three characters each in `letters`; they are never taken out.
-    size = F.length(letters)
-    spots = F.filter(F.sequence(F.lit(1), F.greatest(size, F.lit(1))), lambda i: F.substring(letters, i, F.lit(1)).rlike("[^0-9]"))
-    drop = lambda s, i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s)))
-    once = F.transform(spots, lambda i: drop(letters, i))
-    twice = F.flatten(F.transform(spots, lambda i: F.transform(F.filter(spots, lambda j: j < i), lambda j: drop(drop(letters, i), j))))
-    variants = F.transform(F.array_distinct(F.concat(F.array(letters), once, twice)), lambda s: h(F.lit("v"), s))
-    by_digits = F.array(h(F.lit("d")))
-    short = F.when(F.length(digits) >= FEW_DIGITS, by_digits).otherwise(variants)
-    return F.array_distinct(F.concat(F.array(h(F.lit("w"), letters)), F.when(n >= FEW_WORDS, pairs).otherwise(short)))
+    count = F.transform(words, lambda w: F.length(F.regexp_replace(w, "[^0-9]", "")))
+    at = n - F.array_position(F.reverse(count), F.array_max(count)).cast("int")
+    marked = F.regexp_replace(F.coalesce(F.get(words, at), F.lit("")), "([0-9])", "$1$1$1")
+    others = F.array_join(F.filter(words, lambda w, i: i != at), " ")
+    cut_word = F.concat(F.array(h(F.lit("o"), others)), F.transform(_without(marked, 1), lambda s: h(F.lit("m"), s)))
+    variants = F.transform(_without(letters, 2), lambda s: h(F.lit("v"), s))
+    single = F.when(F.length(digits) >= FEW_DIGITS, F.array(h(F.lit("d")))).otherwise(variants)
+    return F.array_distinct(F.concat(F.array(h(F.lit("w"), letters)), F.when(n >= 2, cut_word).otherwise(single)))
 
 
 def name_forms(rows: DataFrame) -> DataFrame:
