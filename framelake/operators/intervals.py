@@ -68,9 +68,17 @@ def periods_and_gaps(df: DataFrame, entity: list[str], start: str, end: str, blo
     upto = Window.partitionBy(*e, "_b").orderBy("_s").rowsBetween(Window.unboundedPreceding, 0)
     labelled = opened.withColumn("_island", F.last("_new", ignorenulls=True).over(upto))
     islands = labelled.groupBy(*e, "_b", "_island").agg(F.max("_t").alias("_t"), F.max(F.when(F.col("_new").isNotNull(), F.col("_reach"))).alias("_gap"))
-    tail = Window.partitionBy(*e).orderBy("_b", F.col("_island").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    # Rows before a block's first opening belong to the island opened last in the blocks before: one label a block.
+    last = islands.groupBy(*e, "_b").agg(F.max("_island").alias("_last"))
+    open_before = last.select(*[F.col(c).alias(f"_p{i}") for i, c in enumerate(e)], F.col("_b").alias("_pb"), F.max("_last").over(earlier).alias("_open"))
+    on = F.col("_b") == F.col("_pb")
+    for i, c in enumerate(e):
+        on = on & F.col(c).eqNullSafe(F.col(f"_p{i}"))
+    headless = islands.where(F.col("_island").isNull()).join(open_before, on).select(*e, F.col("_open").alias("_island"), "_t", "_gap")
     periods = (
-        islands.withColumn("_island", F.last("_island", ignorenulls=True).over(tail))
+        islands.where(F.col("_island").isNotNull())
+        .select(*e, "_island", "_t", "_gap")
+        .unionByName(headless)
         .groupBy(*e, "_island")
         .agg(F.max("_t").alias("_t"), F.max("_gap").alias("_gap"))
     )

@@ -9,10 +9,14 @@ from pyspark.sql import functions as F
 def cumulative_match(scores: DataFrame, probe: str, gallery: str, score: str, match: str) -> DataFrame:
     """(rank, recall): share of probes with a mate whose best mate is among the first `rank` of the gallery.
 
-    The rank of the best mate is a count of better entries, found by one window per probe; what is
-    cumulated after are counts by rank."""
-    w = Window.partitionBy(probe).orderBy(F.desc(score), gallery)
-    best = scores.withColumn("_r", F.row_number().over(w)).where(F.col(match) == 1).groupBy(probe).agg(F.min("_r").alias("rank"))
+    The rank of a probe's best mate is one more than the number of better entries (ties: smaller
+    gallery key first): two aggregates and a lookup, no sort of the gallery."""
+    from framelake.sources.tables import small_enough
+
+    mate = F.struct(F.col(score).alias("s"), (-F.col(gallery)).alias("g"))
+    top = scores.where(F.col(match) == 1).groupBy(probe).agg(F.max(mate).alias("_m"))
+    better = (F.col(score) > F.col("_m.s")) | ((F.col(score) == F.col("_m.s")) & (F.col(gallery) < -F.col("_m.g")))
+    best = scores.join(F.broadcast(top) if small_enough(top) else top, probe).groupBy(probe).agg((F.count_if(better) + 1).alias("rank"))
     by_rank = best.groupBy("rank").agg(F.count(F.lit(1)).alias("n"))
     upto = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)  # one row a rank
     total = by_rank.agg(F.sum("n").alias("total"))
