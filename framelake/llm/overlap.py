@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,44 +41,59 @@ def core_name(filename: Column | str) -> Column:
     return c
 
 
-def _without(letters: Column, most: int) -> Column:
-    """letters and its variants with up to `most` (1 or 2) letters taken out; digits stay."""
-    size = F.length(letters)
-    spots = F.filter(F.sequence(F.lit(1), F.greatest(size, F.lit(1))), lambda i: F.substring(letters, i, F.lit(1)).rlike("[^0-9]"))
-    drop = lambda s, i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s)))
-    once = F.transform(spots, lambda i: drop(letters, i))
-    if most == 1:
-        return F.concat(F.array(letters), once)
-    twice = F.flatten(F.transform(spots, lambda i: F.transform(F.filter(spots, lambda j: j < i), lambda j: drop(drop(letters, i), j))))
-    return F.array_distinct(F.concat(F.array(letters), once, twice))
+_WORD, _DIGIT = re.compile(r"[^\W_]+"), re.compile("[0-9]")
+
+
+def name_form(name: str) -> tuple[list[str], str, str]:
+    """(words, letters: the name without separators and with every digit three times, digits)."""
+    words = _WORD.findall(name)
+    flat = "".join(words)
+    return words, _DIGIT.sub(lambda m: m[0] * 3, flat), "".join(_DIGIT.findall(flat))
+
 
+def without(letters: str, most: int) -> set[str]:
+    """letters and its variants with up to `most` letters taken out; digits stay."""
+    out = last = {letters}
+    for _ in range(most):
+        last = {s[:i] + s[i + 1 :] for s in last for i in range(len(s)) if not "0" <= s[i] <= "9"}
+        out = out | last
+    return out
 
-def _grams(cat: Column, words: Column, letters: Column, digits: Column) -> Column:
-    """Hashes of which two names of one category, with equal digits and at most two letters apart, share one.
+
+def grams(name: str) -> set[str]:
+    """Texts of which two names with equal digits and at most two letters apart share one.
 
     The name is cut into the word with the most digits (which edits of letters never make another one;
     ties: the last) and the n-gram of all its other words. Of two edits either the n-gram is free, or
-    the word is, or each has one: so the hash of the n-gram, that of the word, and those of the word
-    with one letter taken out. Names of one word: the digits alone where there are five or more,
-    else all variants with at most two letters taken out. Always: the whole name without separators.
+    the word is, or each has one: so the n-gram, the word, and the word with one letter taken out.
+    Names of one word: the digits alone where there are five or more, else all variants with at most
+    two letters taken out. Always: the whole name without separators.
     """
-    h = lambda *x: F.xxhash64(cat, digits, *x)
-    n = F.size(words)
-    count = F.transform(words, lambda w: F.length(F.regexp_replace(w, "[^0-9]", "")))
-    at = n - F.array_position(F.reverse(count), F.array_max(count)).cast("int")
-    marked = F.regexp_replace(F.coalesce(F.get(words, at), F.lit("")), "([0-9])", "$1$1$1")
-    others = F.array_join(F.filter(words, lambda w, i: i != at), " ")
-    cut_word = F.concat(F.array(h(F.lit("o"), others)), F.transform(_without(marked, 1), lambda s: h(F.lit("m"), s)))
-    variants = F.transform(_without(letters, 2), lambda s: h(F.lit("v"), s))
-    single = F.when(F.length(digits) >= FEW_DIGITS, F.array(h(F.lit("d")))).otherwise(variants)
-    return F.array_distinct(F.concat(F.array(h(F.lit("w"), letters)), F.when(n >= 2, cut_word).otherwise(single)))
+    words, letters, digits = name_form(name)
+    if len(words) < 2:
+        own = {"d"} if len(digits) >= FEW_DIGITS else {"v" + s for s in without(letters, LETTERS)}
+    else:
+        at = max(range(len(words)), key=lambda i: (len(_DIGIT.findall(words[i])), i))
+        marked = _DIGIT.sub(lambda m: m[0] * 3, words[at])
+        own = {"o" + " ".join([*words[:at], "|", *words[at + 1 :]])} | {"m" + s for s in without(marked, 1)}
+    return own | {"w" + letters}
+
+
+def _hashed(names: DataFrame) -> DataFrame:
+    """(category, name, letters, digits, of, h): one row a distinct gram hash of each name."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cats, keys, letters, digits, of, hashes = [], [], [], [], [], []
+            for c, n in zip(b.column("category").to_pylist(), b.column("name").to_pylist()):
+                _, flat, ds = name_form(n)
+                hs = {xxhash.xxh64_intdigest(f"{c}\n{ds}\n{g}") - (1 << 63) for g in grams(n)}
+                for column, v in ((cats, c), (keys, n), (letters, flat), (digits, ds), (of, len(hs))):
+                    column += [v] * len(hs)
+                hashes += hs
+            yield pa.RecordBatch.from_pydict({"category": pa.array(cats, pa.int32()), "name": pa.array(keys, pa.string()), "letters": pa.array(letters, pa.string()), "digits": pa.array(digits, pa.string()), "of": pa.array(of, pa.int32()), "h": pa.array(hashes, pa.int64())})
 
-def name_forms(rows: DataFrame) -> DataFrame:
-    """Adds words, letters (name without separators, every digit three times), digits to rows with `name`."""
-    words = F.filter(F.split("name", r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    rows = rows.withColumn("words", words).withColumn("flat", F.array_join("words", ""))
-    return rows.withColumn("digits", F.regexp_replace("flat", "[^0-9]", "")).withColumn("letters", F.regexp_replace("flat", "([0-9])", "$1$1$1")).drop("flat")
+    return names.select(F.col("category").cast("int"), "name").mapInArrow(run, "category int, name string, letters string, digits string, of int, h long")
 
 
 def near_names(train: DataFrame, held: DataFrame) -> DataFrame:
@@ -85,9 +105,8 @@ def near_names(train: DataFrame, held: DataFrame) -> DataFrame:
     in order and at most two letters wrong, missing or extra (digits count threefold, so that an edit
     of one never passes).
     """
-    grams = lambda df: name_forms(df).select("category", "name", "letters", "digits", _grams(F.col("category"), F.col("words"), F.col("letters"), F.col("digits")).alias("g"))
-    t = grams(train).select("category", F.col("name").alias("train_name"), F.col("letters").alias("tl"), F.col("digits").alias("td"), F.explode("g").alias("h"))
-    e = grams(held).select(F.col("category").alias("hc"), F.col("name").alias("held_name"), F.col("letters").alias("hl"), F.col("digits").alias("hd"), F.size("g").alias("of"), F.explode("g").alias("h"))
+    t = _hashed(train).select("category", F.col("name").alias("train_name"), F.col("letters").alias("tl"), F.col("digits").alias("td"), "h")
+    e = _hashed(held).select(F.col("category").alias("hc"), F.col("name").alias("held_name"), F.col("letters").alias("hl"), F.col("digits").alias("hd"), "of", "h")
     close = (F.col("category") == F.col("hc")) & (F.col("td") == F.col("hd")) & (F.levenshtein("tl", "hl", LETTERS) >= 0)
     hits = t.join(e, "h").where(close)
     shared = hits.groupBy("category", "train_name", "held_name").agg(F.count(F.lit(1)).alias("k"), F.max("of").alias("of"))
