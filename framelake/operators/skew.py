@@ -115,12 +115,15 @@ def profile_per_key(df: DataFrame, key: str, row: str, value: str, side: DataFra
     the side and is reduced in place; the final merge sees one row a shard. Rows whose key the side
     lacks are left out; a key without a non-null value has null statistics.
     """
-    plan = plan_shards(df if loads is None else loads, key, tasks)
-    rows = fragment(df.select(key, row, value), key, row, plan)
+    own = df.select(F.col(key).alias("_key"), F.col(row).alias("_row"), F.col(value).alias("_value"))
+    plan = plan_shards(own if loads is None else loads.select(F.col(key).alias("_key")), "_key", tasks)
+    rows = fragment(own, "_key", "_row", plan)
     other = [c for c in side.columns if c != key]
-    copies = replicate(side, key, plan)
-    part = rows.groupBy("_task", key, "_shard").agg(F.count(F.lit(1)).alias("n"), F.count(value).alias("k"), F.sum(value).alias("s"), F.min(value).alias("lo"), F.max(value).alias("hi"))
-    met = part.join(copies, ["_task", key, "_shard"])
-    return met.groupBy(key, *other).agg(
-        F.sum("n").alias("rows"), F.try_divide(F.sum("s"), F.sum("k")).alias("mean"), F.min("lo").alias("lowest"), F.max("hi").alias("highest")
+    copies = replicate(side.withColumnRenamed(key, "_key"), "_key", plan)
+    v = F.col("_value")
+    part = rows.groupBy("_task", "_key", "_shard").agg(F.count(F.lit(1)).alias("_n"), F.count(v).alias("_known"), F.sum(v).alias("_sum"), F.min(v).alias("_lo"), F.max(v).alias("_hi"))
+    met = part.join(copies, ["_task", "_key", "_shard"])
+    out = met.groupBy("_key", *other).agg(
+        F.sum("_n").alias("rows"), F.try_divide(F.sum("_sum"), F.sum("_known")).alias("mean"), F.min("_lo").alias("lowest"), F.max("_hi").alias("highest")
     )
+    return out.withColumnRenamed("_key", key)
