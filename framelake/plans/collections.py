@@ -30,7 +30,7 @@ def place():
 
 @q("category_frequency", f"with {OBJ} select category as key, count(*) as n from ob group by category")
 def category_frequency(spark, d):
-    return Collection(objects(spark, d)).frequency("category")
+    return Collection(objects(spark, d, "category")).frequency("category")
 
 
 @q("filter_map_count", I + "select source, n * 2 as n2 from it where n > 300")

@@ -131,7 +131,7 @@ def pair_iou_join(spark, d):
 
 @q("near_pairs_by_category", W + "select a.category, count(*) as pairs, count(*) filter (where i / (aa + ba - i) >= 0.3) as close from (select a.category, a.area as aa, b.area as ba, (least(a.x2, b.x2) - greatest(a.x1, b.x1)) * (least(a.y2, b.y2) - greatest(a.y1, b.y1)) as i from ob a join ob b on a.image_id = b.image_id and a.category = b.category and a.detection_id < b.detection_id and least(a.x2, b.x2) > greatest(a.x1, b.x1) and least(a.y2, b.y2) > greatest(a.y1, b.y1)) a group by a.category")
 def near_pairs(spark, d):
-    p = D.pair_overlaps(objects(spark, d), "image_id", "detection_id", ["category"])
+    p = D.pair_overlaps(objects(spark, d, "category"), "image_id", "detection_id", ["category"])
     return p.groupBy("category").agg(F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("iou") >= 0.3).alias("close"))
 
 
@@ -206,7 +206,7 @@ def images_without(spark, d):
 
 @q("average_box_by_category", W + "select category, round(avg(x1), 6) as xmin, round(avg(y2), 6) as ymax, round(quantile_cont(w, 0.5), 6) as median_width from ob group by category")
 def average_box(spark, d):
-    g = objects(spark, d).groupBy("category").agg(B.mean_agg(b).alias("m"), B.median_shape_agg(b).alias("s"))
+    g = objects(spark, d, "category").groupBy("category").agg(B.mean_agg(b).alias("m"), B.median_shape_agg(b).alias("s"))
     return g.select("category", r(F.col("m.xmin"), "xmin"), r(F.col("m.ymax"), "ymax"), r(F.col("s.width"), "median_width"))
 
 

@@ -94,7 +94,7 @@ def point_transforms(spark, d):
 @q("covariance_ellipse", W + ", c as (select category, var_pop(x1) as a, covar_pop(x1, y1) as b, var_pop(y1) as c, count(*) as n from ob group by category) select category, round(sqrt((a + c) / 2 + sqrt(((a - c) / 2) ** 2 + b * b)), 4) as major, round(sqrt(greatest((a + c) / 2 - sqrt(((a - c) / 2) ** 2 + b * b), 0)), 3) as minor from c where n > 20")
 def covariance_ellipse(spark, d):
     x, y = F.col("box.xmin"), F.col("box.ymin")
-    g = objects(spark, d).groupBy("category").agg(F.var_pop(x).alias("a"), F.covar_pop(x, y).alias("b"), F.var_pop(y).alias("c"), F.count(F.lit(1)).alias("n")).where("n > 20")
+    g = objects(spark, d, "category").groupBy("category").agg(F.var_pop(x).alias("a"), F.covar_pop(x, y).alias("b"), F.var_pop(y).alias("c"), F.count(F.lit(1)).alias("n")).where("n > 20")
     e = P.covariance_ellipse(F.col("a"), F.col("b"), F.col("c"), F.lit(0.0), F.lit(0.0))
     return g.select("category", r(e["major"], "major", 4), r(e["minor"], "minor", 3))
 

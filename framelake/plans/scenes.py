@@ -270,25 +270,25 @@ def tpr_at_fpr(spark, d):
 
 @q("average_precision_by_category", f"with {OBJ}, x as (select category, floor(conf * 10000 + 0.5) / 10000 as t, count(*) filter (where image_id % 3 = 0) as p, count(*) as k from ob group by 1, 2), c as (select *, sum(p) over w as cp, sum(k) over w as ck, sum(p) over (partition by category) as pp from x window w as (partition by category order by t desc rows unbounded preceding)) select category, round(coalesce(sum(case when pp > 0 then cp / ck::double * p / pp end), 0), 6) as ap from c group by category")
 def average_precision(spark, d):
-    o = objects(spark, d).withColumn("truth", (F.pmod("image_id", F.lit(3)) == 0).cast("int"))
+    o = objects(spark, d, "category", "conf").withColumn("truth", (F.pmod("image_id", F.lit(3)) == 0).cast("int"))
     return R.average_precision(o, "category", "conf", "truth").select("category", r("ap", "ap"))
 
 
 @q("confusion_counts", f"with {OBJ}, {IMG} select i.category as truth, o.category as predicted, count(*) as n from ob o join img i using (image_id) where i.category is not null group by 1, 2")
 def confusion(spark, d):
     i = images(spark, d).select("image_id", F.col("category").alias("truth")).where("truth is not null")
-    j = objects(spark, d).select("image_id", F.col("category").alias("predicted")).join(i, "image_id")
+    j = objects(spark, d, "category").select("image_id", F.col("category").alias("predicted")).join(i, "image_id")
     return R.confusion(j, "truth", "predicted")
 
 
 @q("confidence_histogram", f"with {OBJ} select cast(case when conf < 0 then 0 when conf >= 1 then 21 else floor(conf * 20) + 1 end as bigint) as bin, count(*) as n from ob group by 1")
 def conf_histogram(spark, d):
-    return R.histogram(objects(spark, d), "conf", 0.0, 1.0, 20)
+    return R.histogram(objects(spark, d, "conf"), "conf", 0.0, 1.0, 20)
 
 
 @q("ascii_bars", f"with {OBJ} select detection_id, repeat('█', cast(round_even(40 * least(greatest(conf, 0), 1), 0) as int)) as bar from ob")
 def bars(spark, d):
-    return objects(spark, d).select("detection_id", R.bar(F.col("conf")).alias("bar"))
+    return objects(spark, d, "conf").select("detection_id", R.bar(F.col("conf")).alias("bar"))
 
 
 def counts(spark, d):

@@ -7,16 +7,26 @@ from pyspark.sql import functions as F
 
 from framelake.functions import box as B
 from framelake.operators.collection import Collection
+from framelake.operators.detections import to_pixels
 from framelake.operators.live import latest
 from framelake.sources.tables import table
 
 
-def objects(spark: SparkSession, d: str) -> DataFrame:
-    """Live detections in pixels: image_id, detection_id, category, conf, box (corners in order)."""
+def objects(spark: SparkSession, d: str, *needs: str) -> DataFrame:
+    """Live detections in pixels: image_id, detection_id, category, conf, box (corners in order).
+
+    Normalized boxes are scaled by the size of the live image; where that is unknown the box is null.
+    needs: the columns without which an operator has no use for a row (conf, category); else their
+    nulls stay."""
     b = B.box(F.least("xmin", "xmax"), F.least("ymin", "ymax"), F.greatest("xmin", "xmax"), F.greatest("ymin", "ymax"))
     cols = {"image_id": F.col("image_id"), "category": F.col("category"), "conf": F.col("conf"), "box": b, "norm": F.coalesce("normalized_coordinates", F.lit(False))}
-    live = latest(table(spark, d, "detection"), "detection_id", "ingested_at", cols)
-    return live.where("conf is not null and category is not null and image_id is not null and not norm").drop("norm")
+    live = latest(table(spark, d, "detection"), "detection_id", "ingested_at", cols).where("image_id is not null")
+    for c in needs:
+        live = live.where(F.col(c).isNotNull())
+    size = images(spark, d).select("image_id", "width", "height")
+    o = to_pixels(live.join(size, "image_id", "left"), "norm", "width", "height")
+    known = ~F.col("norm") | (F.col("width").isNotNull() & F.col("height").isNotNull())
+    return o.select("detection_id", "image_id", "category", "conf", F.when(known, F.col("box")).alias("box"))
 
 
 def images(spark: SparkSession, d: str) -> DataFrame:

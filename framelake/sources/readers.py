@@ -132,8 +132,9 @@ def to_envelope(row: Column, kind: str) -> Column:
 
 
 def detection_json(ident: Column, category: Column, conf: Column, box: Column) -> Column:
-    attrs = F.struct(F.array(category).alias("tags"), F.when(conf.isNotNull(), F.create_map(category, conf)).alias("confidences"))
-    return F.struct(*[box[c].alias(c) for c in ("xmin", "ymin", "xmax", "ymax")], ident.cast("string").alias("id"), attrs.alias("attributes"))
+    attrs = F.struct(F.array(category).alias("tags"), F.when(conf.isNotNull() & category.isNotNull(), F.create_map(category, conf)).alias("confidences"))
+    alone = F.when(category.isNull(), conf).alias("confidence")  # no category to file it under
+    return F.struct(*[box[c].alias(c) for c in ("xmin", "ymin", "xmax", "ymax")], ident.cast("string").alias("id"), alone, attrs.alias("attributes"))
 
 
 def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
