@@ -141,7 +141,7 @@ def pair_metrics(frames: DataFrame, same: list[str], top: float = 0.5) -> DataFr
     smallest IoU, mean maxcover, and the mean of the largest `top` share of the IoUs.
 
     Frames of both tracks meet by an equi-join on (video, frame); the ranked mean is taken from the sorted
-    list of a pair's IoUs, one number a common frame."""
+    list of a pair's IoUs above zero, as the others add nothing to it."""
     b = F.col("box")
 
     def side(p: str) -> DataFrame:
@@ -154,7 +154,7 @@ def pair_metrics(frames: DataFrame, same: list[str], top: float = 0.5) -> DataFr
     ratio = lambda x: F.coalesce(F.try_divide("inter", x), F.lit(0.0))
     j = j.select("video_id", "a_track", "b_track", ratio(F.col("aarea") + F.col("barea") - F.col("inter")).alias("iou"), ratio(F.least("aarea", "barea")).alias("cover"))
     pair = ["video_id", "a_track", "b_track"]
-    ious = F.sort_array(F.collect_list("iou"), asc=False)
+    ious = F.sort_array(F.collect_list(F.when(F.col("iou") > 0, F.col("iou"))), asc=False)
     g = j.groupBy(*pair).agg(F.count(F.lit(1)).alias("frames"), F.avg("iou").alias("mean_iou"), F.max("iou").alias("max_iou"), F.min("iou").alias("min_iou"), F.avg("cover").alias("mean_cover"), ious.alias("_i"))
     k = F.greatest(F.lit(1), F.floor(F.col("frames") * top)).cast("int")
     best = F.slice("_i", F.lit(1), k)

@@ -201,7 +201,7 @@ def track_assignment(spark, d):
     """Tracks of odd number to those of even number of a video, longest first, by ranked IoU and confidence."""
     k = keyboxes(spark, d)
     s = K.stats(k).select(*K.T, "length", "confidence")
-    p = K.pair_metrics(K.dense(k).where(F.pmod("frame", F.lit(24)) == 0), []).where("max_iou > 0.1")
+    p = K.pair_metrics(K.dense(k), []).where("max_iou > 0.1")
     both = p.select("video_id", F.col("a_track").alias("src"), F.col("b_track").alias("dst"), "top_iou").unionByName(p.select("video_id", F.col("b_track").alias("src"), F.col("a_track").alias("dst"), "top_iou"))
     parity = F.pmod(F.floor(F.col("src") / 5), F.lit(2)) == 1
     both = both.where(parity & (F.pmod(F.floor(F.col("dst") / 5), F.lit(2)) == 0))

@@ -118,8 +118,7 @@ _IOU = "case when least(a.x2, b.x2) > greatest(a.x1, b.x1) and least(a.y2, b.y2)
 
 @q("track_pair_iou")
 def track_pair_iou(spark, d):
-    f = K.dense(keyboxes(spark, d)).where(F.pmod("frame", F.lit(24)) == 0)
-    p = K.pair_metrics(f, [])
+    p = K.pair_metrics(K.dense(keyboxes(spark, d)), [])
     return p.select("video_id", "a_track", "b_track", "frames", r("mean_iou", "mean_iou"), r("max_iou", "max_iou"), r("min_iou", "min_iou"), r("mean_cover", "mean_cover"), r("top_iou", "top_iou"))
 
 
@@ -208,8 +207,7 @@ def merge_tracks(spark, d):
 @q("scene_dedupe_candidates")
 def scene_dedupe(spark, d):
     k = keyboxes(spark, d)
-    f = K.dense(k).where(F.pmod("frame", F.lit(24)) == 0)
-    return C.duplicate_tracks(K.pair_metrics(f, []), K.stats(k).select(*K.T, "startframe", "endframe"), 0.0)
+    return C.duplicate_tracks(K.pair_metrics(K.dense(k), []), K.stats(k).select(*K.T, "startframe", "endframe"), 0.0)
 
 
 @q("split_by_track", f"with {KEY}, {EACT} select k.track_id, min(k.frame) as startframe, max(k.frame) as endframe, coalesce((select count(distinct activity_id) from ea where ea.track_id = k.track_id), 0) as activities from kb k group by k.track_id")
