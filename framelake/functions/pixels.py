@@ -206,16 +206,29 @@ def hamming_pairs(df: DataFrame, key: str, bits: str, n: int, below: int) -> Dat
 
     The bits are cut into at least `below` bands; two that differ in fewer bits agree in a band, so an
     equi-join on (band, value) finds every pair. The wider the bands, the fewer pairs are tried in
-    vain: n should be many times `below`. Equal texts are compared once, by their smallest key."""
+    vain: n should be many times `below`. Equal texts are compared once, by their smallest key, and
+    expanded to all their keys at the end; a text held k times gives k (k - 1) / 2 pairs by itself."""
     size = max(1, n // below)
     spans = [(i, min(size, n - i)) for i in range(0, n, size)]
+    df = df.where(F.col(bits).isNotNull())
     reps = df.groupBy(bits).agg(F.min(key).alias(key)).select(key, bits, words_of(F.col(bits), n, 63).alias("w"))
     bands = F.explode(F.array(*[F.struct(F.lit(i).alias("b"), F.substring(bits, at + 1, k).alias("v")) for i, (at, k) in enumerate(spans)])).alias("band")
     count = -(-n // 63)
     side = lambda x: reps.select(F.col(key).alias(f"key_{x}"), *[F.get("w", F.lit(i)).alias(f"{x}{i}") for i in range(count)], bands)
     distance = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(1, count)), F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))))
     j = side("a").join(side("b"), "band").where((F.col("key_a") < F.col("key_b")) & (distance < below))
-    return j.select("key_a", "key_b", distance.alias("distance")).distinct()
+    close = j.select("key_a", "key_b", distance.alias("distance")).distinct()
+    same = reps.select(F.col(key).alias("key_a"), F.col(key).alias("key_b"), F.lit(0).alias("distance"))
+    classes = hamming_classes(df, key, bits)
+    members = lambda x: classes.select(F.col("representative").alias(f"key_{x}"), F.col(key).alias(x))
+    every = close.unionByName(same).join(members("a"), "key_a").join(members("b"), "key_b").where((F.col("key_a") != F.col("key_b")) | (F.col("a") < F.col("b")))
+    return every.select(F.least("a", "b").alias("key_a"), F.greatest("a", "b").alias("key_b"), "distance")
+
+
+def hamming_classes(df: DataFrame, key: str, bits: str) -> DataFrame:
+    """(key, representative): the smallest key with the same text."""
+    reps = df.groupBy(bits).agg(F.min(key).alias("representative"))
+    return df.select(key, bits).join(reps, bits).select(key, "representative")
 
 
 def ssim(a: Column, b: Column, span: float = 1.0) -> Column:
