@@ -252,9 +252,13 @@ def track_rekey(spark, d):
 
 @q("mosaic_frames", f"{DENSE}, a as (select video_id, frame, count(*) as n from dn where video_id = 0 group by 1, 2), b as (select video_id, frame, count(*) as n from dn where video_id = 1 group by 1, 2) select a.frame, a.n as left_boxes, b.n as right_boxes from a join b using (frame)")
 def mosaic(spark, d):
-    f = K.dense(keyboxes(spark, d)).groupBy("video_id", "frame").agg(F.count(F.lit(1)).alias("n"))
-    side = lambda v, name: f.where(F.col("video_id") == v).select("frame", F.col("n").alias(name))
-    return side(0, "left_boxes").join(side(1, "right_boxes"), "frame")
+    """Frames of every video beside those of the next one."""
+    k = keyboxes(spark, d)
+    f = K.dense(k).groupBy("video_id", "frame").agg(F.count(F.lit(1)).alias("n"))
+    v = Collection.of(k.select("video_id").distinct(), ["video_id"], "videos").df
+    left = f.join(v.select("video_id", (F.col(POS) + 1).alias("next")), "video_id").select(F.col("video_id").alias("left_video"), "next", "frame", F.col("n").alias("left_boxes"))
+    right = f.join(v.select("video_id", F.col(POS).alias("next")), "video_id").select(F.col("video_id").alias("right_video"), "next", "frame", F.col("n").alias("right_boxes"))
+    return left.join(right, ["next", "frame"]).select("left_video", "right_video", "frame", "left_boxes", "right_boxes")
 
 
 @q("key_max_min", f"with {ITEM}, c as (select source, count(*) as n from it group by source) select (select source from c order by n desc, source limit 1) as most, (select source from c order by n, source limit 1) as least")

@@ -130,9 +130,10 @@ select video_id, a_track, b_track, count(*) as frames, round(avg(iou), 6) as mea
 
 @q("track_union_average", W + ", a as (select * from kb where track_id % 10 = 0), b as (select * from kb where track_id % 10 = 5), p as (select video_id, frame, avg(x1) as x from (select video_id, frame, avg(x1) as x1 from a group by 1, 2 union all select video_id, frame, avg(x1) from b group by 1, 2) group by 1, 2) select video_id, frame, round(x, 6) as xmin from p")
 def track_union(spark, d):
+    """The tracks of even number of every video, averaged, with those of odd number."""
     k = keyboxes(spark, d)
-    mean = lambda n: k.where(F.pmod("track_id", F.lit(10)) == n).groupBy("video_id", "frame").agg(B.mean_agg(F.col("box")).alias("box"))
-    return K.union(mean(0), mean(5)).select("video_id", "frame", r("box.xmin", "xmin"))
+    mean = lambda n: k.where(F.pmod(F.floor(F.col("track_id") / 5), F.lit(2)) == n).groupBy("video_id", "frame").agg(B.mean_agg(F.col("box")).alias("box"))
+    return K.union(mean(0), mean(1)).select("video_id", "frame", r("box.xmin", "xmin"))
 
 
 @q("track_clip_image", W + "select track_id, frame, round(least(x2, 60), 6) as xmax from kb where x1 < 60 and x2 > 0 and y1 < 80 and y2 > 0")

@@ -29,3 +29,13 @@ def test_frames_without_overlap_count_as_zero(spark, tmp_path):
     iou = [max(0, 21 - x) / (42 - max(0, 21 - x)) for x in (0, 25, 50, 75, 100)]
     (p,) = E.queries()["track_pair_iou"](spark, d).collect()
     assert p["frames"] == 5 and p["min_iou"] == 0 and abs(p["mean_iou"] - sum(iou) / 5) < 1e-5 and abs(p["top_iou"] - 0.5) < 1e-5
+
+
+def test_union_and_mosaic_read_every_video(spark, tmp_path):
+    # Videos 0, 1 and 3: tracks 0 and 5, 1 and 6, 3 alone.
+    rows = [(1, 0, 1, 0.0), (2, 5, 1, 10.0), (3, 1, 1, 20.0), (4, 6, 1, 40.0), (5, 3, 1, 7.0), (6, 3, 3, 7.0)]
+    d, run = events(spark, tmp_path, rows), E.queries()
+    union = {(r["video_id"], r["frame"]): r["xmin"] for r in run["track_union_average"](spark, d).collect()}
+    assert union == {(0, 1): 5.0, (1, 1): 30.0, (3, 1): 7.0, (3, 3): 7.0}
+    got = sorted((r["left_video"], r["right_video"], r["frame"], r["left_boxes"], r["right_boxes"]) for r in run["mosaic_frames"](spark, d).collect())
+    assert got == [(0, 1, 1, 2, 2), (1, 3, 1, 2, 1)]
