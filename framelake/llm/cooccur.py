@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,17 +21,32 @@ EVERY = -1
 def stripes(baskets: DataFrame, items: str) -> DataFrame:
     """item, stripe: map from each neighbour not smaller than the item to the baskets that hold both.
 
-    `items` is a list of distinct non-negative ints. A basket gives each of its items one stripe, the
-    list of the items from it on; stripes are added up key by key in the map-side combiner (memory:
-    the pairs met, at most vocabulary squared), so a hot item travels as one count a map task and
-    neighbour. The item itself is its first neighbour (its own frequency); item -1 stands for any
+    `items` is a list of distinct non-negative ints. A basket adds the items from each of its items on
+    to that item's stripe, a table of counts held by the task (memory: the pairs met, at most vocabulary
+    squared); then the stripes of an item, one a task, are added up key by key. The item itself is its first neighbour (its own frequency); item -1 stands for any
     basket, so that stripe -1 holds the number of baskets and of baskets with each item.
     """
     own = F.array_sort(F.array_union(F.array(F.lit(EVERY)), F.col(items).cast("array<int>")))
-    one = baskets.where(F.size(items) > 0).select(own.alias("s")).select(F.posexplode("s").alias("i", "item"), "s")
-    pairs = one.select("item", F.explode(F.slice("s", F.col("i") + 1, F.size("s"))).alias("near"))
-    counts = pairs.groupBy("item", "near").agg(F.count(F.lit(1)).alias("n"))
-    return counts.groupBy("item").agg(F.map_from_entries(F.collect_list(F.struct("near", "n"))).alias("stripe"))
+    kinds = pa.schema([("item", pa.int32()), ("stripe", pa.map_(pa.int32(), pa.int64()))])
+
+    def of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: defaultdict[int, Counter] = defaultdict(Counter)
+        for b in batches:
+            for s in b.column("s").to_pylist():
+                for i, item in enumerate(s):
+                    held[item].update(s[i:])
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array([list(c.items()) for c in held.values()], kinds.field("stripe").type)], schema=kinds)
+
+    def added(t: pa.Table) -> pa.Table:
+        total: Counter = Counter()
+        for stripe in t.column("stripe").to_pylist():
+            total.update(dict(stripe))
+        return pa.table([pa.array([t.column("item")[0].as_py()], pa.int32()), pa.array([list(total.items())], kinds.field("stripe").type)], schema=kinds)
+
+    out = "item int, stripe map<int, long>"
+    own_stripes = baskets.where(F.size(items) > 0).select(own.alias("s")).mapInArrow(of_task, out)
+    return own_stripes.groupBy("item").applyInArrow(added, out)
 
 
 def llr(ab: Column, a: Column, b: Column, n: Column) -> Column:

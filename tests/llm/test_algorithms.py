@@ -202,3 +202,10 @@ def test_cross_split_pairs(spark):
     got = {(r["train_id"], r["held_id"]) for r in overlap.cross_split_pairs(spark.createDataFrame(rows, schema)).collect()}
     assert got == {(1, 2), (1, 3), (1, 6)}
     assert overlap.cross_split_pairs(spark.createDataFrame([], schema)).collect() == []
+
+
+def test_stripes_leave_a_task_added_up(spark):
+    baskets = spark.createDataFrame([([1, 2, 3],), ([2, 3],), ([],), (None,), ([3],)], "items array<int>")
+    s = cooccur.stripes(baskets, "items")
+    assert {r["item"]: r["stripe"] for r in s.collect()} == {-1: {-1: 3, 1: 1, 2: 2, 3: 3}, 1: {1: 1, 2: 1, 3: 1}, 2: {2: 2, 3: 2}, 3: {3: 3}}
+    assert "Generate" not in s._jdf.queryExecution().executedPlan().toString()  # no row a pair and basket
