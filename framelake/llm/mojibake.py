@@ -25,8 +25,6 @@ WRITTEN_IN = ["cp1252", "cp1250", "cp1251", "mac_roman", "cp437", "cp850", "cp85
 WIDE, WIDE_READ_AS = ["euc_jp", "shift_jis", "gb18030"], ["cp1252", "latin-1", "cp1251", "mac_roman", "cp437"]
 #: Those of them whose characters may hold bytes of ASCII.
 ASCII_INSIDE = {"shift_jis", "gb18030"}
-#: How often UTF-8 may have been misread one time after another.
-MOST_READINGS = 3
 #: Places of the bigram and character tables.
 PAIRS, CHARS = 1 << 20, 1 << 16
 #: Rounds of expectation-maximization.
@@ -138,7 +136,7 @@ def _forms_of_run(run: str) -> dict[str, str]:
             found[f"{w}>{r}"] = s
             if w == "utf-8":
                 again.append((s, f"{w}>{r}"))
-    for _ in range(MOST_READINGS - 1):
+    while again:  # every step shortens the form
         deeper = []
         for s, how in again:
             for r in READ_AS:

@@ -142,3 +142,11 @@ def test_every_swap_is_undone_exactly():
         if w == "utf-8" and r in ("latin-1", "cp437", "cp850", "koi8_r"):
             s = "Größe naïve “x” é"
             assert any(f == s and f"{w}>{r}" in hows for f, hows in mojibake.candidates(s.encode(w).decode(r)))
+
+
+@pytest.mark.parametrize("reads", [["latin-1"] * 5, ["latin-1", "mac_roman", "latin-1", "cp437", "latin-1"]])
+def test_readings_are_undone_to_any_depth(reads):
+    s = text = "Größe"
+    for r in reads:
+        s = garbled(s, "utf-8", r)
+    assert text in [f for f, _ in mojibake.candidates(s)]
