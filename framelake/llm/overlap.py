@@ -25,7 +25,7 @@ MARK = (
 MARK_BEFORE = r"^(?:(?:copy|kopie|copie)(?:[ _.\-]*\(\d+\))?[ _.\-]+of[ _.\-]+|(?:thumb|thumbnail|resized|small)[_.\-]+)"
 #: Letters of a name that may be wrong, missing or extra.
 LETTERS = 2
-#: Names of one word with fewer digits are compared by deletion variants.
+#: Names with fewer digits are compared by deletion variants.
 FEW_DIGITS = 5
 
 
@@ -61,21 +61,14 @@ def without(letters: str, most: int) -> set[str]:
 
 
 def grams(name: str) -> set[str]:
-    """Texts of which two names with equal digits and at most two letters apart share one.
+    """Texts of which two names with equal digits and at most two letters apart share one, wherever
+    their separators are.
 
-    The name is cut into the word with the most digits (which edits of letters never make another one;
-    ties: the last) and the n-gram of all its other words. Of two edits either the n-gram is free, or
-    the word is, or each has one: so the n-gram, the word, and the word with one letter taken out.
-    Names of one word: the digits alone where there are five or more, else all variants with at most
-    two letters taken out. Always: the whole name without separators.
+    The digits alone where there are five or more, else the name without separators and all its
+    variants with at most two letters taken out. Always: the whole name without separators.
     """
-    words, letters, digits = name_form(name)
-    if len(words) < 2:
-        own = {"d"} if len(digits) >= FEW_DIGITS else {"v" + s for s in without(letters, LETTERS)}
-    else:
-        at = max(range(len(words)), key=lambda i: (len(_DIGIT.findall(words[i])), i))
-        marked = _DIGIT.sub(lambda m: m[0] * 3, words[at])
-        own = {"o" + " ".join([*words[:at], "|", *words[at + 1 :]])} | {"m" + s for s in without(marked, 1)}
+    _, letters, digits = name_form(name)
+    own = {"d"} if len(digits) >= FEW_DIGITS else {"v" + s for s in without(letters, LETTERS)}
     return own | {"w" + letters}
 
 
@@ -83,7 +76,8 @@ def _hashed(names: DataFrame) -> DataFrame:
     """(category, name, letters, digits, of, h): one row a distinct gram hash of each name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        # A name has up to some hundred pieces: few names at a time keep the worker small.
+        for b in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
             cats, keys, letters, digits, of, hashes = [], [], [], [], [], []
             for c, n in zip(b.column("category").to_pylist(), b.column("name").to_pylist()):
                 _, flat, ds = name_form(n)

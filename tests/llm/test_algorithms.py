@@ -209,3 +209,10 @@ def test_stripes_leave_a_task_added_up(spark):
     s = cooccur.stripes(baskets, "items")
     assert {r["item"]: r["stripe"] for r in s.collect()} == {-1: {-1: 3, 1: 1, 2: 2, 3: 3}, 1: {1: 1, 2: 1, 3: 1}, 2: {2: 2, 3: 2}, 3: {3: 3}}
     assert "Generate" not in s._jdf.queryExecution().executedPlan().toString()  # no row a pair and basket
+
+
+def test_near_names_with_other_separators(spark):
+    pairs = [("dusk_grain_kipesgm00", "dusk_grainkipesgn00"), ("img_0012", "imgg0012"), ("oak_a_fern07", "oak_fern07"), ("k07a63_f0201_loft", "k07a63f0201_lofft"), ("oak_mica_7", "o-akmca7")]
+    t = spark.createDataFrame([(1, a) for a, _ in pairs], "category int, name string")
+    e = spark.createDataFrame([(1, b) for _, b in pairs], "category int, name string")
+    assert {(r["train_name"], r["held_name"]) for r in overlap.near_names(t, e).collect()} == set(pairs)
