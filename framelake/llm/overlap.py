@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,8 +20,8 @@ MARK = (
 MARK_BEFORE = r"^(?:(?:copy|kopie|copie)(?:[ _.\-]*\(\d+\))?[ _.\-]+of[ _.\-]+|(?:thumb|thumbnail|resized|small)[_.\-]+)"
 #: Letters of a name that may be wrong, missing or extra.
 LETTERS = 2
-#: Names with fewer digits are compared by deletion variants.
-FEW_DIGITS = 5
+#: Pieces a held-out name is cut into: edits of LETTERS letters leave one of them whole.
+PIECES = LETTERS + 1
 
 
 def core_name(filename: Column | str) -> Column:
@@ -41,90 +36,92 @@ def core_name(filename: Column | str) -> Column:
     return c
 
 
-_WORD, _DIGIT = re.compile(r"[^\W_]+"), re.compile("[0-9]")
+def name_form(name: Column | str) -> tuple[Column, Column, Column]:
+    """(flat: the name without separators, letters: flat with every digit three times, digits)."""
+    c = F.col(name) if isinstance(name, str) else name
+    flat = F.regexp_replace(c, r"[^\p{L}\p{N}]+", "")
+    return flat, F.regexp_replace(flat, "([0-9])", "$1$1$1"), F.regexp_replace(flat, "[^0-9]+", "")
 
 
-def name_form(name: str) -> tuple[list[str], str, str]:
-    """(words, letters: the name without separators and with every digit three times, digits)."""
-    words = _WORD.findall(name)
-    flat = "".join(words)
-    return words, _DIGIT.sub(lambda m: m[0] * 3, flat), "".join(_DIGIT.findall(flat))
+def _gram(length: Column, piece: int, text: Column) -> Column:
+    """Hash of a piece of a name: where it was cut, what it holds, and what the whole name must agree in."""
+    return F.struct(F.lit(piece).alias("piece"), F.xxhash64("category", "digits", length, F.lit(piece), text).alias("h"))
 
 
-def without(letters: str, most: int) -> set[str]:
-    """letters and its variants with up to `most` letters taken out; digits stay."""
-    out = last = {letters}
-    for _ in range(most):
-        last = {s[:i] + s[i + 1 :] for s in last for i in range(len(s)) if not "0" <= s[i] <= "9"}
-        out = out | last
-    return out
+def _cut(length: Column, i: int) -> Column:
+    return F.floor(length * i / PIECES).cast("int")
 
 
-def grams(name: str) -> set[str]:
-    """Texts of which two names with equal digits and at most two letters apart share one, wherever
-    their separators are.
+def held_grams() -> Column:
+    """The PIECES grams of a held-out name: it is cut at even places."""
+    n, flat = F.length("flat"), F.col("flat")
+    return F.array(*[_gram(n, i, F.substring(flat, _cut(n, i) + 1, _cut(n, i + 1) - _cut(n, i))) for i in range(PIECES)])
 
-    The digits alone where there are five or more, else the name without separators and all its
-    variants with at most two letters taken out. Always: the whole name without separators.
-    """
-    _, letters, digits = name_form(name)
-    own = {"d"} if len(digits) >= FEW_DIGITS else {"v" + s for s in without(letters, LETTERS)}
-    return own | {"w" + letters}
 
+def train_grams() -> Column:
+    """Every gram a held-out name at most LETTERS letters away could share with this name.
 
-def _hashed(names: DataFrame) -> DataFrame:
-    """(category, name, letters, digits, of, h): one row a distinct gram hash of each name."""
+    For each length such a name may have and each of its pieces: the substrings at the places where
+    the piece can stand if the edits before it and after it together are at most LETTERS.
+    """
+    flat, m = F.col("flat"), F.length("flat")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # A name has up to some hundred pieces: few names at a time keep the worker small.
-        for b in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
-            cats, keys, letters, digits, of, hashes = [], [], [], [], [], []
-            for c, n in zip(b.column("category").to_pylist(), b.column("name").to_pylist()):
-                _, flat, ds = name_form(n)
-                hs = {xxhash.xxh64_intdigest(f"{c}\n{ds}\n{g}") - (1 << 63) for g in grams(n)}
-                for column, v in ((cats, c), (keys, n), (letters, flat), (digits, ds), (of, len(hs))):
-                    column += [v] * len(hs)
-                hashes += hs
-            yield pa.RecordBatch.from_pydict({"category": pa.array(cats, pa.int32()), "name": pa.array(keys, pa.string()), "letters": pa.array(letters, pa.string()), "digits": pa.array(digits, pa.string()), "of": pa.array(of, pa.int32()), "h": pa.array(hashes, pa.int64())})
+    def of_length(delta: int) -> list[Column]:
+        n, out = m - delta, []
+        for i in range(PIECES):
+            at, size = _cut(n, i), _cut(n, i + 1) - _cut(n, i)
+            for shift in range(max(-i, delta - (LETTERS - i)), min(i, delta + (LETTERS - i)) + 1):
+                inside = (n >= 0) & (at + shift >= 0) & (at + shift + size <= m)
+                out.append(F.when(inside, _gram(n, i, F.substring(flat, at + shift + 1, size))))
+        return out
 
-    return names.select(F.col("category").cast("int"), "name").mapInArrow(run, "category int, name string, letters string, digits string, of int, h long")
+    every = [g for delta in range(-LETTERS, LETTERS + 1) for g in of_length(delta)]
+    return F.filter(F.array(*every), lambda g: g.isNotNull())
 
 
 def near_names(train: DataFrame, held: DataFrame) -> DataFrame:
-    """(category, train_name, held_name, containment) of names that agree up to two letters.
+    """(category, train_name, held_name, containment) of names that agree up to LETTERS letters.
 
-    Both sides hold distinct (category, name). The n-gram hashes of the held-out names are partitioned
-    by hash, the training names are scanned for hits, and containment is the share of a held-out
-    name's hashes that the training name has. Pairs with a hit are then compared exactly: equal digits
-    in order and at most two letters wrong, missing or extra (digits count threefold, so that an edit
-    of one never passes).
+    Both sides hold distinct (category, flat) with letters and digits. The grams of the held-out names
+    are partitioned by hash, the training names are scanned for hits, and containment is the share of
+    a held-out name's grams that the training name holds; below 1 / PIECES no pair can be near. What
+    is left is compared exactly: equal digits in order and at most LETTERS letters wrong, missing or
+    extra (digits count threefold, so that an edit of one never passes).
     """
-    t = _hashed(train).select("category", F.col("name").alias("train_name"), F.col("letters").alias("tl"), F.col("digits").alias("td"), "h")
-    e = _hashed(held).select(F.col("category").alias("hc"), F.col("name").alias("held_name"), F.col("letters").alias("hl"), F.col("digits").alias("hd"), "of", "h")
+    t = train.select("category", F.col("flat").alias("train_name"), F.col("letters").alias("tl"), F.col("digits").alias("td"), F.explode(train_grams()).alias("g")).select("*", "g.piece", "g.h")
+    e = held.select(F.col("category").alias("hc"), F.col("flat").alias("held_name"), F.col("letters").alias("hl"), F.col("digits").alias("hd"), F.explode(held_grams()).alias("g")).select("*", "g.h")
     close = (F.col("category") == F.col("hc")) & (F.col("td") == F.col("hd")) & (F.levenshtein("tl", "hl", LETTERS) >= 0)
-    hits = t.join(e, "h").where(close)
-    shared = hits.groupBy("category", "train_name", "held_name").agg(F.count(F.lit(1)).alias("k"), F.max("of").alias("of"))
-    return shared.select("category", "train_name", "held_name", (F.col("k") / F.col("of")).alias("containment"))
+    hits = t.drop("g").join(e.drop("g"), "h").where(close)
+    shared = hits.groupBy("category", "train_name", "held_name").agg(F.count_distinct("piece").alias("k"))
+    return shared.select("category", "train_name", "held_name", (F.col("k") / PIECES).alias("containment"))
 
 
-def cross_split_pairs(rows: DataFrame) -> DataFrame:
-    """train_id, held_id, containment of records that show the same picture in training and held-out splits.
+def cross_split_pairs(rows: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """train_id, held_id, containment (and the held-out record's split and columns of `carry`) of
+    records that show the same picture in training and held-out splits.
 
     rows: id, split (train, val, test or null), source, number (entity key or null), category (code or
     null), name (core name or null). Same entity key gives containment 1. Records with a null split
-    belong to no side; a record without key and without category or name has no partner. Exact copies
-    are compared once, as one (category, name); they are expanded to their records at the very end.
+    belong to no side; a record without key and without category or name has no partner. Copies are
+    compared once, as one (category, flat name); they meet their records at the very end, each pair
+    once: a pair of equal keys is left to the keys.
     """
-    rows = cut(rows.where("split is not null"))
+    carry = carry or []
+    flat, letters, digits = name_form("name")
+    rows = cut(rows.where("split is not null").select("id", "split", "source", "number", "category", flat.alias("flat"), letters.alias("letters"), digits.alias("digits"), *[F.col(c).alias(f"carry_{c}") for c in carry]))
+    extra = ["split", *[f"carry_{c}" for c in carry]]
     t, e = rows.where("split = 'train'"), rows.where("split <> 'train'")
-    keyed = lambda df, x: df.where("source is not null and number is not null").select(F.col("id").alias(x), "source", "number")
-    same = keyed(t, "train_id").join(keyed(e, "held_id"), ["source", "number"]).select("train_id", "held_id", F.lit(1.0).alias("containment"))
-    named = lambda df: df.where("category is not null and name is not null and name <> ''")
-    near = near_names(named(t).select("category", "name").distinct(), named(e).select("category", "name").distinct())
-    members = lambda df, x, n: named(df).select(F.col("id").alias(x), "category", F.col("name").alias(n))
-    alike = near.join(members(t, "train_id", "train_name"), ["category", "train_name"]).join(members(e, "held_id", "held_name"), ["category", "held_name"])
-    both = same.unionByName(alike.select("train_id", "held_id", "containment"))
-    return both.groupBy("train_id", "held_id").agg(F.max("containment").alias("containment"))
+    keyed = lambda df, x, *more: df.where("source is not null and number is not null").select(F.col("id").alias(x), "source", "number", *more)
+    same = keyed(t, "train_id").join(keyed(e, "held_id", *extra), ["source", "number"]).select("train_id", "held_id", F.lit(1.0).alias("containment"), *extra)
+    named = lambda df: df.where("category is not null and flat is not null and flat <> ''")
+    forms = lambda df: named(df).select("category", "flat", "letters", "digits").distinct()
+    near = near_names(forms(t), forms(e))
+    key = F.when(F.col("source").isNotNull() & F.col("number").isNotNull(), F.struct("source", "number"))
+    members = lambda df, x, n, *more: named(df).select(F.col("id").alias(x), "category", F.col("flat").alias(n), key.alias(f"key_{x}"), *more)
+    alike = near.join(members(t, "train_id", "train_name"), ["category", "train_name"]).join(members(e, "held_id", "held_name", *extra), ["category", "held_name"])
+    alike = alike.where(~F.coalesce(F.col("key_train_id") == F.col("key_held_id"), F.lit(False)))
+    both = same.unionByName(alike.select("train_id", "held_id", "containment", *extra))
+    return both.select("train_id", "held_id", "containment", "split", *[F.col(f"carry_{c}").alias(c) for c in carry])
 
 
 def image_records(spark: SparkSession, d: str) -> DataFrame:
@@ -152,7 +149,5 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_counts(spark: SparkSession, d: str) -> DataFrame:
     """Per held-out split and source_name: pairs, and held-out and training images in them."""
-    rows = cut(image_records(spark, d))
-    pairs = cross_split_pairs(rows)
-    side = rows.select(F.col("id").alias("held_id"), "split", "source_name")
-    return pairs.join(side, "held_id").groupBy("split", "source_name").agg(F.count(F.lit(1)).alias("pairs"), F.count_distinct("held_id").alias("held_images"), F.count_distinct("train_id").alias("train_images"))
+    pairs = cross_split_pairs(image_records(spark, d), ["source_name"])
+    return pairs.groupBy("split", "source_name").agg(F.count(F.lit(1)).alias("pairs"), F.count_distinct("held_id").alias("held_images"), F.count_distinct("train_id").alias("train_images"))

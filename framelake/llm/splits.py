@@ -14,7 +14,7 @@ from framelake.llm.components import components
 from framelake.operators.live import latest
 from framelake.operators.selection import hash_rank
 from framelake.session import cut
-from framelake.sources.tables import small_enough
+from framelake.sources.tables import small_enough, table
 
 #: Texts in photo_id that are no photo, beside numbers of zeros only (fixed values).
 NO_PHOTO = ["", "none", "null", "nan", "na", "n/a", "unknown", "unk", "-", "--", "?", "???", "tbd", "misc", "missing", "no photo", "nophoto", "undefined", "photo", "ph", "x"]
@@ -23,7 +23,7 @@ NO_PHOTO = ["", "none", "null", "nan", "na", "n/a", "unknown", "unk", "-", "--",
 def photo_key(photo: Column | str) -> Column:
     """Normal form of a photo id: trimmed, lower case; placeholders give null."""
     c = F.lower(F.trim(F.regexp_replace(F.col(photo) if isinstance(photo, str) else photo, r"^[\s ]+|[\s ]+$", "")))
-    zeros = c.rlike(r"^([a-z]+[-_ :]?)*[a-z]?0+$")
+    zeros = c.rlike(r"^(?:[a-z]+[-_ :])*[a-z]?0+$")
     return F.when(c.isNotNull() & ~c.isin(NO_PHOTO) & ~zeros, c)
 
 
@@ -200,9 +200,9 @@ def split_groups(groups: DataFrame, group: str, size: str, label: str, shares: d
             bounds.append((n, x, upto, upto + k, s))
             upto += k
     spark = groups.sparkSession
-    table = spark.createDataFrame(bounds, "_n long, _l string, _from long, _to long, split string")
+    places = spark.createDataFrame(bounds, "_n long, _l string, _from long, _to long, split string")
     ranked = hash_rank(g, ["_n", "_l"], "_g")
-    out = ranked.join(F.broadcast(table), ["_n", "_l"]).where("rank > _from and rank <= _to")
+    out = ranked.join(F.broadcast(places) if small_enough(places) else places, ["_n", "_l"]).where("rank > _from and rank <= _to")
     return out.select(F.col("_g").alias(group), "split")
 
 
@@ -232,17 +232,14 @@ def face_splits(face: DataFrame, identity: DataFrame, shares: dict[str, float])
 
 
 def shares_of(split_target: DataFrame) -> dict[str, float]:
-    """Proportions by split name; at most 1000 splits."""
-    return {r["split_name"]: float(r["permille"]) for r in split_target.where("split_name is not null and permille > 0").limit(1000).collect()}
+    """Proportions by split name; a name stated several times counts with the sum of its shares."""
+    stated = split_target.where("split_name is not null and permille > 0").groupBy("split_name").agg(F.sum("permille").alias("permille"))
+    return {r["split_name"]: float(r["permille"]) for r in stated.collect()}
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    from framelake.sources.tables import table
-
     return found(table(spark, d, "face"), table(spark, d, "face_identity"))
 
 
 def p1_splits(spark: SparkSession, d: str) -> DataFrame:
-    from framelake.sources.tables import table
-
     return face_splits(table(spark, d, "face"), table(spark, d, "face_identity"), shares_of(table(spark, d, "split_target")))

@@ -26,6 +26,8 @@ def faces():
         (7, "n00000013", None, None, "none", T),
         (8, "n-13", None, None, "", T),
         (9, "n00000021", None, None, "x y z", T),
+        (10, "n00000031", None, None, "ph-kabcde0", T),
+        (11, "n00000033", None, None, "PH-KABCDE0", T),
     ]
     who = [("n00000007", "Ada First 7", None, 1), ("n00000005", "Bo Two 5", None, 1), ("n00000009", "C 9", "n00000077", 0), ("n00000077", "D 77", None, 0), ("n00000011", "E 11", "n00000077", 0), (None, None, "n00000001", 0)]
     return rows + rows[:2], who
@@ -35,10 +37,10 @@ def test_ties_through_photos_and_steps(spark):
     rows, who = faces()
     f, w = spark.createDataFrame(rows, FACE), spark.createDataFrame(who, WHO)
     got = {r["face_id"]: r["group_id"] for r in splits.found(f, w).collect()}
-    assert got == {1: "n00000005", 2: "n00000005", 3: "n00000005", 4: "n00000009", 5: "n00000009"}
+    assert got == {1: "n00000005", 2: "n00000005", 3: "n00000005", 4: "n00000009", 5: "n00000009", 10: "n00000031", 11: "n00000031"}
     s = {r["face_id"]: r["split"] for r in splits.face_splits(f, w, {"train": 0.5, "val": 0.25, "test": 0.25}).collect()}
-    assert set(s) == {1, 2, 3, 4, 5, 7, 8, 9} and s[1] == s[2] == s[3] and s[4] == s[5] and s[7] == s[8]
-    assert splits.found(f.limit(0), w).collect() == [] and splits.face_splits(f, w.limit(0), {"train": 1.0}).count() == 7
+    assert set(s) == {1, 2, 3, 4, 5, 7, 8, 9, 10, 11} and s[10] == s[11] and s[1] == s[2] == s[3] and s[4] == s[5] and s[7] == s[8]
+    assert splits.found(f.limit(0), w).collect() == [] and splits.face_splits(f, w.limit(0), {"train": 1.0}).count() == 9
     assert splits.face_splits(f.limit(0), w.limit(0), {"train": 1.0}).collect() == []
 
 
@@ -160,6 +162,13 @@ def letters(a, b):
     return prev[-1]
 
 
+def forms(spark, rows):
+    """Distinct (category, flat, letters, digits) of (category, name)."""
+    flat, letters, digits = overlap.name_form("name")
+    df = spark.createDataFrame(rows, "category int, name string")
+    return df.select("category", flat.alias("flat"), letters.alias("letters"), digits.alias("digits")).distinct()
+
+
 def test_near_names_against_brute_force(spark):
     rnd = random.Random(8)
     words = ["oak", "mica", "fern", "dusk", "k07a63", "kz9chdz00", "img", "0042", "f0201", "loft"]
@@ -180,19 +189,19 @@ def test_near_names_against_brute_force(spark):
     base = [b for b in base if any(ch.isalpha() for ch in b)]
     other = sorted({hurt(rnd.choice(base)) for _ in range(160)})
     other = [o for o in other if o.strip("_")]
-    t = spark.createDataFrame([(1, b) for b in base] + [(2, b) for b in base[:5]], "category int, name string")
-    e = spark.createDataFrame([(1, o) for o in other], "category int, name string")
+    t = forms(spark, [(1, b) for b in base] + [(2, b) for b in base[:5]])
+    e = forms(spark, [(1, o) for o in other])
     flat = lambda s: s.replace("_", "")
-    # A word may vanish as a whole only where it has one or two letters; none here has.
-    want = {(a, b) for a in base for b in other if letters(flat(a), flat(b)) <= 2 and a.count("_") == b.count("_")}
-    got = {(r["train_name"], r["held_name"]) for r in overlap.near_names(t, e).collect()}
-    assert want <= got and all(letters(flat(a), flat(b)) <= 2 for a, b in got)
+    want = {(flat(a), flat(b)) for a in base for b in other if letters(flat(a), flat(b)) <= 2}
+    rows = overlap.near_names(t, e).collect()
+    assert want == {(r["train_name"], r["held_name"]) for r in rows} and len(want) == len(rows)
+    assert all(r["containment"] == 1 for r in rows if r["train_name"] == r["held_name"]) and min(r["containment"] for r in rows) > 0.3
 
 
 def test_core_names(spark):
     same = ["/data/x/train/1/oak_fern_k1a00.jpg", "D:\\reup\\x\\Oak Fern K1A00.JPG", "b/oak-fern-k1a00-scaled.webp", "oak%20fern%20k1a00 (1).png", "Copy of oak.fern.k1a00_640x480.jpg", "OAK_FERN_K1A00 - Copy.png", "oak_fern_k1a00@2x.jpg", "oak_fern_k1a00_copy2.jpeg", "oak_fern_k1a00_thumb.jpg"]
-    df = spark.createDataFrame([(s,) for s in [*same, "oak_fern_k1a01.jpg", None, ""]], "filename string").select(overlap.core_name("filename").alias("name"))
-    got = [r["name"] and overlap.name_form(r["name"])[1] for r in df.collect()]
+    df = spark.createDataFrame([(s,) for s in [*same, "oak_fern_k1a01.jpg", None, ""]], "filename string").select(overlap.name_form(overlap.core_name("filename"))[1].alias("name"))
+    got = [r["name"] for r in df.collect()]
     assert set(got[: len(same)]) == {"oakfernk111a000000"} and got[len(same)] == "oakfernk111a000111" and got[-2] is None and got[-1] == ""
 
 
@@ -213,6 +222,14 @@ def test_stripes_leave_a_task_added_up(spark):
 
 def test_near_names_with_other_separators(spark):
     pairs = [("dusk_grain_kipesgm00", "dusk_grainkipesgn00"), ("img_0012", "imgg0012"), ("oak_a_fern07", "oak_fern07"), ("k07a63_f0201_loft", "k07a63f0201_lofft"), ("oak_mica_7", "o-akmca7")]
-    t = spark.createDataFrame([(1, a) for a, _ in pairs], "category int, name string")
-    e = spark.createDataFrame([(1, b) for _, b in pairs], "category int, name string")
-    assert {(r["train_name"], r["held_name"]) for r in overlap.near_names(t, e).collect()} == set(pairs)
+    rows = overlap.near_names(forms(spark, [(1, a) for a, _ in pairs]), forms(spark, [(1, b) for _, b in pairs])).collect()
+    flat = lambda s: "".join(ch for ch in s if ch.isalnum())
+    assert {(r["train_name"], r["held_name"]) for r in rows} == {(flat(a), flat(b)) for a, b in pairs}
+
+
+def test_short_names_and_a_letter_at_each_place(spark):
+    names = ["a", "ab", "abc", "abcd", "x", "xyz1", "abcdefghi"]
+    near = sorted({b[:i] + x + b[j:] for b in ["abcdefghi"] for i in range(10) for j in (i, i + 1, i + 2) for x in ("", "q", "qq") if j <= 9})
+    rows = overlap.near_names(forms(spark, [(1, n) for n in names]), forms(spark, [(1, n) for n in names + near])).collect()
+    want = {(a, b) for a in names for b in {*names, *near} if letters(a, b) <= 2}
+    assert {(r["train_name"], r["held_name"]) for r in rows} == want
