@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import html
 import re
+import sys
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -17,23 +19,30 @@ from framelake.sources.tables import table
 
 #: Consecutive words that make a passage.
 PASSAGE = 12
-#: Longest k-gram of the fingerprints.
-LONGEST_GRAM = 4
-#: Characters of evaluation text that may be held by every task; above, fingerprints are joined.
-HELD_LIMIT = 64_000_000
+#: Words of a fingerprinted gram, and consecutive grams of which the smallest is kept: any shared
+#: span of GRAM + WINDOW - 1 = PASSAGE words shares its smallest gram on both sides.
+GRAM = 4
+WINDOW = PASSAGE - GRAM + 1
+#: Bytes of fingerprints and word hashes of evaluation texts that a task holds at a time (a block).
+HELD_BYTES = 32 << 20
+#: Characters of training text that are scanned together.
+SCAN_CHARS = 1 << 20
 
 _TAG = re.compile(r"<(?:/?[A-Za-z][^<>]*|!--.*?--|![A-Za-z][^<>]*)>", re.S)
 _BLOCK = re.compile(r"</?(?:br|p|div|li|ul|ol|dl|dt|dd|td|tr|th|table|h[1-6]|hr|blockquote|pre|section|article|option|img)\b", re.I)
 _LINK = re.compile(r"!?\[([^\[\]]*)\]\(\s*<?[^()\s]*>?(?:\s+\"[^\"]*\")?\s*\)")
-_WORD = re.compile(r"[^\W_]+(?:['’ʼ＇][^\W_]+)*")
-_APOS = re.compile("['’ʼ＇]")
+_WORD = re.compile(r"[^\W_]+")
+_APOS = re.compile("(?<=[^\\W_])['’ʼ＇](?=[^\\W_])")
+_INVISIBLE = {c: None for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Cf"}
 
 
 def words(text: str | None) -> list[str]:
     """Words of a text in normal form.
 
     Letter case, punctuation, spacing, line breaks, markup (tags, entities, Markdown links and
-    marks), invisible signs and the composition of accented letters do not count. Null has no words.
+    marks), invisible signs and the composition of accented letters do not count; an apostrophe
+    within a word is left out. A run of letters without blanks is one word, in any script. Null has
+    no words.
     """
     if not text:
         return []
@@ -43,147 +52,207 @@ def words(text: str | None) -> list[str]:
         text = _TAG.sub(lambda m: " " if _BLOCK.match(m[0]) else "", text)
     if "](" in text:
         text = _LINK.sub(r"\1", text)
-    if not text.isascii():
-        text = "".join(ch for ch in text if unicodedata.category(ch) != "Cf")
-        text = unicodedata.normalize("NFKC", text)
-    text = unicodedata.normalize("NFC", text.casefold()) if not text.isascii() else text.lower()
-    return [_APOS.sub("", w) for w in _WORD.findall(text)]
+    if text.isascii():
+        text = text.lower()
+    else:
+        text = unicodedata.normalize("NFKC", text.translate(_INVISIBLE))
+        text = unicodedata.normalize("NFC", text.casefold())
+    return _WORD.findall(_APOS.sub("", text))
 
 
-def _hashes(ws: list[str], memo: dict[str, int]) -> np.ndarray:
-    out = np.empty(len(ws), np.uint64)
-    for i, w in enumerate(ws):
-        h = memo.get(w)
-        if h is None:
-            h = memo[w] = xxhash.xxh64_intdigest(w)
-        out[i] = h
-    if len(memo) > 500_000:
-        memo.clear()
-    return out
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the words of all texts in a row, where each text's begin and the last ends).
+
+    Each distinct word is hashed once."""
+    every: list[str] = []
+    at = [0]
+    for t in texts:
+        every += words(t)
+        at.append(len(every))
+    coded = pa.array(every, pa.large_string()).dictionary_encode()
+    of_word = np.array([xxhash.xxh64_intdigest(w) for w in coded.dictionary.to_pylist()], np.uint64)
+    return of_word[coded.indices.to_numpy()] if every else np.empty(0, np.uint64), np.array(at, np.int64)
 
 
 def grams(h: np.ndarray, k: int) -> np.ndarray:
     """Hashes of all runs of k word hashes."""
-    if len(h) < k:
-        return np.empty(0, np.uint64)
-    acc = np.zeros(len(h) - k + 1, np.uint64)
+    return grams_at(h, np.arange(max(0, len(h) - k + 1)), k)
+
+
+def grams_at(h: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the runs of k word hashes that begin at the given places."""
+    acc = np.zeros(len(at), np.uint64)
     with np.errstate(over="ignore"):
         for j in range(k):
-            acc = acc * np.uint64(0x9E3779B97F4A7C15) + h[j : j + len(acc)]
+            acc = acc * np.uint64(0x9E3779B97F4A7C15) + h[at + j]
             acc ^= acc >> np.uint64(29)
         acc *= np.uint64(0xBF58476D1CE4E5B9)
         acc ^= acc >> np.uint64(32)
     return acc
 
 
-def winnow(g: np.ndarray, window: int) -> np.ndarray:
-    """Distinct hashes that are smallest in some window of `window` consecutive grams."""
-    if not len(g):
-        return g
+def winnowed(g: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """Places of the hashes that are smallest in some window of `window` consecutive ones (all that tie)."""
     if len(g) <= window:
-        return g.min(keepdims=True)
-    return np.unique(np.lib.stride_tricks.sliding_window_view(g, window).min(axis=1))
-
-
-def scheme(lengths: Iterable[int]) -> tuple[int, int]:
-    """(k, window) with k + window - 1 = shortest span to find: any shared span of that many words
-    shares its smallest k-gram hash on both sides."""
-    shortest = min([PASSAGE, *(n for n in lengths if n > 0)])
-    k = min(LONGEST_GRAM, shortest)
-    return k, shortest - k + 1
-
-
-def holds(doc: list[str], item: list[str]) -> bool:
-    """True if doc holds 12 consecutive words of item, or all of a shorter item: extends the hits."""
-    n = min(PASSAGE, len(item))
-    if not n or len(doc) < n:
-        return False
-    spans = {tuple(item[i : i + n]) for i in range(len(item) - n + 1)}
-    first = {s[0] for s in spans}
-    return any(doc[i] in first and tuple(doc[i : i + n]) in spans for i in range(len(doc) - n + 1))
-
+        return np.flatnonzero(g == g.min()) if len(g) else np.empty(0, np.int64)
+    least = _over(g, window, np.minimum)
+    edge = np.full(window - 1, 0, np.uint64)
+    most = _over(np.concatenate([edge, least, edge]), window, np.maximum)  # of the windows a place lies in
+    return np.flatnonzero(most == g)
+
+
+def _over(a: np.ndarray, window: int, f) -> np.ndarray:
+    """f over every window of consecutive elements, by doubling."""
+    n, out = 1, a
+    while 2 * n <= window:
+        out = f(out[: len(out) - n], out[n:])
+        n *= 2
+    rest = window - n
+    return f(out[: len(out) - rest], out[rest:]) if rest else out
+
+
+def _among(marks: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, from, to): which x are in the sorted marks, and the range of equal marks of each."""
+    if not len(marks) or not len(x):
+        none = np.empty(0, np.int64)
+        return none, none, none
+    lo = np.searchsorted(marks, x)
+    i = np.flatnonzero(marks[np.minimum(lo, len(marks) - 1)] == x)
+    return i, lo[i], np.searchsorted(marks, x[i], "right")
+
+
+def _expand(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, number) of every number of the ranges lo..hi-1."""
+    n = hi - lo
+    owner = np.repeat(np.arange(len(n)), n)
+    return owner, np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+
+
+@dataclass(frozen=True)
+class Held:
+    """Fingerprints of a block of evaluation texts.
+
+    Texts of PASSAGE words or more: winnowed grams with the place of each in `h`, sorted by hash.
+    Shorter ones: one hash of the whole text, by its number of words, and the hashes of their first words.
+    """
 
-def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", held_limit: int = HELD_LIMIT) -> DataFrame:
+    h: np.ndarray
+    at: np.ndarray
+    marks: np.ndarray
+    place: np.ndarray
+    item: np.ndarray
+    short: dict[int, tuple[np.ndarray, np.ndarray]]
+    first: np.ndarray
+
+    @staticmethod
+    def of(texts: list[str | None]) -> Held:
+        h, at = word_hashes(texts)
+        marks, place, item = [], [], []
+        short: dict[int, list[tuple[int, int]]] = {}
+        first = []
+        for i, (a, b) in enumerate(zip(at[:-1], at[1:])):
+            if b - a >= PASSAGE:
+                g = grams(h[a:b], GRAM)
+                p = winnowed(g)
+                marks.append(g[p])
+                place.append(p + a)
+                item.append(np.full(len(p), i))
+            elif b > a:
+                short.setdefault(int(b - a), []).append((int(grams(h[a:b], int(b - a))[0]), i))
+                first.append(h[a])
+        marks, place, item = (np.concatenate(x) if x else np.empty(0, kind) for x, kind in ((marks, np.uint64), (place, np.int64), (item, np.int64)))
+        order = np.argsort(marks, kind="stable")
+        whole = {n: sorted(rows) for n, rows in short.items()}
+        return Held(h, at, marks[order], place[order], item[order], {n: (np.array([x for x, _ in r], np.uint64), np.array([i for _, i in r], np.int64)) for n, r in whole.items()}, np.unique(np.array(first, np.uint64)))
+
+    def found(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(text, item): which of the texts holds a passage of which item, each pair once."""
+        h, at = word_hashes(texts)
+        docs, items = [], []
+        owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
+        g = grams(h, GRAM)
+        p = winnowed(g)
+        i, lo, hi = _among(self.marks, g[p])
+        n, m = _expand(lo, hi)
+        p = p[i][n]
+        for a in range(0, len(p), 1 << 20):  # a hot gram has many hits
+            d, x = p[a : a + (1 << 20)], m[a : a + (1 << 20)]
+            long = self._extended(h, at, owner, d, x) >= PASSAGE
+            docs.append(owner[d[long]])
+            items.append(self.item[x[long]])
+        starts = np.flatnonzero(np.isin(h, self.first)) if self.short else np.empty(0, np.int64)
+        for n, (marks, of) in self.short.items():
+            s = starts[starts + n <= at[1:][owner[starts]]] if len(starts) else starts
+            i, lo, hi = _among(marks, grams_at(h, s, n))
+            k, m = _expand(lo, hi)
+            docs.append(owner[s[i][k]])
+            items.append(of[m])
+        both = np.unique(np.stack([np.concatenate(docs or [np.empty(0, np.int64)]), np.concatenate(items or [np.empty(0, np.int64)])]), axis=1)
+        return both[0], both[1]
+
+    def _extended(self, h: np.ndarray, at: np.ndarray, owner: np.ndarray, d: np.ndarray, m: np.ndarray) -> np.ndarray:
+        """Words that text and item share in a row around each hit of gram m at place d; 0 where the gram's words differ."""
+        q, item, doc = self.place[m], self.item[m], owner[d]
+        d_from, d_to, q_from, q_to = at[doc], at[doc + 1], self.at[item], self.at[item + 1]
+
+        def same(by: int) -> np.ndarray:
+            x, y = d + by, q + by
+            inside = (x >= d_from) & (x < d_to) & (y >= q_from) & (y < q_to)
+            return inside & (h[np.where(inside, x, 0)] == self.h[np.where(inside, y, 0)])
+
+        total = np.full(len(d), GRAM)
+        for j in range(GRAM):
+            total[~same(j)] = 0
+        for way in (-1, 1):
+            on = total > 0
+            for j in range(1, PASSAGE - GRAM + 1):
+                on &= same(way * j + (GRAM - 1 if way > 0 else 0))
+                total += on
+        return total
+
+
+def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", held_bytes: int = HELD_BYTES) -> DataFrame:
     """doc_id, item_id: documents and the evaluation items of which each holds a passage.
 
     A passage is twelve consecutive words of the item, or the whole item if it has fewer. Winnowed
-    fingerprints of both sides are joined; every hit is extended word by word on the whole texts, so
-    the result is exact. Null, empty and wordless texts hold nothing and leak nothing; repeated
-    texts each count. Evaluation texts up to held_limit characters are held by every task and one
-    pass over the documents suffices, without a shuffle; beyond, both sides' fingerprints are joined
-    by hash and the candidates meet their texts again by key.
+    fingerprints of both sides meet by hash with their places, and every hit is extended word by word
+    to both sides (words are compared by 64-bit hashes); items below twelve words are met by a hash of
+    their whole. Null, empty and wordless texts hold nothing and leak nothing; rows without id are
+    left out; repeated texts each count; ids are of any type.
+
+    The evaluation side is a query set that all rows are scanned against, in blocks of at most about
+    held_bytes of fingerprints (by hash of the id; a single longer text is a block of its own size):
+    one pass over the documents a block, without a shuffle, and no hot gram gathers rows in one task.
     """
     items = items.where(F.col(text).isNotNull() & F.col(item_id).isNotNull()).select(F.col(item_id).alias("i"), F.col(text).alias("t"))
     docs = docs.where(F.col(text).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("d"), F.col(text).alias("t"))
-    size = items.agg(F.sum(F.length("t").cast("long")).alias("n")).first()["n"] or 0
-    found = _held(docs, items) if size <= held_limit else _joined(docs, items)
+    # A word takes at most 8 bytes as a hash and, in half of all places, 24 as a fingerprint; two characters a word at least.
+    size = 10 * (items.agg(F.sum(F.length("t").cast("long")).alias("n")).first()["n"] or 0)
+    blocks = max(1, -(-size // held_bytes))
+    found = None
+    for b in range(blocks):
+        own = _scanned(docs, items if blocks == 1 else items.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b))
+        found = own if found is None else found.unionByName(own)
     return found.select(F.col("d").alias(doc_id), F.col("i").alias(item_id))
 
 
-def _held(docs: DataFrame, items: DataFrame) -> DataFrame:
-    rows = items.collect()
-    ids = [r["i"] for r in rows]
-    text_words = [words(r["t"]) for r in rows]
-    k, window = scheme(map(len, text_words))
-    memo: dict[str, int] = {}
-    of: dict[int, list[int]] = {}
-    for n, ws in enumerate(text_words):
-        for f in winnow(grams(_hashes(ws, memo), k), window):
-            of.setdefault(int(f), []).append(n)
-    sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast((ids, text_words, of, np.array(sorted(of), np.uint64)))
+def _scanned(docs: DataFrame, items: DataFrame) -> DataFrame:
+    rows = items.toArrow()
+    shared = docs.sparkSession.sparkContext.broadcast((rows.column("i").combine_chunks(), Held.of(rows.column("t").to_pylist())))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, text_words, of, marks = shared.value
-        memo: dict[str, int] = {}
+        ids, held = shared.value
         for b in batches:
-            d_out, i_out = [], []
-            for d, t in zip(b.column("d").to_pylist(), b.column("t")):
-                ws = words(t.as_py())
-                prints = winnow(grams(_hashes(ws, memo), k), window)
-                if not len(prints) or not len(marks):
-                    continue
-                at = np.minimum(np.searchsorted(marks, prints), len(marks) - 1)
-                hits = {n for f in prints[marks[at] == prints] for n in of[int(f)]}
-                for n in sorted(hits):
-                    if holds(ws, text_words[n]):
-                        d_out.append(d)
-                        i_out.append(ids[n])
-            yield pa.RecordBatch.from_pydict({"d": pa.array(d_out, pa.int64()), "i": pa.array(i_out, pa.int64())})
-
-    return docs.mapInArrow(scan, "d long, i long")
-
-
-def _prints(df: DataFrame, key: str, k: int, window: int) -> DataFrame:
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[str, int] = {}
-        for b in batches:
-            keys, out = [], []
-            for x, t in zip(b.column(key).to_pylist(), b.column("t")):
-                f = winnow(grams(_hashes(words(t.as_py()), memo), k), window)
-                keys += [x] * len(f)
-                out.append(f.view(np.int64))
-            yield pa.RecordBatch.from_pydict({key: pa.array(keys, pa.int64()), "f": pa.array(np.concatenate(out) if out else np.empty(0, np.int64))})
-
-    return df.mapInArrow(scan, f"{key} long, f long")
-
-
-def _joined(docs: DataFrame, items: DataFrame) -> DataFrame:
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_pydict({"n": pa.array([len(words(t.as_py())) for t in b.column("t")], pa.int64())})
-
-    shortest = items.mapInArrow(count, "n long").where("n > 0").agg(F.min("n").alias("n")).first()["n"]
-    k, window = scheme([shortest or PASSAGE])
-    pairs = _prints(docs, "d", k, window).join(_prints(items, "i", k, window), "f").select("d", "i").distinct()
-    both = pairs.join(docs, "d").join(items.withColumnRenamed("t", "it"), "i")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = [holds(words(t.as_py()), words(u.as_py())) for t, u in zip(b.column("t"), b.column("it"))]
-            yield pa.RecordBatch.from_arrays([b.column("d"), b.column("i")], ["d", "i"]).filter(pa.array(keep, pa.bool_()))
-
-    return both.select("d", "i", "t", "it").mapInArrow(verify, "d long, i long")
+            upto, chars, texts = 0, 0, []
+            for n, t in enumerate(b.column("t").to_pylist(), 1):
+                texts.append(t)
+                chars += len(t)
+                if n == b.num_rows or chars > SCAN_CHARS:
+                    d, i = held.found(texts)
+                    yield pa.RecordBatch.from_arrays([b.column("d").take(pa.array(d + upto)), ids.take(pa.array(i))], ["d", "i"])
+                    upto, chars, texts = n, 0, []
+
+    return docs.mapInArrow(scan, f"d {dict(docs.dtypes)['d']}, i {dict(items.dtypes)['i']}")
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:

@@ -86,21 +86,34 @@ def test_leaks(spark):
     it = spark.createDataFrame([(i, t, "x") for i, t in enumerate(items)], "item_id long, text string, d string")
     want = brute(texts, items)
     assert {0, 2, 3, 4, 5, 6, 7, 14, 15} == {a for a, b in want if b == 0} and (13, 4) in want and (1, 0) not in want
-    for limit in (10**6, 0):
-        assert {tuple(r) for r in winnow.leaks(d, it, held_limit=limit).collect()} == want
+    for held in (winnow.HELD_BYTES, 1500):
+        rows = winnow.leaks(d, it, held_bytes=held).collect()
+        assert {tuple(r) for r in rows} == want and len(rows) == len(want)
+    keyed = winnow.leaks(d.withColumn("doc_id", F.concat(F.lit("d"), "doc_id")), it.withColumn("item_id", F.concat(F.lit("i"), "item_id")))
+    assert {tuple(r) for r in keyed.collect()} == {(f"d{a}", f"i{b}") for a, b in want}
     assert winnow.leaks(d, it.limit(0)).collect() == [] and winnow.leaks(d.limit(0), it).collect() == []
 
 
-def test_guarantee_of_the_windows():
+def test_passages_of_random_words_against_brute_force():
     rnd = random.Random(2)
-    vocab = [f"w{i}" for i in range(12)]
-    for _ in range(200):
-        k, window = winnow.scheme([rnd.randrange(3, 20)])
-        span = [rnd.choice(vocab) for _ in range(k + window - 1)]
-        side = lambda: [rnd.choice(vocab) for _ in range(rnd.randrange(30))]
-        a, b = side() + span + side(), side() + span + side()
-        f = lambda ws: set(winnow.winnow(winnow.grams(winnow._hashes(ws, {}), k), window).tolist())
-        assert f(a) & f(b)
+    for vocabulary in (2, 5, 40):
+        word = lambda: f"w{rnd.randrange(vocabulary)}"  # noqa: E731,B023
+        items = [" ".join(word() for _ in range(rnd.choice([1, 3, 11, 12, 13, 30]))) for _ in range(12)]
+        texts = [" ".join(word() for _ in range(rnd.randrange(60))) for _ in range(40)]
+        for i, x in enumerate(items):
+            w = x.split()
+            at = rnd.randrange(max(1, len(w) - 11))
+            texts.append(" ".join([word() for _ in range(rnd.randrange(9))] + w[at : at + rnd.choice([11, 12])] + [word() for _ in range(i)]))
+        d, i = winnow.Held.of(items).found(texts)
+        assert set(zip(d.tolist(), i.tolist())) == brute(texts, items)
+
+
+def test_winnowed_places_are_those_of_the_smallest():
+    rnd = random.Random(3)
+    for n in (0, 1, 5, 9, 10, 50):
+        g = winnow.np.array([rnd.randrange(1, 12) for _ in range(n)], winnow.np.uint64)
+        want = {i for j in range(max(1, n - 8)) for i in range(j, min(j + 9, n)) if g[i] == min(g[j : j + 9])} if n else set()
+        assert set(winnow.winnowed(g).tolist()) == want
 
 
 # --- garbled texts --------------------------------------------------------------------------------
