@@ -1,7 +1,7 @@
 """Normal names: one spelling for every way a category or tag is written.
 
 The reference table of names is a small dimension. It is read to the driver only behind a
-check of its row count; above the limit `resolve_column` joins instead.
+check of its row count (`load_names`); tables of any size are joined by `resolve_column`.
 """
 
 from __future__ import annotations
@@ -54,12 +54,27 @@ class Names:
         return F.create_map(*[F.lit(x) for kv in sorted(self.code_of.items()) for x in (kv[0], kv[1])])
 
 
+def spellings(ref: DataFrame, name: str = "category", synonyms: str = "synonyms") -> DataFrame:
+    """spelling (squeezed, unique), name: a spelling of a name goes before one of a synonym."""
+    own = ref.where(F.col(name).isNotNull()).select(squeeze(name).alias("spelling"), F.col(name).alias("name"), F.lit(0).alias("by"))
+    more = ref.where(F.col(name).isNotNull()).select(F.explode(synonyms).alias("s"), F.col(name).alias("name"))
+    both = own.unionByName(more.select(squeeze("s").alias("spelling"), "name", F.lit(1).alias("by"))).where("spelling <> ''")
+    # Of several names with one spelling the last in order counts, as in load_names.
+    return both.groupBy("spelling").agg(F.max_by("name", F.struct(-F.col("by"), F.col("name"))).alias("name"))
+
+
+def resolve_column(df: DataFrame, column: str, ref: DataFrame, out: str, name: str = "category", synonyms: str = "synonyms") -> DataFrame:
+    """df with `out`, the normal name of `column` or null, by a join: for reference tables of any size."""
+    s = spellings(ref, name, synonyms).select(F.col("spelling").alias("_spelling"), F.col("name").alias(out))
+    return df.withColumn("_spelling", squeeze(column)).join(s, "_spelling", "left").drop("_spelling")
+
+
 def load_names(ref: DataFrame, name: str = "category", synonyms: str = "synonyms") -> Names:
     """Names of the reference table `ref`; a spelling of a name goes before one of a synonym."""
     extra = [c for c in ref.columns if c not in (name, synonyms)]
     rows = ref.select(name, synonyms, *extra).limit(MAX_NAMES + 1).collect()
     if len(rows) > MAX_NAMES:
-        raise ValueError(f"more than {MAX_NAMES} names: join on squeeze() instead of loading them")
+        raise ValueError(f"more than {MAX_NAMES} names: join them by resolve_column instead of loading them")
     rows = sorted((r for r in rows if r[name] is not None), key=lambda r: r[name])
     names = list(dict.fromkeys(r[name] for r in rows))
     place = {n: i for i, n in enumerate(names)}

@@ -56,3 +56,23 @@ def smallest(df: DataFrame, order: str, tie: str, n: int, steps: int = 4096) ->
         return inside
     at_edge = df.where(F.col("_slice") == edge).orderBy(order, tie).limit(left).drop("_slice")
     return inside.unionByName(at_edge)
+
+
+def smallest_per_group(df: DataFrame, group: str, order: str, tie: str, limits: DataFrame, limit: str, steps: int = 64) -> DataFrame:
+    """Of each group of `limits` (group, limit) the `limit` rows with the smallest positive double
+    `order` (ties: smaller `tie`); other groups give none.
+
+    As in `smallest`, groups are cut into slices of equal width of log2(order) and counted with
+    map-side combine; running sums over a group's slices tell which slices pass as a whole, and only
+    the slice that holds a group's last row is ranked, by itself. A hot group is never in one task.
+    """
+    slice_ = F.floor(F.log2(F.greatest(F.col(order), F.lit(1e-300))) * steps)
+    rows = df.withColumn("_slice", slice_)
+    sizes = rows.groupBy(group, "_slice").agg(F.count(F.lit(1)).alias("_rows"))
+    before = Window.partitionBy(group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
+    need = sizes.join(limits, group).where(F.col("_before") < F.col(limit))
+    need = need.select(group, "_slice", (F.col(limit) - F.col("_before")).alias("_left"), (F.col(limit) - F.col("_before") < F.col("_rows")).alias("_edge"))
+    met = rows.join(need, [group, "_slice"])
+    at_edge = met.where("_edge").withColumn("_r", F.row_number().over(Window.partitionBy(group, "_slice").orderBy(order, tie))).where("_r <= _left").drop("_r")
+    return met.where("not _edge").unionByName(at_edge).drop("_slice", "_left", "_edge")

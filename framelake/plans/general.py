@@ -66,21 +66,26 @@ def _image_areas(spark: SparkSession, d: str, names) -> DataFrame:
     return live.where("area is not null and code is not null").select("image_id", "area", "code")
 
 
+def _name_side(spark: SparkSession, names, *columns: str) -> DataFrame:
+    """The matching side of the per-key queries: code, key_name and further columns of the names."""
+    kinds = ", ".join(["code int", "key_name string", *[f"{c} string" for c in columns]])
+    return spark.createDataFrame([(i, n, *(names.columns[c][i] for c in columns)) for i, n in enumerate(names.names)], kinds)
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     names = load_names(table(spark, d, "category_ref"))
-    n = tasks_of(spark)
-    tags = top_per_key(_detection_tags(spark, d, names), "code", "conf", "detection_id", 3, n, _tag_loads(spark, d, names))
-    cats = top_per_key(_image_areas(spark, d, names), "code", "area", "image_id", 3, n, table(spark, d, "image").select(names.code("category").alias("code")))
-    tags = tags.select(F.lit("tag").alias("field_name"), names.name("code").alias("key_name"), F.col("detection_id").alias("row_id"))
-    cats = cats.select(F.lit("category").alias("field_name"), names.name("code").alias("key_name"), F.col("image_id").alias("row_id"))
+    n, side = tasks_of(spark), _name_side(spark, names)
+    tags = top_per_key(_detection_tags(spark, d, names), "code", "conf", "detection_id", 3, side, n, _tag_loads(spark, d, names))
+    cats = top_per_key(_image_areas(spark, d, names), "code", "area", "image_id", 3, side, n, table(spark, d, "image").select(names.code("category").alias("code")))
+    tags = tags.select(F.lit("tag").alias("field_name"), "key_name", F.col("detection_id").alias("row_id"))
+    cats = cats.select(F.lit("category").alias("field_name"), "key_name", F.col("image_id").alias("row_id"))
     return tags.unionByName(cats)
 
 
 def p6_tag_profile(spark: SparkSession, d: str) -> DataFrame:
     """Confidence statistics of every tag beside the kind of its name."""
     names = load_names(table(spark, d, "category_ref"))
-    side = spark.createDataFrame([(i, n, k) for i, (n, k) in enumerate(zip(names.names, names.columns["kind"]))], "code int, key_name string, kind string")
-    out = profile_per_key(_detection_tags(spark, d, names), "code", "detection_id", "conf", side, tasks_of(spark), _tag_loads(spark, d, names))
+    out = profile_per_key(_detection_tags(spark, d, names), "code", "detection_id", "conf", _name_side(spark, names, "kind"), tasks_of(spark), _tag_loads(spark, d, names))
     return out.select("key_name", "kind", "rows", F.round("mean", 6).alias("mean_conf"), F.round("lowest", 6).alias("lowest_conf"), F.round("highest", 6).alias("highest_conf"))
 
 

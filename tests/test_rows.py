@@ -2,9 +2,9 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from framelake.functions.names import load_names, split_of, squeeze
+from framelake.functions.names import load_names, resolve_column, split_of
 from framelake.operators.live import latest
-from framelake.operators.selection import hash_rank, smallest
+from framelake.operators.selection import hash_rank, smallest, smallest_per_group
 
 
 def test_latest(spark):
@@ -45,3 +45,24 @@ def test_smallest(spark):
     for n in (0, 1, 13, 250, 499, 500, 900):
         want = sorted((((i * 37 % 101) + 1) / 7.0, i) for i in range(500))[:n]
         assert sorted((r["k"], r["id"]) for r in smallest(df, "k", "id", n).collect()) == want
+
+
+def test_smallest_per_group(spark):
+    rows = [(g, i, ((i * 37 % 101) + 1) / 7.0) for g in "abc" for i in range(300 if g == "a" else 40)]
+    df = spark.createDataFrame(rows, "g string, id int, k double")
+    limits = {"a": 133, "b": 100, "d": 5}
+    got = smallest_per_group(df, "g", "k", "id", spark.createDataFrame(list(limits.items()), "g string, n int"), "n").select("g", "k", "id")
+    want = [(g, k, i) for g, n in limits.items() for k, i in sorted((k, i) for h, i, k in rows if h == g)[:n]]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_more_names_than_may_be_loaded(spark):
+    names = [f"thing {i}" for i in range(20_500)]
+    ref = spark.createDataFrame([(n, [f"syn-{i}", "shared"] if i % 2 else None) for i, n in enumerate(names)] + [(None, ["x"])], "category string, synonyms array<string>")
+    df = spark.createDataFrame([("THING_7", 1), ("Syn 9", 2), ("shared", 3), ("none", 4), (None, 5)], "t string, name int")
+    got = {r["name"]: r["n"] for r in resolve_column(df, "t", ref, "n").collect()}
+    assert got == {1: "thing 7", 2: "thing 9", 3: max(n for i, n in enumerate(names) if i % 2), 4: None, 5: None}
+    few = ref.where("category is null or category < 'thing 2'")
+    loaded = load_names(few)
+    same = resolve_column(df.select("t", "name", loaded.name(loaded.code("t")).alias("loaded")), "t", few, "n")
+    assert all(r["n"] == r["loaded"] for r in same.collect())

@@ -1,7 +1,7 @@
 import random
 from collections import defaultdict
 
-from framelake.operators.skew import plan_shards, profile_per_key, top_per_key
+from framelake.operators.skew import matched, plan_shards, profile_per_key, replicate, top_per_key
 
 
 def data(n=3000):
@@ -14,12 +14,14 @@ def test_top_per_key(spark):
     rows = data()
     rows += rows[:50]  # repeats
     df = spark.createDataFrame(rows, "k string, id long, v double, _key string")
-    got = {tuple(r) for r in top_per_key(df, "k", "v", "id", 3, 5).collect()}
+    side = spark.createDataFrame([(k, k.upper()) for k in ("hot", "b", "c", "none")], "k string, v string")  # a clashing name
+    got = [tuple(r) for r in top_per_key(df, "k", "v", "id", 3, side.withColumnRenamed("v", "label"), 5).collect()]
+    assert len(got) == len(set(got)) and sorted(tuple(r) for r in top_per_key(df, "k", "v", "id", 3, side, 5).collect()) == sorted(got)
     by = defaultdict(set)
     for k, i, v, _ in rows:
-        if k is not None and v is not None and v == v:
+        if k in ("hot", "b", "c") and v is not None and v == v:
             by[k].add((-v, i))
-    assert got == {(k, i, -v) for k, s in by.items() for v, i in sorted(s)[:3]}
+    assert set(got) == {(k, k.upper(), i, -v) for k, s in by.items() for v, i in sorted(s)[:3]}
 
 
 def test_plan_is_level(spark):
@@ -44,4 +46,17 @@ def test_profile_per_key(spark):
 
 def test_empty(spark):
     df = spark.createDataFrame([], "k string, id long, v double")
-    assert top_per_key(df, "k", "v", "id", 3, 4).collect() == []
+    side = spark.createDataFrame([("a", "A")], "k string, label string")
+    assert top_per_key(df, "k", "v", "id", 3, side, 4).collect() == []
+    assert top_per_key(spark.createDataFrame([("a", 1, 0.5)], "k string, id long, v double"), "k", "v", "id", 3, side.limit(0), 4).collect() == []
+
+
+def test_sides_meet_rows_where_they_lie(spark):
+    df = spark.createDataFrame(data(), "k string, id long, v double, x string")
+    plan = plan_shards(df, "k", 6)
+    side = spark.createDataFrame([("hot", "H"), ("b", "B"), ("e", "E")], "k string, label string")
+    met = matched(df, side, "k", "id", plan)
+    assert met.count() == df.where("k in ('hot', 'b')").count()
+    assert met.where("k = 'hot'").select("_task").distinct().count() == len(set(plan.places["hot"]))
+    copies = replicate(side, "k", plan).groupBy("k").count().collect()
+    assert {r["k"]: r["count"] for r in copies} == {"hot": len(plan.places["hot"]), "b": len(plan.places.get("b", [0])), "e": 1}
