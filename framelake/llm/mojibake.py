@@ -11,7 +11,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelake.session import cut
@@ -37,6 +37,12 @@ MARGIN = 1.0
 OTHER_SWAP = 6.0
 #: Evidence (in nats) against a word in capitals that only its small letters speak for.
 CAPITALS = 3.0
+#: Sources are learned apart in this many classes, by hash: one each unless there are thousands.
+CLASSES = 4096
+#: Nats by which a form may lie below the word as it stands and still be kept in mind.
+FAR = 40.0
+#: Bytes of restored forms that may be broadcast to the documents.
+SENT_BYTES = 8 << 20
 #: White space between words that no misreading yields.
 BLANKS = " \n\t\r"
 LOST = "�"
@@ -205,6 +211,9 @@ class Bigrams:
 
         self.known: dict[str, float] = {}
 
+    def tables(self) -> tuple[np.ndarray, np.ndarray]:
+        return self.pairs.astype(np.float32), self.chars.astype(np.float32)
+
     def _pair(self, pair: str) -> float:
         before, after = self.chars[ord(pair[0]) % CHARS], self.chars[ord(pair[1]) % CHARS]
         return math.log((self.pairs[_place(pair)] + 2 * (after + 0.1) / self.total) / (before + 2))
@@ -243,63 +252,100 @@ def _in_capitals(token: str) -> bool:
     return token.isupper() and sum("A" <= ch <= "Z" for ch in token) >= 3
 
 
-def _tokens(docs: DataFrame) -> DataFrame:
-    """token, n, by: words with a character beyond ASCII, and in how many documents, in all and by source."""
-    words = F.explode(F.array_distinct(F.split("text", f"[{BLANKS}]+"))).alias("token")
-    rows = docs.where(F.col("text").rlike(r"[^\x00-\x7F]")).select(F.coalesce("source", F.lit("")).alias("source"), words)
-    by = rows.where(F.col("token").rlike(r"[^\x00-\x7F]")).groupBy("source", "token").agg(F.count(F.lit(1)).alias("n"))
-    return by.groupBy("token").agg(F.sum("n").alias("n"), F.collect_list(F.struct("source", "n")).alias("by"))
+def _source_class(source: Column) -> Column:
+    return F.pmod(F.xxhash64(F.coalesce(source, F.lit(""))), F.lit(CLASSES)).cast("int")
+
+
+_ODD = r"[^\x00-\x7F]"
+
+
+def _odd_words(text: Column | str) -> Column:
+    """Distinct words of a text with a character beyond ASCII."""
+    return F.filter(F.array_distinct(F.split(text, f"[{BLANKS}]+")), lambda w: w.rlike(_ODD))
+
+
+def _tokens(odd: DataFrame) -> DataFrame:
+    """token, n, by: words with a character beyond ASCII, and in how many documents, in all and by class of sources (at most CLASSES)."""
+    rows = odd.select("cls", F.explode(_odd_words("text")).alias("token"))
+    by = rows.groupBy("cls", "token").agg(F.count(F.lit(1)).alias("n"))
+    return by.groupBy("token").agg(F.sum("n").alias("n"), F.collect_list(F.struct("cls", "n")).alias("by"))
+
+
+_WAYS = pa.list_(pa.struct([("s", pa.string()), ("hows", pa.list_(pa.string()))]))
+_TOKEN = "token string, n long, by array<struct<cls:int,n:long>>, c array<struct<s:string,hows:array<string>>>"
 
 
-def _with_candidates(tokens: DataFrame) -> DataFrame:
-    kind = pa.list_(pa.struct([("s", pa.string()), ("hows", pa.list_(pa.string()))]))
+def _with_candidates(tokens: DataFrame, model: Model) -> DataFrame:
+    """Adds c: the forms of each word that are not FAR less likely than the word itself."""
+    known = tokens.sparkSession.sparkContext.broadcast(model.bigrams.tables())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        b2 = Bigrams(*known.value)
         for b in batches:
-            c = [[] if is_blank(t) else [{"s": s, "hows": h} for s, h in candidates(t)] for t in b.column("token").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(c, kind)], [*b.schema.names, "c"])
+            c = []
+            for t in b.column("token").to_pylist():
+                ways = [] if is_blank(t) else candidates(t)
+                least = b2.log_without(t, 1.0) - FAR if ways else 0.0
+                c.append([{"s": s, "hows": h} for s, h in ways if b2.log(s) > least])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(c, _WAYS)], [*b.schema.names, "c"])
 
-    return tokens.mapInArrow(run, "token string, n long, by array<struct<source:string,n:long>>, c array<struct<s:string,hows:array<string>>>")
+    return tokens.mapInArrow(run, _TOKEN)
 
 
 class Model:
-    """What expectation-maximization learns: bigrams, and by source how often each swap occurs."""
+    """What expectation-maximization learns: bigrams, and by class of sources how often each swap occurs."""
 
-    def __init__(self, bigrams: Bigrams | None, share: dict[str, dict[str, float]]):
+    def __init__(self, bigrams: Bigrams | None, share: dict[int, dict[str, float]]):
         self.bigrams, self.share = bigrams, share
-
-        self.known: dict[tuple[str, str], float] = {}
-
-    def prior(self, source: str, how: str) -> float:
-        v = self.known.get((source, how))
+        self.every: dict[str, float] = {}
+        for own in share.values():
+            for how, w in own.items():
+                self.every[how] = self.every.get(how, 0.0) + w
+        self.total = sum(self.every.values())
+        self.known: dict[tuple[int, str], float] = {}
+
+    def prior(self, cls: int, how: str) -> float:
+        v = self.known.get((cls, how))
         if v is None:
-            v = self.known[source, how] = self._prior(source, how)
+            v = self.known[cls, how] = self._prior(cls, how)
         return v
 
-    def _prior(self, source: str, how: str) -> float:
-        s = self.share.get(source)
+    def _prior(self, cls: int, how: str) -> float:
+        s = self.share.get(cls)
         total = sum(s.values()) if s else 0.0
-        everywhere = self.share.get("*", {})
-        base = (everywhere.get(how, 0.0) + 0.02) / (sum(everywhere.values()) + 50)
+        base = (self.every.get(how, 0.0) + 0.02) / (self.total + 50)
         if how == KEEP:
             base = 0.95
         own = (s.get(how, 0.0) if s else 0.0) + 200 * base
         return math.log(own / (total + 200))
 
 
-def learn(tokens: DataFrame, rounds: int = ROUNDS) -> Model:
-    """Expectation-maximization over the words with characters beyond ASCII.
+def learn(tokens: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, Model]:
+    """(words with their candidate forms, model): expectation-maximization over the words with
+    characters beyond ASCII.
 
-    E-step: the posterior of each swap for each word, from the bigrams of its restored form and the
-    swap's share in the source. M-step: bigrams of the restored forms and the swaps' shares, weighted
-    by the posteriors. Words are counted over all documents before; the tables that come to the
-    driver have fixed sizes (2**20 bigram places, 2**16 characters, swaps by source).
+    First all words as they stand are counted. Words that no swap could have made (or only into forms
+    far less likely) are certain from then on; only the others take part in the rounds. E-step: the
+    posterior of each swap for each word, from the bigrams of its restored form and the swap's share
+    in the class of sources. M-step: bigrams of the restored forms and the swaps' shares, weighted by
+    the posteriors. The tables that come to the driver have fixed sizes (2**20 bigram places, 2**16
+    characters, swaps by CLASSES).
     """
-    rows = cut(_with_candidates(tokens.repartition(_tasks(tokens), F.xxhash64("token"))))
-    model = Model(None, {})
-    for _ in range(rounds):
-        model = _round(rows, model)
-    return model
+    tokens = cut(tokens.repartition(_tasks(tokens), F.xxhash64("token")))
+    plain = Model(None, {})
+    start = _counts(tokens.select("*", F.array().cast("array<struct<s:string,hows:array<string>>>").alias("c")), plain)
+    rows = cut(_with_candidates(tokens, Model(Bigrams(*start[:2]), {})))
+    sure = _counts(rows.where(F.size("c") == 0), plain)
+    open_rows = rows.where(F.size("c") > 0)
+    model = Model(Bigrams(*start[:2]), start[2])
+    for _ in range(rounds - 1):
+        own = _counts(open_rows, model)
+        share = {cls: {**sure[2].get(cls, {})} for cls in {*sure[2], *own[2]}}
+        for cls, hows in own[2].items():
+            for how, w in hows.items():
+                share[cls][how] = share[cls].get(how, 0.0) + w
+        model = Model(Bigrams(sure[0] + own[0], sure[1] + own[1]), share)
+    return rows, model
 
 
 def _tasks(df: DataFrame) -> int:
@@ -308,21 +354,22 @@ def _tasks(df: DataFrame) -> int:
     return max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def _round(rows: DataFrame, model: Model) -> Model:
-    shared = rows.sparkSession.sparkContext.broadcast((model.bigrams and (model.bigrams.pairs, model.bigrams.chars), model.share))
+def _counts(rows: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, dict[int, dict[str, float]]]:
+    """(bigram counts, character counts, weight of each swap by class) that the words' posteriors give."""
+    shared = rows.sparkSession.sparkContext.broadcast((model.bigrams and model.bigrams.tables(), model.share))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, share = shared.value
         m = Model(known and Bigrams(*known), share)
         pairs, chars = np.zeros(PAIRS), np.zeros(CHARS)
-        shares: dict[tuple[str, str], float] = {}
+        shares: dict[tuple[int, str], float] = {}
         for b in batches:
             for token, by, c in zip(*(b.column(x).to_pylist() for x in ("token", "by", "c"))):
                 logs = evidence(m, token, [(x["s"], x["hows"]) for x in c])
                 weights: dict[str, float] = {}
                 for x in by:
-                    for s, how, w in posteriors(m, x["source"], logs):
-                        shares[x["source"], how] = shares.get((x["source"], how), 0.0) + x["n"] * w
+                    for s, how, w in posteriors(m, x["cls"], logs):
+                        shares[x["cls"], how] = shares.get((x["cls"], how), 0.0) + x["n"] * w
                         weights[s] = weights.get(s, 0.0) + x["n"] * w
                 for s, w in weights.items():
                     for place, char in zip(*_pairs(s)):
@@ -330,22 +377,21 @@ def _round(rows: DataFrame, model: Model) -> Model:
                         chars[char] += w
         for kind, a in (("p", pairs), ("c", chars)):
             at = np.flatnonzero(a)
-            yield pa.RecordBatch.from_pydict({"kind": pa.array([kind] * len(at), pa.string()), "at": pa.array(at, pa.int64()), "name": pa.array([""] * len(at), pa.string()), "how": pa.array([""] * len(at), pa.string()), "w": pa.array(a[at], pa.float64())})
+            yield pa.RecordBatch.from_pydict({"kind": pa.array([kind] * len(at), pa.string()), "at": pa.array(at, pa.int64()), "how": pa.array([""] * len(at), pa.string()), "w": pa.array(a[at], pa.float64())})
         ks = list(shares)
-        yield pa.RecordBatch.from_pydict({"kind": pa.array(["s"] * len(ks), pa.string()), "at": pa.array([0] * len(ks), pa.int64()), "name": pa.array([k[0] for k in ks], pa.string()), "how": pa.array([k[1] for k in ks], pa.string()), "w": pa.array([shares[k] for k in ks], pa.float64())})
+        yield pa.RecordBatch.from_pydict({"kind": pa.array(["s"] * len(ks), pa.string()), "at": pa.array([k[0] for k in ks], pa.int64()), "how": pa.array([k[1] for k in ks], pa.string()), "w": pa.array([shares[k] for k in ks], pa.float64())})
 
-    sums = rows.mapInArrow(run, "kind string, at long, name string, how string, w double").groupBy("kind", "at", "name", "how").agg(F.sum("w").alias("w"))
+    sums = rows.mapInArrow(run, "kind string, at long, how string, w double").groupBy("kind", "at", "how").agg(F.sum("w").alias("w"))
     got = sums.toPandas()
     pairs, chars = np.zeros(PAIRS), np.zeros(CHARS)
     for kind, a in (("p", pairs), ("c", chars)):
         part = got[got.kind == kind]
         a[part["at"].to_numpy(np.int64)] = part["w"].to_numpy()
-    share: dict[str, dict[str, float]] = {"*": {}}
+    share: dict[int, dict[str, float]] = {}
     for r in got[got.kind == "s"].itertuples():
-        share.setdefault(r.name, {})[r.how] = r.w
-        share["*"][r.how] = share["*"].get(r.how, 0.0) + r.w
+        share.setdefault(int(r.at), {})[r.how] = r.w
     shared.unpersist()
-    return Model(Bigrams(pairs, chars), share)
+    return pairs, chars, share
 
 
 def evidence(m: Model, token: str, ways: list[tuple[str, list[str]]]) -> list[tuple[str, str, float]]:
@@ -357,7 +403,7 @@ def evidence(m: Model, token: str, ways: list[tuple[str, list[str]]]) -> list[tu
     if m.bigrams is None or not ways:
         return [(token, KEEP, 0.0)]
     out = [(token, KEEP, m.bigrams.log_without(token, 1.0))]
-    least = out[0][2] - 40
+    least = out[0][2] - FAR
     for s, hows in ways:
         p = m.bigrams.log(s)
         if p > least:
@@ -365,70 +411,75 @@ def evidence(m: Model, token: str, ways: list[tuple[str, list[str]]]) -> list[tu
     return out
 
 
-def posteriors(m: Model, source: str, logs: list[tuple[str, str, float]]) -> list[tuple[str, str, float]]:
+def posteriors(m: Model, cls: int, logs: list[tuple[str, str, float]]) -> list[tuple[str, str, float]]:
     """(form, swap, posterior) of all that weigh a thousandth or more."""
     if len(logs) == 1:
         return [(logs[0][0], KEEP, 1.0)]
-    full = [p + m.prior(source, how) for _, how, p in logs]
+    full = [p + m.prior(cls, how) for _, how, p in logs]
     top = max(full)
     e = [(s, how, math.exp(x - top)) for (s, how, _), x in zip(logs, full) if x > top - 12]
     z = sum(x[2] for x in e)
     return [(s, how, x / z) for s, how, x in e if x > 1e-3 * z]
 
 
+Way = tuple[tuple[str, ...], str, float]
+
+
+def ways_of(bigrams: Bigrams, token: str, forms: list[tuple[str, list[str]]]) -> tuple[list[Way], list[Way]]:
+    """(whole, part): (swaps, form, gain in nats) of the forms that are likelier than the word itself.
+
+    part: forms in which only one run of characters beyond ASCII is restored."""
+    own = bigrams.log(token)
+    whole = [(tuple(hows), s, bigrams.log(s) - own) for s, hows in forms]
+    runs, part = list(_RUN.finditer(token)), []
+    if len(runs) > 1:
+        known = {how for _, hows in forms for how in hows}
+        for r in runs:
+            for s, hows in candidates(r[0]):
+                if apt := known.intersection(hows):
+                    form = token[: r.start()] + s + token[r.end() :]
+                    part.append((tuple(sorted(apt)), form, bigrams.log(form) - own))
+    return [w for w in whole if w[2] > 0], [w for w in part if w[2] > 0]
+
+
 class Restorer:
-    """Restores documents by a learned model; remembers what it found for a word."""
+    """Restores documents by a learned model and the ways of their words."""
 
     def __init__(self, model: Model):
-        self.m, self.memo = model, {}
-
-    def ways(self, token: str) -> list[tuple[tuple[str, ...], str, float]]:
-        w = self.memo.get(token)
-        if w is None:
-            c = candidates(token)
-            own = self.m.bigrams.log(token) if c else 0.0
-            w = [(hows, s, self.m.bigrams.log(s) - own) for s, hows in c]
-            if len(self.memo) > 200_000:
-                self.memo.clear()
-            self.memo[token] = w
-        return w
-
-    def restore(self, text: str, source: str) -> tuple[int, str | None, str]:
+        self.m = model
+
+    def restore(self, text: str, cls: int, ways: dict[str, tuple[list[Way], list[Way]]]) -> tuple[int, str | None, str]:
         """(characters of the original that were turned into others, main swap or None, text restored).
 
         The main swap is the one with most evidence over the document; its words need no further
         prior, words of other swaps need the more of it. Lost characters (U+FFFD) count and stay.
         """
         lost = text.count(LOST)
-        if text.isascii():
-            return 0, None, text
         parts = _split(text)
-        keep = self.m.prior(source, KEEP)
+        keep = self.m.prior(cls, KEEP)
         gain: dict[str, float] = {}
         seen = []
         for i, t in enumerate(parts):
-            if t.isascii():
-                continue
-            ways = self.ways(t)
-            if ways:
-                seen.append((i, t, ways))
+            own = ways.get(t)
+            if own:
+                seen.append((i, t, own))
                 best: dict[str, float] = {}
-                for hows, _, g in () if is_blank(t) else ways:
+                for hows, _, g in () if is_blank(t) else own[0]:
                     if g > MARGIN:
                         for how in hows:
                             best[how] = max(best.get(how, 0.0), g - MARGIN)
                 for how, g in best.items():
                     gain[how] = gain.get(how, 0.0) + g
-        total = {how: g + self.m.prior(source, how) - keep for how, g in gain.items()}
+        total = {how: g + self.m.prior(cls, how) - keep for how, g in gain.items()}
         main = max(total, key=lambda h: (total[h], h)) if total else None
         if main is None or total[main] <= 0:
             return lost, None, text
         n = lost
-        for i, t, ways in seen:
+        for i, t, (whole, part) in seen:
             best_g, to = 0.0, None
-            for hows, s, g in [*ways, *self.parts_of(t, ways, main)]:
-                for how in hows if g > 0 else ():
-                    e = g if how == main else g + self.m.prior(source, how) - keep - OTHER_SWAP
+            for hows, s, g in [*whole, *[((main,), s, g) for hows, s, g in part if main in hows]]:
+                for how in hows:
+                    e = g if how == main else g + self.m.prior(cls, how) - keep - OTHER_SWAP
                     if e > best_g:
                         best_g, to = e, (how, s)
             if to:
@@ -436,25 +487,36 @@ class Restorer:
                 n += turned(t, to[1], to[0])
         return n, main, "".join(parts)
 
-    def parts_of(self, token: str, ways: list, main: str) -> list[tuple[tuple[str, ...], str, float]]:
-        """Forms in which only one run of characters beyond ASCII is restored, by the main swap."""
-        runs = list(_RUN.finditer(token))
-        if len(runs) < 2 or not any(main in hows for hows, _, _ in ways):
-            return []
-        own, out = self.m.bigrams.log(token), []
-        for r in runs:
-            for s, hows in candidates(r[0]):
-                if main in hows:
-                    form = token[: r.start()] + s + token[r.end() :]
-                    out.append(((main,), form, self.m.bigrams.log(form) - own))
-        return out
-
 
 def _split(text: str) -> list[str]:
     """Words and the blanks between them, in turn."""
     return re.split(f"([{BLANKS}]+)", text)
 
 
+_WAY = "array<struct<hows:array<string>,s:string,g:double>>"
+
+
+def _ways(rows: DataFrame, model: Model) -> DataFrame:
+    """token, whole, part: the ways of each word that has any."""
+    known = rows.sparkSession.sparkContext.broadcast(model.bigrams.tables())
+    kind = pa.list_(pa.struct([("hows", pa.list_(pa.string())), ("s", pa.string()), ("g", pa.float64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        b2 = Bigrams(*known.value)
+        for b in batches:
+            tokens, whole, part = [], [], []
+            for t, c in zip(b.column("token").to_pylist(), b.column("c").to_pylist()):
+                # Words odd by blanks only bear no witness, but may be restored by what the others say.
+                w, p = ways_of(b2, t, candidates(t) if is_blank(t) else [(x["s"], x["hows"]) for x in c])
+                if w or p:
+                    tokens.append(t)
+                    whole.append([{"hows": h, "s": s, "g": g} for h, s, g in w])
+                    part.append([{"hows": h, "s": s, "g": g} for h, s, g in p])
+            yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.string()), pa.array(whole, kind), pa.array(part, kind)], ["token", "whole", "part"])
+
+    return rows.select("token", "c").mapInArrow(run, f"token string, whole {_WAY}, part {_WAY}")
+
+
 def restored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", least: int = LEAST) -> DataFrame:
     """doc_id, n_turned, swap, restored: documents with at least `least` turned characters.
 
@@ -464,19 +526,29 @@ def restored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source
     Japanese and Chinese encodings, also read wrongly several times). `swap` is null where the
     original is lost (U+FFFD); its text is given as it is. Null and empty texts are never found; a
     null source is a source; repeated rows each count.
+
+    Each distinct word is judged once; documents meet the ways of their words by a join, and only
+    those with a word that may be restored, or with lost characters, are looked at.
     """
-    rows = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("k"), F.col(text).alias("text"), F.coalesce(F.col(source), F.lit("")).alias("source"))
-    model = learn(_tokens(rows))
-    shared = rows.sparkSession.sparkContext.broadcast((model.bigrams.pairs.astype(np.float32), model.bigrams.chars.astype(np.float32), model.share))
+    rows = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("k"), F.col(text).alias("text"), _source_class(F.col(source)).alias("cls"))
+    odd = rows.where(F.col("text").rlike(_ODD)).withColumn("h", F.md5("text"))
+    words, model = learn(_tokens(odd))
+    ways = cut(_ways(words, model))
+    bytes_ = ways.agg(F.sum(F.length("token") + F.length(F.to_json("whole")) + F.length(F.to_json("part"))).alias("n")).first()["n"] or 0
+    of = odd.select("h", F.explode(_odd_words("text")).alias("token")).join(F.broadcast(ways) if bytes_ <= SENT_BYTES else ways, "token")
+    of = of.groupBy("h").agg(F.collect_set(F.struct("token", "whole", "part")).alias("ways"))
+    lost = F.length("text") - F.length(F.replace("text", F.lit(LOST)))
+    met = odd.join(of, "h", "left").where(F.col("ways").isNotNull() | (lost >= least))
+    shared = rows.sparkSession.sparkContext.broadcast(model.share)
     kind = dict(rows.dtypes)["k"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs, chars, share = shared.value
-        r = Restorer(Model(Bigrams(pairs, chars), share))
+        r = Restorer(Model(None, shared.value))
         for b in batches:
             at, n, how, out = [], [], [], []
-            for i, (t, s) in enumerate(zip(b.column("text").to_pylist(), b.column("source").to_pylist())):
-                got = r.restore(t, s)
+            for i, (t, cls, own) in enumerate(zip(*(b.column(x).to_pylist() for x in ("text", "cls", "ways")))):
+                tuples = lambda ws: [(tuple(w["hows"]), w["s"], w["g"]) for w in ws]
+                got = r.restore(t, cls, {w["token"]: (tuples(w["whole"]), tuples(w["part"])) for w in own or []})
                 if got[0] >= least:
                     at.append(i)
                     n.append(got[0])
@@ -485,9 +557,7 @@ def restored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source
             keys = b.column("k").take(pa.array(at, pa.int64()))
             yield pa.RecordBatch.from_arrays([keys, pa.array(n, pa.int32()), pa.array(how, pa.string()), pa.array(out, pa.string())], ["k", "n", "how", "out"])
 
-    # Far more CPU than data: a shuffle of the texts in question keeps all cores busy.
-    odd = rows.where(F.col("text").rlike(r"[^\x00-\x7F]")).repartition(_tasks(rows))
-    found = odd.mapInArrow(run, f"k {kind}, n int, how string, out string")
+    found = met.select("k", "text", "cls", "ways").mapInArrow(run, f"k {kind}, n int, how string, out string")
     return found.select(F.col("k").alias(doc_id), F.col("n").alias("n_turned"), F.col("how").alias("swap"), F.col("out").alias("restored"))
 
 
