@@ -43,57 +43,54 @@ def name_form(name: Column | str) -> tuple[Column, Column, Column]:
     return flat, F.regexp_replace(flat, "([0-9])", "$1$1$1"), F.regexp_replace(flat, "[^0-9]+", "")
 
 
-def _gram(length: Column, piece: int, text: Column) -> Column:
-    """Hash of a piece of a name: where it was cut, what it holds, and what the whole name must agree in."""
-    return F.struct(F.lit(piece).alias("piece"), F.xxhash64("category", "digits", length, F.lit(piece), text).alias("h"))
+def _grams(names: DataFrame, places: list[tuple[int, int, int]]) -> DataFrame:
+    """names with `h`, one row a gram. places: (letters the name is longer than the one that is cut, piece, shift).
 
+    A name of n letters is cut into PIECES at even places; h is a hash of n, the piece's number, its
+    letters, and the category and digits, in which names must agree."""
+    at = F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.lit(i).alias("i"), F.lit(s).alias("s")) for d, i, s in places])).alias("at")
+    rows = names.select("category", "flat", F.xxhash64("category", "digits").alias("seed"), F.length("flat").alias("m"), at)
+    rows = rows.select("category", "flat", "seed", "m", (F.col("m") - F.col("at.d")).alias("n"), F.col("at.i").alias("i"), F.col("at.s").alias("s"))
+    begin, end = F.floor(F.col("n") * F.col("i") / PIECES).cast("int"), F.floor(F.col("n") * (F.col("i") + 1) / PIECES).cast("int")
+    rows = rows.where("n >= 0").select("category", "flat", "seed", "m", "n", "i", (begin + F.col("s")).alias("from"), (end - begin).alias("size"))
+    rows = rows.where((F.col("from") >= 0) & (F.col("from") + F.col("size") <= F.col("m")))
+    return rows.select("category", "flat", F.xxhash64("seed", "n", "i", F.substring(F.col("flat"), F.col("from") + 1, F.col("size"))).alias("h"))
 
-def _cut(length: Column, i: int) -> Column:
-    return F.floor(length * i / PIECES).cast("int")
 
+def held_grams(names: DataFrame) -> DataFrame:
+    """The PIECES grams of every held-out name."""
+    return _grams(names, [(0, i, 0) for i in range(PIECES)])
 
-def held_grams() -> Column:
-    """The PIECES grams of a held-out name: it is cut at even places."""
-    n, flat = F.length("flat"), F.col("flat")
-    return F.array(*[_gram(n, i, F.substring(flat, _cut(n, i) + 1, _cut(n, i + 1) - _cut(n, i))) for i in range(PIECES)])
 
-
-def train_grams() -> Column:
-    """Every gram a held-out name at most LETTERS letters away could share with this name.
+def train_grams(names: DataFrame) -> DataFrame:
+    """Every gram a held-out name at most LETTERS letters away could share with a training name.
 
     For each length such a name may have and each of its pieces: the substrings at the places where
     the piece can stand if the edits before it and after it together are at most LETTERS.
     """
-    flat, m = F.col("flat"), F.length("flat")
-
-    def of_length(delta: int) -> list[Column]:
-        n, out = m - delta, []
+    places = []
+    for d in range(-LETTERS, LETTERS + 1):
         for i in range(PIECES):
-            at, size = _cut(n, i), _cut(n, i + 1) - _cut(n, i)
-            for shift in range(max(-i, delta - (LETTERS - i)), min(i, delta + (LETTERS - i)) + 1):
-                inside = (n >= 0) & (at + shift >= 0) & (at + shift + size <= m)
-                out.append(F.when(inside, _gram(n, i, F.substring(flat, at + shift + 1, size))))
-        return out
-
-    every = [g for delta in range(-LETTERS, LETTERS + 1) for g in of_length(delta)]
-    return F.filter(F.array(*every), lambda g: g.isNotNull())
+            places += [(d, i, s) for s in range(max(-i, d - (LETTERS - i)), min(i, d + (LETTERS - i)) + 1)]
+    return _grams(names, places)
 
 
 def near_names(train: DataFrame, held: DataFrame) -> DataFrame:
     """(category, train_name, held_name, containment) of names that agree up to LETTERS letters.
 
-    Both sides hold distinct (category, flat) with letters and digits. The grams of the held-out names
+    Both sides hold distinct (category, flat) with their digits. The grams of the held-out names
     are partitioned by hash, the training names are scanned for hits, and containment is the share of
     a held-out name's grams that the training name holds; below 1 / PIECES no pair can be near. What
     is left is compared exactly: equal digits in order and at most LETTERS letters wrong, missing or
     extra (digits count threefold, so that an edit of one never passes).
     """
-    t = train.select("category", F.col("flat").alias("train_name"), F.col("letters").alias("tl"), F.col("digits").alias("td"), F.explode(train_grams()).alias("g")).select("*", "g.piece", "g.h")
-    e = held.select(F.col("category").alias("hc"), F.col("flat").alias("held_name"), F.col("letters").alias("hl"), F.col("digits").alias("hd"), F.explode(held_grams()).alias("g")).select("*", "g.h")
-    close = (F.col("category") == F.col("hc")) & (F.col("td") == F.col("hd")) & (F.levenshtein("tl", "hl", LETTERS) >= 0)
-    hits = t.drop("g").join(e.drop("g"), "h").where(close)
-    shared = hits.groupBy("category", "train_name", "held_name").agg(F.count_distinct("piece").alias("k"))
-    return shared.select("category", "train_name", "held_name", (F.col("k") / PIECES).alias("containment"))
+    t = train_grams(train).withColumnRenamed("flat", "train_name")
+    e = held_grams(held).select(F.col("category").alias("hc"), F.col("flat").alias("held_name"), "h")
+    met = t.join(e, "h").where("category = hc").groupBy("category", "train_name", "held_name").agg(F.count_distinct("h").alias("k"))
+    (_, tl, td), (_, hl, hd) = name_form("train_name"), name_form("held_name")
+    # Not as an equality, which the optimizer would take for a join key and compute for every gram.
+    close = (F.levenshtein(td, hd, 0) >= 0) & (F.levenshtein(tl, hl, LETTERS) >= 0)
+    return met.where(close).select("category", "train_name", "held_name", (F.col("k") / PIECES).alias("containment"))
 
 
 def cross_split_pairs(rows: DataFrame, carry: list[str] | None = None) -> DataFrame:
@@ -107,14 +104,14 @@ def cross_split_pairs(rows: DataFrame, carry: list[str] | None = None) -> DataFr
     once: a pair of equal keys is left to the keys.
     """
     carry = carry or []
-    flat, letters, digits = name_form("name")
-    rows = cut(rows.where("split is not null").select("id", "split", "source", "number", "category", flat.alias("flat"), letters.alias("letters"), digits.alias("digits"), *[F.col(c).alias(f"carry_{c}") for c in carry]))
+    flat, _, digits = name_form("name")
+    rows = cut(rows.where("split is not null").select("id", "split", "source", "number", "category", flat.alias("flat"), digits.alias("digits"), *[F.col(c).alias(f"carry_{c}") for c in carry]))
     extra = ["split", *[f"carry_{c}" for c in carry]]
     t, e = rows.where("split = 'train'"), rows.where("split <> 'train'")
     keyed = lambda df, x, *more: df.where("source is not null and number is not null").select(F.col("id").alias(x), "source", "number", *more)
     same = keyed(t, "train_id").join(keyed(e, "held_id", *extra), ["source", "number"]).select("train_id", "held_id", F.lit(1.0).alias("containment"), *extra)
     named = lambda df: df.where("category is not null and flat is not null and flat <> ''")
-    forms = lambda df: named(df).select("category", "flat", "letters", "digits").distinct()
+    forms = lambda df: named(df).select("category", "flat", "digits").distinct()
     near = near_names(forms(t), forms(e))
     key = F.when(F.col("source").isNotNull() & F.col("number").isNotNull(), F.struct("source", "number"))
     members = lambda df, x, n, *more: named(df).select(F.col("id").alias(x), "category", F.col("flat").alias(n), key.alias(f"key_{x}"), *more)

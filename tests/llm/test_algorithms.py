@@ -142,12 +142,34 @@ def test_raked_sample(spark):
     again, _ = raking.matched_sample(df.repartition(7), "id", targets[:5], 600)
     assert {r["id"] for r in again.collect()} == {r["id"] for r in s}
     _, short = raking.matched_sample(df, "id", targets, 3000)
-    bad = {r["key_name"] for r in short.where("available < required").collect()}
-    assert bad == {"none", "rare", "much", "one"}
+    bad = {r["key_name"] for r in short.where("exhausted").collect()}
+    assert bad == {"none", "rare", "much", "one"} == {r["key_name"] for r in short.where("available < required").collect()}
+    assert {(r["sampled"], r["residual"]) for r in short.where("exhausted").collect()} == {(r["available"], r["required"] - r["available"]) for r in short.where("exhausted").collect()}
     e, r0 = raking.matched_sample(df.limit(0), "id", targets, 0)
     assert e.collect() == [] and all(r["available"] == 0 for r in r0.collect())
 
 
+def test_raking_in_tasks_as_on_the_driver(spark, monkeypatch):
+    rnd = random.Random(7)
+    cells = spark.createDataFrame([([rnd.randrange(3), *sorted(rnd.sample([3, 4], rnd.randrange(3)))], rnd.randrange(1, 90)) for _ in range(40)], "ids array<int>, n long")
+    mk = lambda f, p: raking.Target(f, "", 1, p / 1000, p, 0)
+    targets = [mk("category", 300), mk("category", 200), mk("tag", 500), mk("tag", 100)]
+    held = raking.rake(cells, targets)
+    monkeypatch.setattr(raking, "HELD_PROFILES", 0)
+    assert all(abs(a - b) < 1e-9 * a for a, b in zip(held, raking.rake(cells, targets)))
+
+
+def test_significance_never_drops_a_lifted_pair():
+    for n in (20, 100, 10**6):
+        for ab in (5, 6, 9):
+            for a in range(ab, min(n // 3, 60)):
+                b = ab * n // (3 * a)
+                if b >= ab and ab * n >= 3 * a * b and n - a - b + ab >= 0:
+                    k = [[ab, a - ab], [b - ab, n - a - b + ab]]
+                    g = 2 * sum(v * math.log(v * n / (sum(k[i]) * (k[0][j] + k[1][j]))) for i in (0, 1) for j in (0, 1) if (v := k[i][j]))
+                    assert g >= cooccur.SIGNIFICANT
+
+
 def letters(a, b):
     """Edits of letters only; digits are never edited."""
     cost = lambda ch: 9 if ch.isdigit() else 1
@@ -163,10 +185,10 @@ def letters(a, b):
 
 
 def forms(spark, rows):
-    """Distinct (category, flat, letters, digits) of (category, name)."""
-    flat, letters, digits = overlap.name_form("name")
+    """Distinct (category, flat, digits) of (category, name)."""
+    flat, _, digits = overlap.name_form("name")
     df = spark.createDataFrame(rows, "category int, name string")
-    return df.select("category", flat.alias("flat"), letters.alias("letters"), digits.alias("digits")).distinct()
+    return df.select("category", flat.alias("flat"), digits.alias("digits")).distinct()
 
 
 def test_near_names_against_brute_force(spark):
