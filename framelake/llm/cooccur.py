@@ -16,15 +16,20 @@ from framelake.sources.tables import small_enough, table
 
 #: Item that every basket holds; its stripe carries the baskets and each item's frequency.
 EVERY = -1
+#: Log-likelihood ratio that a pair met by chance exceeds in one case of twenty (chi-squared, one degree of freedom).
+SIGNIFICANT = 3.84
+#: Counts that a task holds before it hands its stripes on.
+HELD = 2_000_000
 
 
 def stripes(baskets: DataFrame, items: str) -> DataFrame:
     """item, stripe: map from each neighbour not smaller than the item to the baskets that hold both.
 
     `items` is a list of distinct non-negative ints. A basket adds the items from each of its items on
-    to that item's stripe, a table of counts held by the task (memory: the pairs met, at most vocabulary
-    squared); then the stripes of an item, one a task, are added up key by key. The item itself is its first neighbour (its own frequency); item -1 stands for any
-    basket, so that stripe -1 holds the number of baskets and of baskets with each item.
+    to that item's stripe, a table of counts held by the task; whenever a task holds more than HELD
+    counts, it hands its stripes on and starts anew. Then the stripes of an item are added up key by
+    key. The item itself is its first neighbour (its own frequency); item -1 stands for any basket, so
+    that stripe -1 holds the number of baskets and of baskets with each item.
     """
     own = F.array_sort(F.array_union(F.array(F.lit(EVERY)), F.col(items).cast("array<int>")))
     kinds = pa.schema([("item", pa.int32()), ("stripe", pa.map_(pa.int32(), pa.int64()))])
@@ -35,8 +40,14 @@ def stripes(baskets: DataFrame, items: str) -> DataFrame:
             for s in b.column("s").to_pylist():
                 for i, item in enumerate(s):
                     held[item].update(s[i:])
+            if sum(map(len, held.values())) > HELD:
+                yield handed(held)
+                held.clear()
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array([list(c.items()) for c in held.values()], kinds.field("stripe").type)], schema=kinds)
+            yield handed(held)
+
+    def handed(held: dict[int, Counter]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array([list(c.items()) for c in held.values()], kinds.field("stripe").type)], schema=kinds)
 
     def added(t: pa.Table) -> pa.Table:
         total: Counter = Counter()
@@ -94,9 +105,17 @@ def p3_pairs(spark: SparkSession, d: str) -> DataFrame:
     return out.select(names.name("a").alias("item_a"), names.name("b").alias("item_b"), "n_ab", "n_a", "n_b", F.round("lift", 6).alias("lift"), F.round("llr", 4).alias("llr"))
 
 
+def significant(pairs: DataFrame, least: int, lift: int, llr: float = SIGNIFICANT) -> DataFrame:
+    """Of associations(), pairs met in `least` baskets or more, `lift` times as often as by chance or
+    more, with a log-likelihood ratio of at least llr.
+
+    For 5 baskets and a lift of 3 the ratio is at least 2 * (5 ln 3 - (5 - 5 / 3)) = 4.3, so that every
+    such pair is significant at this level."""
+    big = lambda c: F.col(c).cast("decimal(19,0)")
+    return pairs.where((F.col("llr") >= llr) & (F.col("n_ab") >= least) & (big("n_ab") * big("n") >= lift * big("n_a") * big("n_b")))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     names = load_names(table(spark, d, "category_ref"))
-    out = associations(image_items(spark, d, names), "items")
-    big = lambda c: F.col(c).cast("decimal(19,0)")
-    out = out.where((F.col("n_ab") >= 5) & (big("n_ab") * big("n") >= 3 * big("n_a") * big("n_b")))
+    out = significant(associations(image_items(spark, d, names), "items"), 5, 3)
     return out.select(names.name("a").alias("item_a"), names.name("b").alias("item_b"))

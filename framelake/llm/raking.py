@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelake.functions.names import load_names, squeeze_text
 from framelake.operators.live import latest
-from framelake.operators.selection import smallest, uniform
+from framelake.operators.selection import smallest, smallest_per_group, uniform
 from framelake.session import cut
 from framelake.sources.tables import table
 
@@ -20,8 +20,8 @@ from framelake.sources.tables import table
 SWEEPS, CLOSE = 30, 0.002
 #: No single weight factor leaves this range, so that targets no data can meet do not blow up the rest.
 FACTOR_RANGE = (1e-4, 1e4)
-#: Targets that may be held in one plan.
-MAX_TARGETS = 5_000
+#: Profiles of rows (sets of targets they count for) that the driver rakes by itself; more are raked in tasks.
+HELD_PROFILES = 100_000
 
 
 @dataclass(frozen=True)
@@ -41,9 +41,12 @@ def rake(cells: DataFrame, targets: list[Target], sweeps: int = SWEEPS) -> list[
     its category has no target; n is its rows. One margin is the category with all its targets and
     the rest; each tag is a margin of two values, with and without. A sweep fits the category margin
     exactly and each tag from the same sums; because tags are fitted side by side, their step is
-    damped by a square root. One pass over the cells a sweep, summed in Arrow batches; one sum a
-    target comes to the driver.
+    damped by a square root. One pass over the cells a sweep; one sum a target comes to the driver.
+    Up to HELD_PROFILES cells are fetched once and summed there, by the same code.
     """
+    held = None
+    if cells.limit(HELD_PROFILES + 1).count() <= HELD_PROFILES:
+        held = cells.select("ids", "n").toArrow().combine_chunks().to_batches()
     is_cat = np.array([True] + [t.field == "category" for t in targets])
     live = np.array([True] + [t.code >= 0 and t.share > 0 for t in targets])
     share = np.array([0.0] + [t.share for t in targets])
@@ -51,7 +54,7 @@ def rake(cells: DataFrame, targets: list[Target], sweeps: int = SWEEPS) -> list[
     share[is_cat & live] /= share[is_cat & live].sum()
     factor = np.ones(len(share))
     for _ in range(sweeps):
-        total, got = _margin_sums(cells, factor)
+        total, got = _sums(held, factor) if held is not None else _margin_sums(cells, factor)
         if total <= 0:
             break
         now = got / total
@@ -67,30 +70,29 @@ def rake(cells: DataFrame, targets: list[Target], sweeps: int = SWEEPS) -> list[
     return [float(f) for f in factor]
 
 
-def _margin_sums(cells: DataFrame, factor: np.ndarray) -> tuple[float, np.ndarray]:
+def _sums(batches: Iterable[pa.RecordBatch], factor: np.ndarray) -> tuple[float, np.ndarray]:
+    """Weight of all rows, and of those that count for each target."""
     logs = np.log(factor)
+    sums, total = np.zeros(len(logs)), 0.0
+    for b in batches:
+        ids = b.column("ids")
+        flat = ids.flatten().to_numpy(zero_copy_only=False)
+        sizes = np.diff(ids.offsets.to_numpy())
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        w = np.exp(np.bincount(owner, weights=logs[flat], minlength=len(sizes))) * b.column("n").to_numpy()
+        sums += np.bincount(flat, weights=w[owner], minlength=len(logs))
+        total += float(w.sum())
+    return total, sums
+
 
+def _margin_sums(cells: DataFrame, factor: np.ndarray) -> tuple[float, np.ndarray]:
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, total = np.zeros(len(logs)), 0.0
-        for b in batches:
-            ids = b.column("ids")
-            flat = ids.flatten().to_numpy(zero_copy_only=False)
-            sizes = np.diff(ids.offsets.to_numpy())
-            owner = np.repeat(np.arange(len(sizes)), sizes)
-            w = np.exp(np.bincount(owner, weights=logs[flat], minlength=len(sizes))) * b.column("n").to_numpy()
-            sums += np.bincount(flat, weights=w[owner], minlength=len(logs))
-            total += float(w.sum())
-        yield pa.RecordBatch.from_pydict({"id": pa.array([-1, *range(len(logs))], pa.int32()), "s": pa.array([total, *sums], pa.float64())})
+        total, sums = _sums(batches, factor)
+        yield pa.RecordBatch.from_pydict({"id": pa.array([-1, *range(len(sums))], pa.int32()), "s": pa.array([total, *sums], pa.float64())})
 
     rows = cells.mapInArrow(part, "id int, s double").groupBy("id").agg(F.sum("s").alias("s")).collect()
-    got = np.zeros(len(logs))
-    total = 0.0
-    for r in rows:
-        if r["id"] < 0:
-            total = r["s"]
-        else:
-            got[r["id"]] = r["s"]
-    return total, got
+    got = {r["id"]: r["s"] for r in rows}
+    return got.get(-1, 0.0), np.array([got.get(i, 0.0) for i in range(len(factor))])
 
 
 def target_ids(targets: list[Target]) -> Column:
@@ -106,15 +108,16 @@ def matched_sample(rows: DataFrame, key: str, targets: list[Target], size: int,
     """(sample, report) of rows with `key` (unique), `code` (category or null) and `codes` (tags).
 
     The sample holds the `size` rows with the smallest exponential keys -ln(u) / weight, u a hash of
-    the key: a weighted sample without replacement, the same in every run. Then, for each target with
-    fewer than min_rows rows in it, the next rows with that value are added until the minimum is met
-    or the rows run out (so the sample may exceed `size` by at most the sum of min_rows).
+    the key: a weighted sample without replacement, the same in every run. Then it is repaired: for
+    each target with fewer than min_rows rows in it, the next rows with that value are added until
+    the minimum is met or the rows run out; of a target that all rows together cannot meet, all are
+    taken (so the sample may exceed `size` by at most the sum of the required rows).
 
     The report has one row a target: field_name, key_name, required (max of min_rows and
-    floor(permille * size / 1000)), available (rows that have the value), sampled, and
-    residual = required - sampled where positive; a target with available < required cannot be met.
-    Null categories and empty tag lists take part with weight 1 for those margins. An empty input
-    gives an empty sample and a report of zeros.
+    floor(permille * size / 1000)), available (rows that have the value), sampled, residual =
+    required - sampled where positive, and exhausted: the sample holds every row there is and still
+    falls short, so the target cannot be met. Null categories and empty tag lists take part with
+    weight 1 for those margins. An empty input gives an empty sample and a report of zeros.
     """
     spark = rows.sparkSession
     rows = rows.select(key, "code", "codes", target_ids(targets).alias("ids"))
@@ -122,33 +125,29 @@ def matched_sample(rows: DataFrame, key: str, targets: list[Target], size: int,
     factors = F.array(*[F.lit(f) for f in rake(cells, targets)])
     weight = F.aggregate("ids", F.lit(1.0), lambda w, i: w * F.element_at(factors, i + 1))
     keyed = cut(rows.withColumn("k", -F.ln(uniform(F.col(key), seed=seed)) / weight))
-    chosen = smallest(keyed, "k", key, size)
-    chosen = cut(chosen)
+    chosen = cut(smallest(keyed, "k", key, size))
 
-    counts = {r["i"]: r["m"] for r in chosen.select(F.explode("ids").alias("i")).groupBy("i").agg(F.count(F.lit(1)).alias("m")).collect()}
-    short = [(i, t.min_rows - counts.get(i, 0)) for i, t in enumerate(targets, 1) if t.code >= 0 and counts.get(i, 0) < t.min_rows]
+    count = lambda df, n: {r["i"]: r["m"] for r in df.select(F.explode("ids").alias("i"), n.alias("n")).groupBy("i").agg(F.sum("n").alias("m")).collect()}
+    have, got = count(cells, F.col("n")), count(chosen, F.lit(1))
+    required = {i: max(t.min_rows, t.permille * size // 1000) for i, t in enumerate(targets, 1)}
+    goal = {i: required[i] if have.get(i, 0) < required[i] else t.min_rows for i, t in enumerate(targets, 1)}
+    short = [(i, goal[i] - got.get(i, 0)) for i in goal if min(goal[i], have.get(i, 0)) > got.get(i, 0)]
     sample = chosen
     if short:
-        lacking = F.broadcast(spark.createDataFrame(short, "i int, lack int"))
-        ids = F.array(*[F.lit(i) for i, _ in short])
-        outside = keyed.where(F.arrays_overlap("ids", ids)).join(chosen.select(key), key, "left_anti")
-        outside = outside.select(key, "k", F.explode("ids").alias("i")).join(lacking, "i")
-        place = F.row_number().over(Window.partitionBy("i").orderBy("k", key))
-        added = outside.withColumn("p", place).where("p <= lack").select(key).distinct()
-        sample = cut(chosen.unionByName(keyed.join(F.broadcast(added), key)))
-    have = cells.select(F.explode("ids").alias("i"), "n").groupBy("i").agg(F.sum("n").alias("available"))
-    got = sample.select(F.explode("ids").alias("i")).groupBy("i").agg(F.count(F.lit(1)).alias("sampled"))
-    wish = [(i, t.field, t.key, max(t.min_rows, t.permille * size // 1000)) for i, t in enumerate(targets, 1)]
-    report = F.broadcast(spark.createDataFrame(wish, "i int, field_name string, key_name string, required long")).join(have, "i", "left").join(got, "i", "left")
-    report = report.select("field_name", "key_name", "required", F.coalesce("available", F.lit(0)).alias("available"), F.coalesce("sampled", F.lit(0)).alias("sampled"))
-    report = report.withColumn("residual", F.greatest(F.col("required") - F.col("sampled"), F.lit(0)))
+        lacking = spark.createDataFrame(short, "i int, lack long")
+        outside = keyed.where(F.arrays_overlap("ids", F.array(*[F.lit(i) for i, _ in short]))).join(chosen.select(key), key, "left_anti")
+        outside = outside.select(key, "code", "codes", "ids", "k", F.explode("ids").alias("i"))
+        added = smallest_per_group(outside, "i", "k", key, lacking, "lack").drop("i").dropDuplicates([key])
+        sample = cut(chosen.unionByName(added))
+    got = count(sample, F.lit(1))
+    lines = [(t.field, t.key, required[i], have.get(i, 0), got.get(i, 0), max(0, required[i] - got.get(i, 0)), got.get(i, 0) == have.get(i, 0) and got.get(i, 0) < required[i]) for i, t in enumerate(targets, 1)]
+    report = spark.createDataFrame(lines, "field_name string, key_name string, required long, available long, sampled long, residual long, exhausted boolean")
     return sample.select(key, "code", "codes"), report
 
 
 def read_targets(df: DataFrame, code_of: dict[str, int]) -> list[Target]:
-    rows = df.where("field_name is not null and key_name is not null").limit(MAX_TARGETS + 1).collect()
-    if len(rows) > MAX_TARGETS:
-        raise ValueError(f"more than {MAX_TARGETS} targets")
+    """The targets in order of their names; they are parameters of the plan, held by the driver."""
+    rows = df.where("field_name is not null and key_name is not null").collect()
     rows = sorted(rows, key=lambda r: (r["field_name"], r["key_name"]))
     return [Target(r["field_name"], r["key_name"], code_of.get(squeeze_text(r["key_name"]), -1), (r["target_permille"] or 0) / 1000, r["target_permille"] or 0, r["min_rows"] or 0) for r in rows]
 
@@ -162,9 +161,9 @@ def image_sample(spark: SparkSession, d: str):
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    """Targets that cannot be met, from the report of the sample."""
+    """Targets that cannot be met: the raked and repaired sample holds all their rows and falls short."""
     _, _, report = image_sample(spark, d)
-    return report.where("available < required").select("field_name", "key_name")
+    return report.where("exhausted").select("field_name", "key_name")
 
 
 def p5_report(spark: SparkSession, d: str) -> DataFrame:
