@@ -39,8 +39,9 @@ OTHER_SWAP = 6.0
 CAPITALS = 3.0
 #: Sources are learned apart in this many classes, by hash: one each unless there are thousands.
 CLASSES = 4096
-#: Nats by which a form may lie below the word as it stands and still be kept in mind.
-FAR = 40.0
+#: Nats by which a form may lie below the likeliest one and still be kept in mind: more than what
+#: the prior of a swap (at least 0.02 in all) and OTHER_SWAP can make up for.
+FAR = 25.0
 #: Bytes of restored forms that may be broadcast to the documents.
 SENT_BYTES = 8 << 20
 #: White space between words that no misreading yields.
@@ -264,10 +265,9 @@ def _odd_words(text: Column | str) -> Column:
     return F.filter(F.array_distinct(F.split(text, f"[{BLANKS}]+")), lambda w: w.rlike(_ODD))
 
 
-def _tokens(odd: DataFrame) -> DataFrame:
+def _tokens(said: DataFrame) -> DataFrame:
     """token, n, by: words with a character beyond ASCII, and in how many documents, in all and by class of sources (at most CLASSES)."""
-    rows = odd.select("cls", F.explode(_odd_words("text")).alias("token"))
-    by = rows.groupBy("cls", "token").agg(F.count(F.lit(1)).alias("n"))
+    by = said.groupBy("cls", "token").agg(F.count(F.lit(1)).alias("n"))
     return by.groupBy("token").agg(F.sum("n").alias("n"), F.collect_list(F.struct("cls", "n")).alias("by"))
 
 
@@ -276,7 +276,7 @@ _TOKEN = "token string, n long, by array<struct<cls:int,n:long>>, c array<struct
 
 
 def _with_candidates(tokens: DataFrame, model: Model) -> DataFrame:
-    """Adds c: the forms of each word that are not FAR less likely than the word itself."""
+    """Adds c: the forms of each word that are not FAR less likely than the best one."""
     known = tokens.sparkSession.sparkContext.broadcast(model.bigrams.tables())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,9 +284,9 @@ def _with_candidates(tokens: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             c = []
             for t in b.column("token").to_pylist():
-                ways = [] if is_blank(t) else candidates(t)
-                least = b2.log_without(t, 1.0) - FAR if ways else 0.0
-                c.append([{"s": s, "hows": h} for s, h in ways if b2.log(s) > least])
+                ways = [(s, h, b2.log(s)) for s, h in ([] if is_blank(t) else candidates(t))]
+                least = max([b2.log_without(t, 1.0), *(p for _, _, p in ways)]) - FAR if ways else 0.0
+                c.append([{"s": s, "hows": h} for s, h, p in ways if p > least])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(c, _WAYS)], [*b.schema.names, "c"])
 
     return tokens.mapInArrow(run, _TOKEN)
@@ -328,23 +328,17 @@ def learn(tokens: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, Model]:
     far less likely) are certain from then on; only the others take part in the rounds. E-step: the
     posterior of each swap for each word, from the bigrams of its restored form and the swap's share
     in the class of sources. M-step: bigrams of the restored forms and the swaps' shares, weighted by
-    the posteriors. The tables that come to the driver have fixed sizes (2**20 bigram places, 2**16
-    characters, swaps by CLASSES).
+    the posteriors: what they change against the first count. The tables that come to the driver have
+    fixed sizes (2**20 bigram places, 2**16 characters, swaps by CLASSES).
     """
     tokens = cut(tokens.repartition(_tasks(tokens), F.xxhash64("token")))
-    plain = Model(None, {})
-    start = _counts(tokens.select("*", F.array().cast("array<struct<s:string,hows:array<string>>>").alias("c")), plain)
-    rows = cut(_with_candidates(tokens, Model(Bigrams(*start[:2]), {})))
-    sure = _counts(rows.where(F.size("c") == 0), plain)
-    open_rows = rows.where(F.size("c") > 0)
-    model = Model(Bigrams(*start[:2]), start[2])
+    start = _counts(tokens.select("*", F.lit(None).cast("array<struct<s:string,hows:array<string>>>").alias("c")), Model(None, {}))
+    model = Model(Bigrams(start[0], start[1]), start[2])
+    rows = cut(_with_candidates(tokens, model))
     for _ in range(rounds - 1):
-        own = _counts(open_rows, model)
-        share = {cls: {**sure[2].get(cls, {})} for cls in {*sure[2], *own[2]}}
-        for cls, hows in own[2].items():
-            for how, w in hows.items():
-                share[cls][how] = share[cls].get(how, 0.0) + w
-        model = Model(Bigrams(sure[0] + own[0], sure[1] + own[1]), share)
+        pairs, chars, change = _counts(rows.where(F.size("c") > 0), model)
+        share = {cls: {how: start[2].get(cls, {}).get(how, 0.0) + change.get(cls, {}).get(how, 0.0) for how in {*start[2].get(cls, {}), *change.get(cls, {})}} for cls in {*start[2], *change}}
+        model = Model(Bigrams(start[0] + pairs, start[1] + chars), share)
     return rows, model
 
 
@@ -355,7 +349,8 @@ def _tasks(df: DataFrame) -> int:
 
 
 def _counts(rows: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, dict[int, dict[str, float]]]:
-    """(bigram counts, character counts, weight of each swap by class) that the words' posteriors give."""
+    """(bigram counts, character counts, weight of each swap by class) of the words as they stand where
+    c is null, else what their posteriors change in those."""
     shared = rows.sparkSession.sparkContext.broadcast((model.bigrams and model.bigrams.tables(), model.share))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -365,16 +360,20 @@ def _counts(rows: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, dict
         shares: dict[tuple[int, str], float] = {}
         for b in batches:
             for token, by, c in zip(*(b.column(x).to_pylist() for x in ("token", "by", "c"))):
-                logs = evidence(m, token, [(x["s"], x["hows"]) for x in c])
+                logs = evidence(m, token, [(x["s"], x["hows"]) for x in c or ()])
                 weights: dict[str, float] = {}
                 for x in by:
+                    if c is not None:
+                        shares[x["cls"], KEEP] = shares.get((x["cls"], KEEP), 0.0) - x["n"]
+                        weights[token] = weights.get(token, 0.0) - x["n"]
                     for s, how, w in posteriors(m, x["cls"], logs):
                         shares[x["cls"], how] = shares.get((x["cls"], how), 0.0) + x["n"] * w
                         weights[s] = weights.get(s, 0.0) + x["n"] * w
                 for s, w in weights.items():
-                    for place, char in zip(*_pairs(s)):
-                        pairs[place] += w
-                        chars[char] += w
+                    if abs(w) > 1e-9:
+                        for place, char in zip(*_pairs(s)):
+                            pairs[place] += w
+                            chars[char] += w
         for kind, a in (("p", pairs), ("c", chars)):
             at = np.flatnonzero(a)
             yield pa.RecordBatch.from_pydict({"kind": pa.array([kind] * len(at), pa.string()), "at": pa.array(at, pa.int64()), "how": pa.array([""] * len(at), pa.string()), "w": pa.array(a[at], pa.float64())})
@@ -531,11 +530,13 @@ def restored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source
     those with a word that may be restored, or with lost characters, are looked at.
     """
     rows = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("k"), F.col(text).alias("text"), _source_class(F.col(source)).alias("cls"))
-    odd = rows.where(F.col("text").rlike(_ODD)).withColumn("h", F.md5("text"))
-    words, model = learn(_tokens(odd))
+    odd = rows.where(F.col("text").rlike(_ODD)).withColumn("h", F.xxhash64("text"))
+    said = cut(odd.select("h", "cls", F.explode(_odd_words("text")).alias("token")))
+    words, model = learn(_tokens(said))
     ways = cut(_ways(words, model))
     bytes_ = ways.agg(F.sum(F.length("token") + F.length(F.to_json("whole")) + F.length(F.to_json("part"))).alias("n")).first()["n"] or 0
-    of = odd.select("h", F.explode(_odd_words("text")).alias("token")).join(F.broadcast(ways) if bytes_ <= SENT_BYTES else ways, "token")
+    # Texts of one hash share their words' ways; those of words that a text lacks change nothing.
+    of = said.select("h", "token").join(F.broadcast(ways) if bytes_ <= SENT_BYTES else ways, "token")
     of = of.groupBy("h").agg(F.collect_set(F.struct("token", "whole", "part")).alias("ways"))
     lost = F.length("text") - F.length(F.replace("text", F.lit(LOST)))
     met = odd.join(of, "h", "left").where(F.col("ways").isNotNull() | (lost >= least))
