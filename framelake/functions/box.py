@@ -204,10 +204,16 @@ def projective(b: Column, m: Sequence[Sequence[float]]) -> Column:
     return from_centroid(F.try_divide(m[0][0] * x + m[0][1] * y + m[0][2], z), F.try_divide(m[1][0] * x + m[1][1] * y + m[1][2], z), width(b), height(b))
 
 
+def known(a: Column, b: Column) -> Column:
+    """Both are there; least() and greatest() would pass over a null."""
+    return a["xmin"].isNotNull() & b["xmin"].isNotNull()
+
+
 def intersection_area(a: Column, b: Column) -> Column:
+    """Null if a box is."""
     w = F.least(a["xmax"], b["xmax"]) - F.greatest(a["xmin"], b["xmin"])
     h = F.least(a["ymax"], b["ymax"]) - F.greatest(a["ymin"], b["ymin"])
-    return F.when((w <= 0) | (h <= 0), F.lit(0.0)).otherwise(w * h)
+    return F.when(known(a, b), F.when((w <= 0) | (h <= 0), F.lit(0.0)).otherwise(w * h))
 
 
 def union_area(a: Column, b: Column) -> Column:
@@ -234,9 +240,10 @@ def shape_iou(a: Column, b: Column) -> Column:
 
 
 def overlaps(a: Column, b: Column, gate: float = 0.0) -> Column:
+    """False if a box is null."""
     w = F.least(a["xmax"], b["xmax"]) - F.greatest(a["xmin"], b["xmin"])
     h = F.least(a["ymax"], b["ymax"]) - F.greatest(a["ymin"], b["ymin"])
-    return (w > -gate) & (h > -gate)
+    return known(a, b) & (w > -gate) & (h > -gate)
 
 
 def has_intersection(a: Column, b: Column, at_iou=None, at_cover=None, above_maxcover=None, at_bbcover=None, gate: float = 0.0) -> Column:

@@ -100,13 +100,17 @@ def smooth(keys: DataFrame, width: int) -> DataFrame:
 
 
 def velocity(frames: DataFrame, dt: int) -> DataFrame:
-    """For dense frames: mean over k = 1 .. dt - 1 of the centre's (and size's) change over k frames, by k."""
+    """For dense frames: mean over k = 1 .. dt - 1 of the centre's (and size's) change over k frames, by k.
+
+    A track covers the frame before its first one, with its first box, so that frame counts as well."""
     w = _order()
+    place = F.row_number().over(w)
     quantities = {"vx": B.xcentroid(F.col("box")), "vy": B.ycentroid(F.col("box")), "vw": B.width(F.col("box")), "vh": B.height(F.col("box"))}
     f = frames.withColumns({f"_{n}": c for n, c in quantities.items()})
     out = {}
     for n in quantities:
-        terms = F.array(*[(F.col(f"_{n}") - F.lag(f"_{n}", k).over(w)) / k for k in range(1, dt)])
+        before = lambda k, n=n: F.when(place == k, F.first(f"_{n}").over(w)).otherwise(F.lag(f"_{n}", k).over(w))
+        terms = F.array(*[(F.col(f"_{n}") - before(k)) / k for k in range(1, dt)])
         have = F.filter(terms, lambda x: x.isNotNull())
         out[n] = F.coalesce(F.try_divide(F.aggregate(have, F.lit(0.0), lambda s, x: s + x), F.size(have).cast("double")), F.lit(0.0))
     f = f.withColumns(out).drop(*[f"_{n}" for n in quantities])

@@ -28,7 +28,7 @@ def place():
     return F.col(POS).alias("place")
 
 
-@q("category_frequency", f"with {OBJ} select category as key, count(*) as n from ob group by category")
+@q("category_frequency", f"with {OBJ} select category as key, count(*) as n from ob where category is not null group by category")
 def category_frequency(spark, d):
     return Collection(objects(spark, d, "category")).frequency("category")
 

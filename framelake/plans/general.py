@@ -86,7 +86,7 @@ def p6_tag_profile(spark: SparkSession, d: str) -> DataFrame:
     """Confidence statistics of every tag beside the kind of its name."""
     names = load_names(table(spark, d, "category_ref"))
     out = profile_per_key(_detection_tags(spark, d, names), "code", "detection_id", "conf", _name_side(spark, names, "kind"), tasks_of(spark), _tag_loads(spark, d, names))
-    return out.select("key_name", "kind", "rows", F.round("mean", 6).alias("mean_conf"), F.round("lowest", 6).alias("lowest_conf"), F.round("highest", 6).alias("highest_conf"))
+    return out.select("key_name", "kind", "rows", (F.floor(F.col("mean") * 1000000 + 0.4999) / 1000000).alias("mean_conf"), F.round("lowest", 6).alias("lowest_conf"), F.round("highest", 6).alias("highest_conf"))
 
 
 QUERIES = {"p2_found": p2_found, "p2_coverage": p2_coverage, "p6_found": p6_found, "p6_tag_profile": p6_tag_profile}
@@ -123,6 +123,6 @@ ic as (select image_id, area, r.nm as key_name from li join ref r on r.k = {_SQ.
 select 'tag' as field_name, key_name, detection_id as row_id from (select *, row_number() over (partition by key_name order by conf desc, detection_id) as q from dt) where q <= 3
 union all select 'category', key_name, image_id from (select *, row_number() over (partition by key_name order by area desc, image_id) as q from ic) where q <= 3""",
     "p6_tag_profile": _DET
-    + """select key_name, max(c.kind) as kind, count(*) as rows, round(avg(conf), 6) as mean_conf, round(min(conf), 6) as lowest_conf, round(max(conf), 6) as highest_conf
+    + """select key_name, max(c.kind) as kind, count(*) as rows, floor(avg(conf) * 1000000 + 0.4999) / 1000000 as mean_conf, round(min(conf), 6) as lowest_conf, round(max(conf), 6) as highest_conf
 from dt join category_ref c on c.category = key_name group by key_name""",
 }

@@ -84,7 +84,7 @@ def box_flip_rotate(spark, d):
     return objects(spark, d).select("detection_id", *corners(f), r(c["xmin"], "rx"), r(c["ymin"], "ry"), r(B.width(c), "rw"), r(B.height(c), "rh"))
 
 
-@q("box_clip", W + "select detection_id, round(greatest(x1, 0), 6) as xmin, round(greatest(y1, 0), 6) as ymin, round(least(x2, 400), 6) as xmax, round(least(y2, 300), 6) as ymax from ob where least(x2, 400) > greatest(x1, 0) and least(y2, 300) > greatest(y1, 0)")
+@q("box_clip", W + "select detection_id, round(greatest(x1, 0), 6) as xmin, round(greatest(y1, 0), 6) as ymin, round(least(x2, 400), 6) as xmax, round(least(y2, 300), 6) as ymax from bx where least(x2, 400) > greatest(x1, 0) and least(y2, 300) > greatest(y1, 0)")
 def box_clip(spark, d):
     return D.clip_to_image(objects(spark, d).withColumns({"W": F.lit(400), "H": F.lit(300)}), "W", "H").select("detection_id", *corners(b))
 
@@ -120,7 +120,7 @@ def homography(spark, d):
 
 _PAIR = W + """, pr as (select a.image_id, a.detection_id as a_id, b.detection_id as b_id, a.category = b.category as same, a.area as aa, b.area as ba, a.conf as ac, b.conf as bc, a.w as aw, a.h as ah, b.w as bw, b.h as bh,
  (least(a.x2, b.x2) - greatest(a.x1, b.x1)) * (least(a.y2, b.y2) - greatest(a.y1, b.y1)) as i
- from ob a join ob b on a.image_id = b.image_id and a.detection_id < b.detection_id and least(a.x2, b.x2) > greatest(a.x1, b.x1) and least(a.y2, b.y2) > greatest(a.y1, b.y1)) """
+ from bx a join bx b on a.image_id = b.image_id and a.detection_id < b.detection_id and least(a.x2, b.x2) > greatest(a.x1, b.x1) and least(a.y2, b.y2) > greatest(a.y1, b.y1)) """
 
 
 @q("pair_iou_join", _PAIR + "select image_id, a_id, b_id, round(i / (aa + ba - i), 6) as iou, round(i / aa, 6) as cover, round(greatest(i / aa, i / ba), 6) as maxcover, round(least(aw, bw) * least(ah, bh) / (aa + ba - least(aw, bw) * least(ah, bh)), 6) as shape_iou from pr")
@@ -129,7 +129,7 @@ def pair_iou_join(spark, d):
     return p.select("image_id", F.col("a_detection_id").alias("a_id"), F.col("b_detection_id").alias("b_id"), *[r(F.col(c), c) for c in ("iou", "cover", "maxcover", "shape_iou")])
 
 
-@q("near_pairs_by_category", W + "select a.category, count(*) as pairs, count(*) filter (where i / (aa + ba - i) >= 0.3) as close from (select a.category, a.area as aa, b.area as ba, (least(a.x2, b.x2) - greatest(a.x1, b.x1)) * (least(a.y2, b.y2) - greatest(a.y1, b.y1)) as i from ob a join ob b on a.image_id = b.image_id and a.category = b.category and a.detection_id < b.detection_id and least(a.x2, b.x2) > greatest(a.x1, b.x1) and least(a.y2, b.y2) > greatest(a.y1, b.y1)) a group by a.category")
+@q("near_pairs_by_category", W + "select a.category, count(*) as pairs, count(*) filter (where i / (aa + ba - i) >= 0.3) as close from (select a.category, a.area as aa, b.area as ba, (least(a.x2, b.x2) - greatest(a.x1, b.x1)) * (least(a.y2, b.y2) - greatest(a.y1, b.y1)) as i from bx a join bx b on a.image_id = b.image_id and a.category = b.category and a.detection_id < b.detection_id and least(a.x2, b.x2) > greatest(a.x1, b.x1) and least(a.y2, b.y2) > greatest(a.y1, b.y1)) a group by a.category")
 def near_pairs(spark, d):
     p = D.pair_overlaps(objects(spark, d, "category"), "image_id", "detection_id", ["category"])
     return p.groupBy("category").agg(F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("iou") >= 0.3).alias("close"))
@@ -144,7 +144,7 @@ def halves(spark, d):
     return o.where(~odd), o.where(odd)
 
 
-_HIT = "exists (select 1 from b where b.image_id = a.image_id and least(a.x2, b.x2) > greatest(a.x1, b.x1) and least(a.y2, b.y2) > greatest(a.y1, b.y1))"
+_HIT = "a.x1 is not null and exists (select 1 from b where b.x1 is not null and b.image_id = a.image_id and least(a.x2, b.x2) > greatest(a.x1, b.x1) and least(a.y2, b.y2) > greatest(a.y1, b.y1))"
 
 
 @q("semi_overlap", _AB + f"select detection_id from a where {_HIT}")
@@ -152,7 +152,7 @@ def semi_overlap(spark, d):
     return D.any_overlap(*halves(spark, d), "image_id", "detection_id").select("detection_id")
 
 
-@q("anti_overlap", _AB + f"select detection_id from a where not {_HIT}")
+@q("anti_overlap", _AB + f"select detection_id from a where not ({_HIT})")
 def anti_overlap(spark, d):
     return D.any_overlap(*halves(spark, d), "image_id", "detection_id", "left_anti").select("detection_id")
 
@@ -183,7 +183,7 @@ def scene_union(spark, d):
     return D.union(*halves(spark, d), "image_id", "detection_id").groupBy("image_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@q("scene_summary", W + "select image_id, count(*) as n_objects, list_sort(list(distinct category)) as categories, arg_min(category, detection_id) as primary_category, arg_max(category, detection_id) as last_category, max(x2) - min(x1) as width from ob group by image_id")
+@q("scene_summary", W + "select image_id, count(*) as n_objects, coalesce(list_sort(list(distinct category) filter (where category is not null)), []) as categories, arg_min_null(category, detection_id) as primary_category, arg_max_null(category, detection_id) as last_category, max(x2) - min(x1) as width from ob group by image_id")
 def scene_summary(spark, d):
     s = D.summary(objects(spark, d), "image_id", "detection_id", "category")
     return s.select("image_id", "n_objects", "categories", "primary_category", "last_category", B.width(b).alias("width"))
@@ -204,7 +204,7 @@ def images_without(spark, d):
     return images(spark, d).select("image_id").join(objects(spark, d).select("image_id"), "image_id", "left_anti")
 
 
-@q("average_box_by_category", W + "select category, round(avg(x1), 6) as xmin, round(avg(y2), 6) as ymax, round(quantile_cont(w, 0.5), 6) as median_width from ob group by category")
+@q("average_box_by_category", W + "select category, round(avg(x1), 6) as xmin, round(avg(y2), 6) as ymax, round(quantile_cont(w, 0.5), 6) as median_width from ob where category is not null group by category")
 def average_box(spark, d):
     g = objects(spark, d, "category").groupBy("category").agg(B.mean_agg(b).alias("m"), B.median_shape_agg(b).alias("s"))
     return g.select("category", r(F.col("m.xmin"), "xmin"), r(F.col("m.ymax"), "ymax"), r(F.col("s.width"), "median_width"))

@@ -57,10 +57,10 @@ def box_distances(spark, d):
     return objects(spark, d).select("detection_id", r(B.sqdist(b, o), "sqdist"), r(B.dist(b, o), "dist"), r(B.shape_dist(b, o), "shapedist"), r(B.dx(b, o), "dx"), r(B.pdist(b, o, 50), "pdist"))
 
 
-_T = "least(x2, 200) > greatest(x1, 100) and least(y2, 250) > greatest(y1, 150)"
+_T = "x1 is not null and least(x2, 200) > greatest(x1, 100) and least(y2, 250) > greatest(y1, 150)"
 
 
-@q("box_thresholds", W + f", t as (select *, case when {_T} then (least(x2, 200) - greatest(x1, 100)) * (least(y2, 250) - greatest(y1, 150)) else 0 end as i from ob) select detection_id, {_T} as meets, ({_T} and (case when area > 0 then i / area else 0 end >= 0.5 or i / 10000 > 0.9 or (area > 0 and i / area > 0.9))) as close, (x1 >= 100 and x2 <= 200 and y1 >= 150 and y2 <= 250 and {_T}) as inside from t")
+@q("box_thresholds", W + f", t as (select *, case when {_T} then (least(x2, 200) - greatest(x1, 100)) * (least(y2, 250) - greatest(y1, 150)) else 0 end as i from ob) select detection_id, {_T} as meets, ({_T} and (case when area > 0 then i / area else 0 end >= 0.5 or i / 10000 > 0.9 or (area > 0 and i / area > 0.9))) as close, ({_T} and x1 >= 100 and x2 <= 200 and y1 >= 150 and y2 <= 250) as inside from t")
 def box_thresholds(spark, d):
     b, o = F.col("box"), B.box(100, 150, 200, 250)
     return objects(spark, d).select("detection_id", B.overlaps(b, o).alias("meets"), B.has_intersection(b, o, at_cover=0.5, above_maxcover=0.9).alias("close"), B.inside(b, o).alias("inside"))
@@ -78,7 +78,7 @@ def box_min_square(spark, d):
     return objects(spark, d).select("detection_id", r(B.min_square(b)["xmin"], "xmin"), r(B.min_square(b)["ymax"], "ymax"), r(B.rescale(B.resized(b, 16, 16), 0.5)["xmin"], "rx"))
 
 
-@q("box_to_interior", W + ", m as (select detection_id, x1 + greatest(-x1, 0) as x1, x2 + greatest(-x1, 0) as x2 from ob where x1 < 400 and x2 > 0 and y1 < 300 and y2 > 0 and w > 0 and h > 0) select detection_id, round(greatest(x1 - greatest(x2 - 400, 0), 0), 6) as xmin, round(least(x2 - greatest(x2 - 400, 0), 400), 6) as xmax from m")
+@q("box_to_interior", W + ", m as (select detection_id, x1 + greatest(-x1, 0) as x1, x2 + greatest(-x1, 0) as x2 from bx where x1 < 400 and x2 > 0 and y1 < 300 and y2 > 0 and w > 0 and h > 0) select detection_id, round(greatest(x1 - greatest(x2 - 400, 0), 0), 6) as xmin, round(least(x2 - greatest(x2 - 400, 0), 400), 6) as xmax from m")
 def box_interior(spark, d):
     o = objects(spark, d).withColumn("t", B.to_interior(F.col("box"), 400, 300)).where("t is not null")
     return o.select("detection_id", r("t.xmin", "xmin"), r("t.xmax", "xmax"))
@@ -91,7 +91,7 @@ def point_transforms(spark, d):
     return objects(spark, d).select("detection_id", r(a["x"], "x"), r(a["y"], "y"), r(c["x"], "rx"), r(c["y"], "ry"))
 
 
-@q("covariance_ellipse", W + ", c as (select category, var_pop(x1) as a, covar_pop(x1, y1) as b, var_pop(y1) as c, count(*) as n from ob group by category) select category, round(sqrt((a + c) / 2 + sqrt(((a - c) / 2) ** 2 + b * b)), 4) as major, round(sqrt(greatest((a + c) / 2 - sqrt(((a - c) / 2) ** 2 + b * b), 0)), 3) as minor from c where n > 20")
+@q("covariance_ellipse", W + ", c as (select category, var_pop(x1) as a, covar_pop(x1, y1) as b, var_pop(y1) as c, count(*) as n from ob where category is not null group by category) select category, round(sqrt((a + c) / 2 + sqrt(((a - c) / 2) ** 2 + b * b)), 4) as major, round(sqrt(greatest((a + c) / 2 - sqrt(((a - c) / 2) ** 2 + b * b), 0)), 3) as minor from c where n > 20")
 def covariance_ellipse(spark, d):
     x, y = F.col("box.xmin"), F.col("box.ymin")
     g = objects(spark, d, "category").groupBy("category").agg(F.var_pop(x).alias("a"), F.covar_pop(x, y).alias("b"), F.var_pop(y).alias("c"), F.count(F.lit(1)).alias("n")).where("n > 20")
@@ -250,7 +250,7 @@ def track_rekey(spark, d):
     return C.rekey(k, m).select("track_id", "frame")
 
 
-@q("mosaic_frames", f"{DENSE}, a as (select video_id, frame, count(*) as n from dn where video_id = 0 group by 1, 2), b as (select video_id, frame, count(*) as n from dn where video_id = 1 group by 1, 2) select a.frame, a.n as left_boxes, b.n as right_boxes from a join b using (frame)")
+@q("mosaic_frames", f"{DENSE}, f as (select video_id, frame, count(*) as n from dn group by 1, 2), nx as (select video_id, lead(video_id) over (order by video_id) as right_video from (select distinct video_id from kb)) select l.video_id as left_video, r.video_id as right_video, l.frame, l.n as left_boxes, r.n as right_boxes from f l join nx using (video_id) join f r on r.video_id = nx.right_video and r.frame = l.frame")
 def mosaic(spark, d):
     """Frames of every video beside those of the next one."""
     k = keyboxes(spark, d)

@@ -43,16 +43,25 @@ DENSE = SP + """, dn as (select video_id, track_id, f as frame, x1 + (coalesce(n
  from (select *, case when nf is null then 0 else (f - frame) / (nf - frame)::double end as t from (select *, unnest(range(frame, coalesce(nf, frame + 1))) as f from sp))) """
 
 
-@q("track_interpolate", DENSE + "select track_id, frame, round(x1, 6) as xmin, round(y1, 6) as ymin, round(x2, 6) as xmax from dn")
+def fixed(c, name: str):
+    """Millionths on a scale whose borders are no short binary fractions: the order of additions doesn't matter."""
+    return (F.floor((F.col(c) if isinstance(c, str) else c) * 1000000 + 0.4999) / 1000000).alias(name)
+
+
+def fixed_sql(x: str) -> str:
+    return f"floor(({x}) * 1000000 + 0.4999) / 1000000"
+
+
+@q("track_interpolate", DENSE + f"select track_id, frame, {fixed_sql('x1')} as xmin, {fixed_sql('y1')} as ymin, {fixed_sql('x2')} as xmax from dn")
 def track_interpolate(spark, d):
     f = K.dense(keyboxes(spark, d))
-    return f.select("track_id", "frame", r("box.xmin", "xmin"), r("box.ymin", "ymin"), r("box.xmax", "xmax"))
+    return f.select("track_id", "frame", fixed("box.xmin", "xmin"), fixed("box.ymin", "ymin"), fixed("box.xmax", "xmax"))
 
 
-@q("track_resample", DENSE + ", e as (select track_id, min(frame) as s, max(frame) as e from kb group by 1) select d.track_id, d.frame, round(d.x1, 6) as xmin from dn d join e using (track_id) where (d.frame - e.s) % 5 = 0 or d.frame = e.e")
+@q("track_resample", DENSE + ", e as (select track_id, min(frame) as s, max(frame) as e from kb group by 1) select d.track_id, d.frame, " + fixed_sql("d.x1") + " as xmin from dn d join e using (track_id) where (d.frame - e.s) % 5 = 0 or d.frame = e.e")
 def track_resample(spark, d):
     f = K.dense(keyboxes(spark, d), 5)
-    return f.select("track_id", "frame", r("box.xmin", "xmin"))
+    return f.select("track_id", "frame", fixed("box.xmin", "xmin"))
 
 
 @q("track_at_frames", DENSE + ", w as (select distinct track_id, a from kb, (select unnest([100, 250, 5000]) as a)) select w.track_id, w.a as at, round(d.x1, 6) as xmin from w left join dn d on d.track_id = w.track_id and d.frame = w.a")
@@ -80,10 +89,16 @@ def track_smooth(spark, d):
     return K.smooth(keyboxes(spark, d), 3).select("track_id", "frame", r("box.xmin", "xmin"))
 
 
-@q("track_velocity", DENSE + ", c as (select track_id, frame, x1 + (x2 - x1) / 2 as xc, y1 + (y2 - y1) / 2 as yc from dn), v as (select a.track_id, a.frame, avg((a.xc - b.xc) / (a.frame - b.frame)) as vx, avg((a.yc - b.yc) / (a.frame - b.frame)) as vy from c a left join c b on b.track_id = a.track_id and b.frame < a.frame and b.frame >= a.frame - 4 group by 1, 2) select track_id, frame, round(coalesce(vx, 0), 6) as vx, round(coalesce(vy, 0), 6) as vy from v")
+#: Centres of all frames; before a track's first frame its first box stands once more (bf), as tracks cover that frame.
+_CENTRE = DENSE + """, c as (select video_id, track_id, frame, x1 + (x2 - x1) / 2 as xc, y1 + (y2 - y1) / 2 as yc from dn),
+bf as (select * from c union all select video_id, track_id, frame - 1, xc, yc from (select *, row_number() over (partition by track_id order by frame) as rn from c) where rn = 1),
+v as (select a.video_id, a.track_id, a.frame, coalesce(avg((a.xc - b.xc) / (a.frame - b.frame)), 0) as vx, coalesce(avg((a.yc - b.yc) / (a.frame - b.frame)), 0) as vy from c a left join bf b on b.track_id = a.track_id and b.frame < a.frame and b.frame >= a.frame - 4 group by 1, 2, 3) """
+
+
+@q("track_velocity", _CENTRE + f"select track_id, frame, {fixed_sql('vx')} as vx, {fixed_sql('vy')} as vy from v")
 def track_velocity(spark, d):
     v = K.velocity(K.dense(keyboxes(spark, d)), 5)
-    return v.select("track_id", "frame", r("vx", "vx"), r("vy", "vy"))
+    return v.select("track_id", "frame", fixed("vx", "vx"), fixed("vy", "vy"))
 
 
 @q("track_bearing_change")
@@ -91,9 +106,9 @@ def track_bearing(spark, d):
     return K.bearing_change(K.dense(keyboxes(spark, d)), 5).select("track_id", r("bearing_change", "bearing_change"))
 
 
-@q("track_acceleration")
+@q("track_acceleration", _CENTRE + ", w as (select *, lead(vx, 10) over o - lag(vx, 5) over o as dx, lead(vy, 10) over o - lag(vy, 5) over o as dy from v window o as (partition by track_id order by frame)) select track_id, frame, floor(sqrt((dx / 10) ** 2 + (dy / 10) ** 2) * 10000 + 0.4999) / 10000 as acceleration from w where dx is not null")
 def track_acceleration(spark, d):
-    return K.acceleration(K.dense(keyboxes(spark, d)), 5).select("track_id", "frame", r("acceleration", "acceleration")).where("acceleration is not null")
+    return K.acceleration(K.dense(keyboxes(spark, d)), 5).select("track_id", "frame", (F.floor(F.col("acceleration") * 10000 + 0.4999) / 10000).alias("acceleration")).where("acceleration is not null")
 
 
 @q("track_extrapolate", W + ", l as (select *, row_number() over (partition by track_id order by frame desc) as rn from kb), p as (select a.track_id, a.frame as fa, b.frame as fb, a.x1 as ax, (a.x1 + a.x2) / 2 as ac, (b.x1 + b.x2) / 2 as bc from l a join l b on a.track_id = b.track_id and a.rn = 1 and b.rn = 2) select track_id, fa + 5 as frame, round(ax + (ac - bc) / (fa - fb) * 5, 6) as xmin from p")
@@ -128,7 +143,7 @@ k as (select *, i / (aa + ba - i) as iou, greatest(i / aa, i / ba) as cv from j)
 select video_id, a_track, b_track, count(*) as frames, round(avg(iou), 6) as mean_iou, round(max(iou), 6) as max_iou, round(min(iou), 6) as min_iou, round(avg(cv), 6) as mean_cover, round(avg(iou) filter (where rk <= greatest(1, floor(nn * 0.5))), 6) as top_iou from n group by 1, 2, 3"""
 
 
-@q("track_union_average", W + ", a as (select * from kb where track_id % 10 = 0), b as (select * from kb where track_id % 10 = 5), p as (select video_id, frame, avg(x1) as x from (select video_id, frame, avg(x1) as x1 from a group by 1, 2 union all select video_id, frame, avg(x1) from b group by 1, 2) group by 1, 2) select video_id, frame, round(x, 6) as xmin from p")
+@q("track_union_average", W + ", a as (select * from kb where track_id // 5 % 2 = 0), b as (select * from kb where track_id // 5 % 2 = 1), p as (select video_id, frame, avg(x1) as x from (select video_id, frame, avg(x1) as x1 from a group by 1, 2 union all select video_id, frame, avg(x1) from b group by 1, 2) group by 1, 2) select video_id, frame, round(x, 6) as xmin from p")
 def track_union(spark, d):
     """The tracks of even number of every video, averaged, with those of odd number."""
     k = keyboxes(spark, d)
@@ -267,25 +282,25 @@ def tpr_at_fpr(spark, d):
     return R.tpr_at_fpr(scores(spark, d), "score", "match", 0.1).select(r("tpr", "tpr"))
 
 
-@q("average_precision_by_category", f"with {OBJ}, x as (select category, floor(conf * 10000 + 0.5) / 10000 as t, count(*) filter (where image_id % 3 = 0) as p, count(*) as k from ob group by 1, 2), c as (select *, sum(p) over w as cp, sum(k) over w as ck, sum(p) over (partition by category) as pp from x window w as (partition by category order by t desc rows unbounded preceding)) select category, round(coalesce(sum(case when pp > 0 then cp / ck::double * p / pp end), 0), 6) as ap from c group by category")
+@q("average_precision_by_category", f"with {OBJ}, x as (select category, floor(conf * 10000 + 0.5) / 10000 as t, count(*) filter (where image_id % 3 = 0) as p, count(*) as k from ob where category is not null and conf is not null group by 1, 2), c as (select *, sum(p) over w as cp, sum(k) over w as ck, sum(p) over (partition by category) as pp from x window w as (partition by category order by t desc rows unbounded preceding)) select category, round(coalesce(sum(case when pp > 0 then cp / ck::double * p / pp end), 0), 6) as ap from c group by category")
 def average_precision(spark, d):
     o = objects(spark, d, "category", "conf").withColumn("truth", (F.pmod("image_id", F.lit(3)) == 0).cast("int"))
     return R.average_precision(o, "category", "conf", "truth").select("category", r("ap", "ap"))
 
 
-@q("confusion_counts", f"with {OBJ}, {IMG} select i.category as truth, o.category as predicted, count(*) as n from ob o join img i using (image_id) where i.category is not null group by 1, 2")
+@q("confusion_counts", f"with {OBJ}, {IMG} select i.category as truth, o.category as predicted, count(*) as n from ob o join img i using (image_id) where i.category is not null and o.category is not null group by 1, 2")
 def confusion(spark, d):
     i = images(spark, d).select("image_id", F.col("category").alias("truth")).where("truth is not null")
     j = objects(spark, d, "category").select("image_id", F.col("category").alias("predicted")).join(i, "image_id")
     return R.confusion(j, "truth", "predicted")
 
 
-@q("confidence_histogram", f"with {OBJ} select cast(case when conf < 0 then 0 when conf >= 1 then 21 else floor(conf * 20) + 1 end as bigint) as bin, count(*) as n from ob group by 1")
+@q("confidence_histogram", f"with {OBJ} select cast(case when conf < 0 then 0 when conf >= 1 then 21 else floor(conf * 20) + 1 end as bigint) as bin, count(*) as n from ob where conf is not null group by 1")
 def conf_histogram(spark, d):
     return R.histogram(objects(spark, d, "conf"), "conf", 0.0, 1.0, 20)
 
 
-@q("ascii_bars", f"with {OBJ} select detection_id, repeat('█', cast(round_even(40 * least(greatest(conf, 0), 1), 0) as int)) as bar from ob")
+@q("ascii_bars", f"with {OBJ} select detection_id, repeat('█', cast(round_even(40 * least(greatest(conf, 0), 1), 0) as int)) as bar from ob where conf is not null")
 def bars(spark, d):
     return objects(spark, d, "conf").select("detection_id", R.bar(F.col("conf")).alias("bar"))
 

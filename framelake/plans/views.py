@@ -68,9 +68,12 @@ def items(spark: SparkSession, d: str) -> Collection:
 LIVE = "live as (select *, row_number() over (partition by detection_id order by ingested_at desc) as rn from detection)"
 OBJ = (
     LIVE
-    + """, obj as (select detection_id, image_id, category, conf, least(xmin, xmax) as x1, least(ymin, ymax) as y1, greatest(xmin, xmax) as x2, greatest(ymin, ymax) as y2
- from live where rn = 1 and conf is not null and category is not null and image_id is not null and not coalesce(normalized_coordinates, false)),
-ob as (select *, x2 - x1 as w, y2 - y1 as h, (x2 - x1) * (y2 - y1) as area from obj)"""
+    + """, size_of as (select image_id, width, height from (select *, row_number() over (partition by image_id order by ingested_at desc) as rn from image) where rn = 1),
+px as (select detection_id, l.image_id, l.category, conf, xmin, ymin, xmax, ymax, case when coalesce(normalized_coordinates, false) then s.width + 0 * s.height else 1 end as kx, case when coalesce(normalized_coordinates, false) then s.height + 0 * s.width else 1 end as ky
+ from live l left join size_of s on s.image_id = l.image_id where rn = 1 and l.image_id is not null),
+obj as (select detection_id, image_id, category, conf, case when kx is not null then least(xmin, xmax) * kx end as x1, case when ky is not null then least(ymin, ymax) * ky end as y1, case when kx is not null then greatest(xmin, xmax) * kx end as x2, case when ky is not null then greatest(ymin, ymax) * ky end as y2 from px),
+ob as (select *, x2 - x1 as w, y2 - y1 as h, (x2 - x1) * (y2 - y1) as area from obj),
+bx as (select * from ob where x1 is not null)"""
 )
 IMG = "img as (select * from (select *, row_number() over (partition by image_id order by ingested_at desc) as rn from image) where rn = 1)"
 KEY = """ev as (select event_id, user_id, value, event_type, cast(floor(epoch(ts) / 3600) as int) - 473352 as frame from events),
