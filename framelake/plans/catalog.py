@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from framelake.plans import collections, general, geometry, more, scenes
+from framelake.plans import collections, general, geometry, imports, more, scenes
 
-MODULES = [general, collections, geometry, scenes, more]
+MODULES = [general, collections, geometry, scenes, more, imports]
 
 
 def queries() -> dict:

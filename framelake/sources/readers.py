@@ -24,8 +24,9 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",", header: bool = Fals
     return (r.schema(schema) if schema else r).csv(path)
 
 
-def read_text(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
-    return spark.read.option("wholetext", whole).text(path)
+def read_text(spark: SparkSession, path: str, whole: bool = False, pattern: str | None = None, recursive: bool | None = None) -> DataFrame:
+    """Lines, or whole files, as column value."""
+    return spark.read.text(path, wholetext=whole, pathGlobFilter=pattern, recursiveFileLookup=recursive)
 
 
 def read_matrix(spark: SparkSession, path: str, sep: str = " ") -> DataFrame:
@@ -37,7 +38,7 @@ def read_matrix(spark: SparkSession, path: str, sep: str = " ") -> DataFrame:
 def read_yaml(spark: SparkSession, path: str) -> DataFrame:
     """(path, key, value) of the top-level scalars of YAML files."""
     line = F.explode(F.split("value", "\n")).alias("line")
-    t = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), line)
+    t = read_text(spark, path, whole=True).select(F.input_file_name().alias("path"), line)
     k, v = F.regexp_extract("line", r"^([A-Za-z_][\w-]*):\s*(.*)$", 1), F.regexp_extract("line", r"^([A-Za-z_][\w-]*):\s*(.*?)\s*(?:#.*)?$", 2)
     return t.select("path", k.alias("key"), F.regexp_replace(v, r"""^["'](.*)["']$""", "$1").alias("value")).where("key <> ''")
 
@@ -48,12 +49,17 @@ def list_files(spark: SparkSession, path: str, pattern: str = "*", recursive: bo
     return r.load(path).select("path", "length", F.col("modificationTime").alias("modified"))
 
 
+def _ending_in(endings: list[str]) -> str:
+    """Pattern of file names with one of the endings, in small letters or capitals."""
+    return "*.{" + ",".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in e) for e in endings) + "}"
+
+
 def list_images(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
-    return list_files(spark, path, "*.{" + ",".join(IMAGE) + "}", recursive)
+    return list_files(spark, path, _ending_in(IMAGE), recursive)
 
 
 def list_videos(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
-    return list_files(spark, path, "*.{" + ",".join(VIDEO) + "}", recursive)
+    return list_files(spark, path, _ending_in(VIDEO), recursive)
 
 
 def count_by_folder(files: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from framelake.functions import box as B
@@ -37,13 +38,13 @@ def test_detection_round_trip(spark):
 def test_coco(spark, tmp_path):
     doc = {"images": [{"id": 1, "file_name": "a.jpg"}, {"id": 2, "file_name": "b.jpg"}], "annotations": [{"image_id": 1, "category_id": 9, "bbox": [1, 2, 3, 4]}], "categories": [{"id": 9, "name": "car"}]}
     (tmp_path / "x.json").write_text(json.dumps(doc))
-    got = {(r["image_id"], r["category"], r["box"] and tuple(r["box"])) for r in I.coco(spark, str(tmp_path / "x.json")).collect()}
+    got = {(r["image_id"], r["category"], r["box"] and tuple(r["box"])) for r in I.coco(R.read_json(spark, str(tmp_path / "x.json"), I.COCO, lines=False)).collect()}
     assert got == {(1, "car", (1, 2, 4, 6)), (2, None, None)}
 
 
 def test_segments_boxes_and_labels(spark, tmp_path):
     (tmp_path / "s.json").write_text(json.dumps({"database": {"v": {"url": "u", "subset": "training", "annotations": [{"label": "run", "segment": [1.0, 2.5]}]}, "w": {"subset": "testing", "annotations": []}}}))
-    assert [(r["video_id"], r["startframe"], r["endframe"]) for r in I.segments(spark, str(tmp_path / "s.json"), "training").collect()] == [("v", 30, 75)]
+    assert [(r["video_id"], r["startframe"], r["endframe"]) for r in I.segments(R.read_json(spark, str(tmp_path / "s.json"), f"database {I.ACTIVITYNET}", lines=False), "training").collect()] == [("v", 30, 75)]
     y = spark.createDataFrame([("v", 1099, "dog", 0, "present", 0.1, 0.2, 0.3, 0.4), ("v", 2000, "dog", 0, "absent", -1.0, -1.0, -1.0, -1.0)], "youtube_id string, timestamp_ms int, class_name string, object_id int, presence string, xmin double, xmax double, ymin double, ymax double")
     assert [(r["track_id"], r["frame"]) for r in I.youtube_boxes(y).collect()] == [("dog:0", 32)]
     p = spark.createDataFrame([(["a", "b"], [0.1, 0.9])], "labels array<string>, probs array<double>")
@@ -52,17 +53,21 @@ def test_segments_boxes_and_labels(spark, tmp_path):
 
 def test_registry(spark):
     reg = I.Registry()
-    reg.add("toy", lambda: spark.createDataFrame([(1, "train"), (2, "val")], "x int, split string"), "t")
+    reg.add("toy", lambda *_: spark.createDataFrame([(1, "train"), (2, "val")], "x int, split string"), "t")
     assert reg.get("t:val").collect()[0]["x"] == 2 and reg.names() == ["toy"]
     assert reg.get(("toy:train", "toy:val")).count() == 2
-    assert I.layout_of("kinetics600") == "labelled segments in json"
+    reg.add("parts", lambda *_: {"train": lambda: spark.range(3), "val": lambda: spark.range(2)})
+    assert reg.get("parts").count() == 3 and reg.get("parts:val").count() == 2
+    for wrong in ("parts:none", "other"):
+        with pytest.raises(KeyError):
+            reg.get(wrong)
 
 
 def test_files_and_yaml(spark, tmp_path):
     for n in ("a/x.jpg", "a/y.PNG", "b/z.png", "b/n.txt"):
         (tmp_path / n).parent.mkdir(exist_ok=True)
         (tmp_path / n).write_bytes(b"1")
-    assert {(r["folder"], r["n"]) for r in R.count_by_folder(R.list_images(spark, str(tmp_path))).collect()} == {("a", 1), ("b", 1)}
+    assert {(r["folder"], r["n"]) for r in R.count_by_folder(R.list_images(spark, str(tmp_path))).collect()} == {("a", 2), ("b", 1)}
     (tmp_path / "c.yaml").write_text("name: 'x y'\nsize: 3  # note\n- list\n")
     assert {(r["key"], r["value"]) for r in R.read_yaml(spark, str(tmp_path / "c.yaml")).collect()} == {("name", "x y"), ("size", "3")}
     (tmp_path / "m.txt").write_text("1 2.5\n3 4\n")
