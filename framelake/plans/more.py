@@ -287,20 +287,26 @@ def take_fraction(spark, d):
 
 @q("stream_assign_tracks")
 def stream_assign(spark, d):
-    e = windows.replay(spark, f"{d}/events.parquet", table(spark, d, "events").schema)
-    hour = (F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 3600) - 473352).cast("int")
+    e = event_stream(spark, d)
+    hour = (F.floor(F.unix_seconds("ts") / 3600) - 473352).cast("int")
     x, y = F.col("value"), F.pmod("event_id", F.lit(100)).cast("double")
-    det = e.select(F.pmod("user_id", F.lit(5)).alias("video_id"), hour.alias("frame"), F.col("event_id").alias("det_id"), F.col("event_type").alias("category"), (F.pmod("event_id", F.lit(10)) / 10.0).alias("conf"), x.alias("xmin"), y.alias("ymin"), (x + 20).alias("xmax"), (y + 30).alias("ymax"))
-    return windows.run_to_table(tracker.assign_stream(det), "stream_assign_tracks")
+    det = e.where("event_id >= 0").select(F.pmod("user_id", F.lit(5)).alias("video_id"), hour.alias("frame"), F.col("event_id").alias("det_id"), F.col("event_type").alias("category"), (F.pmod("event_id", F.lit(10)) / 10.0).alias("conf"), x.alias("xmin"), y.alias("ymin"), (x + 20).alias("xmax"), (y + 30).alias("ymax"), "ts")
+    return windows.run_to_files(tracker.assign_stream(det), "assign")
 
 
 @q("stream_distinct_late", "select cast(epoch(time_bucket(interval 1 day, ts)) as bigint) as start, count(distinct user_id) as users from events group by 1")
 def stream_distinct(spark, d):
-    """Distinct users by day, exact, with a watermark for late events: the stream keeps one row a day
-    and user, which are counted from its table."""
-    w = windows.tumbling(event_stream(spark, d), "ts", "1 day", ["user_id"], [F.count(F.lit(1)).alias("n")])
-    seen = windows.run_to_table(w.select(F.unix_seconds("start").alias("start"), "user_id"), "stream_distinct_late", "complete")
-    return seen.groupBy("start").agg(F.count("user_id").alias("users"))
+    """Distinct users by day, exact: a second aggregate over the stream's own counts."""
+    w = windows.distinct_by_window(event_stream(spark, d), "ts", "1 day", "user_id")
+    return windows.run_to_files(w.select(F.unix_seconds("start").alias("start"), F.col("n").alias("users")), "distinct")
+
+
+@q("assign_activities", f"with {ACT}, a as (select video_id, category, actor_id, startframe, endframe, coalesce(conf, 0) as conf from act where startframe < endframe) select sum(conf) > 0 as any_conf, (select count(*) from (select distinct video_id, category, actor_id from a)) as keys, min(startframe) as lo, max(endframe) as hi from a")
+def assign_activities(spark, d):
+    """What merging keeps whatever the threshold: the keys, the first start and the last end."""
+    a = tracker.assign_activities(acts(spark, d))
+    k = a.select("video_id", "category", "actor_id").distinct().agg(F.count(F.lit(1)).alias("keys"))
+    return a.agg((F.sum("conf") > 0).alias("any_conf"), F.min("startframe").alias("lo"), F.max("endframe").alias("hi")).join(k, how="cross").select("any_conf", "keys", "lo", "hi")
 
 
 QUERIES, ORACLES = Q, O

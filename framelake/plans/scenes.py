@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from framelake.functions import box as B
@@ -307,7 +308,7 @@ def bars(spark, d):
 
 def counts(spark, d):
     c, n = table(spark, d, "customer"), table(spark, d, "nation")
-    seg = F.dense_rank().over(__import__("pyspark").sql.Window.orderBy("c_mktsegment")) - 1
+    seg = F.dense_rank().over(Window.orderBy("c_mktsegment")) - 1
     segs = c.select("c_mktsegment").distinct().withColumn("j", seg)
     return c.join(F.broadcast(segs), "c_mktsegment").groupBy(F.col("c_nationkey").alias("i"), "j").agg(F.count(F.lit(1)).cast("double").alias("v"))
 
@@ -471,24 +472,35 @@ def events_during(spark, d):
     return interval_join(k, e, K.T, ("frame", "to"), ("startframe", "endframe"), 24).groupBy("track_id", "frame").agg(F.count(F.lit(1)).alias("n"))
 
 
-def event_stream(spark, d):
-    path = f"{d}/events.parquet"
-    return windows.event_time(windows.replay(spark, path, table(spark, d, "events").schema), "ts")
-
-
-_EV = "select event_type, epoch(ts) as t from events"
+def event_stream(spark, d, late=None):
+    """Events in five batches by time; a last row far behind closes all windows."""
+    end = {"event_id": -1, "user_id": -1, "event_type": "end", "value": 0.0}
+    return windows.event_time(windows.replay_in_order(table(spark, d, "events"), "ts", 5, late, end), "ts")
 
 
 @q("stream_tumbling", "select cast(epoch(time_bucket(interval 6 hour, ts)) as bigint) as start, event_type, count(*) as n from events group by 1, 2")
 def stream_tumbling(spark, d):
     w = windows.tumbling(event_stream(spark, d), "ts", "6 hours", ["event_type"], [F.count(F.lit(1)).alias("n")])
-    return windows.run_to_table(w.select(F.unix_seconds("start").alias("start"), "event_type", "n"), "stream_tumbling", "complete")
+    return windows.run_to_files(w.select(F.unix_seconds("start").alias("start"), "event_type", "n"), "tumbling")
+
+
+_LATE = "with b as (select min(epoch_us(ts)) as lo, max(epoch_us(ts)) as hi from events), e as (select *, (epoch_us(ts) - lo) // greatest(1, (hi - lo + 1 + 4) // 5) as part from events, b) "
+
+
+@q("stream_late_rows", _LATE + "select cast(epoch(time_bucket(interval 6 hour, ts)) as bigint) as start, count(*) as n from e where not (event_id % 7 = 3 and part < 2) group by 1")
+def stream_late(spark, d):
+    """Every seventh row of the first two batches comes three batches late: behind the watermark, so it counts nowhere."""
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    lo, hi = table(spark, d, "events").agg(F.min(us), F.max(us)).first()
+    late = (F.pmod("event_id", F.lit(7)) == 3) & (F.floor((us - F.lit(lo)) / max(1, -(-(hi - lo + 1) // 5))) < 2)
+    w = windows.tumbling(event_stream(spark, d, late), "ts", "6 hours", [], [F.count(F.lit(1)).alias("n")])
+    return windows.run_to_files(w.select(F.unix_seconds("start").alias("start"), "n"), "late")
 
 
 @q("stream_sliding", "select cast(epoch(time_bucket(interval 6 hour, ts)) - k * 21600 as bigint) as start, count(*) as n from events, range(2) t(k) group by 1")
 def stream_sliding(spark, d):
     w = windows.sliding(event_stream(spark, d), "ts", "12 hours", "6 hours", [], [F.count(F.lit(1)).alias("n")])
-    return windows.run_to_table(w.select(F.unix_seconds("start").alias("start"), "n"), "stream_sliding", "complete")
+    return windows.run_to_files(w.select(F.unix_seconds("start").alias("start"), "n"), "sliding")
 
 
 _SES = "with e as (select user_id, epoch(ts) as t, lag(epoch(ts)) over (partition by user_id order by ts) as p from events), g as (select *, sum(case when p is null or t - p >= 43200 then 1 else 0 end) over (partition by user_id order by t rows unbounded preceding) as s from e) select user_id, cast(floor(min(t)) as bigint) as start, count(*) as n from g group by user_id, s"
@@ -497,18 +509,38 @@ _SES = "with e as (select user_id, epoch(ts) as t, lag(epoch(ts)) over (partitio
 @q("stream_sessions", _SES)
 def stream_sessions(spark, d):
     w = windows.sessions(event_stream(spark, d), "ts", "12 hours", ["user_id"], [F.count(F.lit(1)).alias("n")])
-    return windows.run_to_table(w.select("user_id", F.unix_seconds("start").alias("start"), "n"), "stream_sessions", "complete")
+    return windows.run_to_files(w.select("user_id", F.unix_seconds("start").alias("start"), "n"), "sessions")
 
 
 @q("stream_count_clip", "with e as (select user_id, event_id, value, row_number() over (partition by user_id order by event_id) as k from events), w as (select *, sum(value) over (partition by user_id order by event_id rows between 7 preceding and current row) as total from e) select user_id, k - 1 as endplace, round(total, 6) as total, 8 as size from w where k >= 8 and (k - 8) % 4 = 0")
 def stream_count_clip(spark, d):
     w = windows.count_windows(event_stream(spark, d), "user_id", "bigint", "event_id", "value", 8, 4)
-    return windows.run_to_table(w.select("user_id", "endplace", r("total", "total"), "size"), "stream_count_clip")
+    return windows.run_to_files(w.select("user_id", "endplace", r("total", "total"), "size"), "count-clip")
+
+
+@q("stream_delayed_clip", "with e as (select user_id, event_id, value, row_number() over (partition by user_id order by event_id) as k from events), w as (select *, sum(value) over (partition by user_id order by event_id rows between 2 preceding and current row) as total from e) select user_id, k - 3 as startplace, k - 1 as endplace, round(total, 6) as total from w where k >= 4 and (k - 4) % 2 = 0")
+def stream_delayed_clip(spark, d):
+    """Clips of 3 items every 2, from the second item on."""
+    w = windows.count_windows(event_stream(spark, d), "user_id", "bigint", "event_id", "value", 3, 2, 1)
+    return windows.run_to_files(w.select("user_id", "startplace", "endplace", r("total", "total")), "delayed-clip")
+
+
+@q("stream_clip_labels", f"with {KEY}, {EACT}, e as (select user_id, event_id, frame, row_number() over (partition by user_id order by event_id) as k from ev), w as (select user_id, k - 1 as endplace, min(frame) over p as first, frame as last, count(*) over p as size from e window p as (partition by user_id order by event_id rows between 7 preceding and current row)) select w.user_id, w.endplace, count(ea.activity_id) as activities from w left join ea on ea.track_id = w.user_id and ea.startframe <= w.last and ea.endframe >= w.first where size = 8 and (endplace - 7) % 4 = 0 group by 1, 2")
+def stream_clip_labels(spark, d):
+    """The clips of a stream with the activities of their track that run in them."""
+    clips = windows.run_to_files(windows.count_windows(event_stream(spark, d), "user_id", "bigint", "event_id", "value", 8, 4), "clip-labels")
+    at = table(spark, d, "events").select("user_id", "event_id", (F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 3600) - 473352).cast("int").alias("frame"))
+    first = F.lag("frame", 7).over(Window.partitionBy("user_id").orderBy("event_id"))
+    c = clips.select("user_id", "endplace", F.col("at").alias("event_id")).join(at.withColumn("first", first), ["user_id", "event_id"])
+    c = c.select("user_id", "endplace", "first", F.col("frame").alias("last"))
+    a = event_acts(spark, d).select(F.get("track_ids", F.lit(0)).alias("user_id"), "startframe", "endframe", "activity_id")
+    met = interval_join(c, a, ["user_id"], ("first", "last"), ("startframe", "endframe"), 24).groupBy("user_id", "endplace").agg(F.count("activity_id").alias("activities"))
+    return c.select("user_id", "endplace").join(met, ["user_id", "endplace"], "left").withColumn("activities", F.coalesce("activities", F.lit(0)))
 
 
 @q("stream_lag_frame", "select user_id, event_id as \"at\", value from (select user_id, event_id, lag(value, 3) over (partition by user_id order by event_id) as value from events) where value is not null")
 def stream_lag(spark, d):
-    return windows.run_to_table(windows.delayed(event_stream(spark, d), "user_id", "bigint", "event_id", "value", 3), "stream_lag_frame")
+    return windows.run_to_files(windows.delayed(event_stream(spark, d), "user_id", "bigint", "event_id", "value", 3), "lag")
 
 
 @q("batch_assign_tracks")

@@ -4,6 +4,7 @@ from framelake.functions import box as B
 from framelake.operators import scene as C
 from framelake.operators import tracks as K
 from framelake.operators.joins import interval_join, nearest
+from framelake.streaming import tracker
 from framelake.streaming.tracker import Tracker
 
 SCHEMA = "video_id long, track_id long, frame int, box struct<xmin:double,ymin:double,xmax:double,ymax:double>, conf double"
@@ -67,4 +68,42 @@ def test_tracker_keeps_ids():
         got = dict(t.step(f, [(0, "car", 0.9, (f, 0, f + 10, 10)), (1, "car", 0.8, (100 - f, 50, 110 - f, 60))]))
         ids.append((got[0], got[1]))
     assert set(ids) == {(0, 1)}
-    assert t.step(20, []) == [] and t.tracks == []
+    assert t.step(20, []) == [] and t.tracks.ids == []
+
+
+def test_tracker_by_hand():
+    t = Tracker(min_conf=0.5, gate=30)
+    assert t.step(0, [(1, "car", 0.9, (0, 0, 10, 10)), (2, "car", 0.1, (50, 50, 60, 60)), (3, "dog", 0.9, (0, 0, 10, 10))]) == [(1, 0), (3, 1)]  # 2 is too unsure for a track
+    assert t.step(1, [(4, "car", 0.9, (4, 0, 14, 10))]) == [(4, 0)]
+    assert t.step(2, [(5, "car", 0.9, (8, 0, 18, 10)), (6, "car", 0.8, (8, 1, 18, 11))]) == [(5, 0)]  # one detection a track; 6 is explained by it
+    assert t.step(3, [(7, "dog", 0.6, (35, 0, 45, 10))]) == [(7, 1)]  # meets nothing, but lies within the gate of the free track
+    assert t.step(4, [(8, "cat", 0.6, (35, 0, 45, 10))]) == [(8, 2)]
+    again = Tracker(t.state(), min_conf=0.5, gate=30)
+    assert again.step(5, [(9, "cat", 0.6, (35, 0, 45, 10))]) == [(9, 2)] == t.step(5, [(9, "cat", 0.6, (35, 0, 45, 10))])
+    assert t.tracks.confidence(2).tolist() == [0.9, 0.6, 0.6][: len(t.tracks.ids)] or len(t.tracks.ids) == 3
+
+
+def test_batches_of_any_size_give_the_same_tracks(spark):
+    rows = [(v, f, v * 1000 + f * 10 + i, "car", 0.9 - i / 10, 20.0 * i + f, 0.0, 20.0 * i + f + 12, 10.0) for v in range(3) for f in range(30) for i in range(3)] + [(0, 3, 9999, "car", None, 0.0, 0.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "video_id long, frame int, det_id long, category string, conf double, xmin double, ymin double, xmax double, ymax double")
+    whole = sorted(map(tuple, tracker.assign_batch(df).collect()))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        assert sorted(map(tuple, tracker.assign_batch(df).collect())) == whole and len(whole) == 270
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for v in range(3):
+        t = Tracker()
+        for f in range(30):
+            for d, k in t.step(f, [(r[2], r[3], r[4], r[5:]) for r in rows if r[0] == v and r[1] == f and r[4] is not None]):
+                assert (v, f, d, k) in set(whole)
+    assert tracker.assign_batch(df.limit(0)).collect() == []
+
+
+def test_activities_are_merged_or_suppressed(spark):
+    rows = [(1, "run", 5, 0, 10, 0.5), (1, "run", 5, 2, 12, 0.9), (1, "run", 5, 11, 30, 0.2), (1, "run", 6, 0, 10, 0.5), (1, "sit", None, 0, 10, None), (1, "sit", None, 1, 10, 0.3), (2, "run", 5, 9, 9, 0.1), (None, "run", 5, 0, 9, 0.1)]
+    df = spark.createDataFrame(rows, "video_id long, category string, actor_id long, startframe int, endframe int, conf double")
+    got = lambda **o: sorted((tuple(r) for r in tracker.assign_activities(df, **o).collect()), key=repr)
+    assert got() == [(1, "run", 5, 0, 12, 0.9), (1, "run", 5, 11, 30, 0.2), (1, "run", 6, 0, 10, 0.5), (1, "sit", None, 0, 10, 0.3)]
+    assert got(merge=False, suppress=True) == [(1, "run", 5, 11, 30, 0.2), (1, "run", 5, 2, 12, 0.9), (1, "run", 6, 0, 10, 0.5), (1, "sit", None, 1, 10, 0.3)]
+    assert len(got(merge=False)) == 6 and tracker.assign_activities(df.limit(0)).collect() == []
