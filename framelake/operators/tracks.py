@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelake.functions import box as B
+from framelake.operators.joins import grid_join, interval_join
 
 T = ["video_id", "track_id"]
 
@@ -140,29 +141,125 @@ def extrapolate(keys: DataFrame, ahead: int) -> DataFrame:
     return g.select(*T, (F.col("f") + ahead).alias("frame"), B.translate(F.col("b"), rate(B.xcentroid), rate(B.ycentroid)).alias("box"))
 
 
-def pair_metrics(frames: DataFrame, same: list[str], top: float = 0.5) -> DataFrame:
+def pair_metrics(frames: DataFrame, same: list[str], top: float = 0.5, cell: float = 64.0) -> DataFrame:
     """For pairs of tracks of a video (a < b) with common dense frames: common frames, mean, largest and
     smallest IoU, mean maxcover, and the mean of the largest `top` share of the IoUs.
 
-    Frames of both tracks meet by an equi-join on (video, frame); the ranked mean is taken from the sorted
-    list of a pair's IoUs above zero, as the others add nothing to it."""
-    b = F.col("box")
-
-    def side(p: str) -> DataFrame:
-        corners = [b[c].alias(p + c) for c in ("xmin", "ymin", "xmax", "ymax")]
-        return frames.select("video_id", "frame", *same, F.col("track_id").alias(f"{p}_track"), *corners, B.area(b).alias(f"{p}area"))
-
-    j = side("a").join(side("b"), ["video_id", "frame", *same]).where("a_track < b_track")
-    w, h = F.least("axmax", "bxmax") - F.greatest("axmin", "bxmin"), F.least("aymax", "bymax") - F.greatest("aymin", "bymin")
-    j = j.select("video_id", "a_track", "b_track", "aarea", "barea", (F.greatest(w, F.lit(0.0)) * F.greatest(h, F.lit(0.0))).alias("inter"))
-    ratio = lambda x: F.coalesce(F.try_divide("inter", x), F.lit(0.0))
-    j = j.select("video_id", "a_track", "b_track", ratio(F.col("aarea") + F.col("barea") - F.col("inter")).alias("iou"), ratio(F.least("aarea", "barea")).alias("cover"))
+    Only boxes that overlap meet, by grid cells within (video, frame); the frames a pair has in common
+    follow from the spans of the tracks, and frames without overlap count as 0."""
+    grid = frames.select("video_id", "frame", *same, "track_id", "box")
+    j = grid_join(grid, grid, ["video_id", "frame", *same], cell, only=F.col("a_track_id") < F.col("b_track_id"))
+    a, b = F.col("a_box"), F.col("b_box")
     pair = ["video_id", "a_track", "b_track"]
-    ious = F.sort_array(F.collect_list(F.when(F.col("iou") > 0, F.col("iou"))), asc=False)
-    g = j.groupBy(*pair).agg(F.count(F.lit(1)).alias("frames"), F.avg("iou").alias("mean_iou"), F.max("iou").alias("max_iou"), F.min("iou").alias("min_iou"), F.avg("cover").alias("mean_cover"), ious.alias("_i"))
+    j = j.select("video_id", F.col("a_track_id").alias("a_track"), F.col("b_track_id").alias("b_track"), B.iou(a, b).alias("iou"), B.max_cover(a, b).alias("cover"))
+    met = j.groupBy(*pair).agg(F.count(F.lit(1)).alias("_n"), F.sum("iou").alias("_sum"), F.max("iou").alias("_hi"), F.min("iou").alias("_lo"), F.sum("cover").alias("_cover"), F.sort_array(F.collect_list("iou"), asc=False).alias("_i"))
+    spans_of = frames.groupBy(*T, *same).agg(F.min("frame").alias("lo"), F.max("frame").alias("hi"))
+    side = lambda p: spans_of.select("video_id", *same, F.col("track_id").alias(f"{p}_track"), F.col("lo").alias(f"{p}_lo"), F.col("hi").alias(f"{p}_hi"))
+    both = interval_join(side("a"), side("b"), ["video_id", *same], ("a_lo", "a_hi"), ("b_lo", "b_hi"), 256).where("a_track < b_track")
+    common = both.select(*pair, (F.least("a_hi", "b_hi") - F.greatest("a_lo", "b_lo") + 1).cast("long").alias("frames"))
+    g = common.join(met, pair, "left")
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
     k = F.greatest(F.lit(1), F.floor(F.col("frames") * top)).cast("int")
-    best = F.slice("_i", F.lit(1), k)
-    return g.withColumn("top_iou", F.aggregate(best, F.lit(0.0), lambda s, x: s + x) / k).drop("_i")
+    best = zero(F.aggregate(F.slice("_i", F.lit(1), k), F.lit(0.0), lambda s, x: s + x))
+    return g.select(
+        *pair, "frames", zero(F.col("_sum") / F.col("frames")).alias("mean_iou"), zero(F.col("_hi")).alias("max_iou"),
+        F.when(F.col("_n") == F.col("frames"), F.col("_lo")).otherwise(0.0).alias("min_iou"), zero(F.col("_cover") / F.col("frames")).alias("mean_cover"), (best / k).alias("top_iou"),
+    )
+
+
+def segment_metrics(frames: DataFrame, step: int = 5, share: float = 0.8, samples: int = 100) -> DataFrame:
+    """For pairs of tracks of a video (a < b) whose spans have more than one frame in common: over the
+    frames of the common span from its start on, every `step`-th before its end: segment_iou and
+    segment_cover (means); over every max(1, length / samples)-th: percentile_iou and percentile_cover
+    (means of the best `share`); endpoint_iou (mean at both ends of the span); fragment (smallest IoU
+    at every step-th frame where one track lies wholly within the other, else 0).
+
+    Tracks meet by an equi-join of their frames, so that frames without overlap count."""
+    spans_of = frames.groupBy(*T).agg(F.min("frame").alias("lo"), F.max("frame").alias("hi"))
+    side = lambda p: spans_of.select("video_id", F.col("track_id").alias(f"{p}_track"), F.col("lo").alias(f"{p}_lo"), F.col("hi").alias(f"{p}_hi"))
+    both = interval_join(side("a"), side("b"), ["video_id"], ("a_lo", "a_hi"), ("b_lo", "b_hi"), 256).where("a_track < b_track")
+    s, e = F.greatest("a_lo", "b_lo"), F.least("a_hi", "b_hi")
+    within = ((F.col("a_lo") >= F.col("b_lo")) & (F.col("a_hi") <= F.col("b_hi"))) | ((F.col("b_lo") >= F.col("a_lo")) & (F.col("b_hi") <= F.col("a_hi")))
+    span = both.select("video_id", "a_track", "b_track", s.alias("s"), e.alias("e"), within.alias("within")).where("e > s")
+    dt = F.greatest(F.lit(1), F.floor((F.col("e") - F.col("s")) / samples)).cast("int")
+    stepped = F.sequence(F.col("s"), F.col("e") - 1, F.lit(step))
+    even = F.array_union(F.sequence(F.col("s"), F.col("e") - 1, dt), F.array("e"))
+    want = span.withColumn("frame", F.explode(F.array_distinct(F.concat(stepped, even))))
+    box = lambda p: frames.select("video_id", F.col("track_id").alias(f"{p}_track"), "frame", F.col("box").alias(f"{p}_box"))
+    j = want.join(box("a"), ["video_id", "a_track", "frame"]).join(box("b"), ["video_id", "b_track", "frame"])
+    iou, cover = B.iou(F.col("a_box"), F.col("b_box")), B.max_cover(F.col("a_box"), F.col("b_box"))
+    on_step = (F.pmod(F.col("frame") - F.col("s"), F.lit(step)) == 0) & (F.col("frame") < F.col("e"))
+    on_even = (F.pmod(F.col("frame") - F.col("s"), dt) == 0) | (F.col("frame") == F.col("e"))
+    at_end = (F.col("frame") == F.col("s")) | (F.col("frame") == F.col("e"))
+    best = lambda c: F.sort_array(F.collect_list(F.when(on_even, c)), asc=False)
+    g = j.groupBy("video_id", "a_track", "b_track", "within").agg(
+        F.avg(F.when(on_step, iou)).alias("segment_iou"), F.avg(F.when(on_step, cover)).alias("segment_cover"), F.avg(F.when(at_end, iou)).alias("endpoint_iou"),
+        F.min(F.when(on_step, iou)).alias("_f"), best(iou).alias("_i"), best(cover).alias("_c"),
+    )
+    k = F.greatest(F.lit(1), F.floor(F.size("_i") * share)).cast("int")
+    mean = lambda c: F.aggregate(F.slice(c, F.lit(1), k), F.lit(0.0), lambda x, y: x + y) / k
+    return g.select("video_id", "a_track", "b_track", "segment_iou", "segment_cover", "endpoint_iou", F.when(F.col("within"), F.col("_f")).otherwise(0.0).alias("fragment_iou"), mean("_i").alias("percentile_iou"), mean("_c").alias("percentile_cover"))
+
+
+def confidence(keys: DataFrame, last: int | None = None, samples: int | None = None) -> DataFrame:
+    """Per track: mean confidence of its key boxes, of those in the last frames, or of evenly spaced ones
+    from the last back; 0 where none is known."""
+    if samples is not None:
+        back = Window.partitionBy(*T).orderBy(F.desc("frame"))
+        k = keys.withColumn("_r", F.row_number().over(back) - 1).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*T)))
+        k = k.where(F.pmod("_r", F.greatest(F.lit(1), F.rint(F.col("_n") / samples).cast("int"))) == 0)
+    elif last is not None:
+        k = keys.withColumn("_e", F.max("frame").over(Window.partitionBy(*T))).where(F.col("frame") >= F.col("_e") - last)
+    else:
+        k = keys
+    return k.groupBy(*T).agg(F.coalesce(F.avg("conf"), F.lit(0.0)).alias("confidence"))
+
+
+def smooth_shape(keys: DataFrame, width: int, median: bool = False) -> DataFrame:
+    """Each key box with the mean (or median) width and height of itself and the following ones, `width`
+    in all, about its own middle; a track's last width - 1 boxes are left out."""
+    w = _order().rowsBetween(0, width - 1)
+    size = lambda f: (F.percentile(f(F.col("box")), 0.5) if median else F.avg(f(F.col("box")))).over(w)
+    k = keys.withColumns({"_n": F.count(F.lit(1)).over(w), "_w": size(B.width), "_h": size(B.height)}).where(F.col("_n") == width)
+    return k.withColumn("box", B.from_centroid(B.xcentroid(F.col("box")), B.ycentroid(F.col("box")), F.col("_w"), F.col("_h"))).drop("_n", "_w", "_h")
+
+
+def spline(keys: DataFrame) -> DataFrame:
+    """Dense boxes on the smooth curve through the key boxes: cubic pieces whose slope at a key box is
+    that between its neighbours (one-sided at the ends), frame by frame from the first to the last."""
+    s = spans(keys).withColumn("prev_frame", F.lag("frame").over(_order())).withColumn("prev_box", F.lag("box").over(_order()))
+    s = s.withColumn("after_frame", F.lead("frame", 2).over(_order())).withColumn("after_box", F.lead("box", 2).over(_order()))
+    at = F.when(F.col("next_frame").isNull(), F.array("frame")).otherwise(F.sequence(F.col("frame"), F.col("next_frame") - 1))
+    e = s.withColumn("at", F.explode(at))
+    h = (F.col("next_frame") - F.col("frame")).cast("double")
+    t = F.try_divide(F.col("at") - F.col("frame"), h)
+
+    def curve(f: str) -> Column:
+        p, q = F.col("box")[f], F.col("next_box")[f]
+        slope = lambda b, a, fb, fa: F.try_divide(b - a, (fb - fa).cast("double"))
+        here = F.coalesce(slope(q, F.col("prev_box")[f], F.col("next_frame"), F.col("prev_frame")), slope(q, p, F.col("next_frame"), F.col("frame")))
+        there = F.coalesce(slope(F.col("after_box")[f], p, F.col("after_frame"), F.col("frame")), slope(q, p, F.col("next_frame"), F.col("frame")))
+        t2, t3 = t * t, t * t * t
+        return F.coalesce((2 * t3 - 3 * t2 + 1) * p + (t3 - 2 * t2 + t) * h * here + (3 * t2 - 2 * t3) * q + (t3 - t2) * h * there, p)
+
+    return e.select(*T, F.col("at").alias("frame"), B.box(*[curve(f) for f in ("xmin", "ymin", "xmax", "ymax")]).alias("box"))
+
+
+def shape_free_velocity(frames: DataFrame, dt: int) -> DataFrame:
+    """For dense frames: mean over the dt frames before of the smaller change of the two sides, by its
+    frames, so that a change of the shape is no motion; 0 where the track is not dt frames old."""
+    w = _order()
+
+    def v(lo: str, hi: str) -> Column:
+        b = F.col("box")
+        terms = []
+        for k in range(1, dt + 1):
+            before = F.lag("box", k).over(w)
+            x, y = b[lo] - before[lo], b[hi] - before[hi]
+            terms.append(F.when(F.abs(x) <= F.abs(y), x).otherwise(y) / k)
+        return F.coalesce(sum(terms[1:], terms[0]) / dt, F.lit(0.0))
+
+    return frames.withColumns({"vx": v("xmin", "xmax"), "vy": v("ymin", "ymax")})
 
 
 def union(a: DataFrame, b: DataFrame, overlap: str = "average") -> DataFrame:

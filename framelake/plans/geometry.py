@@ -157,23 +157,46 @@ def anti_overlap(spark, d):
     return D.any_overlap(*halves(spark, d), "image_id", "detection_id", "left_anti").select("detection_id")
 
 
-@q("nms")
+_OVER = "least(a.x2, b.x2) > greatest(a.x1, b.x1) and least(a.y2, b.y2) > greatest(a.y1, b.y1)"
+_INTER = "(least(a.x2, b.x2) - greatest(a.x1, b.x1)) * (least(a.y2, b.y2) - greatest(a.y1, b.y1))"
+#: One after the other in order of confidence: who meets a kept one falls.
+_NMS = W.replace("with ", "with recursive ", 1) + f""", c as (select *, row_number() over (partition by image_id order by conf desc, detection_id) as r from bx where conf > 0.3 and w >= 0 and h >= 0),
+su as (select b.image_id, b.r, list(a.r) as by_r from c a join c b on a.image_id = b.image_id and a.category = b.category and a.r < b.r and {_OVER} where {_INTER} / (a.area + b.area - {_INTER}) >= 0.5 or greatest({_INTER} / a.area, {_INTER} / b.area) > 0.8 group by 1, 2),
+s as (select c.image_id, c.r, c.detection_id, coalesce(su.by_r, []) as by_r from c left join su on su.image_id = c.image_id and su.r = c.r),
+rec as (select image_id, r, [r] as kept from s where r = 1 union all select s.image_id, s.r, case when list_has_any(rec.kept, s.by_r) then rec.kept else list_append(rec.kept, s.r) end from rec join s on s.image_id = rec.image_id and s.r = rec.r + 1),
+las as (select image_id, arg_max(kept, r) as kept from rec group by 1) """
+
+
+@q("nms", _NMS + "select s.image_id, s.detection_id from s join las using (image_id) where list_contains(las.kept, s.r)")
 def nms(spark, d):
     return D.nms(objects(spark, d), "image_id", "detection_id", "conf", 0.3, 0.5, 0.8, "category").select("image_id", "detection_id")
 
 
-@q("greedy_assignment")
+def greedy_sql(edges: str) -> str:
+    """Sources of each grp in order (largest ord, smaller src) take the best free dst: rows grp, src, dst of table asg."""
+    return f"""ed as ({edges}), cd as (select grp, src, list(dst order by score desc, dst) as ds, row_number() over (partition by grp order by any_value(ord) desc, src) as r from ed group by grp, src),
+rec as (select grp, r, src, ds[1] as dst, [ds[1]] as used from cd where r = 1
+ union all select grp, r, src, dst, case when dst is null then used else list_append(used, dst) end from (select cd.grp, cd.r, cd.src, list_filter(cd.ds, lambda x: not list_contains(rec.used, x))[1] as dst, rec.used from rec join cd on cd.grp = rec.grp and cd.r = rec.r + 1)),
+asg as (select grp, src, dst from rec where dst is not null) """
+
+
+def halves_sql(least: float, by: str = "") -> str:
+    pairs = f"select a.image_id as grp, a.detection_id as src, b.detection_id as dst, a.area as ord, {_INTER} / (a.area + b.area - {_INTER}) as score from bx a join bx b on a.image_id = b.image_id {by} and a.detection_id % 2 = 0 and b.detection_id % 2 = 1 and {_OVER} where a.w >= 0 and a.h >= 0 and b.w >= 0 and b.h >= 0"
+    return W.replace("with ", "with recursive ", 1) + ", " + greedy_sql(f"select * from ({pairs}) where score > {least}")
+
+
+@q("greedy_assignment", halves_sql(0.1) + "select asg.grp as image_id, asg.src, asg.dst, round(ed.score, 6) as iou from asg join ed using (grp, src, dst)")
 def greedy(spark, d):
     a = D.assign_boxes(*halves(spark, d), "image_id", "detection_id", 0.1)
     return a.select("image_id", "src", "dst", r(F.col("score"), "iou"))
 
 
-@q("scene_intersection")
+@q("scene_intersection", halves_sql(0.3, "and a.category = b.category") + "select src as detection_id from asg")
 def scene_intersection(spark, d):
     return D.intersection(*halves(spark, d), "image_id", "detection_id", 0.3, "category").select("detection_id")
 
 
-@q("scene_difference")
+@q("scene_difference", halves_sql(0.3, "and a.category = b.category") + "select detection_id from ob where detection_id % 2 = 0 and detection_id not in (select src from asg)")
 def scene_difference(spark, d):
     return D.difference(*halves(spark, d), "image_id", "detection_id", 0.3, "category").select("detection_id")
 

@@ -18,7 +18,8 @@ from framelake.operators import scene as C
 from framelake.operators import tracks as K
 from framelake.operators.collection import POS, Collection
 from framelake.operators.intervals import periods_and_gaps
-from framelake.plans.scenes import _G, _M, _SC, DENSE, counts, event_stream, scores, thumbs
+from framelake.plans.geometry import greedy_sql
+from framelake.plans.scenes import _G, _M, _PM, _SC, DENSE, counts, event_stream, scores, thumbs
 from framelake.plans.views import ACT, IMG, ITEM, KEY, OBJ, acts, images, items, keyboxes, objects
 from framelake.sources import readers
 from framelake.sources.tables import table
@@ -196,7 +197,10 @@ def archive_round_trip(spark, d):
     return e.select("o.id", "o.category", "o.conf", F.col("o.box.xmin").alias("xmin"), F.col("o.box.ymax").alias("ymax"))
 
 
-@q("greedy_track_assignment")
+_GTA = DENSE.replace("with ", "with recursive ", 1) + ", " + _PM + ", tr as (select track_id, max(frame) - min(frame) + 1 as length, coalesce(avg(conf), 0) as confidence from kb group by 1), bo as (select video_id, a_track as s, b_track as t, top_iou from pm where max_iou > 0.1 union all select video_id, b_track, a_track, top_iou from pm where max_iou > 0.1), " + greedy_sql("select bo.video_id as grp, s as src, t as dst, x.length as ord, top_iou * y.confidence as score from bo join tr x on x.track_id = s join tr y on y.track_id = t where s // 5 % 2 = 1 and t // 5 % 2 = 0 and top_iou * y.confidence > 0")
+
+
+@q("greedy_track_assignment", _GTA + "select asg.grp as video_id, asg.src, asg.dst, round(ed.score, 6) as score from asg join ed using (grp, src, dst)")
 def track_assignment(spark, d):
     """Tracks of odd number to those of even number of a video, longest first, by ranked IoU and confidence."""
     k = keyboxes(spark, d)

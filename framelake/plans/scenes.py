@@ -16,7 +16,7 @@ from framelake.operators import metrics as R
 from framelake.operators import scene as C
 from framelake.operators import tracks as K
 from framelake.operators.joins import block_join, interval_join, nearest
-from framelake.plans.views import ACT, EACT, IMG, KEY, OBJ, acts, event_acts, images, keyboxes, objects
+from framelake.plans.views import ACT, COPY, EACT, FRAG, IMG, KEY, OBJ, acts, copied_keyboxes, event_acts, fragments, images, keyboxes, objects
 from framelake.sources.tables import table
 from framelake.streaming import tracker, windows
 
@@ -102,9 +102,9 @@ def track_velocity(spark, d):
     return v.select("track_id", "frame", fixed("vx", "vx"), fixed("vy", "vy"))
 
 
-@q("track_bearing_change")
+@q("track_bearing_change", _CENTRE + ", bg as (select video_id, track_id, frame, atan2(vy, vx) as be from v where vx <> 0 or vy <> 0), ch as (select *, coalesce(be - lag(be) over (partition by track_id order by frame), 0) as d from bg), s as (select track_id, sum(d) as s from ch group by 1) select track_id, floor(case when abs(s) <= pi() then s when s > 0 then 2 * pi() - s else 2 * pi() + s end * 10000 + 0.4999) / 10000 as bearing_change from s")
 def track_bearing(spark, d):
-    return K.bearing_change(K.dense(keyboxes(spark, d)), 5).select("track_id", r("bearing_change", "bearing_change"))
+    return K.bearing_change(K.dense(keyboxes(spark, d)), 5).select("track_id", (F.floor(F.col("bearing_change") * 10000 + 0.4999) / 10000).alias("bearing_change"))
 
 
 @q("track_acceleration", _CENTRE + ", w as (select *, lead(vx, 10) over o - lag(vx, 5) over o as dx, lead(vy, 10) over o - lag(vy, 5) over o as dy from v window o as (partition by track_id order by frame)) select track_id, frame, floor(sqrt((dx / 10) ** 2 + (dy / 10) ** 2) * 10000 + 0.4999) / 10000 as acceleration from w where dx is not null")
@@ -132,16 +132,58 @@ def nearest_keyframe(spark, d):
 _IOU = "case when least(a.x2, b.x2) > greatest(a.x1, b.x1) and least(a.y2, b.y2) > greatest(a.y1, b.y1) then (least(a.x2, b.x2) - greatest(a.x1, b.x1)) * (least(a.y2, b.y2) - greatest(a.y1, b.y1)) else 0 end"
 
 
-@q("track_pair_iou")
+#: Pairs of tracks over all common frames.
+_PM = """j as (select a.video_id, a.track_id as a_track, b.track_id as b_track, (a.x2 - a.x1) * (a.y2 - a.y1) as aa, (b.x2 - b.x1) * (b.y2 - b.y1) as ba, """ + _IOU + """ as i from dn a join dn b on a.video_id = b.video_id and a.frame = b.frame and a.track_id < b.track_id),
+k as (select *, i / (aa + ba - i) as iou, greatest(i / aa, i / ba) as cv from j), n as (select *, row_number() over (partition by a_track, b_track order by iou desc) as rk, count(*) over (partition by a_track, b_track) as nn from k),
+pm as (select video_id, a_track, b_track, count(*) as frames, avg(iou) as mean_iou, max(iou) as max_iou, min(iou) as min_iou, avg(cv) as mean_cover, avg(iou) filter (where rk <= greatest(1, floor(nn * 0.5))) as top_iou from n group by 1, 2, 3) """
+
+
+@q("track_pair_iou", DENSE + ", " + _PM + "select video_id, a_track, b_track, frames, " + ", ".join(f"{fixed_sql(c)} as {c}" for c in ("mean_iou", "max_iou", "min_iou", "mean_cover", "top_iou")) + " from pm")
 def track_pair_iou(spark, d):
     p = K.pair_metrics(K.dense(keyboxes(spark, d)), [])
-    return p.select("video_id", "a_track", "b_track", "frames", r("mean_iou", "mean_iou"), r("max_iou", "max_iou"), r("min_iou", "min_iou"), r("mean_cover", "mean_cover"), r("top_iou", "top_iou"))
+    return p.select("video_id", "a_track", "b_track", "frames", *[fixed(c, c) for c in ("mean_iou", "max_iou", "min_iou", "mean_cover", "top_iou")])
+
+
+_SEG = DENSE + f""", ex as (select video_id, track_id, min(frame) as lo, max(frame) as hi from dn group by 1, 2),
+sp2 as (select a.video_id, a.track_id as a_track, b.track_id as b_track, greatest(a.lo, b.lo) as s, least(a.hi, b.hi) as e, (a.lo >= b.lo and a.hi <= b.hi) or (b.lo >= a.lo and b.hi <= a.hi) as within from ex a join ex b on a.video_id = b.video_id and a.track_id < b.track_id where least(a.hi, b.hi) > greatest(a.lo, b.lo)),
+fr as (select p.*, a.frame as f, greatest(1, (p.e - p.s) // 100) as dt, (a.x2 - a.x1) * (a.y2 - a.y1) as aa, (b.x2 - b.x1) * (b.y2 - b.y1) as ba, {_IOU} as i from sp2 p join dn a on a.video_id = p.video_id and a.track_id = p.a_track and a.frame between p.s and p.e join dn b on b.video_id = p.video_id and b.track_id = p.b_track and b.frame = a.frame),
+m as (select *, i / (aa + ba - i) as iou, greatest(i / aa, i / ba) as cv, (f - s) % 5 = 0 and f < e as st, (f - s) % dt = 0 or f = e as ev from fr),
+r1 as (select *, row_number() over (partition by a_track, b_track, ev order by iou desc) as ri, row_number() over (partition by a_track, b_track, ev order by cv desc) as rc, count(*) filter (where ev) over (partition by a_track, b_track) as ne from m)
+select video_id, a_track, b_track, {fixed_sql('avg(iou) filter (where st)')} as segment_iou, {fixed_sql('avg(cv) filter (where st)')} as segment_cover, {fixed_sql('avg(iou) filter (where f = s or f = e)')} as endpoint_iou, {fixed_sql('case when any_value(within) then min(iou) filter (where st) else 0 end')} as fragment_iou,
+ {fixed_sql('avg(iou) filter (where ev and ri <= greatest(1, floor(ne * 0.8)))')} as percentile_iou, {fixed_sql('avg(cv) filter (where ev and rc <= greatest(1, floor(ne * 0.8)))')} as percentile_cover from r1 group by 1, 2, 3"""
+
+
+@q("track_segment_metrics", _SEG)
+def track_segments(spark, d):
+    m = K.segment_metrics(K.dense(keyboxes(spark, d)))
+    return m.select("video_id", "a_track", "b_track", *[fixed(c, c) for c in ("segment_iou", "segment_cover", "endpoint_iou", "fragment_iou", "percentile_iou", "percentile_cover")])
+
+
+@q("track_confidence_samples", W + ", n as (select track_id, frame, conf, row_number() over (partition by track_id order by frame desc) - 1 as r, count(*) over (partition by track_id) as n, max(frame) over (partition by track_id) as e from kb) select track_id, round(avg(conf) filter (where r % greatest(1, round_even(n / 4.0, 0)::int) = 0), 6) as sampled, round(avg(conf) filter (where frame >= e - 100), 6) as last100 from n group by 1")
+def track_confidences(spark, d):
+    k = keyboxes(spark, d)
+    a, b = K.confidence(k, samples=4), K.confidence(k, last=100)
+    return a.select(*K.T, r("confidence", "sampled")).join(b.select(*K.T, r("confidence", "last100")), K.T).drop("video_id")
+
+
+@q("track_smooth_shape", W + ", s as (select track_id, frame, (x1 + x2) / 2 as xc, avg(x2 - x1) over w as aw, quantile_cont(x2 - x1, 0.5) over w as mw, count(*) over w as n from kb window w as (partition by track_id order by frame rows between current row and 2 following)) select track_id, frame, round(xc - aw / 2, 5) as mean_xmin, round(xc - mw / 2, 5) as median_xmin from s where n = 3")
+def track_smooth_shape(spark, d):
+    k = keyboxes(spark, d)
+    a, b = K.smooth_shape(k, 3), K.smooth_shape(k, 3, median=True)
+    return a.select(*K.T, "frame", r("box.xmin", "mean_xmin", 5)).join(b.select(*K.T, "frame", r("box.xmin", "median_xmin", 5)), [*K.T, "frame"]).drop("video_id")
 
 
-O["track_pair_iou"] = DENSE + """, s as (select * from dn where frame % 24 = 0),
-j as (select a.video_id, a.track_id as a_track, b.track_id as b_track, (a.x2 - a.x1) * (a.y2 - a.y1) as aa, (b.x2 - b.x1) * (b.y2 - b.y1) as ba, """ + _IOU + """ as i from s a join s b on a.video_id = b.video_id and a.frame = b.frame and a.track_id < b.track_id),
-k as (select *, i / (aa + ba - i) as iou, greatest(i / aa, i / ba) as cv from j), n as (select *, row_number() over (partition by a_track, b_track order by iou desc) as rk, count(*) over (partition by a_track, b_track) as nn from k)
-select video_id, a_track, b_track, count(*) as frames, round(avg(iou), 6) as mean_iou, round(max(iou), 6) as max_iou, round(min(iou), 6) as min_iou, round(avg(cv), 6) as mean_cover, round(avg(iou) filter (where rk <= greatest(1, floor(nn * 0.5))), 6) as top_iou from n group by 1, 2, 3"""
+@q("track_spline", W + f""", n as (select track_id, frame, x1, lag(frame) over o as pf, lag(x1) over o as px, lead(frame) over o as nf, lead(x1) over o as nx, lead(frame, 2) over o as af, lead(x1, 2) over o as ax from kb window o as (partition by track_id order by frame)),
+m as (select *, coalesce((nx - px) / (nf - pf)::double, (nx - x1) / (nf - frame)::double) as m0, coalesce((ax - x1) / (af - frame)::double, (nx - x1) / (nf - frame)::double) as m1, (nf - frame)::double as h from n),
+e as (select *, unnest(range(frame, coalesce(nf, frame + 1))) as f from m), t as (select *, (f - frame) / h as t from e)
+select track_id, f as frame, {fixed_sql('coalesce((2*t*t*t - 3*t*t + 1) * x1 + (t*t*t - 2*t*t + t) * h * m0 + (3*t*t - 2*t*t*t) * nx + (t*t*t - t*t) * h * m1, x1)')} as xmin from t""")
+def track_spline(spark, d):
+    return K.spline(keyboxes(spark, d)).select("track_id", "frame", fixed("box.xmin", "xmin"))
+
+
+@q("track_shape_free_velocity", DENSE + f", p as (select a.track_id, a.frame, a.frame - b.frame as k, case when abs(a.x1 - b.x1) <= abs(a.x2 - b.x2) then a.x1 - b.x1 else a.x2 - b.x2 end as dx from dn a left join dn b on b.track_id = a.track_id and b.frame < a.frame and b.frame >= a.frame - 4) select track_id, frame, {fixed_sql('case when count(k) = 4 then sum(dx / k) / 4 else 0 end')} as vx from p group by 1, 2")
+def track_shape_free(spark, d):
+    return K.shape_free_velocity(K.dense(keyboxes(spark, d)), 4).select("track_id", "frame", fixed("vx", "vx"))
 
 
 @q("track_union_average", W + ", a as (select * from kb where track_id // 5 % 2 = 0), b as (select * from kb where track_id // 5 % 2 = 1), p as (select video_id, frame, avg(x1) as x from (select video_id, frame, avg(x1) as x1 from a group by 1, 2 union all select video_id, frame, avg(x1) from b group by 1, 2) group by 1, 2) select video_id, frame, round(x, 6) as xmin from p")
@@ -216,15 +258,34 @@ def scene_clip(spark, d):
     return C.clip(keyboxes(spark, d), acts(spark, d), 100, 400)[1].select("activity_id", "startframe", "endframe")
 
 
-@q("merge_tracks_candidates")
+@q("merge_tracks_candidates", f"""with {KEY}, {FRAG}, g as (select video_id, track_id, min(frame) as s, max(frame) as e, arg_min(x1, frame) as fx1, arg_min(y1, frame) as fy1, arg_min(x2, frame) as fx2, arg_min(y2, frame) as fy2, arg_max(x1, frame) as lx1, arg_max(y1, frame) as ly1, arg_max(x2, frame) as lx2, arg_max(y2, frame) as ly2 from fg group by 1, 2),
+l as (select video_id, track_id, e, (lx1 + lx2) / 2 - (lx2 - lx1) as x1, (lx1 + lx2) / 2 + (lx2 - lx1) as x2, (ly1 + ly2) / 2 - (ly2 - ly1) as y1, (ly1 + ly2) / 2 + (ly2 - ly1) as y2 from g),
+j as (select l.video_id, l.track_id, n.track_id as next_track from l join g n on n.video_id = l.video_id and n.track_id <> l.track_id and n.s > l.e and n.s <= l.e + 5 and least(l.x2, n.fx2) > greatest(l.x1, n.fx1) and least(l.y2, n.fy2) > greatest(l.y1, n.fy1))
+select video_id, track_id, min(next_track) as next_track from j group by 1, 2 having count(*) = 1""")
 def merge_tracks(spark, d):
-    return C.merge_candidates(keyboxes(spark, d), 5)
+    return C.merge_candidates(fragments(spark, d), 5)
+
+
+_CDENSE = DENSE.replace("from kb window", "from ck window").replace(KEY, f"{KEY}, {COPY}")
+
+
+def dedupe_sql(least: float) -> str:
+    return _CDENSE + ", " + _PM + f", ex as (select video_id, track_id, min(frame) as s, max(frame) as e from ck group by 1, 2), q as (select pm.video_id, a_track, b_track, a.s as as_, a.e as ae, b.s as bs, b.e as be from pm join ex a on a.track_id = a_track join ex b on b.track_id = b_track where min_iou > {least}), z as (select video_id, case when as_ >= bs and ae <= be and ae - as_ <= be - bs then a_track when bs >= as_ and be <= ae then b_track end as track_id, case when as_ >= bs and ae <= be and ae - as_ <= be - bs then b_track else a_track end as into_, greatest(ae - as_, be - bs) as n from q) select video_id, track_id, arg_max(into_, (n, into_)) as \"into\" from z where track_id is not null group by 1, 2"
 
 
-@q("scene_dedupe_candidates")
+def duplicates(spark, d, least: float):
+    k = copied_keyboxes(spark, d)
+    return C.duplicate_tracks(K.pair_metrics(K.dense(k), []), K.stats(k).select(*K.T, "startframe", "endframe"), least)
+
+
+@q("scene_dedupe_candidates", dedupe_sql(0.0))
 def scene_dedupe(spark, d):
-    k = keyboxes(spark, d)
-    return C.duplicate_tracks(K.pair_metrics(K.dense(k), []), K.stats(k).select(*K.T, "startframe", "endframe"), 0.0)
+    return duplicates(spark, d, 0.0)
+
+
+@q("scene_duplicates", dedupe_sql(0.8))
+def scene_duplicates(spark, d):
+    return duplicates(spark, d, 0.8)
 
 
 @q("split_by_track", f"with {KEY}, {EACT} select k.track_id, min(k.frame) as startframe, max(k.frame) as endframe, coalesce((select count(distinct activity_id) from ea where ea.track_id = k.track_id), 0) as activities from kb k group by k.track_id")
@@ -455,7 +516,7 @@ def hamming_pairs(spark, d):
     return X.hamming_pairs(thumbs(spark, d).select("id", X.dhash(F.col("g"), 7).alias("bits")), "id", "bits", 98, 29)
 
 
-@q("grid_ssim")
+@q("grid_ssim", _G + ", p as (select a.id, a.a as x, b.a as y, list_avg(a.a) as ma, list_avg(b.a) as mb from g a join g b on b.id = a.id + 1), v as (select *, list_avg(list_transform(x, lambda u: (u - ma) * (u - ma))) as va, list_avg(list_transform(y, lambda u: (u - mb) * (u - mb))) as vb, list_avg(list_transform(range(1, 65), lambda i: (x[i] - ma) * (y[i] - mb))) as cv from p) select id, round((2 * ma * mb + 0.0001::double) * (2 * cv + 0.0009::double) / ((ma * ma + mb * mb + 0.0001::double) * (va + vb + 0.0009::double)), 6) as ssim from v")
 def grid_ssim(spark, d):
     t = thumbs(spark, d)
     j = t.join(t.select((F.col("id") - 1).alias("id"), F.col("g").alias("g2")), "id")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framelake.functions import box as B
@@ -44,6 +44,21 @@ def keyboxes(spark: SparkSession, d: str) -> DataFrame:
     return one.select(F.pmod("user_id", F.lit(5)).alias("video_id"), F.col("user_id").alias("track_id"), "frame", b.alias("box"), conf.alias("conf"))
 
 
+def fragments(spark: SparkSession, d: str) -> DataFrame:
+    """Key boxes whose tracks are cut wherever more than three frames lie between two of them."""
+    k = keyboxes(spark, d)
+    w = Window.partitionBy("track_id").orderBy("frame")
+    piece = F.sum(F.when(F.col("frame") - F.lag("frame").over(w) > 3, 1).otherwise(0)).over(w)
+    return k.withColumn("track_id", F.col("track_id") * 1000 + piece)
+
+
+def copied_keyboxes(spark: SparkSession, d: str) -> DataFrame:
+    """Key boxes, and those of frames 100 to 300 once more, a little aside, as other tracks."""
+    k = keyboxes(spark, d)
+    again = k.where("frame between 100 and 300").withColumn("track_id", F.col("track_id") + 100000).withColumn("box", B.translate(F.col("box"), 0.25, 0))
+    return k.unionByName(again)
+
+
 def event_acts(spark: SparkSession, d: str) -> DataFrame:
     """Activities of the tracks of `keyboxes`: purchases and errors last some hours."""
     e = table(spark, d, "events").where("event_type in ('purchase', 'error')")
@@ -79,6 +94,8 @@ IMG = "img as (select * from (select *, row_number() over (partition by image_id
 KEY = """ev as (select event_id, user_id, value, event_type, cast(floor(epoch(ts) / 3600) as int) - 473352 as frame from events),
 kb as (select user_id % 5 as video_id, user_id as track_id, frame, value as x1, (event_id % 100)::double as y1, value + 20 + event_id % 7 as x2, (event_id % 100 + 30)::double as y2, (event_id % 10) / 10.0::double as conf
  from (select *, row_number() over (partition by user_id, frame order by event_id) as rn from ev) where rn = 1)"""
+FRAG = "fg as (select video_id, track_id * 1000 + sum(case when g > 3 then 1 else 0 end) over (partition by track_id order by frame rows unbounded preceding) as track_id, frame, x1, y1, x2, y2 from (select *, frame - lag(frame) over (partition by track_id order by frame) as g from kb))"
+COPY = "ck as (select video_id, track_id, frame, x1, y1, x2, y2, conf from kb union all select video_id, track_id + 100000, frame, x1 + 0.25, y1, x2 + 0.25, y2, conf from kb where frame between 100 and 300)"
 EACT = "ea as (select user_id % 5 as video_id, event_id as activity_id, event_type as category, frame as startframe, cast(frame + 6 + event_id % 12 as int) as endframe, user_id as track_id from ev where event_type in ('purchase', 'error'))"
 ACT = """act as (select activity_id, video_id, category, least(startframe, endframe) as startframe, greatest(startframe, endframe) as endframe, actor_id, track_ids, conf
  from (select *, row_number() over (partition by activity_id order by revision desc) as rn from activity) where rn = 1 and video_id is not null and category is not null and startframe is not null and endframe is not null)"""
