@@ -10,6 +10,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,13 +38,17 @@ def tokenizer_file(name: str, folder: str | None = None) -> str:
     raise FileNotFoundError(name)
 
 
-@lru_cache(maxsize=4)
 def load(path: str):
+    with open(path, "rb") as f:
+        return loaded(f.read())
+
+
+@lru_cache(maxsize=4)
+def loaded(data: bytes):
     """(encoder, table of forced boundaries) of a vocabulary in .tiktoken form; once a Python worker."""
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(t): int(r) for t, r in (line.split() for line in f if line.strip())}
+    ranks = {base64.b64decode(t): int(r) for t, r in (line.split() for line in data.splitlines() if line.strip())}
     return tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), boundary_table(ranks)
 
 
@@ -85,16 +90,16 @@ def fragments(data: bytes, table: np.ndarray, least: int = FRAGMENT_BYTES) -> li
     return out
 
 
-def encode_texts(texts: list[str | None], path: str) -> list[list[int] | None]:
+def encode_texts(texts: list[str | None], vocabulary: bytes) -> list[list[int] | None]:
     """Ids of each text: fragments are encoded independently, each distinct one once, and joined."""
-    encoder, cuts = load(path)
+    encoder, cuts = loaded(vocabulary)
     pieces = [None if t is None else fragments(t.encode("utf-8", "surrogatepass"), cuts) for t in texts]
     distinct = list(dict.fromkeys(p for ps in pieces if ps for p in ps))
     ids = dict(zip(distinct, (encoder.encode_ordinary(p.decode("utf-8", "replace")) for p in distinct)))
     return [None if ps is None else [i for p in ps for i in ids[p]] for ps in pieces]
 
 
-def _encode(df: DataFrame, keys: list[str], path: str) -> DataFrame:
+def _encode(df: DataFrame, keys: list[str], vocabulary: Broadcast) -> DataFrame:
     kinds = dict(df.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,7 +107,7 @@ def _encode(df: DataFrame, keys: list[str], path: str) -> DataFrame:
             step = 512
             for at in range(0, b.num_rows, step):
                 part = b.slice(at, step)
-                ids = pa.array(encode_texts(part.column("text").to_pylist(), path), pa.list_(pa.int32()))
+                ids = pa.array(encode_texts(part.column("text").to_pylist(), vocabulary.value), pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([*[part.column(k) for k in keys], ids], [*keys, "ids"])
 
     return df.select(*keys, "text").mapInArrow(run, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", ids array<int>")
@@ -117,14 +122,15 @@ def encode_corpus(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", v
     their fragments are spread over all tasks, and the ids are joined in order again, so that no task
     bears a whole huge text's encoding.
     """
-    path = tokenizer_file(vocabulary, folder)
+    with open(tokenizer_file(vocabulary, folder), "rb") as f:  # about a megabyte, shipped to the tasks
+        shared = docs.sparkSession.sparkContext.broadcast(f.read())
     rows = docs.select(F.col(doc_id).alias("k"), F.col(text).alias("text"))
-    short = _encode(rows.where(F.col("text").isNull() | (F.length("text") <= long_text)), ["k"], path)
+    short = _encode(rows.where(F.col("text").isNull() | (F.length("text") <= long_text)), ["k"], shared)
     long = rows.where(F.length("text") > long_text).withColumn("r", F.monotonically_increasing_id())
     kind = dict(rows.dtypes)["k"]
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cuts = load(path)[1]
+        cuts = loaded(shared.value)[1]
         for b in batches:
             for r, k, t in zip(b.column("r").to_pylist(), b.column("k"), b.column("text").to_pylist()):
                 ps = [p.decode("utf-8", "replace") for p in fragments(t.encode("utf-8", "surrogatepass"), cuts, 1 << 16)]
@@ -133,7 +139,7 @@ def encode_corpus(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", v
 
     pieces = long.select("r", "k", "text").mapInArrow(split, f"r long, k {kind}, n int, text string")
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    coded = _encode(pieces.repartition(tasks, "r", "n"), ["r", "k", "n"], path)
+    coded = _encode(pieces.repartition(tasks, "r", "n"), ["r", "k", "n"], shared)
     joined = coded.groupBy("r").agg(F.first("k").alias("k"), F.array_sort(F.collect_list(F.struct("n", "ids"))).alias("p"))
     joined = joined.select("k", F.flatten("p.ids").alias("ids"))
     return short.unionByName(joined).select(F.col("k").alias(doc_id), "ids")

@@ -173,3 +173,13 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
 def p5_sample(spark: SparkSession, d: str) -> DataFrame:
     names, sample, _ = image_sample(spark, d)
     return sample.select("image_id", names.name("code").alias("category"))
+
+
+def p5_minimums(spark: SparkSession, d: str) -> DataFrame:
+    """Per target: whether the sample holds its minimum or, where there are fewer, all its rows."""
+    return image_sample(spark, d)[2].join(table(spark, d, "sample_target").select("field_name", "key_name", "min_rows"), ["field_name", "key_name"]).select("field_name", "key_name", (F.col("sampled") >= F.least("min_rows", "available")).alias("met"))
+
+
+def p5_available(spark: SparkSession, d: str) -> DataFrame:
+    """Per target: rows that are required and rows that have the value."""
+    return image_sample(spark, d)[2].select("field_name", "key_name", "required", "available")

@@ -132,8 +132,8 @@ def allocate(bundles: list[Bundle], shares: dict[str, float]) -> dict[tuple[int,
     Flow: bundles send their records to splits; a (label, split) cell takes its quota at no cost and
     more at cost 1, a split takes its quota at no cost and more at cost 4 a record. A component larger
     than a split's whole quota has no arc to it (but always one to the largest split). Bundles with
-    the same label and the same arcs are one node. The flow is rounded to whole components, largest
-    sizes first: each split gets what its part of the flow holds, a left-over component goes to the
+    the same label and the same arcs differ in nothing the flow sees, so they are one node whose
+    flow each takes its share of. The flow is rounded to whole components, largest sizes first: each split gets what its part of the flow holds, a left-over component goes to the
     split that lacks most; the smallest sizes, coming last, even out what rounding moved.
     """
     splits = sorted(shares, key=lambda s: (-shares[s], s))
@@ -183,14 +183,20 @@ def allocate(bundles: list[Bundle], shares: dict[str, float]) -> dict[tuple[int,
     return out
 
 
-def split_groups(groups: DataFrame, group: str, size: str, label: str, shares: dict[str, float]) -> DataFrame:
+#: Labels whose quotas are solved apart, those with most records; the others share one quota.
+LABELS = 64
+
+
+def split_groups(groups: DataFrame, group: str, size: str, label: str, shares: dict[str, float], most_labels: int = LABELS) -> DataFrame:
     """`group` (bigint, unique) and `split`; whole groups, near the shares in records overall and per label.
 
     What comes to the driver is the histogram of (size, label): for R records at most sqrt(2 R) sizes
-    per label. Within a bundle, groups are taken in the order of a hash of their key, so the result
+    for each of the most_labels + 1 labels. Within a bundle, groups are taken in the order of a hash of their key, so the result
     does not depend on partitioning. A null label counts as ''. No groups give an empty result.
     """
     g = groups.select(F.col(group).cast("long").alias("_g"), F.col(size).cast("long").alias("_n"), F.coalesce(F.col(label), F.lit("")).alias("_l"))
+    top = g.groupBy("_l").agg(F.sum("_n").alias("_records")).orderBy(F.desc("_records"), "_l").limit(most_labels).collect()
+    g = g.withColumn("_l", F.when(F.col("_l").isin([r["_l"] for r in top]), F.col("_l")).otherwise(""))
     bundles = [Bundle(r["_n"], r["_l"], r["k"]) for r in g.groupBy("_n", "_l").agg(F.count(F.lit(1)).alias("k")).collect()]
     plan = allocate(bundles, shares)
     bounds = []
@@ -241,5 +247,16 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return found(table(spark, d, "face"), table(spark, d, "face_identity"))
 
 
+def p1_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Per split: whether its share of the faces is within a hundredth of its target, and whether no group lies in two splits."""
+    faces = cut(p1_splits(spark, d))
+    shares = shares_of(table(spark, d, "split_target"))
+    torn = faces.groupBy("group_id").agg(F.count_distinct("split").alias("n")).where("n > 1").isEmpty()
+    have = {r["split"]: r["n"] for r in faces.groupBy("split").agg(F.count(F.lit(1)).alias("n")).collect()}
+    total, weight = max(1, sum(have.values())), sum(shares.values())
+    rows = [(s, abs(have.get(s, 0) / total - w / weight) <= 0.01, torn) for s, w in shares.items()]
+    return spark.createDataFrame(rows, "split_name string, near boolean, whole_groups boolean")
+
+
 def p1_splits(spark: SparkSession, d: str) -> DataFrame:
     return face_splits(table(spark, d, "face"), table(spark, d, "face_identity"), shares_of(table(spark, d, "split_target")))
