@@ -48,7 +48,14 @@ SENT_BYTES = 8 << 20
 BLANKS = " \n\t\r"
 LOST = "�"
 
-KEEP = "as it is"
+KEEP, LEARNED = "as it is", "learned"
+#: A letter of an unknown page is believed if it has this share of its character's weight, this much
+#: evidence (in nats) and this many different surroundings; a table needs this many such letters.
+SURE, EVIDENCE, SURROUNDINGS, LETTERS = 0.9, 40.0, 5, 3
+#: Rounds in which a character's letter is learned.
+LETTER_ROUNDS = 5
+#: Prior (in nats) of a learned table against none.
+LEARNED_PRIOR = -4.0
 
 
 @lru_cache(maxsize=None)
@@ -348,9 +355,10 @@ def _tasks(df: DataFrame) -> int:
     return max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def _counts(rows: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, dict[int, dict[str, float]]]:
+def _counts(rows: DataFrame, model: Model, tables: dict[int, dict[int, str]] | None = None) -> tuple[np.ndarray, np.ndarray, dict[int, dict[str, float]]]:
     """(bigram counts, character counts, weight of each swap by class) of the words as they stand where
-    c is null, else what their posteriors change in those."""
+    c is null, else what their posteriors change in those; with learned tables, what those change:
+    a word of their class counts as its restored form where that is likelier by the other texts."""
     shared = rows.sparkSession.sparkContext.broadcast((model.bigrams and model.bigrams.tables(), model.share))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -360,9 +368,15 @@ def _counts(rows: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, dict
         shares: dict[tuple[int, str], float] = {}
         for b in batches:
             for token, by, c in zip(*(b.column(x).to_pylist() for x in ("token", "by", "c"))):
-                logs = evidence(m, token, [(x["s"], x["hows"]) for x in c or ()])
+                logs = evidence(m, token, [(x["s"], x["hows"]) for x in c or ()]) if tables is None else []
                 weights: dict[str, float] = {}
                 for x in by:
+                    if tables is not None:
+                        form = token.translate(tables.get(x["cls"], {}))
+                        if form != token and m.bigrams.log(form) > m.bigrams.log_without(token, x["n"]):
+                            weights[token] = weights.get(token, 0.0) - x["n"]
+                            weights[form] = weights.get(form, 0.0) + x["n"]
+                        continue
                     if c is not None:
                         shares[x["cls"], KEEP] = shares.get((x["cls"], KEEP), 0.0) - x["n"]
                         weights[token] = weights.get(token, 0.0) - x["n"]
@@ -442,10 +456,17 @@ def ways_of(bigrams: Bigrams, token: str, forms: list[tuple[str, list[str]]]) ->
 
 
 class Restorer:
-    """Restores documents by a learned model and the ways of their words."""
+    """Restores documents by a learned model, the ways of their words and the learned tables of their class."""
 
-    def __init__(self, model: Model):
-        self.m = model
+    def __init__(self, model: Model, tables: dict[int, dict[int, str]] | None = None):
+        self.m, self.tables = model, tables or {}
+
+    def _prior(self, cls: int, how: str) -> float:
+        return LEARNED_PRIOR + self.m.prior(cls, KEEP) if how == LEARNED else self.m.prior(cls, how)
+
+    def _learned(self, cls: int, token: str) -> list[Way]:
+        form = token.translate(self.tables[cls])
+        return [((LEARNED,), form, g)] if form != token and (g := self.m.bigrams.log(form) - self.m.bigrams.log(token)) > 0 else []
 
     def restore(self, text: str, cls: int, ways: dict[str, tuple[list[Way], list[Way]]]) -> tuple[int, str | None, str]:
         """(characters of the original that were turned into others, main swap or None, text restored).
@@ -460,6 +481,8 @@ class Restorer:
         seen = []
         for i, t in enumerate(parts):
             own = ways.get(t)
+            if cls in self.tables and not t.isascii() and (more := self._learned(cls, t)):
+                own = ([*own[0], *more], own[1]) if own else (more, [])
             if own:
                 seen.append((i, t, own))
                 best: dict[str, float] = {}
@@ -469,7 +492,7 @@ class Restorer:
                             best[how] = max(best.get(how, 0.0), g - MARGIN)
                 for how, g in best.items():
                     gain[how] = gain.get(how, 0.0) + g
-        total = {how: g + self.m.prior(cls, how) - keep for how, g in gain.items()}
+        total = {how: g + self._prior(cls, how) - keep for how, g in gain.items()}
         main = max(total, key=lambda h: (total[h], h)) if total else None
         if main is None or total[main] <= 0:
             return lost, None, text
@@ -478,7 +501,7 @@ class Restorer:
             best_g, to = 0.0, None
             for hows, s, g in [*whole, *[((main,), s, g) for hows, s, g in part if main in hows]]:
                 for how in hows:
-                    e = g if how == main else g + self.m.prior(cls, how) - keep - OTHER_SWAP
+                    e = g if how == main else g + self._prior(cls, how) - keep - OTHER_SWAP
                     if e > best_g:
                         best_g, to = e, (how, s)
             if to:
@@ -487,6 +510,89 @@ class Restorer:
         return n, main, "".join(parts)
 
 
+# --- unknown pages: free substitution tables ----------------------------------------------------
+
+
+def surroundings(token: str) -> list[tuple[str, str, str]]:
+    """(character before, character beyond ASCII, character after) wherever both neighbours are ASCII letters."""
+    inner = lambda ch: ch.isascii() and ch.isalpha()
+    return [(token[i - 1], token[i], token[i + 1]) for i in range(1, len(token) - 1) if not token[i].isascii() and inner(token[i - 1]) and inner(token[i + 1])]
+
+
+def letter_of(bigrams: Bigrams, x: str, places: list[tuple[str, str, float]], letters: list[str]) -> tuple[str, float, float] | None:
+    """(letter, share, evidence): what character x of one class of sources stands for, by
+    expectation-maximization over its surroundings (before, after, times).
+
+    E-step: the posterior of each letter at each place, from the bigrams on both sides and the
+    letter's share; the character itself is judged by the counts of other texts only. M-step: the
+    letters' shares. None if it stands for itself."""
+    every = [x, *[y for y in letters if y != x]]
+    n = np.array([k for _, _, k in places])
+    at = lambda pairs: np.array([bigrams.pairs[_place(p)] for p in pairs])
+    chars = bigrams.chars
+    weight = np.array([chars[ord(y) % CHARS] for y in every], float)
+    before = np.array([chars[ord(a) % CHARS] for a, _, _ in places], float)
+    left = np.stack([at([a + y for a, _, _ in places]) for y in every], axis=1).astype(float)
+    right = np.stack([at([y + b for _, b, _ in places]) for y in every], axis=1).astype(float)
+    after = np.array([chars[ord(b) % CHARS] for _, b, _ in places], float)
+    own = n.sum()
+    left[:, 0], right[:, 0], weight[0] = np.maximum(left[:, 0] - n, 0), np.maximum(right[:, 0] - n, 0), max(weight[0] - own, 0.0)
+    log = np.log((left + 2 * (weight[None, :] + 0.1) / bigrams.total) / (before[:, None] + 2)) + np.log((right + 2 * (after[:, None] + 0.1) / bigrams.total) / (weight[None, :] + 2))
+    share = np.full(len(every), 0.5 / max(1, len(every) - 1))
+    share[0] = 0.5
+    for _ in range(LETTER_ROUNDS):
+        post = log + np.log(share)[None, :]
+        post = np.exp(post - post.max(1, keepdims=True))
+        post /= post.sum(1, keepdims=True)
+        share = (post * n[:, None]).sum(0) + 1e-6
+        share /= share.sum()
+    best = int(share.argmax())
+    return None if best == 0 else (every[best], float(share[best]), float(((log[:, best] - log[:, 0]) * n).sum()))
+
+
+def learned_tables(words: DataFrame, model: Model) -> dict[int, dict[int, str]]:
+    """By class of sources: translate() table of the swap of pages that no known pages explain.
+
+    Taken from the words that the known swaps leave as they are. What is summed over all words is how
+    often a class has a character between two ASCII letters; each character is then solved by itself.
+    Only letters that are sure come to the driver, at most one a character and class."""
+    shared = words.sparkSession.sparkContext.broadcast((model.bigrams.tables(), model.share))
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, share = shared.value
+        m = Model(Bigrams(*known), share)
+        held: dict[tuple[int, str, str, str], float] = {}
+        for b in batches:
+            for token, by, c in zip(*(b.column(x).to_pylist() for x in ("token", "by", "c"))):
+                around = surroundings(token)
+                if not around:
+                    continue
+                logs = evidence(m, token, [(x["s"], x["hows"]) for x in c])
+                for x in by:
+                    kept = sum(w for _, how, w in posteriors(m, x["cls"], logs) if how == KEEP)
+                    for a, ch, z in around if kept > 0.5 else ():
+                        held[x["cls"], ch, a, z] = held.get((x["cls"], ch, a, z), 0.0) + x["n"]
+        cols = list(zip(*held)) or [(), (), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.string()) for c in cols[1:]], pa.array(list(held.values()), pa.float64())], ["cls", "x", "a", "z", "n"])
+
+    chars = model.bigrams.chars
+    letters = [ch for ch in map(chr, range(0xA1, CHARS - 2048)) if chars[ord(ch)] >= 20 and ch.isalpha() and "LATIN" in unicodedata.name(ch, "")]
+
+    def solved(t: pa.Table) -> pa.Table:
+        bigrams = Bigrams(*shared.value[0])
+        x = t.column("x")[0].as_py()
+        spots = list(zip(t.column("a").to_pylist(), t.column("z").to_pylist(), t.column("n").to_pylist()))
+        got = letter_of(bigrams, x, spots, letters) if len(spots) >= SURROUNDINGS else None
+        sure = got is not None and got[1] >= SURE and got[2] >= EVIDENCE
+        return pa.table([pa.array([t.column("cls")[0].as_py()] * sure, pa.int32()), pa.array([x] * sure, pa.string()), pa.array([got[0]] if sure else [], pa.string())], ["cls", "x", "y"])
+
+    sums = words.mapInArrow(places, "cls int, x string, a string, z string, n double").groupBy("cls", "x", "a", "z").agg(F.sum("n").alias("n"))
+    tables: dict[int, dict[int, str]] = {}
+    for r in sums.groupBy("cls", "x").applyInArrow(solved, "cls int, x string, y string").collect():
+        tables.setdefault(r["cls"], {})[ord(r["x"])] = r["y"]
+    return {cls: t for cls, t in tables.items() if len(t) >= LETTERS and len(set(t.values())) == len(t)}
+
+
 def _split(text: str) -> list[str]:
     """Words and the blanks between them, in turn."""
     return re.split(f"([{BLANKS}]+)", text)
@@ -519,16 +625,18 @@ def _ways(rows: DataFrame, model: Model) -> DataFrame:
 def restored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", least: int = LEAST) -> DataFrame:
     """doc_id, n_turned, swap, restored: documents with at least `least` turned characters.
 
-    Unknown swaps of code pages are treated as substitution ciphers: which byte stands for which
-    letter is learned by expectation-maximization against character bigrams, by source, and applied
-    with translate() (swaps between single-byte pages) or by decoding the bytes again (UTF-8 and the
-    Japanese and Chinese encodings, also read wrongly several times). `swap` is null where the
+    Swaps of code pages are treated as substitution ciphers, by source. Between known pages (and UTF-8
+    and the Japanese and Chinese encodings, also read wrongly several times) the tables are given,
+    and expectation-maximization against character bigrams learns which of them acts where; for what
+    they leave unexplained, the table itself is learned, letter by letter, and applied with
+    translate() (swap 'learned'). `swap` is null where the
     original is lost (U+FFFD); its text is given as it is. Null and empty texts are never found; a
     null source is a source; repeated rows each count.
 
     Each distinct word is judged once; documents meet the ways of their words by a join, and only
     those with a word that may be restored, or with lost characters, are looked at.
     """
+    spark = docs.sparkSession
     rows = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("k"), F.col(text).alias("text"), _source_class(F.col(source)).alias("cls"))
     odd = rows.where(F.col("text").rlike(_ODD)).withColumn("h", F.xxhash64("text"))
     said = cut(odd.select("h", "cls", F.explode(_odd_words("text")).alias("token")))
@@ -539,12 +647,23 @@ def restored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source
     of = said.select("h", "token").join(F.broadcast(ways) if bytes_ <= SENT_BYTES else ways, "token")
     of = of.groupBy("h").agg(F.collect_set(F.struct("token", "whole", "part")).alias("ways"))
     lost = F.length("text") - F.length(F.replace("text", F.lit(LOST)))
-    met = odd.join(of, "h", "left").where(F.col("ways").isNotNull() | (lost >= least))
-    shared = rows.sparkSession.sparkContext.broadcast(model.share)
+    tables = learned_tables(words, model)
+    if tables:
+        pairs, chars, _ = _counts(words, model, tables)
+        model = Model(Bigrams(model.bigrams.pairs + pairs, model.bigrams.chars + chars), model.share)
+    met = odd.join(of, "h", "left")
+    hit = F.lit(False)
+    if tables:
+        marks = spark.createDataFrame([(cls, "[" + "".join(f"\\x{{{c:x}}}" for c in t) + "]") for cls, t in tables.items()], "cls int, marks string")
+        met = met.join(F.broadcast(marks), "cls", "left")  # one row a class at most
+        hit = F.coalesce(F.regexp_like("text", F.col("marks")), F.lit(False))
+    met = met.where(F.col("ways").isNotNull() | (lost >= least) | hit)
+    shared = spark.sparkContext.broadcast((model.share, tables, model.bigrams.tables() if tables else None))
     kind = dict(rows.dtypes)["k"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r = Restorer(Model(None, shared.value))
+        share, learned, known = shared.value
+        r = Restorer(Model(known and Bigrams(*known), share), learned)
         for b in batches:
             at, n, how, out = [], [], [], []
             for i, (t, cls, own) in enumerate(zip(*(b.column(x).to_pylist() for x in ("text", "cls", "ways")))):

@@ -163,3 +163,27 @@ def test_readings_are_undone_to_any_depth(reads):
     for r in reads:
         s = garbled(s, "utf-8", r)
     assert text in [f for f, _ in mojibake.candidates(s)]
+
+
+GERMAN = ["Die Größe des Löffels ändert sich künftig", "Für jede Übung gibt es schöne Möglichkeiten", "Der Käfer läuft über die grüne Brücke", "Gewöhnlich hört man nachts die Vögel", "Später führt die Straße zurück zum Schloß", "Fünf Mädchen pflückten süße Äpfel am Flüßchen", "Natürlich wären größere Gefäße nützlicher", "Die Bäcker müßten früher öffnen"]
+
+
+@pytest.mark.parametrize("page", ["cp1253", "iso8859_7"])
+def test_tables_of_unknown_pages_are_learned(spark, page):
+    assert page not in mojibake.READ_AS
+    rnd = random.Random(5)
+    clean = [" ".join(rnd.sample(GERMAN, 4)) + f" {n}" for n in range(160)]
+    wrong = [" ".join(rnd.sample(GERMAN, 4)) for _ in range(40)]
+    texts = [(i, t, "a" if i % 2 else "b", "x") for i, t in enumerate(clean)] + [(1000 + i, t.encode("cp1252").decode(page, "ignore"), "scans", "x") for i, t in enumerate(wrong)]
+    texts += [(2000 + i, "Die Zahl π und der Winkel α, dazu β-Zerfall und µm", "a", "x") for i in range(10)]
+    got = {r["doc_id"]: r for r in mojibake.restored(spark.createDataFrame(texts, DOCS)).collect()}
+    assert set(got) == {1000 + i for i in range(40)}
+    right = total = 0
+    for i, t in enumerate(wrong):
+        garbled_text = t.encode("cp1252").decode(page, "ignore")
+        if len(garbled_text) == len(t):
+            for x, y, z in zip(t, garbled_text, got[1000 + i]["restored"]):
+                assert x == y == z or x != y
+                right, total = right + (x != y and x == z), total + (x != y)
+    # What stands at the start of a word or beside another such letter has no sure neighbours.
+    assert right >= 0.6 * total > 100 and {got[k]["swap"] for k in got} == {"learned"}
