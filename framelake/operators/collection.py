@@ -1,8 +1,10 @@
 """Ordered collections: a frame with a position column, and the algebra of ordered items.
 
-Every method returns a new collection and stays lazy unless it says otherwise. Positions are
-dense, 0 .. N-1. They are made without sending all rows to one task: rows are range-partitioned and
-sorted, numbered within partitions, and shifted by the sizes of the partitions before.
+Every method returns a new collection. Filters, maps and choices by place are lazy; what gives rows
+new places (of, sort, shuffles, union, flatten, dense) writes them once to the checkpoint folder, as
+numbering and counting must see the same partitions. Positions are dense, 0 .. N-1, and made without
+sending all rows to one task: rows are range-partitioned and sorted, numbered within partitions, and
+shifted by the sizes of the partitions before.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from framelake.operators.selection import smallest
 from framelake.session import cut
 
 POS = "_pos"
@@ -38,6 +41,12 @@ def col(f: Column | str) -> Column:
     return F.col(f) if isinstance(f, str) else f
 
 
+def _hash_number(key: Column, seed: int, digits: int) -> Column:
+    """The first hexadecimal digits of a hash as a number."""
+    n = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string"))), 1, digits), 16, 10)
+    return n.cast("double" if digits <= 12 else "bigint")
+
+
 class Collection:
     """An ordered collection of rows."""
 
@@ -319,9 +328,9 @@ class Collection:
         """n random items, the same in every run; with replacement if n exceeds the items there are."""
         size = self.size()
         if n <= size:
-            h = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
-            return self._sub(self.df.orderBy(h, key).limit(n))
-        draws = self.df.sparkSession.range(n).select(F.col("id").alias("_to"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(max(1, size))).alias("_at"))
+            # By the first 48 bits of the hash, without a global sort or one task for all that is taken.
+            return self._sub(smallest(self.df.withColumn("_h", _hash_number(F.col(key), seed, 12) + 1), "_h", key, n).drop("_h"))
+        draws = self.df.sparkSession.range(n).select(F.col("id").alias("_to"), F.pmod(_hash_number(F.col("id"), seed, 15).cast("bigint"), F.lit(max(1, size))).alias("_at"))
         d = self.dense().df
         return self._sub(draws.join(d, F.col("_at") == F.col(POS)).drop("_at", POS).withColumnRenamed("_to", POS))
 

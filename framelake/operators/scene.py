@@ -10,6 +10,7 @@ from framelake.operators import activities as A
 from framelake.operators import tracks as K
 from framelake.operators.intervals import periods_and_gaps
 from framelake.operators.joins import interval_join
+from framelake.session import cut
 
 T = K.T
 
@@ -33,10 +34,10 @@ def without_activity(extent: DataFrame, acts: DataFrame) -> DataFrame:
     edge = lambda c, d: extent.select("video_id", F.col(c).alias("startframe"), (F.col(c) + d).alias("endframe"))
     inside = acts.join(extent.select("video_id", F.col("startframe").alias("lo"), F.col("endframe").alias("hi")), "video_id")
     a, b = F.greatest("startframe", "lo"), F.least(F.col("endframe") + 1, F.col("hi"))
-    cut = inside.select("video_id", a.alias("startframe"), b.alias("endframe"))
+    spans = inside.select("video_id", a.alias("startframe"), b.alias("endframe"))
     # Empty marks just outside the extent turn the outer spans into gaps as well.
     marks = edge("startframe", 0).withColumn("startframe", F.col("startframe") - 1).unionByName(edge("endframe", 1))
-    gaps = periods_and_gaps(cut.unionByName(marks), ["video_id"], "startframe", "endframe").where("kind = 'gap'")
+    gaps = periods_and_gaps(spans.unionByName(marks), ["video_id"], "startframe", "endframe").where("kind = 'gap'")
     return gaps.select("video_id", "startframe", "endframe")
 
 
@@ -120,3 +121,35 @@ def flatten(frames: DataFrame, acts: DataFrame) -> DataFrame:
     o = frame_objects(frames, acts)
     b = F.col("box")
     return o.select("video_id", "frame", "track_id", b["xmin"].alias("xmin"), b["ymin"].alias("ymin"), B.width(b).alias("width"), B.height(b).alias("height"), F.array_join("activities", ";").alias("activities"))
+
+
+def union(a: DataFrame, a_acts: DataFrame, b: DataFrame, b_acts: DataFrame, cover: float = 0.6, temporal: float = 0.5, share: float = 0.8, samples: int = 100, overlap: str = "average") -> tuple[DataFrame, DataFrame]:
+    """(key boxes, activities) of two scenes of the same videos: tracks of b (video_id, track_id, category,
+    frame, box) that lie on one of a become part of it, activities of b that a has already are left out.
+
+    A track of b is merged into the longest track of a (ties: smaller id) of its category whose best
+    `share` of covers over the common span has a mean above `cover`; where both have a key box, they are
+    averaged, or a's is kept, or b's replaces it. An activity of b (video_id, activity_id, category,
+    startframe, endframe, track_ids) falls if one of a has its category, the same tracks after merging
+    and a temporal IoU above `temporal`. Ids of a and b must differ (`rekey`)."""
+    category = lambda k, n: k.groupBy(*T).agg(F.first("category", ignorenulls=True).alias("c"), (F.max("frame") - F.min("frame")).alias("len")).select("video_id", F.col("track_id").alias(f"{n}_track"), F.col("c").alias(f"{n}_c"), F.col("len").alias(f"{n}_len"))
+    m = K.segment_metrics(K.dense(a), share=share, samples=samples, other=K.dense(b)).where(F.col("percentile_cover") > cover)
+    m = m.join(category(a, "a"), ["video_id", "a_track"]).join(category(b, "b"), ["video_id", "b_track"]).where(F.col("a_c").eqNullSafe(F.col("b_c")))
+    into = cut(m.groupBy("video_id", F.col("b_track").alias("track_id")).agg(F.max_by("a_track", F.struct("a_len", -F.col("a_track"))).alias("into")))
+
+    cols = [*T, "category", "frame", "box"]
+    moved = b.select(*cols).join(into, T, "left").withColumn("own", F.coalesce("into", "track_id"))
+    both = a.select(*cols, F.lit(0).alias("side")).unionByName(moved.select("video_id", F.col("own").alias("track_id"), "category", "frame", "box", F.lit(1).alias("side")))
+    mean = B.mean_agg(F.col("box"))
+    box = {"average": mean, "keep": F.min_by("box", "side"), "replace": F.max_by("box", "side")}[overlap]
+    keys = both.groupBy(*T, "frame").agg(F.min_by("category", "side").alias("category"), box.alias("box"))
+
+    named = lambda acts: acts.select("video_id", "activity_id", "category", "startframe", "endframe", F.array_sort(F.array_distinct("track_ids")).alias("track_ids"))
+    link = b_acts.select("video_id", "activity_id", F.explode("track_ids").alias("track_id")).join(into, T, "left")
+    link = link.groupBy("video_id", "activity_id").agg(F.array_sort(F.collect_set(F.coalesce("into", "track_id"))).alias("track_ids"))
+    new = b_acts.drop("track_ids").join(link, ["video_id", "activity_id"]).select("video_id", "activity_id", "category", "startframe", "endframe", "track_ids")
+    old = named(a_acts)
+    o = old.select("video_id", "category", "track_ids", F.col("startframe").alias("s"), F.col("endframe").alias("e"))
+    inter = F.least("endframe", "e") - F.greatest("startframe", "s")
+    seen = new.join(o, ["video_id", "category", "track_ids"]).where((inter > 0) & (inter > temporal * (F.greatest("endframe", "e") - F.least("startframe", "s")))).select("video_id", "activity_id").distinct()
+    return keys, old.unionByName(new.join(seen, ["video_id", "activity_id"], "left_anti"))

@@ -31,7 +31,8 @@ def dense(keys: DataFrame, step: int = 1) -> DataFrame:
     hi = F.col("next_frame") - 1
     at = F.when(F.col("next_frame").isNull(), F.array(F.col("frame"))).when(lo <= hi, F.sequence(lo, hi, F.lit(step).cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
     e = s.withColumn("at", F.explode(at.cast("array<int>")))
-    return e.select(*T, F.col("at").alias("frame"), _between(e).alias("box"), F.col("conf"), (F.col("at") == F.col("frame")).alias("is_key"))
+    conf = F.col("conf") if "conf" in keys.columns else F.lit(None).cast("double")
+    return e.select(*T, F.col("at").alias("frame"), _between(e).alias("box"), conf.alias("conf"), (F.col("at") == F.col("frame")).alias("is_key"))
 
 
 def _between(e: DataFrame, at: str = "at") -> Column:
@@ -167,17 +168,19 @@ def pair_metrics(frames: DataFrame, same: list[str], top: float = 0.5, cell: flo
     )
 
 
-def segment_metrics(frames: DataFrame, step: int = 5, share: float = 0.8, samples: int = 100) -> DataFrame:
-    """For pairs of tracks of a video (a < b) whose spans have more than one frame in common: over the
+def segment_metrics(frames: DataFrame, step: int = 5, share: float = 0.8, samples: int = 100, other: DataFrame | None = None) -> DataFrame:
+    """For pairs of tracks of a video (a < b, or one of frames with one of `other`) whose spans have more than one frame in common: over the
     frames of the common span from its start on, every `step`-th before its end: segment_iou and
     segment_cover (means); over every max(1, length / samples)-th: percentile_iou and percentile_cover
     (means of the best `share`); endpoint_iou (mean at both ends of the span); fragment (smallest IoU
     at every step-th frame where one track lies wholly within the other, else 0).
 
     Tracks meet by an equi-join of their frames, so that frames without overlap count."""
-    spans_of = frames.groupBy(*T).agg(F.min("frame").alias("lo"), F.max("frame").alias("hi"))
-    side = lambda p: spans_of.select("video_id", F.col("track_id").alias(f"{p}_track"), F.col("lo").alias(f"{p}_lo"), F.col("hi").alias(f"{p}_hi"))
-    both = interval_join(side("a"), side("b"), ["video_id"], ("a_lo", "a_hi"), ("b_lo", "b_hi"), 256).where("a_track < b_track")
+    spans_of = lambda f: f.groupBy(*T).agg(F.min("frame").alias("lo"), F.max("frame").alias("hi"))
+    of = {"a": frames, "b": frames if other is None else other}
+    side = lambda p: spans_of(of[p]).select("video_id", F.col("track_id").alias(f"{p}_track"), F.col("lo").alias(f"{p}_lo"), F.col("hi").alias(f"{p}_hi"))
+    both = interval_join(side("a"), side("b"), ["video_id"], ("a_lo", "a_hi"), ("b_lo", "b_hi"), 256)
+    both = both.where("a_track < b_track") if other is None else both
     s, e = F.greatest("a_lo", "b_lo"), F.least("a_hi", "b_hi")
     within = ((F.col("a_lo") >= F.col("b_lo")) & (F.col("a_hi") <= F.col("b_hi"))) | ((F.col("b_lo") >= F.col("a_lo")) & (F.col("b_hi") <= F.col("a_hi")))
     span = both.select("video_id", "a_track", "b_track", s.alias("s"), e.alias("e"), within.alias("within")).where("e > s")
@@ -185,7 +188,7 @@ def segment_metrics(frames: DataFrame, step: int = 5, share: float = 0.8, sample
     stepped = F.sequence(F.col("s"), F.col("e") - 1, F.lit(step))
     even = F.array_union(F.sequence(F.col("s"), F.col("e") - 1, dt), F.array("e"))
     want = span.withColumn("frame", F.explode(F.array_distinct(F.concat(stepped, even))))
-    box = lambda p: frames.select("video_id", F.col("track_id").alias(f"{p}_track"), "frame", F.col("box").alias(f"{p}_box"))
+    box = lambda p: of[p].select("video_id", F.col("track_id").alias(f"{p}_track"), "frame", F.col("box").alias(f"{p}_box"))
     j = want.join(box("a"), ["video_id", "a_track", "frame"]).join(box("b"), ["video_id", "b_track", "frame"])
     iou, cover = B.iou(F.col("a_box"), F.col("b_box")), B.max_cover(F.col("a_box"), F.col("b_box"))
     on_step = (F.pmod(F.col("frame") - F.col("s"), F.lit(step)) == 0) & (F.col("frame") < F.col("e"))

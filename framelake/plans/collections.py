@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from framelake.operators.collection import POS, Collection
-from framelake.plans.views import ITEM, OBJ, items, objects
+from framelake.plans.views import ITEM, OBJ, images, items, objects
 from framelake.sources.tables import table
 
 Q, O = {}, {}
@@ -179,7 +179,7 @@ def take(spark, d):
     return items(spark, d).take(50, "doc_id", 3).df.select("doc_id")
 
 
-@q("take_with_replacement")
+@q("take_with_replacement", I + ", d as (select i, ('0x' || substr(md5('0:' || i), 1, 15))::bigint % (select count(*) from it) as p from (select unnest(range((select count(*) from it) + 10)) as i)) select d.i as place, it.doc_id from d join it using (p)")
 def take_more(spark, d):
     c = items(spark, d)
     return c.take(c.size() + 10, "doc_id").df.select(place(), "doc_id")
@@ -215,4 +215,46 @@ def map_failures(spark, d):
     return items(spark, d).try_map(lambda r: (r["doc_id"], 1000 // r["n"]), "doc_id long, q long").df.drop(POS)
 
 
+@q("category_rollup", f"with {OBJ} select category, coalesce(conf >= 0.5, false) as sure, count(*) as n, grouping(category)::int * 2 + grouping(coalesce(conf >= 0.5, false))::int as level from ob where category is not null group by rollup (category, coalesce(conf >= 0.5, false))")
+def category_rollup(spark, d):
+    o = objects(spark, d, "category").withColumn("sure", F.coalesce(F.col("conf") >= 0.5, F.lit(False)))
+    return o.rollup("category", "sure").agg(F.count(F.lit(1)).alias("n"), F.grouping_id().cast("int").alias("level"))
+
+
+@q("category_cube", "select o_orderstatus, o_orderpriority, count(*) as n from orders group by cube (o_orderstatus, o_orderpriority)")
+def category_cube(spark, d):
+    return table(spark, d, "orders").cube("o_orderstatus", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
+
+
+@q("grouping_sets", "select o_orderstatus, o_orderpriority, count(*) as n from orders group by grouping sets ((o_orderstatus), (o_orderpriority), ())")
+def grouping_sets(spark, d):
+    a, b = F.col("o_orderstatus"), F.col("o_orderpriority")
+    return table(spark, d, "orders").groupingSets([[a], [b], []], a, b).agg(F.count(F.lit(1)).alias("n"))
+
+
+@q("categories_in_both", f"with {OBJ}, img as (select * from (select *, row_number() over (partition by image_id order by ingested_at desc) as rn from image) where rn = 1) select category from ob where category is not null intersect select category from img where category is not null")
+def categories_in_both(spark, d):
+    return objects(spark, d, "category").select("category").intersect(images(spark, d).where("category is not null").select("category"))
+
+
+@q("categories_of_objects_only", f"with {OBJ}, img as (select * from (select *, row_number() over (partition by image_id order by ingested_at desc) as rn from image) where rn = 1) select category from ob where category is not null except select category from img where category is not null")
+def categories_of_objects_only(spark, d):
+    return objects(spark, d, "category").select("category").subtract(images(spark, d).where("category is not null").select("category"))
+
+
+@q("quantiles_by_category", f"with {OBJ} select category, round(quantile_cont(conf, 0.25), 6) as low, round(quantile_cont(conf, 0.5), 6) as middle, round(quantile_cont(conf, 0.9), 6) as high, count(distinct image_id) as n_images from ob where category is not null and conf is not null group by 1")
+def quantiles(spark, d):
+    at = F.percentile("conf", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.9)))
+    g = objects(spark, d, "category", "conf").groupBy("category").agg(at.alias("p"), F.count_distinct("image_id").alias("n_images"))
+    return g.select("category", *[F.round(F.get("p", F.lit(i)), 6).alias(n) for i, n in enumerate(("low", "middle", "high"))], "n_images")
+
+
+@q("sketches_are_close", f"with {OBJ} select category, true as distinct_close, true as median_close from ob where category is not null and conf is not null group by 1 having count(*) >= 20")
+def sketches(spark, d):
+    """Approximate distinct counts and medians against the exact ones: within a tenth."""
+    o = objects(spark, d, "category", "conf")
+    g = o.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("image_id", 0.01).alias("a"), F.count_distinct("image_id").alias("e"), F.approx_percentile("conf", 0.5, 1000).alias("am"), F.percentile("conf", 0.5).alias("em"))
+    return g.where("n >= 20").select("category", (F.abs(F.col("a") - F.col("e")) <= 0.1 * F.col("e") + 1).alias("distinct_close"), (F.abs(F.col("am") - F.col("em")) <= 0.1).alias("median_close"))
+
+
 QUERIES, ORACLES = Q, O

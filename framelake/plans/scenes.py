@@ -288,6 +288,37 @@ def scene_duplicates(spark, d):
     return duplicates(spark, d, 0.8)
 
 
+_UCOPY = COPY.replace("where frame between 100 and 300)", "where frame between 100 and 300 union all select video_id, track_id + 200000, frame, x1 + 500, y1, x2 + 500, y2, conf from kb where frame between 100 and 300)")
+_UNION = DENSE.replace("from kb window", "from ck window").replace(KEY, f"{KEY}, {EACT}, {_UCOPY}") + f""", ex as (select video_id, track_id, min(frame) as lo, max(frame) as hi from ck group by 1, 2),
+sp2 as (select a.video_id, a.track_id as a_track, b.track_id as b_track, greatest(a.lo, b.lo) as s, least(a.hi, b.hi) as e, a.hi - a.lo as len from ex a join ex b on a.video_id = b.video_id and a.track_id < 100000 and b.track_id >= 100000 where least(a.hi, b.hi) > greatest(a.lo, b.lo)),
+fr as (select p.*, a.frame as f, (a.x2 - a.x1) * (a.y2 - a.y1) as aa, (b.x2 - b.x1) * (b.y2 - b.y1) as ba, {_IOU} as i from sp2 p join dn a on a.video_id = p.video_id and a.track_id = p.a_track and a.frame between p.s and p.e and ((a.frame - p.s) % greatest(1, (p.e - p.s) // 100) = 0 or a.frame = p.e) join dn b on b.video_id = p.video_id and b.track_id = p.b_track and b.frame = a.frame),
+m as (select *, greatest(i / aa, i / ba) as cv from fr), rk as (select *, row_number() over (partition by a_track, b_track order by cv desc) as r, count(*) over (partition by a_track, b_track) as n from m),
+pc as (select video_id, a_track, b_track, any_value(len) as len, avg(cv) filter (where r <= greatest(1, floor(n * 0.8))) as pc from rk group by 1, 2, 3),
+into_ as (select video_id, b_track as track_id, arg_max(a_track, (len, -a_track)) as into_track from pc where pc > 0.6 group by 1, 2) """
+
+
+def two_scenes(spark, d):
+    """Key boxes and activities; and those of frames 100 to 300 once more as other tracks: a little aside
+    (even tracks' activities) and far away (odd tracks'), a frame later."""
+    k = keyboxes(spark, d).withColumn("category", F.lit("any"))
+    part = k.where("frame between 100 and 300")
+    move = lambda by, dx: part.withColumn("track_id", F.col("track_id") + by).withColumn("box", B.translate(F.col("box"), dx, 0))
+    a = event_acts(spark, d)
+    t = F.get("track_ids", F.lit(0))
+    b = a.withColumns({"activity_id": F.col("activity_id") + 1000000, "startframe": F.col("startframe") + 1, "endframe": F.col("endframe") + 1, "track_ids": F.array(t + F.when(t % 2 == 0, 100000).otherwise(200000))})
+    return k, a, move(100000, 0.25).unionByName(move(200000, 500)), b
+
+
+@q("scene_union_tracks", _UNION + f"select c.video_id, coalesce(into_track, c.track_id) as track_id, frame, {fixed_sql('avg(x1)')} as xmin from ck c left join into_ i on i.video_id = c.video_id and i.track_id = c.track_id group by 1, 2, 3")
+def scene_union_tracks(spark, d):
+    return C.union(*two_scenes(spark, d))[0].select("video_id", "track_id", "frame", fixed("box.xmin", "xmin"))
+
+
+@q("scene_union_activities", _UNION + ", b as (select video_id, activity_id + 1000000 as activity_id, category, startframe + 1 as startframe, endframe + 1 as endframe, case when track_id % 2 = 0 then track_id + 100000 else track_id + 200000 end as track_id from ea), bm as (select b.* exclude (track_id), coalesce(i.into_track, b.track_id) as track_id from b left join into_ i on i.video_id = b.video_id and i.track_id = b.track_id) select video_id, activity_id, track_id from ea union all select video_id, activity_id, track_id from bm where not exists (select 1 from ea where ea.video_id = bm.video_id and ea.category = bm.category and ea.track_id = bm.track_id and least(ea.endframe, bm.endframe) > greatest(ea.startframe, bm.startframe) and (least(ea.endframe, bm.endframe) - greatest(ea.startframe, bm.startframe)) > 0.5 * (greatest(ea.endframe, bm.endframe) - least(ea.startframe, bm.startframe)))")
+def scene_union_activities(spark, d):
+    return C.union(*two_scenes(spark, d))[1].select("video_id", "activity_id", F.get("track_ids", F.lit(0)).alias("track_id"))
+
+
 @q("split_by_track", f"with {KEY}, {EACT} select k.track_id, min(k.frame) as startframe, max(k.frame) as endframe, coalesce((select count(distinct activity_id) from ea where ea.track_id = k.track_id), 0) as activities from kb k group by k.track_id")
 def split_by_track(spark, d):
     return C.split_by_track(keyboxes(spark, d), event_acts(spark, d)).select("track_id", "startframe", "endframe", "activities")

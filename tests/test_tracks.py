@@ -107,3 +107,25 @@ def test_activities_are_merged_or_suppressed(spark):
     assert got() == [(1, "run", 5, 0, 12, 0.9), (1, "run", 5, 11, 30, 0.2), (1, "run", 6, 0, 10, 0.5), (1, "sit", None, 0, 10, 0.3)]
     assert got(merge=False, suppress=True) == [(1, "run", 5, 11, 30, 0.2), (1, "run", 5, 2, 12, 0.9), (1, "run", 6, 0, 10, 0.5), (1, "sit", None, 1, 10, 0.3)]
     assert len(got(merge=False)) == 6 and tracker.assign_activities(df.limit(0)).collect() == []
+
+
+def test_union_of_two_scenes(spark):
+    k = lambda rows: spark.createDataFrame([(1, t, c, f, tuple(map(float, b))) for t, c, f, b in rows], "video_id long, track_id long, category string, frame int, box struct<xmin:double,ymin:double,xmax:double,ymax:double>")
+    acts = lambda rows: spark.createDataFrame([(1, *r) for r in rows], "video_id long, activity_id long, category string, startframe int, endframe int, track_ids array<long>")
+    p = [(1, "p1", 0, (10, 20, 40, 60)), (1, "p1", 2, (20, 30, 60, 80)), (2, "p2", 1, (10, 20, 40, 60)), (2, "p2", 3, (30, 40, 80, 100))]
+    same = [(t + 10, c, f, b) for t, c, f, b in p]
+    keys, joined = C.union(k(p), acts([(1, "act1", 0, 3, [1, 2])]), k(same), acts([(11, "act1", 0, 3, [12, 11])]))
+    assert {(r["track_id"], r["frame"]) for r in keys.collect()} == {(1, 0), (1, 2), (2, 1), (2, 3)} and [r["activity_id"] for r in joined.collect()] == [1]
+    other = C.union(k(p), acts([(1, "act1", 0, 3, [1, 2])]), k(same), acts([(11, "act2", 0, 3, [11, 12])]))[1]
+    assert {(r["category"], tuple(r["track_ids"])) for r in other.collect()} == {("act1", (1, 2)), ("act2", (1, 2))}
+    far = [(13, "p1", 0, (200, 200, 220, 220)), (13, "p1", 2, (200, 200, 220, 220)), (14, "p9", 0, (10, 20, 40, 60)), (14, "p9", 2, (20, 30, 60, 80))]
+    keys, joined = C.union(k(p), acts([(1, "act1", 0, 4, [1])]), k(far), acts([(11, "act1", 3, 9, [13])]))
+    assert {r["track_id"] for r in keys.collect()} == {1, 2, 13, 14} and len(joined.collect()) == 2
+    part = [(15, "p1", 0, (12, 20, 42, 60))]
+    for overlap, x in (("average", 10), ("keep", 10), ("replace", 10)):  # one common frame is no span: nothing is merged
+        got = {(r["track_id"], r["frame"]): r["box"]["xmin"] for r in C.union(k(p), acts([]), k(part), acts([]), overlap=overlap)[0].collect()}
+        assert got[1, 0] == x and got[15, 0] == 12
+    shifted = [(16, "p1", f, (b[0] + 2, *b[1:])) for t, c, f, b in p if t == 1]
+    for overlap, x in (("average", 11), ("keep", 10), ("replace", 12)):
+        got = {(r["track_id"], r["frame"]): r["box"]["xmin"] for r in C.union(k(p), acts([]), k(shifted), acts([]), overlap=overlap)[0].collect()}
+        assert got[1, 0] == x and len(got) == 4
