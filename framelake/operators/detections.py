@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +16,38 @@ from framelake.session import cut
 CELL = 128.0
 #: Rounds after which a resolution that has not settled is an error.
 MOST_ROUNDS = 1000
+#: Pairs of one image that are resolved in a single pass of one task; images with more go in rounds over all tasks.
+PASS_PAIRS = 1_000_000
+
+
+def _by_size(edges: DataFrame, group: str, most: int) -> tuple[DataFrame, DataFrame]:
+    """(edges of groups with at most `most` of them, edges of the others)."""
+    large = cut(edges.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most).select(group))
+    return edges.join(large, group, "left_anti"), edges.join(large, group, "left_semi")
+
+
+def _in_order(edges: DataFrame, group: str, order: list[Column], out: str, begin: Callable[[], Callable[[tuple], tuple | None]]) -> DataFrame:
+    """Edges (group first) in order within their group, each through the step that begin() makes for its
+    group; what the steps give are the rows. Tasks read sorted rows and hold a step's memory of one group."""
+    tasks = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = edges.repartition(tasks, group).sortWithinPartitions(group, *order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, step = object(), None
+        for b in batches:
+            found = []
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                if row[0] != own:
+                    own, step = row[0], begin()
+                got = step(row)
+                if got is not None:
+                    found.append(got)
+            n = len(found[0]) if found else 0
+            kinds = [b.schema.field(i).type for i in range(n)]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], kinds[i]) for i in range(n)], [b.schema.names[i] for i in range(n)])
+
+    return rows.mapInArrow(run, out)
 
 
 def pair_overlaps(objects: DataFrame, image: str, obj: str, by: list[str] | None = None, cell: float = CELL) -> DataFrame:
@@ -22,14 +57,15 @@ def pair_overlaps(objects: DataFrame, image: str, obj: str, by: list[str] | None
     return pairs.withColumns({"iou": B.iou(a, b), "cover": B.cover(a, b), "maxcover": B.max_cover(a, b), "shape_iou": B.shape_iou(a, b)})
 
 
-def nms(objects: DataFrame, image: str, obj: str, conf: str, min_conf: float, iou: float, cover: float | None = None, by: str | None = None, cell: float = CELL) -> DataFrame:
+def nms(objects: DataFrame, image: str, obj: str, conf: str, min_conf: float, iou: float, cover: float | None = None, by: str | None = None, cell: float = CELL, most_pairs: int = PASS_PAIRS) -> DataFrame:
     """Greedy non-maximum suppression: the detections that stay.
 
     Detections above min_conf with a valid box, in order of confidence (ties: smaller `obj`), suppress
-    later ones that overlap with iou >= `iou` or maxcover > `cover` (of the same `by`). Resolved in
-    rounds over the table of close pairs instead of one pass a group: a detection stays when every
-    stronger neighbour is suppressed, and falls when one stays. The rounds are as many as the longest
-    chain of neighbours, and no image has to fit one task.
+    later ones that overlap with iou >= `iou` or maxcover > `cover` (of the same `by`). The close pairs
+    of an image are read in order of the stronger one, which has fallen by then if it ever does. Images
+    with more than PASS_PAIRS pairs go in rounds over all tasks instead: a detection stays when every
+    stronger neighbour is suppressed, and falls when one stays; rounds are as many as the longest
+    chain of neighbours. Both give the same.
     """
     keep = objects.where((F.col(conf) > min_conf) & B.valid(F.col("box")))
     slim = keep.select(image, obj, conf, "box", *([by] if by else []))
@@ -38,9 +74,24 @@ def nms(objects: DataFrame, image: str, obj: str, conf: str, min_conf: float, io
     close = B.iou(a, b) >= iou
     if cover is not None:
         close = close | (B.max_cover(a, b) > cover)
-    edges = cut(pairs.where(close).select(image, F.col(f"a_{obj}").alias("s"), F.col(f"b_{obj}").alias("w")))
-    fallen = cut(edges.select(image, "w").limit(0))
-    left = edges
+    edges = cut(pairs.where(close).select(image, F.col(f"a_{obj}").alias("s"), F.col(f"b_{obj}").alias("w"), F.col(f"a_{conf}").alias("_c")))
+    few, many = _by_size(edges, image, most_pairs)
+    kinds = dict(edges.dtypes)
+
+    def begin() -> Callable[[tuple], tuple | None]:
+        down = set()
+
+        def step(row: tuple) -> tuple | None:
+            g, stronger, weaker, _ = row
+            if stronger in down or weaker in down:
+                return None
+            down.add(weaker)
+            return (g, None, weaker)
+
+        return step
+
+    fallen = _in_order(few, image, [F.desc("_c"), F.col("s"), F.col("w")], f"`{image}` {kinds[image]}, s {kinds['s']}, w {kinds['w']}", begin).select(image, "w")
+    left = cut(many.drop("_c"))
     for _ in range(MOST_ROUNDS):
         if left.isEmpty():
             break
@@ -58,17 +109,38 @@ def nms(objects: DataFrame, image: str, obj: str, conf: str, min_conf: float, io
     return keep.join(fallen.withColumnRenamed("w", obj), [image, obj], "left_anti")
 
 
-def greedy_assignment(edges: DataFrame, group: str, src: str, dst: str, order: Column, score: Column) -> DataFrame:
+def greedy_assignment(edges: DataFrame, group: str, src: str, dst: str, order: Column, score: Column, most_pairs: int = PASS_PAIRS) -> DataFrame:
     """One-to-one: sources in the order of `order` (largest first; ties: smaller src) each take the free
     destination with the largest score (ties: smaller dst). edges: the pairs that may be matched.
 
-    All sources ask for their best destination at once, a destination keeps the source that comes
-    first in the order and turns the others away for good; repeated until nobody is turned away.
-    As all destinations prefer the same order, this ends in the sequential result. Memory and time
-    are spread over the pairs, whatever the size of a group.
+    The pairs of a group are read in that order by one task, which holds what is taken. Groups with
+    more than PASS_PAIRS pairs go in rounds over all tasks: all sources ask for their best destination
+    at once, a destination keeps the source that comes first in the order and turns the others away
+    for good, until nobody is turned away. As all destinations prefer the same order, both give the
+    same.
     """
-    left = cut(edges.select(group, src, dst, order.alias("_o"), score.alias("_s")))
+    rows = cut(edges.select(group, src, dst, order.alias("_o"), score.alias("_s")))
+    few, left = _by_size(rows, group, most_pairs)
+    kinds = dict(rows.dtypes)
+
+    def begin() -> Callable[[tuple], tuple | None]:
+        taken, served = set(), set()
+
+        def step(row: tuple) -> tuple | None:
+            if row[1] in served or row[2] in taken:
+                return None
+            served.add(row[1])
+            taken.add(row[2])
+            return row
+
+        return step
+
+    out = ", ".join(f"`{c}` {kinds[c]}" for c in (group, src, dst, "_o", "_s"))
+    done = _in_order(few, group, [F.desc("_o"), F.col(src), F.desc("_s"), F.col(dst)], out, begin).select(group, src, dst, F.col("_s").alias("score"))
+    left = cut(left)
     for _ in range(MOST_ROUNDS):
+        if left.isEmpty():
+            return done
         asks = left.groupBy(group, src).agg(F.max_by(F.col(dst), F.struct("_s", -F.col(dst))).alias(dst), F.max("_o").alias("_o"))
         holds = asks.groupBy(group, dst).agg(F.max_by(F.struct(F.col(src).alias("hs"), F.col("_o").alias("ho")), F.struct("_o", -F.col(src))).alias("h")).select(group, dst, "h.hs", "h.ho")
         # Whoever comes after the holder of a destination never gets it.
@@ -79,7 +151,7 @@ def greedy_assignment(edges: DataFrame, group: str, src: str, dst: str, order: C
         left = cut(left.join(worse, [group, src, dst], "left_anti"))
     else:
         raise RuntimeError("assignment has not settled")
-    return left.groupBy(group, src).agg(F.max_by(F.col(dst), F.struct("_s", -F.col(dst))).alias(dst), F.max("_s").alias("score"))
+    return done.unionByName(left.groupBy(group, src).agg(F.max_by(F.col(dst), F.struct("_s", -F.col(dst))).alias(dst), F.max("_s").alias("score")))
 
 
 def assign_boxes(sources: DataFrame, targets: DataFrame, image: str, obj: str, min_iou: float = 0.0, by: str | None = None, cell: float = CELL) -> DataFrame:

@@ -63,8 +63,9 @@ def test_nms_is_the_sequential_one(spark, by):
     for r in sorted((r for r in rows if r[3] > 0.2), key=lambda r: (-r[3], r[1])):
         if not any(k[0] == r[0] and (by is None or k[2] == r[2]) and (iou(k[4], r[4])[0] >= 0.3 or iou(k[4], r[4])[1] > 0.8) for k in keep):
             keep.append(r)
-    got = D.nms(df, "image_id", "id", "conf", 0.2, 0.3, 0.8, by, cell=50.0)
-    assert sorted(r["id"] for r in got.collect()) == sorted(r[1] for r in keep)
+    for most in (D.PASS_PAIRS, 20, 0):  # in one pass, one image in rounds, all in rounds
+        got = D.nms(df, "image_id", "id", "conf", 0.2, 0.3, 0.8, by, cell=50.0, most_pairs=most)
+        assert sorted(r["id"] for r in got.collect()) == sorted(r[1] for r in keep)
 
 
 def test_assignment_is_the_sequential_one(spark):
@@ -79,6 +80,10 @@ def test_assignment_is_the_sequential_one(spark):
             taken.add(-max(free)[1])
     got = D.assign_boxes(df.where("id % 2 = 0"), df.where("id % 2 = 1"), "image_id", "id", 0.05, cell=50.0)
     assert {r["src"]: r["dst"] for r in got.collect()} == want
+    edges = D.grid_join(df.where("id % 2 = 0"), df.where("id % 2 = 1"), ["image_id"], 50.0).select("image_id", F.col("a_id").alias("src"), F.col("b_id").alias("dst"), B.area(F.col("a_box")).alias("area"), B.iou(F.col("a_box"), F.col("b_box")).alias("iou")).where("iou > 0.05")
+    for most in (30, 0):
+        got = D.greedy_assignment(edges, "image_id", "src", "dst", F.col("area"), F.col("iou"), most)
+        assert {r["src"]: r["dst"] for r in got.collect()} == want
     assert D.difference(df.where("id % 2 = 0"), df.where("id % 2 = 1"), "image_id", "id", 0.05).count() == len(src) - len(want)
 
 
