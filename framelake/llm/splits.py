@@ -225,16 +225,16 @@ def found(face: DataFrame, identity: DataFrame) -> DataFrame:
 
 
 def face_splits(face: DataFrame, identity: DataFrame, shares: dict[str, float]) -> DataFrame:
-    """face_id, group_id, split: all faces of one group in one split.
+    """face_id, group_id, split, n_identities: all faces of one group in one split.
 
     The label profile of a group is the delivery folder most of its faces lie in.
     """
-    rows = cut(grouped_faces(face, identity).select("face_id", "group_id", "folder"))
+    rows = cut(grouped_faces(face, identity).select("face_id", "group_id", "folder", "n_identities"))
     per = rows.groupBy("group_id", "folder").agg(F.count(F.lit(1)).alias("n"))
     groups = per.groupBy("group_id").agg(F.sum("n").alias("n"), F.max_by("folder", F.struct("n", "folder")).alias("folder"))
     placed = cut(split_groups(groups, "group_id", "n", "folder", shares))
     out = rows.join(F.broadcast(placed) if small_enough(placed) else placed, "group_id")
-    return out.select("face_id", wordnetid("group_id").alias("group_id"), "split")
+    return out.select("face_id", wordnetid("group_id").alias("group_id"), "split", "n_identities")
 
 
 def shares_of(split_target: DataFrame) -> dict[str, float]:
@@ -244,7 +244,9 @@ def shares_of(split_target: DataFrame) -> dict[str, float]:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return found(table(spark, d, "face"), table(spark, d, "face_identity"))
+    """Of the faces with their splits, those whose group ties several identities."""
+    faces = face_splits(table(spark, d, "face"), table(spark, d, "face_identity"), shares_of(table(spark, d, "split_target")))
+    return faces.where("n_identities >= 2").select("face_id", "group_id")
 
 
 def p1_shares(spark: SparkSession, d: str) -> DataFrame:
@@ -259,4 +261,4 @@ def p1_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_splits(spark: SparkSession, d: str) -> DataFrame:
-    return face_splits(table(spark, d, "face"), table(spark, d, "face_identity"), shares_of(table(spark, d, "split_target")))
+    return face_splits(table(spark, d, "face"), table(spark, d, "face_identity"), shares_of(table(spark, d, "split_target"))).drop("n_identities")
