@@ -5,6 +5,9 @@ Decoding of image files needs libraries that are not part of this project; grids
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -255,3 +258,81 @@ def circle(x: float, y: float, r: float, w: int, h: int) -> Column:
 
 def vertical_gradient(rows: int, cols: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(rows - 1)), lambda i: F.array_repeat(i / max(1, rows - 1), cols))
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _weighted(row: Column, taps: list[tuple[float, Column]]) -> Column:
+    parts = [w * F.get(row, i) for w, i in taps]
+    return sum(parts[1:], parts[0])
+
+
+def _reflected(i: Column, n: int) -> Column:
+    """Place i of a line of n mirrored at its ends, which are not repeated."""
+    return F.when(i < 0, -i).when(i > n - 1, 2 * (n - 1) - i).otherwise(i)
+
+
+def gaussian_blur(g: Column, h: int, w: int, sigma: float = 1.0) -> Column:
+    """Blur with a Gaussian of five taps each way, not brought to sum one, edges mirrored."""
+    weight = {k: math.exp(-0.5 * (k / sigma) ** 2) / math.sqrt(2 * math.pi) for k in range(-2, 3)}
+    line = lambda n: F.sequence(F.lit(0), F.lit(n - 1))
+    rows = F.transform(g, lambda r: F.transform(line(w), lambda x: _weighted(r, [(weight[k], _reflected(x + k, w)) for k in weight])))
+    down = lambda rs: F.transform(line(h), lambda y: F.transform(line(w), lambda x: sum((weight[k] * F.get(F.get(rs, _reflected(y + k, h)), x) for k in sorted(weight)), F.lit(0.0))))
+    return _let(rows, down)
+
+
+def halved(g: Column) -> Column:
+    """Every second row and column."""
+    even = lambda a: F.filter(a, lambda _, i: F.pmod(i, F.lit(2)) == 0)
+    return F.transform(even(g), even)
+
+
+def gaussian_pyramid(g: Column, h: int, w: int) -> list[Column]:
+    """Blurred grids, each half as large as the one before, log2(shorter side) - 2 of them, and the rest."""
+    bands = []
+    for _ in range(max(0, int(math.log2(min(h, w)) - 2))):
+        y = gaussian_blur(g, h, w)
+        bands.append(y)
+        g, h, w = halved(y), -(-h // 2), -(-w // 2)
+    return [*bands, g]
+
+
+def laplacian_pyramid(g: Column, h: int, w: int) -> list[Column]:
+    """What each blur of the Gaussian pyramid takes away, and the rest: bands that add up again."""
+    bands = []
+    for _ in range(max(0, int(math.log2(min(h, w)) - 2))):
+        y = gaussian_blur(g, h, w)
+        bands.append(F.zip_with(g, y, lambda a, b: F.zip_with(a, b, lambda u, v: u - v)))
+        g, h, w = halved(y), -(-h // 2), -(-w // 2)
+    return [*bands, g]
+
+
+def resized(g: Column, h: int, w: int, rows: int, cols: int, nearest: bool = False) -> Column:
+    """Grid of h x w brought to rows x cols, linear between the middles of the cells (or the nearest cell)."""
+
+    def taps(i: Column, n: int, m: int) -> tuple[Column, Column, Column]:
+        at = F.greatest(F.lit(0.0), F.least((i + 0.5) * n / m - 0.5, F.lit(float(n - 1))))
+        lo = F.floor(at).cast("int")
+        return lo, F.least(lo + 1, F.lit(n - 1)), at - lo
+
+    cell = lambda y, x: F.get(F.get(g, y), x)
+
+    def value(i: Column, j: Column) -> Column:
+        if nearest:
+            return cell(F.floor((i + 0.5) * h / rows).cast("int"), F.floor((j + 0.5) * w / cols).cast("int"))
+        y0, y1, ty = taps(i, h, rows)
+        x0, x1, tx = taps(j, w, cols)
+        top, low = cell(y0, x0) * (1 - tx) + cell(y0, x1) * tx, cell(y1, x0) * (1 - tx) + cell(y1, x1) * tx
+        return top * (1 - ty) + low * ty
+
+    line = lambda n: F.sequence(F.lit(0), F.lit(n - 1))
+    return F.transform(line(rows), lambda i: F.transform(line(cols), lambda j: value(i, j)))
+
+
+def noised(g: Column, key: Column, amount: float, seed: int = 0) -> Column:
+    """Uniform noise of +-amount on every cell, the same in every run: by a hash of the key and the place."""
+    unit = lambda i, j: (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string"), i.cast("string"), j.cast("string"))), 1, 8), 16, 10).cast("double") / 4294967296.0 - 0.5)
+    return F.transform(g, lambda r, i: F.transform(r, lambda v, j: v + 2 * amount * unit(i, j)))

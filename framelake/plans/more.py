@@ -134,6 +134,46 @@ def grid_luminance(spark, d):
     return thumbs(spark, d).select("id", r(first(X.luminance(g, X.fliplr(g), X.flipud(g))), "luma"), r(first(X.box_blur(g, 1)), "blur"), r(F.get(F.get(X.pixelate(g, 4), F.lit(3)), F.lit(2)), "block"))
 
 
+_BLUR = _G + ", k as (select k, exp(-0.5 * k * k) / sqrt(2 * pi()) as w from (values (-2), (-1), (0), (1), (2)) t(k)), xy as (select id, a, y, x from g, range(8) t(y), range(8) s(x)), bl as (select id, y, x, sum(ky.w * kx.w * a[(case when y + ky.k < 0 then -(y + ky.k) when y + ky.k > 7 then 14 - (y + ky.k) else y + ky.k end) * 8 + (case when x + kx.k < 0 then -(x + kx.k) when x + kx.k > 7 then 14 - (x + kx.k) else x + kx.k end) + 1]) as v from xy, k ky, k kx group by 1, 2, 3) "
+
+
+@q("grid_pyramid", _BLUR + "select id, round(sum(v), 5) as blurred, round(sum(v) filter (where y % 2 = 0 and x % 2 = 0), 5) as half, round(any_value(list_sum(a)) - sum(v), 5) as detail from bl join g using (id) group by id")
+def grid_pyramid(spark, d):
+    g = F.col("g")
+    blurred, half = X.gaussian_pyramid(g, 8, 8)
+    detail = X.laplacian_pyramid(g, 8, 8)[0]
+    return thumbs(spark, d).select("id", r(X.total(blurred), "blurred", 5), r(X.total(half), "half", 5), r(X.total(detail), "detail", 5))
+
+
+_LIN = "greatest(0, least(({0} + 0.5) * 8 / {1} - 0.5, 7.0))::double"
+
+
+@q("grid_resize", _G + f", p as (select id, a, i, j, {_LIN.format('i', 12)} as y, {_LIN.format('j', 5)} as x from g, range(12) t(i), range(5) s(j)), q as (select *, floor(y)::int as y0, floor(x)::int as x0, least(floor(y)::int + 1, 7) as y1, least(floor(x)::int + 1, 7) as x1 from p) select id, round(sum((a[y0 * 8 + x0 + 1] * (1 - (x - x0)) + a[y0 * 8 + x1 + 1] * (x - x0)) * (1 - (y - y0)) + (a[y1 * 8 + x0 + 1] * (1 - (x - x0)) + a[y1 * 8 + x1 + 1] * (x - x0)) * (y - y0)), 5) as linear, round(sum(a[floor((i + 0.5) * 8 / 12)::int * 8 + floor((j + 0.5) * 8 / 5)::int + 1]), 5) as nearest from q group by id")
+def grid_resize(spark, d):
+    g = F.col("g")
+    return thumbs(spark, d).select("id", r(X.total(X.resized(g, 8, 8, 12, 5)), "linear", 5), r(X.total(X.resized(g, 8, 8, 12, 5, nearest=True)), "nearest", 5))
+
+
+@q("grid_noise", _G + ", p as (select id, a[i * 8 + j + 1] + 0.2 * (('0x' || substr(md5('3:' || id || ':' || i || ':' || j), 1, 8))::bigint / 4294967296.0::double - 0.5) as v from g, range(8) t(i), range(8) s(j)) select id, round(sum(v), 5) as total, round(max(v), 6) as top from p group by id")
+def grid_noise(spark, d):
+    n = X.noised(F.col("g"), F.col("id"), 0.1, 3)
+    return thumbs(spark, d).select("id", r(X.total(n), "total", 5), r(X.maximum(n), "top"))
+
+
+@q("content_digests", "select doc_id, md5(text) as md5, sha1(text) as sha1, sha256(text) as sha256 from documents where text is not null")
+def content_digests(spark, d):
+    t = table(spark, d, "documents").where("text is not null").select("doc_id", F.col("text").cast("binary").alias("content"))
+    return readers.with_digests(t).select("doc_id", "md5", "sha1", "sha256")
+
+
+@q("verified_contents", "select doc_id from documents where text is not null and doc_id % 3 <> 0")
+def verified_contents(spark, d):
+    """Contents whose stated digest is right; a third of the statements are not."""
+    t = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("path"), F.col("text").cast("binary").alias("content"))
+    stated = readers.with_digests(t).select("path", F.when(F.col("path").cast("long") % 3 == 0, F.lit("0")).otherwise(F.upper("sha1")).alias("sha1"))
+    return readers.verified(t, stated).select(F.col("path").cast("long").alias("doc_id"))
+
+
 @q("unit_vectors", "with e as (select vec_id, embedding::double[] as a from embeddings) select vec_id, round(a[1] / (sqrt(list_dot_product(a, a)) + 1e-16), 6) as first, round((a[2] * 2 - 0.5) / 0.25, 6) as white from e")
 def unit_vectors(spark, d):
     a = F.col("embedding").cast("array<double>")

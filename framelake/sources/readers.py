@@ -2,6 +2,14 @@
 
 from __future__ import annotations
 
+import bz2
+import gzip
+import io
+import tarfile
+import zipfile
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -170,3 +178,53 @@ def data_uri(content: Column, mime: str = "image/jpeg") -> Column:
 
 def remote(path: Column, host: str) -> Column:
     return F.concat(F.lit(f"scp://{host}:"), path)
+
+
+# --- contents of files --------------------------------------------------------------------------
+
+
+def contents(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """(path, content) of files."""
+    r = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True)
+    return r.load(path).select("path", "content")
+
+
+def with_digests(files: DataFrame, content: str = "content") -> DataFrame:
+    """Adds sha1, md5 and sha256 of the contents."""
+    c = F.col(content)
+    return files.withColumns({"sha1": F.sha1(c), "md5": F.md5(c), "sha256": F.sha2(c, 256)})
+
+
+def verified(files: DataFrame, digests: DataFrame, digest: str = "sha1") -> DataFrame:
+    """Files whose digest is the stated one (path, <digest>); others, changed or unknown, are left out."""
+    return with_digests(files).join(digests.select("path", F.lower(digest).alias(digest)), ["path", digest], "left_semi")
+
+
+def unpacked(files: DataFrame) -> DataFrame:
+    """(path, name, content) of the members of zip, tar, tar.gz and tar.bz2 files, and of single gz and
+    bz2 files; others, or broken ones, give nothing."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, data in zip(b.column("path").to_pylist(), b.column("content")):
+                for name, part in members(path, data.as_py() or b""):
+                    yield pa.RecordBatch.from_pydict({"path": [path], "name": [name], "content": pa.array([part], pa.binary())})
+
+    return files.select("path", "content").mapInArrow(run, "path string, name string, content binary")
+
+
+def members(path: str, data: bytes) -> Iterator[tuple[str, bytes]]:
+    lower, base = path.lower(), path.rsplit("/", 1)[-1]
+    try:
+        if lower.endswith(".zip"):
+            with zipfile.ZipFile(io.BytesIO(data)) as z:
+                yield from ((i.filename, z.read(i)) for i in z.infolist() if not i.is_dir())
+        elif lower.endswith((".tar", ".tar.gz", ".tgz", ".tar.bz2")):
+            with tarfile.open(fileobj=io.BytesIO(data)) as t:
+                yield from ((m.name, t.extractfile(m).read()) for m in t if m.isfile())
+        elif lower.endswith(".gz"):
+            yield base[:-3], gzip.decompress(data)
+        elif lower.endswith(".bz2"):
+            yield base[:-4], bz2.decompress(data)
+    except (zipfile.BadZipFile, tarfile.TarError, OSError, EOFError):
+        return

@@ -72,3 +72,26 @@ def test_files_and_yaml(spark, tmp_path):
     assert {(r["key"], r["value"]) for r in R.read_yaml(spark, str(tmp_path / "c.yaml")).collect()} == {("name", "x y"), ("size", "3")}
     (tmp_path / "m.txt").write_text("1 2.5\n3 4\n")
     assert sorted(r["row"] for r in R.read_matrix(spark, str(tmp_path / "m.txt")).collect()) == [[1.0, 2.5], [3.0, 4.0]]
+
+
+def test_archives_are_unpacked(spark, tmp_path):
+    import bz2
+    import gzip
+    import tarfile
+    import zipfile
+
+    (tmp_path / "a.txt").write_text("one")
+    with zipfile.ZipFile(tmp_path / "z.zip", "w") as z:
+        z.writestr("d/x.txt", "two")
+    with tarfile.open(tmp_path / "t.tar.gz", "w:gz") as t:
+        t.add(tmp_path / "a.txt", "a.txt")
+    (tmp_path / "g.csv.gz").write_bytes(gzip.compress(b"three"))
+    (tmp_path / "b.csv.bz2").write_bytes(bz2.compress(b"four"))
+    (tmp_path / "broken.zip").write_bytes(b"no")
+    got = {(r["path"].rsplit("/", 1)[1], r["name"], bytes(r["content"])) for r in R.unpacked(R.contents(spark, str(tmp_path))).collect()}
+    assert got == {("z.zip", "d/x.txt", b"two"), ("t.tar.gz", "a.txt", b"one"), ("g.csv.gz", "g.csv", b"three"), ("b.csv.bz2", "b.csv", b"four")}
+
+
+def test_whole_texts(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("one\ntwo\n")
+    assert [r["value"] for r in R.read_text(spark, str(tmp_path), whole=True).collect()] == ["one\ntwo\n"] and R.read_text(spark, str(tmp_path)).count() == 2
