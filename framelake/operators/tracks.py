@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelake.functions import box as B
-from framelake.operators.joins import grid_join, interval_join
+from framelake.operators.joins import interval_join
+from framelake.session import cut
 
 T = ["video_id", "track_id"]
 
@@ -142,66 +147,118 @@ def extrapolate(keys: DataFrame, ahead: int) -> DataFrame:
     return g.select(*T, (F.col("f") + ahead).alias("frame"), B.translate(F.col("b"), rate(B.xcentroid), rate(B.ycentroid)).alias("box"))
 
 
-def pair_metrics(frames: DataFrame, same: list[str], top: float = 0.5, cell: float = 64.0) -> DataFrame:
-    """For pairs of tracks of a video (a < b) with common dense frames: common frames, mean, largest and
-    smallest IoU, mean maxcover, and the mean of the largest `top` share of the IoUs.
-
-    Only boxes that overlap meet, by grid cells within (video, frame); the frames a pair has in common
-    follow from the spans of the tracks, and frames without overlap count as 0."""
-    grid = frames.select("video_id", "frame", *same, "track_id", "box")
-    j = grid_join(grid, grid, ["video_id", "frame", *same], cell, only=F.col("a_track_id") < F.col("b_track_id"))
-    a, b = F.col("a_box"), F.col("b_box")
-    pair = ["video_id", "a_track", "b_track"]
-    j = j.select("video_id", F.col("a_track_id").alias("a_track"), F.col("b_track_id").alias("b_track"), B.iou(a, b).alias("iou"), B.max_cover(a, b).alias("cover"))
-    met = j.groupBy(*pair).agg(F.count(F.lit(1)).alias("_n"), F.sum("iou").alias("_sum"), F.max("iou").alias("_hi"), F.min("iou").alias("_lo"), F.sum("cover").alias("_cover"), F.sort_array(F.collect_list("iou"), asc=False).alias("_i"))
-    spans_of = frames.groupBy(*T, *same).agg(F.min("frame").alias("lo"), F.max("frame").alias("hi"))
-    side = lambda p: spans_of.select("video_id", *same, F.col("track_id").alias(f"{p}_track"), F.col("lo").alias(f"{p}_lo"), F.col("hi").alias(f"{p}_hi"))
-    both = interval_join(side("a"), side("b"), ["video_id", *same], ("a_lo", "a_hi"), ("b_lo", "b_hi"), 256).where("a_track < b_track")
-    common = both.select(*pair, (F.least("a_hi", "b_hi") - F.greatest("a_lo", "b_lo") + 1).cast("long").alias("frames"))
-    g = common.join(met, pair, "left")
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
-    k = F.greatest(F.lit(1), F.floor(F.col("frames") * top)).cast("int")
-    best = zero(F.aggregate(F.slice("_i", F.lit(1), k), F.lit(0.0), lambda s, x: s + x))
-    return g.select(
-        *pair, "frames", zero(F.col("_sum") / F.col("frames")).alias("mean_iou"), zero(F.col("_hi")).alias("max_iou"),
-        F.when(F.col("_n") == F.col("frames"), F.col("_lo")).otherwise(0.0).alias("min_iou"), zero(F.col("_cover") / F.col("frames")).alias("mean_cover"), (best / k).alias("top_iou"),
-    )
-
-
-def segment_metrics(frames: DataFrame, step: int = 5, share: float = 0.8, samples: int = 100, other: DataFrame | None = None) -> DataFrame:
-    """For pairs of tracks of a video (a < b, or one of frames with one of `other`) whose spans have more than one frame in common: over the
-    frames of the common span from its start on, every `step`-th before its end: segment_iou and
-    segment_cover (means); over every max(1, length / samples)-th: percentile_iou and percentile_cover
-    (means of the best `share`); endpoint_iou (mean at both ends of the span); fragment (smallest IoU
-    at every step-th frame where one track lies wholly within the other, else 0).
-
-    Tracks meet by an equi-join of their frames, so that frames without overlap count."""
-    spans_of = lambda f: f.groupBy(*T).agg(F.min("frame").alias("lo"), F.max("frame").alias("hi"))
-    of = {"a": frames, "b": frames if other is None else other}
-    side = lambda p: spans_of(of[p]).select("video_id", F.col("track_id").alias(f"{p}_track"), F.col("lo").alias(f"{p}_lo"), F.col("hi").alias(f"{p}_hi"))
-    both = interval_join(side("a"), side("b"), ["video_id"], ("a_lo", "a_hi"), ("b_lo", "b_hi"), 256)
-    both = both.where("a_track < b_track") if other is None else both
-    s, e = F.greatest("a_lo", "b_lo"), F.least("a_hi", "b_hi")
-    within = ((F.col("a_lo") >= F.col("b_lo")) & (F.col("a_hi") <= F.col("b_hi"))) | ((F.col("b_lo") >= F.col("a_lo")) & (F.col("b_hi") <= F.col("a_hi")))
-    span = both.select("video_id", "a_track", "b_track", s.alias("s"), e.alias("e"), within.alias("within")).where("e > s")
-    dt = F.greatest(F.lit(1), F.floor((F.col("e") - F.col("s")) / samples)).cast("int")
-    stepped = F.sequence(F.col("s"), F.col("e") - 1, F.lit(step))
-    even = F.array_union(F.sequence(F.col("s"), F.col("e") - 1, dt), F.array("e"))
-    want = span.withColumn("frame", F.explode(F.array_distinct(F.concat(stepped, even))))
-    box = lambda p: of[p].select("video_id", F.col("track_id").alias(f"{p}_track"), "frame", F.col("box").alias(f"{p}_box"))
-    j = want.join(box("a"), ["video_id", "a_track", "frame"]).join(box("b"), ["video_id", "b_track", "frame"])
-    iou, cover = B.iou(F.col("a_box"), F.col("b_box")), B.max_cover(F.col("a_box"), F.col("b_box"))
-    on_step = (F.pmod(F.col("frame") - F.col("s"), F.lit(step)) == 0) & (F.col("frame") < F.col("e"))
-    on_even = (F.pmod(F.col("frame") - F.col("s"), dt) == 0) | (F.col("frame") == F.col("e"))
-    at_end = (F.col("frame") == F.col("s")) | (F.col("frame") == F.col("e"))
-    best = lambda c: F.sort_array(F.collect_list(F.when(on_even, c)), asc=False)
-    g = j.groupBy("video_id", "a_track", "b_track", "within").agg(
-        F.avg(F.when(on_step, iou)).alias("segment_iou"), F.avg(F.when(on_step, cover)).alias("segment_cover"), F.avg(F.when(at_end, iou)).alias("endpoint_iou"),
-        F.min(F.when(on_step, iou)).alias("_f"), best(iou).alias("_i"), best(cover).alias("_c"),
-    )
-    k = F.greatest(F.lit(1), F.floor(F.size("_i") * share)).cast("int")
-    mean = lambda c: F.aggregate(F.slice(c, F.lit(1), k), F.lit(0.0), lambda x, y: x + y) / k
-    return g.select("video_id", "a_track", "b_track", "segment_iou", "segment_cover", "endpoint_iou", F.when(F.col("within"), F.col("_f")).otherwise(0.0).alias("fragment_iou"), mean("_i").alias("percentile_iou"), mean("_c").alias("percentile_cover"))
+#: Tracks of a block: every track of one block meets those of another in one task.
+BLOCK = 32
+
+
+def _blocks(keys: DataFrame, by: list[str]) -> DataFrame:
+    """One row a track: by, track_id, its span, its key boxes in order, and its block: BLOCK tracks in order of their starts."""
+    box = [F.col("box")[c].alias(c) for c in ("xmin", "ymin", "xmax", "ymax")]
+    whole = keys.groupBy(*by, "track_id").agg(F.min("frame").alias("lo"), F.max("frame").alias("hi"), F.array_sort(F.collect_list(F.struct("frame", *box))).alias("k"))
+    place = F.row_number().over(Window.partitionBy(*by).orderBy("lo", "track_id")) - 1
+    return cut(whole.withColumn("block", F.floor(place / BLOCK)))
+
+
+def _track_pairs(keys: DataFrame, other: DataFrame | None, same: list[str], names: list[str], measure: Callable[[int, np.ndarray, np.ndarray, np.ndarray], list[list[float]]]) -> DataFrame:
+    """video_id, a_track, b_track and the doubles `names` of each pair of tracks with frames in common: of
+    keys (a < b), or one of keys with one of `other`.
+
+    Blocks of tracks meet where their spans do, each pair of blocks by itself. What travels are key
+    boxes; frames are filled in where the blocks meet, and a task holds the frames of two blocks of one
+    video at a time. measure(first frame, there, iou, cover): matrices of the partners of one track by
+    the frames of that track; one list of values a partner, or an empty one to leave it out."""
+    by = ["video_id", *same]
+    left = _blocks(keys, by)
+    right = left if other is None else _blocks(other, by)
+    extent = lambda w, n: w.groupBy(*by, F.col("block").alias(f"{n}b")).agg(F.min("lo").alias(f"{n}lo"), F.max("hi").alias(f"{n}hi"))
+    met = interval_join(extent(left, "i"), extent(right, "j"), by, ("ilo", "ihi"), ("jlo", "jhi"), 4096).select(*by, "ib", "jb")
+    met = met.where("ib <= jb") if other is None else met
+    part = lambda w, n, role: met.join(w.withColumnRenamed("block", n), [*by, n]).select(*by, "ib", "jb", F.lit(role).alias("role"), "track_id", "k")
+    both = part(left, "ib", 0).unionByName(part(right, "jb", 1))
+    kinds, alone = dict(both.dtypes), other is None
+    out = ", ".join([f"video_id {kinds['video_id']}", f"a_track {kinds['track_id']}", f"b_track {kinds['track_id']}", *[f"{n} double" for n in names]])
+
+    def meet(t: pa.Table) -> pa.Table:
+        video, own = t.column("video_id")[0].as_py(), alone and t.column("ib")[0].as_py() == t.column("jb")[0].as_py()
+        sides: list[list[tuple]] = [[], []]
+        for role, track, k in zip(t.column("role").to_pylist(), t.column("track_id").to_pylist(), t.column("k").to_pylist()):
+            f = np.array([x["frame"] for x in k])
+            at = np.arange(f[0], f[-1] + 1)
+            sides[role].append((track, int(f[0]), np.stack([np.interp(at, f, [x[c] for x in k]) for c in ("xmin", "ymin", "xmax", "ymax")])))
+        rows = []
+        for track, lo, box in sides[0]:
+            near = [o for o in sides[1] if (o[0] > track or not own) and o[1] < lo + box.shape[1] and o[1] + o[2].shape[1] > lo]
+            for o, values in zip(near, measure(lo, *_overlaps(lo, box, near)) if near else ()):
+                if values:
+                    pair = sorted((track, o[0])) if alone else (track, o[0])
+                    rows.append((*pair, *map(float, values)))
+        cols = list(zip(*rows)) or [()] * (2 + len(names))
+        ids = t.schema.field("track_id").type
+        return pa.table([pa.array([video] * len(rows), t.schema.field("video_id").type), *[pa.array(c, ids) for c in cols[:2]], *[pa.array(c, pa.float64()) for c in cols[2:]]], ["video_id", "a_track", "b_track", *names])
+
+    return both.groupBy(*by, "ib", "jb").applyInArrow(meet, out)
+
+
+def _overlaps(lo: int, box: np.ndarray, near: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(there, iou, larger cover) of a track's boxes (corners by frame from lo on) with those of others (id,
+    first frame, corners by frame): one row each, one column a frame of the track."""
+    hi = lo + box.shape[1]
+    b = np.full((len(near), 4, hi - lo), np.nan)
+    for i, (_, s, c) in enumerate(near):
+        f, e = max(s, lo), min(s + c.shape[1], hi)
+        b[i, :, f - lo : e - lo] = c[:, f - s : e - s]
+    there = ~np.isnan(b[:, 0])
+    side = lambda i: np.maximum(np.minimum(box[None, i + 2], b[:, i + 2]) - np.maximum(box[None, i], b[:, i]), 0.0)
+    inter = np.where(there, side(0) * side(1), 0.0)
+    area = ((box[2] - box[0]) * (box[3] - box[1]))[None, :]
+    area_b = np.where(there, (b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1]), 0.0)
+    share = lambda x, y: np.divide(x, y, out=np.zeros_like(x), where=y > 0)
+    return there, share(inter, area + area_b - inter), share(inter, np.minimum(area, area_b))
+
+
+def pair_metrics(keys: DataFrame, same: list[str], top: float = 0.5) -> DataFrame:
+    """For pairs of tracks of a video (a < b, of equal `same`) that have frames in common: common frames,
+    mean, largest and smallest IoU, mean maxcover, and the mean of the largest `top` share of the IoUs."""
+
+    def measure(lo: int, there: np.ndarray, iou: np.ndarray, cover: np.ndarray) -> list[list[float]]:
+        n = there.sum(1)
+        k = np.maximum(1, np.floor(n * top)).astype(int)
+        best = np.cumsum(-np.sort(-iou, axis=1), axis=1)[np.arange(len(n)), k - 1] / k
+        least = np.where(there, iou, np.inf).min(1)
+        return np.stack([n, iou.sum(1) / n, iou.max(1), least, cover.sum(1) / n, best], axis=1).tolist()
+
+    p = _track_pairs(keys, None, same, ["frames", "mean_iou", "max_iou", "min_iou", "mean_cover", "top_iou"], measure)
+    return p.withColumn("frames", F.col("frames").cast("long"))
+
+
+def segment_metrics(keys: DataFrame, step: int = 5, share: float = 0.8, samples: int = 100, other: DataFrame | None = None) -> DataFrame:
+    """For pairs of tracks of a video (a < b, or one of keys with one of `other`) whose spans have more than
+    one frame in common: over the frames of the common span from its start on, every `step`-th before its
+    end: segment_iou and segment_cover (means); over every max(1, length / samples)-th and the last:
+    percentile_iou and percentile_cover (means of the best `share`); endpoint_iou (mean at both ends of
+    the span); fragment_iou (smallest IoU at every step-th frame where one track lies wholly within the
+    other, else 0)."""
+
+    def measure(lo: int, there: np.ndarray, iou: np.ndarray, cover: np.ndarray) -> list[list[float]]:
+        out = []
+        for t, i, c in zip(there, iou, cover):
+            at = np.flatnonzero(t)
+            s, e = at[0], at[-1]
+            if s == e:
+                out.append([])
+                continue
+            steps = np.arange(s, e, step)
+            even = np.append(np.arange(s, e, max(1, (e - s) // samples)), e)
+            k = max(1, int(np.floor(len(even) * share)))
+            best = lambda v, even=even, k=k: np.sort(v[even])[::-1][:k].mean()
+            out.append([i[steps].mean(), c[steps].mean(), (i[s] + i[e]) / 2, i[steps].min(), best(i), best(c)])
+        return out
+
+    p = _track_pairs(keys, other, [], ["segment_iou", "segment_cover", "endpoint_iou", "_least", "percentile_iou", "percentile_cover"], measure)
+    spans_of = lambda k, n: k.groupBy(*T).agg(F.min("frame").alias(f"{n}lo"), F.max("frame").alias(f"{n}hi")).withColumnRenamed("track_id", f"{n}_track")
+    p = p.join(spans_of(keys, "a"), ["video_id", "a_track"]).join(spans_of(keys if other is None else other, "b"), ["video_id", "b_track"])
+    within = ((F.col("alo") >= F.col("blo")) & (F.col("ahi") <= F.col("bhi"))) | ((F.col("blo") >= F.col("alo")) & (F.col("bhi") <= F.col("ahi")))
+    return p.select("video_id", "a_track", "b_track", "segment_iou", "segment_cover", "endpoint_iou", F.when(within, F.col("_least")).otherwise(0.0).alias("fragment_iou"), "percentile_iou", "percentile_cover")
 
 
 def confidence(keys: DataFrame, last: int | None = None, samples: int | None = None) -> DataFrame:

@@ -140,7 +140,7 @@ pm as (select video_id, a_track, b_track, count(*) as frames, avg(iou) as mean_i
 
 @q("track_pair_iou", DENSE + ", " + _PM + "select video_id, a_track, b_track, frames, " + ", ".join(f"{fixed_sql(c)} as {c}" for c in ("mean_iou", "max_iou", "min_iou", "mean_cover", "top_iou")) + " from pm")
 def track_pair_iou(spark, d):
-    p = K.pair_metrics(K.dense(keyboxes(spark, d)), [])
+    p = K.pair_metrics(keyboxes(spark, d), [])
     return p.select("video_id", "a_track", "b_track", "frames", *[fixed(c, c) for c in ("mean_iou", "max_iou", "min_iou", "mean_cover", "top_iou")])
 
 
@@ -155,7 +155,7 @@ select video_id, a_track, b_track, {fixed_sql('avg(iou) filter (where st)')} as
 
 @q("track_segment_metrics", _SEG)
 def track_segments(spark, d):
-    m = K.segment_metrics(K.dense(keyboxes(spark, d)))
+    m = K.segment_metrics(keyboxes(spark, d))
     return m.select("video_id", "a_track", "b_track", *[fixed(c, c) for c in ("segment_iou", "segment_cover", "endpoint_iou", "fragment_iou", "percentile_iou", "percentile_cover")])
 
 
@@ -275,7 +275,7 @@ def dedupe_sql(least: float) -> str:
 
 def duplicates(spark, d, least: float):
     k = copied_keyboxes(spark, d)
-    return C.duplicate_tracks(K.pair_metrics(K.dense(k), []), K.stats(k).select(*K.T, "startframe", "endframe"), least)
+    return C.duplicate_tracks(K.pair_metrics(k, []), K.stats(k).select(*K.T, "startframe", "endframe"), least)
 
 
 @q("scene_dedupe_candidates", dedupe_sql(0.0))
