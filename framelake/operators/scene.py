@@ -133,7 +133,7 @@ def union(a: DataFrame, a_acts: DataFrame, b: DataFrame, b_acts: DataFrame, cove
     startframe, endframe, track_ids) falls if one of a has its category, the same tracks after merging
     and a temporal IoU above `temporal`. Ids of a and b must differ (`rekey`)."""
     category = lambda k, n: k.groupBy(*T).agg(F.first("category", ignorenulls=True).alias("c"), (F.max("frame") - F.min("frame")).alias("len")).select("video_id", F.col("track_id").alias(f"{n}_track"), F.col("c").alias(f"{n}_c"), F.col("len").alias(f"{n}_len"))
-    m = K.segment_metrics(a, share=share, samples=samples, other=b).where(F.col("percentile_cover") > cover)
+    m = K.segment_metrics(a, share=share, samples=samples, other=b, least=cover).where(F.col("percentile_cover") > cover)
     m = m.join(category(a, "a"), ["video_id", "a_track"]).join(category(b, "b"), ["video_id", "b_track"]).where(F.col("a_c").eqNullSafe(F.col("b_c")))
     into = cut(m.groupBy("video_id", F.col("b_track").alias("track_id")).agg(F.max_by("a_track", F.struct("a_len", -F.col("a_track"))).alias("into")))
 
