@@ -29,29 +29,63 @@ class Rules:
 
 
 def measures(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(iou, iou of the shapes, larger cover) of every box of a (rows) with every box of b (columns)."""
+    """(iou, iou of the shapes, larger cover) of the boxes of a with those of b, row by row."""
     size = lambda x: np.maximum(x[:, 2:] - x[:, :2], 0.0)
     sa, sb = size(a), size(b)
-    area_a, area_b = sa.prod(1)[:, None], sb.prod(1)[None, :]
-    side = np.minimum(a[:, None, 2:], b[None, :, 2:]) - np.maximum(a[:, None, :2], b[None, :, :2])
-    meet = np.maximum(side, 0.0).prod(2)
-    shape = np.minimum(sa[:, None, :], sb[None, :, :]).prod(2)
-    share = lambda x, y: np.divide(x, y, out=np.zeros(np.broadcast_shapes(x.shape, y.shape)), where=y > 0)
+    area_a, area_b = sa.prod(1), sb.prod(1)
+    meet = np.maximum(np.minimum(a[:, 2:], b[:, 2:]) - np.maximum(a[:, :2], b[:, :2]), 0.0).prod(1)
+    shape = np.minimum(sa, sb).prod(1)
+    share = lambda x, y: np.divide(x, y, out=np.zeros(len(x)), where=y > 0)
     return share(meet, area_a + area_b - meet), share(shape, area_a + area_b - shape), np.maximum(share(meet, area_a), share(meet, area_b))
 
 
+def meeting(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs of boxes of a and of b that overlap, in order."""
+    if not len(a) or not len(b):
+        return np.zeros(0, int), np.zeros(0, int)
+    hit = (a[:, None, 0] < b[None, :, 2]) & (a[:, None, 2] > b[None, :, 0])
+    hit &= (a[:, None, 1] < b[None, :, 3]) & (a[:, None, 3] > b[None, :, 1])
+    return np.nonzero(hit)
+
+
+def best_first(i: np.ndarray, j: np.ndarray, score: np.ndarray) -> np.ndarray:
+    """Places of the pairs (i, j) that are left if the largest score is taken and its i and j are struck out,
+    again and again; equal scores go by i, then j.
+
+    A pair that comes first of those of its i and of its j is taken whatever the others do, so all such
+    pairs are taken at once."""
+    order = np.lexsort((j, i, -score))
+    i, j = i[order], j[order]
+    first = [np.zeros(x.max() + 1 if len(x) else 0, int) for x in (i, j)]
+    taken = []
+    while len(order):
+        rank = np.arange(len(order))
+        first[0][i[::-1]] = first[1][j[::-1]] = rank[::-1]
+        won = (first[0][i] == rank) & (first[1][j] == rank)
+        taken.append(order[won])
+        out = [np.zeros(len(x), bool) for x in first]
+        out[0][i[won]] = out[1][j[won]] = True
+        left = ~(out[0][i] | out[1][j])
+        i, j, order = i[left], j[left], order[left]
+    return np.concatenate(taken) if taken else np.zeros(0, int)
+
+
 @dataclass
 class Tracks:
-    """Live tracks as columns, in order of their ids: two latest boxes with their frames, all confidences."""
+    """Live tracks as columns, in order of their ids: two latest boxes with their frames, all confidences, and
+    the mean of those that count (None: not known yet)."""
 
     ids: list[int] = field(default_factory=list)
     kinds: list[str] = field(default_factory=list)
     frames: list[list[int]] = field(default_factory=list)
     boxes: list[list[list[float]]] = field(default_factory=list)
     confs: list[list[float]] = field(default_factory=list)
+    means: list[float | None] = field(default_factory=list)
 
     def keep(self, rows: list[int]) -> None:
-        for name in ("ids", "kinds", "frames", "boxes", "confs"):
+        if len(rows) == len(self.ids):
+            return
+        for name in ("ids", "kinds", "frames", "boxes", "confs", "means"):
             column = getattr(self, name)
             setattr(self, name, [column[i] for i in rows])
 
@@ -66,12 +100,16 @@ class Tracks:
         return last + np.concatenate([move, move], axis=1)
 
     def confidence(self, samples: int) -> np.ndarray:
-        return np.array([np.mean(c[:: -max(1, round(len(c) / samples))]) for c in self.confs])
+        for i, c in enumerate(self.confs):
+            if self.means[i] is None:
+                self.means[i] = float(np.mean(c[:: -max(1, round(len(c) / samples))])) if len(c) > 1 else c[0]
+        return np.array(self.means, float)
 
     def extend(self, i: int, frame: int, box: list[float], conf: float) -> None:
         self.frames[i] = [self.frames[i][-1], frame]
         self.boxes[i] = [self.boxes[i][-1], box]
         self.confs[i].append(conf)
+        self.means[i] = None
 
     def add(self, ident: int, kind: str, frame: int, box: list[float], conf: float) -> None:
         self.ids.append(ident)
@@ -79,6 +117,7 @@ class Tracks:
         self.frames.append([frame])
         self.boxes.append([box])
         self.confs.append([conf])
+        self.means.append(None)
 
 
 class Tracker:
@@ -94,33 +133,37 @@ class Tracker:
     def step(self, frame: int, dets: list[tuple[int, str, float, tuple]]) -> list[tuple[int, int]]:
         """(detection, track) of one frame's detections (id, category, conf, box); others found no track.
 
-        The score of every track with every detection of its kind is one matrix. The largest entry is
-        taken and its row and column are struck out, until none is left; equal entries go by the order
-        of the tracks, then of the detections. What is left of the detections may be near a track that
-        got none (gate), or begins a new one where no track explains it."""
+        Each track has a score with every detection of its kind that it overlaps. The largest one is taken
+        and its track and detection are struck out, until none is left; equal ones go by the order of the
+        tracks, then of the detections. What is left of the detections may be near a track that got none
+        (gate), or begins a new one where no track explains it."""
         t, rules = self.tracks, self.rules
         t.keep([i for i, f in enumerate(t.frames) if frame - f[-1] <= rules.history])
         if not dets:
             return []
         boxes, conf = np.array([d[3] for d in dets], float), np.array([d[2] for d in dets], float)
-        where = t.at(frame)
-        alike = np.array([[k == d[1] for d in dets] for k in t.kinds], bool).reshape(len(t.ids), len(dets))
-        iou, shape, cover = measures(where, boxes)
+        where, kinds, of = t.at(frame), np.array(t.kinds, object), np.array([d[1] for d in dets], object)
+        met = []
+        for kind in dict.fromkeys(d[1] for d in dets):
+            own, new = np.flatnonzero(kinds == kind), np.flatnonzero(of == kind)
+            i, j = meeting(where[own], boxes[new])
+            met.append((own[i], new[j]))
+        i, j = (np.concatenate(x) for x in zip(*met))
+        iou, shape, cover = measures(where[i], boxes[j])
+        explained = np.full(len(dets), rules.explained <= 0 and len(t.ids) > 0)
+        explained[j[cover >= rules.explained]] = True
         aged = np.array([len(c) > 1 for c in t.confs], bool)
-        score = (conf + conf.min())[None, :] * (iou + shape + cover) + t.confidence(rules.conf_samples)[:, None]
-        score[~(alike & (iou > 0) & (cover > np.where(aged, rules.min_cover, 0.0)[:, None]))] = -np.inf
-        track_of: dict[int, int] = {}
-        while score.size and np.isfinite(score.max()):
-            i, j = np.unravel_index(score.argmax(), score.shape)
-            track_of[int(j)] = int(i)
-            score[i, :] = score[:, j] = -np.inf
+        fit = (iou > 0) & (cover > np.where(aged, rules.min_cover, 0.0)[i])
+        i, j, iou, shape, cover = i[fit], j[fit], iou[fit], shape[fit], cover[fit]
+        score = (conf + conf.min())[j] * (iou + shape + cover) + t.confidence(rules.conf_samples)[i]
+        track_of: dict[int, int] = {int(j[k]): int(i[k]) for k in best_first(i, j, score)}
         free = np.ones(len(t.ids), bool)
         free[list(track_of.values())] = False
         new = []
         for j in range(len(dets)):
-            if j in track_of or conf[j] < rules.min_conf or (cover[:, j] * alike[:, j] >= rules.explained).any():
+            if j in track_of or conf[j] < rules.min_conf or explained[j]:
                 continue
-            near = np.flatnonzero(free & alike[:, j] & self._gated(where, boxes[j])) if rules.gate > 0 else []
+            near = np.flatnonzero(free & (kinds == dets[j][1]) & self._gated(where, boxes[j])) if rules.gate > 0 else []
             if len(near):
                 i = int(near[np.argmin(((where[near, :2] - boxes[j, :2]) ** 2).sum(1))])
                 track_of[j], free[i] = i, False
