@@ -29,3 +29,44 @@ def test_covers_above_a_bound_are_those_of_all_pairs(scene):
     a, b = scene
     want = rows(K.segment_metrics(a, other=b).where("percentile_cover > 0.6"))
     assert len(want) > 60 and rows(K.segment_metrics(a, other=b, least=0.6)) == want
+
+
+def dense(keys):
+    """{track: (first frame, boxes by frame)}"""
+    out = {}
+    for r in sorted(keys.collect(), key=lambda r: (r["track_id"], r["frame"])):
+        out.setdefault(r["track_id"], []).append((r["frame"], *r["box"]))
+    for t, k in out.items():
+        k = np.array(k)
+        at = np.arange(k[0, 0], k[-1, 0] + 1)
+        out[t] = int(k[0, 0]), np.stack([np.interp(at, k[:, 0], k[:, c]) for c in range(1, 5)])
+    return out
+
+
+def overlaps(a, b):
+    """(first common frame, IoU by common frame) of two tracks."""
+    s, e = max(a[0], b[0]), min(a[0] + a[1].shape[1], b[0] + b[1].shape[1])
+    x, y = a[1][:, s - a[0] : e - a[0]], b[1][:, s - b[0] : e - b[0]]
+    side = lambda i: np.maximum(0, np.minimum(x[i + 2], y[i + 2]) - np.maximum(x[i], y[i]))
+    area = lambda z: (z[2] - z[0]) * (z[3] - z[1])
+    inter = side(0) * side(1)
+    return inter / (area(x) + area(y) - inter)
+
+
+def test_segment_metrics_of_large_blocks(scene):
+    """Few shuffled copies: a track goes to as many pairs of blocks as there are blocks, whatever its video's tracks."""
+    k, d = scene[0], dense(scene[0])
+    got = {(r["a_track"], r["b_track"]): r for r in K.segment_metrics(k).collect()}
+    want = {}
+    for a in d:
+        for b in d:
+            if a < b and min(a_b[0] + a_b[1].shape[1] for a_b in (d[a], d[b])) - 1 > max(d[a][0], d[b][0]):
+                want[a, b] = overlaps(d[a], d[b])
+    assert got.keys() == want.keys()
+    for p, i in want.items():
+        e = len(i) - 1
+        even = i[[*range(0, e, max(1, e // 100)), e]]
+        best = np.sort(even)[::-1][: max(1, int(len(even) * 0.8))].mean()
+        assert abs(got[p]["segment_iou"] - i[:e:5].mean()) < 1e-9 and abs(got[p]["endpoint_iou"] - (i[0] + i[e]) / 2) < 1e-9 and abs(got[p]["percentile_iou"] - best) < 1e-9
+    many = k.withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(9)))).withColumn("track_id", F.col("track_id") + 100 * F.col("n")).drop("n")
+    assert K._blocks(many, ["video_id"]).select("block").distinct().count() <= 8
