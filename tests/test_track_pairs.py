@@ -70,3 +70,11 @@ def test_segment_metrics_of_large_blocks(scene):
         assert abs(got[p]["segment_iou"] - i[:e:5].mean()) < 1e-9 and abs(got[p]["endpoint_iou"] - (i[0] + i[e]) / 2) < 1e-9 and abs(got[p]["percentile_iou"] - best) < 1e-9
     many = k.withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(9)))).withColumn("track_id", F.col("track_id") + 100 * F.col("n")).drop("n")
     assert K._blocks(many, ["video_id"]).select("block").distinct().count() <= 8
+
+
+def test_pair_metrics_of_sources_and_targets(scene):
+    k = scene[0]
+    odd = F.col("track_id") % 2 == 1
+    got = rows(K.pair_metrics(k.where(odd), [], other=k.where(~odd)))
+    want = [r if r[1] % 2 else (r[0], r[2], r[1], *r[3:]) for r in rows(K.pair_metrics(k, [])) if (r[1] + r[2]) % 2]
+    assert got == sorted(want)
