@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,16 +51,62 @@ def split_by_track(keys: DataFrame, acts: DataFrame) -> DataFrame:
     return s.join(n, T, "left").withColumn("activities", F.coalesce("activities", F.lit(0)))
 
 
-def merge_candidates(keys: DataFrame, frames_apart: int = 5, dilate: float = 2.0, bucket: int = 64) -> DataFrame:
+def merge_candidates(keys: DataFrame, frames_apart: int = 5, dilate: float = 2.0, bucket: int = 16) -> DataFrame:
     """Tracks whose last box, dilated, meets the first box of exactly one track that starts within
-    frames_apart frames after."""
+    frames_apart frames after.
+
+    Ends meet the starts of their bucket of frames; an end that has met two is looked at no further, so
+    that crowded frames cost no more than the tracks in them."""
     g = keys.groupBy(*T).agg(F.min("frame").alias("s"), F.max("frame").alias("e"), F.min_by("box", "frame").alias("first"), F.max_by("box", "frame").alias("last"))
-    ends = g.select("video_id", "track_id", F.col("e").alias("lo"), (F.col("e") + frames_apart).alias("hi"), B.dilate(F.col("last"), dilate).alias("box"))
-    starts = g.select("video_id", F.col("track_id").alias("next_track"), F.col("s").alias("lo2"), F.col("s").alias("hi2"), F.col("first").alias("next_box"))
-    j = interval_join(ends, starts, ["video_id"], ("lo", "hi"), ("lo2", "hi2"), bucket)
-    j = j.where((F.col("track_id") != F.col("next_track")) & (F.col("lo2") > F.col("lo")) & B.overlaps(F.col("box"), F.col("next_box")))
-    one = j.groupBy(*T).agg(F.count(F.lit(1)).alias("n"), F.min("next_track").alias("next_track"))
-    return one.where("n = 1").select(*T, "next_track")
+    corners = lambda b: [b[c].alias(c) for c in K.CORNERS]
+    ends = g.select(*T, F.col("e").alias("frame"), *corners(B.dilate(F.col("last"), dilate)), F.floor(F.col("e") / bucket).alias("_b"), F.lit(False).alias("starts"))
+    before = F.sequence(F.floor((F.col("s") - frames_apart) / bucket), F.floor((F.col("s") - 1) / bucket))
+    starts = g.select(*T, F.col("s").alias("frame"), *corners(F.col("first")), F.explode(before).alias("_b"), F.lit(True).alias("starts"))
+
+    rows = ends.unionByName(starts).dropna(subset=list(K.CORNERS))
+
+    def meet(t: pa.Table) -> pa.Table:
+        role = t.column("starts").to_numpy()
+        side = [t.filter(pa.array(role == x)) for x in (False, True)]
+        (e, s), ids = [x.column("frame").to_numpy() for x in side], [x.column("track_id").to_numpy() for x in side]
+        a, b = [np.stack([x.column(c).to_numpy() for c in K.CORNERS]) for x in side]
+        nexts, n = np.zeros(len(e), np.int64), np.zeros(len(e), int)
+        by_end, by_start = np.argsort(e, kind="stable"), np.argsort(s, kind="stable")
+        for frame in np.unique(e):
+            rows = by_end[np.searchsorted(e[by_end], frame) : np.searchsorted(e[by_end], frame, "right")]
+            near = by_start[np.searchsorted(s[by_start], frame, "right") : np.searchsorted(s[by_start], frame + frames_apart, "right")]
+            n[rows], nexts[rows] = _meets_once(a[:, rows], ids[0][rows], b[:, near], ids[1][near])
+        one = np.flatnonzero(n == 1)
+        return side[0].select(T).take(pa.array(one)).append_column("next_track", pa.array(nexts[one], side[0].schema.field("track_id").type))
+
+    kinds = dict(g.dtypes)
+    found = rows.groupBy("video_id", "_b").applyInArrow(meet, f"video_id {kinds['video_id']}, track_id {kinds['track_id']}, next_track {kinds['track_id']}")
+    return found.select(*T, "next_track")
+
+
+def _meets_once(a: np.ndarray, own: np.ndarray, b: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each box of a (corners first): how many boxes of b of another id it overlaps, as far as two, and the
+    first one's id."""
+    n, first = np.zeros(len(own), int), np.zeros(len(own), np.int64)
+    if not len(ids):
+        return n, first
+    order = np.argsort(b[0])
+    b, ids = b[:, order], ids[order]
+    at = np.searchsorted(b[0], a[0] - (b[2] - b[0]).max())
+    end = np.searchsorted(b[0], a[2])
+    left, run = np.flatnonzero(at < end), 32
+    while len(left):
+        for part in np.array_split(left, -(-len(left) * run // 500_000)):
+            k = at[part, None] + np.arange(run)[None, :]
+            inside = k < end[part, None]
+            k = np.minimum(k, len(ids) - 1)
+            hit = inside & (b[2][k] > a[0][part, None]) & (b[1][k] < a[3][part, None]) & (b[3][k] > a[1][part, None]) & (ids[k] != own[part, None])
+            new = hit.any(1) & (n[part] == 0)
+            first[part[new]] = ids[k[new, hit[new].argmax(1)]]
+            n[part] += hit.sum(1)
+        at[left] += run
+        left, run = left[(n[left] < 2) & (at[left] < end[left])], min(2 * run, 1024)
+    return n, first
 
 
 def duplicate_tracks(pairs: DataFrame, lengths: DataFrame, threshold: float = 0.8) -> DataFrame:
