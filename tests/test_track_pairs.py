@@ -72,6 +72,13 @@ def test_segment_metrics_of_large_blocks(scene):
     assert K._blocks(many, ["video_id"]).select("block").distinct().count() <= 8
 
 
+def test_pairs_above_a_smallest_iou_are_those_of_all_pairs(scene):
+    k = scene[0].unionByName(scene[1])
+    want = rows(K.pair_metrics(k, []).where("min_iou > 0"))
+    assert len(want) > 60 and rows(K.pair_metrics(k, [], least=0.0)) == want
+    assert rows(K.pair_metrics(k, [], least=0.8)) == [r for r in want if r[6] > 0.8]
+
+
 def test_pair_metrics_of_sources_and_targets(scene):
     k = scene[0]
     odd = F.col("track_id") % 2 == 1
