@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from framelake.operators.collection import POS, Collection
 from framelake.plans.views import ITEM, OBJ, images, items, objects
+from framelake.session import cut
 from framelake.sources.tables import table
 
 Q, O = {}, {}
@@ -252,9 +254,15 @@ def quantiles(spark, d):
 @q("sketches_are_close", f"with {OBJ} select category, true as distinct_close, true as median_close from ob where category is not null and conf is not null group by 1 having count(*) >= 20")
 def sketches(spark, d):
     """Approximate distinct counts and medians against the exact ones: within a tenth."""
-    o = objects(spark, d, "category", "conf")
-    g = o.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("image_id", 0.01).alias("a"), F.count_distinct("image_id").alias("e"), F.approx_percentile("conf", 0.5, 1000).alias("am"), F.percentile("conf", 0.5).alias("em"))
-    return g.where("n >= 20").select("category", (F.abs(F.col("a") - F.col("e")) <= 0.1 * F.col("e") + 1).alias("distinct_close"), (F.abs(F.col("am") - F.col("em")) <= 0.1).alias("median_close"))
+    o = cut(objects(spark, d, "category", "conf").select("category", "image_id", "conf"))
+    # Apart: beside a distinct count every category and image would hold the sketches.
+    g = o.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("image_id", 0.01).alias("a"), F.approx_percentile("conf", 0.5, 1000).alias("am")).where("n >= 20")
+    e = o.select("category", "image_id").distinct().groupBy("category").agg(F.count("image_id").alias("e"))
+    upto = F.sum("k").over(Window.partitionBy("category").orderBy("conf").rowsBetween(Window.unboundedPreceding, 0))
+    c = o.groupBy("category", "conf").agg(F.count(F.lit(1)).alias("k")).withColumn("upto", upto).join(g, "category")
+    at = lambda place: F.max(F.when((F.col("upto") - F.col("k") <= place) & (F.col("upto") > place), F.col("conf")))
+    m = c.groupBy("category").agg(((at(F.floor((F.col("n") - 1) / 2)) + at(F.ceil((F.col("n") - 1) / 2))) / 2).alias("em"))
+    return g.join(e, "category").join(m, "category").select("category", (F.abs(F.col("a") - F.col("e")) <= 0.1 * F.col("e") + 1).alias("distinct_close"), (F.abs(F.col("am") - F.col("em")) <= 0.1).alias("median_close"))
 
 
 QUERIES, ORACLES = Q, O

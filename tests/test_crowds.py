@@ -37,3 +37,11 @@ def test_merge_candidates_of_crowded_frames(spark):
     found = C.merge_candidates(k)
     assert len(want) > 20 and {tuple(r) for r in found.collect()} == want
     assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()  # no pair of tracks is a row
+
+
+def test_sketches_stand_beside_no_distinct_count(spark):
+    import __spark_entry__ as E
+
+    plan = E.queries()["sketches_are_close"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    for line in plan.splitlines():
+        assert not ("Aggregate" in line and "approx_count_distinct" in line and "image_id" in line.partition("keys=[")[2].partition("]")[0])
