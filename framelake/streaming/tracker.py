@@ -48,26 +48,21 @@ def meeting(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.nonzero(hit)
 
 
-def best_first(i: np.ndarray, j: np.ndarray, score: np.ndarray) -> np.ndarray:
-    """Places of the pairs (i, j) that are left if the largest score is taken and its i and j are struck out,
-    again and again; equal scores go by i, then j.
-
-    A pair that comes first of those of its i and of its j is taken whatever the others do, so all such
-    pairs are taken at once."""
-    order = np.lexsort((j, i, -score))
-    i, j = i[order], j[order]
-    first = [np.zeros(x.max() + 1 if len(x) else 0, int) for x in (i, j)]
-    taken = []
-    while len(order):
-        rank = np.arange(len(order))
-        first[0][i[::-1]] = first[1][j[::-1]] = rank[::-1]
-        won = (first[0][i] == rank) & (first[1][j] == rank)
-        taken.append(order[won])
-        out = [np.zeros(len(x), bool) for x in first]
-        out[0][i[won]] = out[1][j[won]] = True
-        left = ~(out[0][i] | out[1][j])
-        i, j, order = i[left], j[left], order[left]
-    return np.concatenate(taken) if taken else np.zeros(0, int)
+def best_first(i: np.ndarray, j: np.ndarray, score: np.ndarray) -> list[tuple[int, int]]:
+    """Of the pairs (i, j), in order of i and j, those that are taken if the largest score goes first and its i
+    and j are struck out, again and again; equal scores go by i, then j."""
+    order = np.argsort(-score, kind="stable")
+    left = min(len(np.unique(i)), len(np.unique(j)))
+    had, got, taken = set(), set(), []
+    for x, y in zip(i[order].tolist(), j[order].tolist()):
+        if y in got or x in had:
+            continue
+        had.add(x)
+        got.add(y)
+        taken.append((x, y))
+        if len(taken) == left:
+            break
+    return taken
 
 
 @dataclass
@@ -143,20 +138,20 @@ class Tracker:
             return []
         boxes, conf = np.array([d[3] for d in dets], float), np.array([d[2] for d in dets], float)
         where, kinds, of = t.at(frame), np.array(t.kinds, object), np.array([d[1] for d in dets], object)
-        met = []
+        explained = np.full(len(dets), rules.explained <= 0 and len(t.ids) > 0)
+        needed = np.where([len(c) > 1 for c in t.confs], rules.min_cover, 0.0)
+        known = t.confidence(rules.conf_samples)
+        track_of: dict[int, int] = {}
         for kind in dict.fromkeys(d[1] for d in dets):
             own, new = np.flatnonzero(kinds == kind), np.flatnonzero(of == kind)
             i, j = meeting(where[own], boxes[new])
-            met.append((own[i], new[j]))
-        i, j = (np.concatenate(x) for x in zip(*met))
-        iou, shape, cover = measures(where[i], boxes[j])
-        explained = np.full(len(dets), rules.explained <= 0 and len(t.ids) > 0)
-        explained[j[cover >= rules.explained]] = True
-        aged = np.array([len(c) > 1 for c in t.confs], bool)
-        fit = (iou > 0) & (cover > np.where(aged, rules.min_cover, 0.0)[i])
-        i, j, iou, shape, cover = i[fit], j[fit], iou[fit], shape[fit], cover[fit]
-        score = (conf + conf.min())[j] * (iou + shape + cover) + t.confidence(rules.conf_samples)[i]
-        track_of: dict[int, int] = {int(j[k]): int(i[k]) for k in best_first(i, j, score)}
+            i, j = own[i], new[j]
+            iou, shape, cover = measures(where[i], boxes[j])
+            explained[j[cover >= rules.explained]] = True
+            fit = (iou > 0) & (cover > needed[i])
+            i, j = i[fit], j[fit]
+            score = (conf + conf.min())[j] * (iou + shape + cover)[fit] + known[i]
+            track_of |= {y: x for x, y in best_first(i, j, score)}
         free = np.ones(len(t.ids), bool)
         free[list(track_of.values())] = False
         new = []
