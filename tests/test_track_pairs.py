@@ -85,3 +85,41 @@ def test_pair_metrics_of_sources_and_targets(scene):
     got = rows(K.pair_metrics(k.where(odd), [], other=k.where(~odd)))
     want = [r if r[1] % 2 else (r[0], r[2], r[1], *r[3:]) for r in rows(K.pair_metrics(k, [])) if (r[1] + r[2]) % 2]
     assert got == sorted(want)
+
+
+def sampled(i, step=5, share=0.8, samples=100):
+    """segment mean, ends' mean, smallest and mean of the best share of a pair's values by common frame."""
+    e = len(i) - 1
+    even = i[[*range(0, e, max(1, e // samples)), e]]
+    best = np.sort(even)[::-1][: max(1, int(len(even) * share))].mean()
+    return i[:e:step].mean(), (i[0] + i[e]) / 2, i[:e:step].min(), best
+
+
+def covers(a, b):
+    s, e = max(a[0], b[0]), min(a[0] + a[1].shape[1], b[0] + b[1].shape[1])
+    x, y = a[1][:, s - a[0] : e - a[0]], b[1][:, s - b[0] : e - b[0]]
+    side = lambda i: np.maximum(0, np.minimum(x[i + 2], y[i + 2]) - np.maximum(x[i], y[i]))
+    area = lambda z: (z[2] - z[0]) * (z[3] - z[1])
+    return side(0) * side(1) / np.minimum(area(x), area(y))
+
+
+def test_segment_metrics_come_whole_from_the_blocks(scene):
+    """All six, of one set of tracks and of two, against plain loops; no pair is joined once more for its spans."""
+    k = scene[0].unionByName(scene[1].where("track_id < 1030 or track_id between 3000 and 3020"))
+    d, apart, close = dense(k), 0, 0
+    for other in (None, scene[1]):
+        of = d if other is None else dense(other)
+        found = K.segment_metrics(k, other=other)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan.partition("FlatMapGroupsInArrow")[0]
+        got = {(r["a_track"], r["b_track"]): r[3:] for r in found.collect()}
+        end = lambda t: t[0] + t[1].shape[1] - 1
+        want = {(a, b) for a in d for b in of if (a < b or other is not None) and min(end(d[a]), end(of[b])) > max(d[a][0], of[b][0])}
+        assert got.keys() == want
+        for a, b in want:
+            x, y = d[a], of[b]
+            within = (x[0] >= y[0] and end(x) <= end(y)) or (y[0] >= x[0] and end(y) <= end(x))
+            i, c = sampled(overlaps(x, y)), sampled(covers(x, y))
+            assert np.allclose(got[a, b], (i[0], c[0], i[1], i[2] if within else 0, i[3], c[3]), rtol=0, atol=1e-9)
+            apart, close = apart + (i[3] == 0), close + (within and i[2] > 0)
+    assert apart > 100 and close > 100
