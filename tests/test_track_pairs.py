@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,3 +124,23 @@ def test_segment_metrics_come_whole_from_the_blocks(scene):
             assert np.allclose(got[a, b], (i[0], c[0], i[1], i[2] if within else 0, i[3], c[3]), rtol=0, atol=1e-9)
             apart, close = apart + (i[3] == 0), close + (within and i[2] > 0)
     assert apart > 100 and close > 100
+
+
+def test_sums_over_all_frames_of_a_window(scene):
+    """Sums of tracks cut by the window of two blocks, also those of no area, and the pairs that are still to be measured."""
+    keys = sorted(scene[0].collect(), key=lambda r: (r["track_id"], r["frame"]))
+    tracks = {t: [r for r in keys if r["track_id"] == t] for t in {r["track_id"] for r in keys}}
+    flat = lambda t, c: [r["box"][c] if t % 9 else r["box"]["xmin" if c[0] == "x" else "ymin"] for r in tracks[t]]
+    table = lambda ts: pa.table({"track_id": ts, "lo": [tracks[t][0]["frame"] for t in ts], "hi": [tracks[t][-1]["frame"] for t in ts], "at": [[r["frame"] for r in tracks[t]] for t in ts], **{c: [flat(t, c) for t in ts] for c in K.CORNERS}})
+    start, end = 90, 350
+    side = K._Side(table([t for t in tracks if tracks[t][0]["frame"] <= end and tracks[t][-1]["frame"] >= start]), start, end)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        iou, cover = K._overlaps(side.box[:, :, None], side.box[:, None])
+    got = {}
+    for i, j, sums, meets in K._sums(side, side, True):
+        got |= {(a, b): (*s, m) for a, b, s, m in zip(i.tolist(), j.tolist(), sums.T, meets)}
+    n = len(side.lo)
+    want = {(i, j) for i in range(n) for j in range(i + 1, n) if max(side.lo[i], side.lo[j]) <= min(side.hi[i], side.hi[j])}
+    assert got.keys() == want and len(want) > 1000
+    for (i, j), g in got.items():
+        assert np.allclose(g, (iou[i, j].sum(), cover[i, j].sum(), iou[i, j].max(), np.count_nonzero(iou[i, j])), rtol=0, atol=1e-9)
