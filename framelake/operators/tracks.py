@@ -147,14 +147,15 @@ def extrapolate(keys: DataFrame, ahead: int) -> DataFrame:
     return g.select(*T, (F.col("f") + ahead).alias("frame"), B.translate(F.col("b"), rate(B.xcentroid), rate(B.ycentroid)).alias("box"))
 
 
-#: Blocks a video is cut into at least, tracks of a block at most, and boxes that a block may fill in.
-BLOCKS, MOST_TRACKS, MOST_BOXES = 8, 4096, 3_000_000
+#: Blocks a video is cut into at least (where two sets of tracks meet, those of one), tracks of a block at most, and
+#: boxes that a block may fill in.
+BLOCKS, BLOCKS_OF_TWO, MOST_TRACKS, MOST_BOXES = 8, 4, 9216, 3_000_000
 #: Boxes measured at once: what the processor's cache holds.
 CHUNK = 32_768
 CORNERS = ("xmin", "ymin", "xmax", "ymax")
 
 
-def _blocks(keys: DataFrame, by: list[str]) -> DataFrame:
+def _blocks(keys: DataFrame, by: list[str], blocks: int = BLOCKS) -> DataFrame:
     """One row a track: by, track_id, its span, its key boxes in order (frames and corners as lists), and
     its block: tracks in order of their starts, as many as their frames permit."""
     box = [F.col("box")[c].alias(c) for c in CORNERS]
@@ -162,7 +163,7 @@ def _blocks(keys: DataFrame, by: list[str]) -> DataFrame:
     place = F.row_number().over(Window.partitionBy(*by).orderBy("lo", "track_id")) - 1
     group = Window.partitionBy(*by)
     frames = F.max("hi").over(group) - F.min("lo").over(group) + 1
-    size = F.greatest(F.lit(8), F.least(F.greatest(F.lit(32), F.ceil(F.count(F.lit(1)).over(group) / BLOCKS)), F.lit(MOST_TRACKS), F.floor(F.lit(MOST_BOXES) / frames)))
+    size = F.greatest(F.lit(8), F.least(F.greatest(F.lit(32), F.ceil(F.count(F.lit(1)).over(group) / blocks)), F.lit(MOST_TRACKS), F.floor(F.lit(MOST_BOXES) / frames)))
     whole = whole.withColumn("block", F.floor(place / size))
     return cut(whole.select(*by, "track_id", "lo", "hi", "block", F.col("k.frame").alias("at"), *[F.col(f"k.{c}").alias(c) for c in CORNERS]))
 
@@ -292,7 +293,7 @@ def _sums(left: _Side, right: _Side, own: bool) -> Iterator[tuple[np.ndarray, np
     """Tracks of left and right (of one block each pair once) with frames in common: their places, sums of IoU
     and cover and the largest IoU over all frames, and in how many frames they meet."""
     tile, a, n, width = _Tile(left, right), _with_inverse(left.box), len(right.lo), left.box.shape[2]
-    run = max(1, CHUNK // width)
+    run = max(1, min(CHUNK // width, 2 * TRACKS))
     for j in range(0, n, run):
         jj = np.arange(j, min(j + run, n))
         ii = np.arange(min(len(left.lo), jj[-1]) if own else len(left.lo))
@@ -486,6 +487,14 @@ def _cover_sieve(least: float, samples: int, share: float) -> Callable:
     return pairs
 
 
+def _needed() -> list[Column]:
+    """Frames and corners of a track's key boxes in start .. end and of the next ones beyond, from which boxes there are made."""
+    inside = (F.col("lo") >= F.col("start")) & (F.col("hi") <= F.col("end"))
+    first = F.greatest(F.lit(1), F.size(F.filter("at", lambda f: f <= F.col("start"))))
+    last = F.size("at") + 1 - F.greatest(F.lit(1), F.size(F.filter("at", lambda f: f >= F.col("end"))))
+    return [F.when(inside, F.col(c)).otherwise(F.slice(F.col(c), first, last - first + 1)).alias(c) for c in ("at", *CORNERS)]
+
+
 def _within(a: _Side, i: int | np.ndarray, b: _Side, j: slice | np.ndarray) -> np.ndarray:
     """Whether a track of each pair lies in the other's span."""
     return ((a.lo[i] >= b.lo[j]) & (a.hi[i] <= b.hi[j])) | ((b.lo[j] >= a.lo[i]) & (b.hi[j] <= a.hi[i]))
@@ -495,22 +504,22 @@ def _track_pairs(keys: DataFrame, other: DataFrame | None, same: list[str], name
     """video_id, a_track, b_track and the doubles `names` of each pair of tracks with frames in common: of
     keys (a < b), or one of keys with one of `other`.
 
-    Blocks of tracks meet where their spans do, each pair of blocks by itself. What travels are key
-    boxes; frames are filled in where the blocks meet, and a task holds the frames of two blocks of one
-    video at a time. measure(first, last, within, iou, cover): the pairs' common frames as places in the
-    matrices of pairs by frames, which are 0 elsewhere, and whether one track lies within the other; gives
-    which pairs stay, and the values of all. pairs(left, right, own): the pairs of two blocks to be measured,
+    Blocks of tracks meet where their spans do, each pair of blocks by itself. What travels are the key
+    boxes of the frames that the blocks have in common; frames are filled in where the blocks meet, and a
+    task holds the frames of two blocks of one video at a time. measure(first, last, within, iou, cover): the
+    pairs' common frames as places in the matrices of pairs by frames, which are 0 elsewhere, and whether one
+    track lies within the other; gives which pairs stay, and the values of all. pairs(left, right, own): the pairs of two blocks to be measured,
     some at a time. sums(left, right, own), in place of pairs: all that stay, with their values, as far as
     sums tell them: places in left and right, values, and which are still to be measured."""
     by = ["video_id", *same]
-    left = _blocks(keys, by)
-    right = left if other is None else _blocks(other, by)
+    left = _blocks(keys, by, BLOCKS if other is None else BLOCKS_OF_TWO)
+    right = left if other is None else _blocks(other, by, BLOCKS_OF_TWO)
     extent = lambda w, n: w.groupBy(*by, F.col("block").alias(f"{n}b")).agg(F.min("lo").alias(f"{n}lo"), F.max("hi").alias(f"{n}hi"))
     met = interval_join(extent(left, "i"), extent(right, "j"), by, ("ilo", "ihi"), ("jlo", "jhi"), 4096)
     met = met.select(*by, "ib", "jb", F.greatest("ilo", "jlo").alias("start"), F.least("ihi", "jhi").alias("end"))
     met = met.where("ib <= jb") if other is None else met
     shape = ["ib", "jb", "start", "end"]
-    part = lambda w, n, role: met.join(w.withColumnRenamed("block", n), [*by, n]).where("lo <= end and hi >= start").select(*by, *shape, F.lit(role).alias("role"), "track_id", "lo", "hi", "at", *CORNERS)
+    part = lambda w, n, role: met.join(w.withColumnRenamed("block", n), [*by, n]).where("lo <= end and hi >= start").select(*by, *shape, F.lit(role).alias("role"), "track_id", "lo", "hi", *_needed())
     halves = part(left, "ib", 0)
     both = halves.unionByName(part(right, "jb", 1) if other is not None else part(right, "jb", 1).where("ib <> jb"))
     kinds, alone = dict(both.dtypes), other is None

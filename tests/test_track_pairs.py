@@ -144,3 +144,12 @@ def test_sums_over_all_frames_of_a_window(scene):
     assert got.keys() == want and len(want) > 1000
     for (i, j), g in got.items():
         assert np.allclose(g, (iou[i, j].sum(), cover[i, j].sum(), iou[i, j].max(), np.count_nonzero(iou[i, j])), rtol=0, atol=1e-9)
+
+
+def test_only_key_boxes_of_common_frames_travel(spark):
+    at = [2, 10, 20, 30, 40, 55]
+    rows = [(2, 55, s, e, at, *[[float(f + c) for f in at] for c in range(4)]) for s, e in ((0, 60), (12, 35), (20, 30), (22, 27), (0, 9), (50, 60))]
+    w = spark.createDataFrame(rows, "lo int, hi int, start int, end int, at array<int>, " + ", ".join(f"{c} array<double>" for c in K.CORNERS))
+    got = [tuple(r) for r in w.select(*K._needed()).collect()]
+    assert [r[0] for r in got] == [at, [10, 20, 30, 40], [20, 30], [20, 30], [2, 10], [40, 55]]
+    assert all(r[1 + c] == [f + c for f in r[0]] for r in got for c in range(4))
